@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 from itertools import product
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.sql import DataFrame
@@ -13,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
 from facetloom import constants as C
+from facetloom.operators.lookups import lookup
 from facetloom.operators.ordering import global_index
 from facetloom.session import pin
 
@@ -53,11 +56,13 @@ def choose_k(
     features: str = "features",
     out: str = "persona_id",
     seed: int = 42,
+    parallelism: int = 4,
 ) -> ChosenK:
     """Fit each k from 2 to ``kmax`` and keep the one with the best silhouette.
 
     Each k takes the restart with the least cost. The smallest k wins ties; a k whose
     rows fall into one cluster is passed over; k = 2 with score -1 is the last resort.
+    ``parallelism`` restarts are submitted at a time.
     """
     rows = df.select(features).persist(StorageLevel.MEMORY_AND_DISK)
     try:
@@ -65,10 +70,15 @@ def choose_k(
         fallback: KMeansModel | None = None
         tried = []
         for k in range(2, max(3, kmax + 1)):
-            fits = [
-                KMeans(k=k, seed=seed + i, featuresCol=features, predictionCol=out).fit(rows)
-                for i in range(restarts)
-            ]
+
+            @inheritable_thread_target(df.sparkSession)
+            def fit(restart: int, k: int = k) -> KMeansModel:
+                return KMeans(
+                    k=k, seed=seed + restart, featuresCol=features, predictionCol=out
+                ).fit(rows)
+
+            with ThreadPool(parallelism) as pool:
+                fits = pool.map(fit, range(restarts))
             model = min(fits, key=lambda m: m.summary.trainingCost)
             fallback = fallback or model
             if sum(size > 0 for size in model.summary.clusterSizes) < 2:
@@ -96,6 +106,7 @@ def density_clusters(
     min_points: int = 5,
     min_size: int = C.DENSITY_MIN_SIZE,
     out: str = "cluster",
+    spread_by: Sequence[str] = (),
     checkpoint_every: int = 4,
 ) -> DataFrame:
     """Add density clusters over a few coordinates, such as ``x2d, y2d``; noise is -1.
@@ -107,7 +118,8 @@ def density_clusters(
 
     Rows are only counted per cell and joined to their cell once. All comparing is among
     cells, over the fixed set of neighbour offsets, so a crowded spot costs no more than
-    an empty one and no pairs of rows are made.
+    an empty one and no pairs of rows are made. ``spread_by`` may name a row id, by which
+    rows of a crowded cell are spread in the last join.
     """
     axes = [f"_c{i}" for i in range(len(coordinates))]
     known = F.lit(True)
@@ -191,6 +203,5 @@ def density_clusters(
     final = sized.join(numbered, "label").select(
         *[F.col(f"cell.{a}").alias(a) for a in axes], F.col("_number").cast("int").alias(out)
     )
-    # The cell table is joined by its measured size: broadcast if small, else by cell.
-    joined = celled.join(final, axes, "left")
+    joined = lookup(celled, final, axes, "left", spread_by=[*spread_by, *coordinates])
     return joined.select(*df.columns, F.coalesce(F.col(out), F.lit(-1)).alias(out))

@@ -19,11 +19,11 @@ from pyspark.ml.feature import (
 )
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import Vectors
-from pyspark.mllib.linalg.distributed import RowMatrix
-from pyspark.mllib.util import MLUtils
-from pyspark.sql import DataFrame
+from pyspark.ml.stat import Summarizer
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.storagelevel import StorageLevel
 
 from facetloom import constants as C
 from facetloom.functions.labels import sentiment_score
@@ -167,6 +167,76 @@ def project_2d(df: DataFrame, features: str = "reduced") -> DataFrame:
     )
 
 
+@F.pandas_udf(
+    T.StructType(
+        [
+            T.StructField("indices", T.ArrayType(T.IntegerType())),
+            T.StructField("values", T.ArrayType(T.DoubleType())),
+        ]
+    )
+)
+def _unpacked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for vectors in batches:
+        yield vectors[["indices", "values"]]
+
+
+def _rows(vectors: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions and values stored in each vector; positions are distinct."""
+    for at, values in zip(vectors["indices"], vectors["values"], strict=True):
+        held = np.asarray(values, dtype="float64")
+        yield np.arange(len(held)) if at is None else np.asarray(at, dtype="int64"), held
+
+
+def _gram_times(rows: DataFrame, features: str, matrix: np.ndarray) -> np.ndarray:
+    """(transposed rows x rows) x matrix in one pass; tasks send only their sums."""
+
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros_like(matrix)
+        seen = np.zeros(len(matrix), dtype=bool)
+        for batch in batches:
+            for at, held in _rows(batch):
+                total[at] += np.outer(held, held @ matrix[at])
+                seen[at] = True
+        found = np.flatnonzero(seen)
+        yield pd.DataFrame({"at": found.astype("int32"), "part": list(total[found])})
+
+    parts = rows.select(f"{features}.*").mapInPandas(sums, "at int, part array<double>")
+    summed = parts.groupBy("at").agg(
+        vector_to_array(Summarizer.sum(array_to_vector("part"))).alias("total")
+    )
+    out = np.zeros_like(matrix)
+    # At most one line per term of the vocabulary.
+    for at, total in summed.collect():
+        out[at] = total
+    return out
+
+
+def singular_vectors(
+    df: DataFrame, dimensions: int, features: str, passes: int = 5, seed: int = 42
+) -> np.ndarray:
+    """The leading right singular vectors of the rows, as columns.
+
+    Randomised subspace iteration (Halko, Martinsson and Tropp, 2011): ``passes`` + 1
+    passes over the rows, each with one small sum per task. The sign of a vector is set
+    so that its largest entry is positive.
+    """
+    width = vector_width(df, features)
+    k = min(dimensions, width)
+    rng = np.random.default_rng(seed)
+    basis = np.linalg.qr(rng.standard_normal((width, min(width, k + 10))))[0]
+    plain = df.select(_unpacked(features).alias(features)).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        for _ in range(passes):
+            basis = np.linalg.qr(_gram_times(plain, features, basis))[0]
+        small = basis.T @ _gram_times(plain, features, basis)
+    finally:
+        plain.unpersist()
+    _, rotation = np.linalg.eigh((small + small.T) / 2)
+    vectors = basis @ rotation[:, ::-1][:, :k]
+    top = np.abs(vectors).argmax(axis=0)
+    return vectors * np.sign(vectors[top, np.arange(vectors.shape[1])])
+
+
 def svd(
     df: DataFrame, dimensions: int = C.SVD_DIMENSIONS, features: str = "tfidf", out: str = "svd"
 ) -> DataFrame:
@@ -174,20 +244,12 @@ def svd(
 
     The singular vectors are a terms x dimensions matrix, bounded by the vocabulary.
     """
-    width = vector_width(df, features)
-    k = min(dimensions, width)
-    rows = MLUtils.convertVectorColumnsFromML(df.select(features), features)
-    factors = RowMatrix(rows).computeSVD(k, computeU=False).V.toArray()
-    basis = df.sparkSession.sparkContext.broadcast(np.ascontiguousarray(factors))
+    factors = singular_vectors(df, dimensions, features)
 
     def project(batches: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
-        matrix = basis.value
         for vectors in batches:
-            out_rows = []
-            for at, values in zip(vectors["indices"], vectors["values"], strict=True):
-                part = matrix if at is None else matrix[np.asarray(at, dtype="int64")]
-                out_rows.append(np.asarray(values, dtype="float64") @ part)
-            yield pd.Series(out_rows, dtype="object")
+            placed = [held @ factors[at] for at, held in _rows(vectors)]
+            yield pd.Series(placed, dtype="object")
 
     project.__annotations__ = {"batches": Iterator[pd.DataFrame], "return": Iterator[pd.Series]}
     coordinates = F.pandas_udf(project, T.ArrayType(T.DoubleType()))

@@ -95,24 +95,24 @@ def global_index(df: DataFrame, order_by: Sequence[str | Column], name: str) ->
     placed = pin(
         df.repartitionByRange(*order)
         .sortWithinPartitions(*order)
-        .withColumn("_at", F.monotonically_increasing_id())
+        .withColumn("_order_at", F.monotonically_increasing_id())
     )
-    part = F.shiftright("_at", _POSITION_BITS).cast("int")
+    part = F.shiftright("_order_at", _POSITION_BITS).cast("int")
     sizes = placed.groupBy(part.alias("part")).count().orderBy("part").collect()
     if not sizes:
-        return placed.withColumn(name, F.col("_at")).drop("_at")
+        return placed.withColumn(name, F.col("_order_at")).drop("_order_at")
     starts = list(accumulate((r["count"] for r in sizes), initial=0))
     # One row per shuffle part.
     offsets = df.sparkSession.createDataFrame(
         [(r["part"], start) for r, start in zip(sizes, starts, strict=False)],
-        "_part int, _start bigint",
+        "_order_part int, _order_start bigint",
     )
-    place = F.col("_at").bitwiseAND(F.lit((1 << _POSITION_BITS) - 1))
+    place = F.col("_order_at").bitwiseAND(F.lit((1 << _POSITION_BITS) - 1))
     return (
-        placed.withColumn("_part", part)
-        .join(F.broadcast(offsets), "_part")
-        .withColumn(name, F.col("_start") + place)
-        .drop("_part", "_start", "_at")
+        placed.withColumn("_order_part", part)
+        .join(F.broadcast(offsets), "_order_part")
+        .withColumn(name, F.col("_order_start") + place)
+        .drop("_order_part", "_order_start", "_order_at")
     )
 
 

@@ -28,10 +28,19 @@ from facetloom.schemas import SCORES
 Model = Callable[[list[str]], Sequence[Any]]
 
 
+_HEX = "0123456789abcdef"
+_SYMBOLS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+
+
+def _digest_bucket(digest: Column, buckets: int) -> Column:
+    high = F.position(F.substring(digest, 1, 1), F.lit(_HEX)) - 1
+    low = F.position(F.substring(digest, 2, 1), F.lit(_HEX)) - 1
+    return (high * 16 + low) % F.lit(buckets)
+
+
 def hashed_bucket(word: Column, buckets: int) -> Column:
-    """A number from 0 to ``buckets`` - 1 from the first 32 bits of the word's MD5."""
-    prefix = F.conv(F.substring(F.md5(word), 1, 8), 16, 10).cast("bigint")
-    return (prefix % F.lit(buckets)).cast("int")
+    """A number from 0 to ``buckets`` - 1 from the first byte of the word's MD5."""
+    return _digest_bucket(F.md5(word), buckets)
 
 
 @dataclass(frozen=True)
@@ -39,23 +48,35 @@ class HashScorer:
     """Each word votes for the label its hash falls on; score = votes / words.
 
     A deterministic stand-in for a model that needs no table: all work stays in the row.
+    The votes of a text are one string with a letter per word, in which each label counts
+    its letter. Labels without a vote are left out.
     """
 
     labels: Sequence[str] = C.EMOTION_LABELS
 
     def score(self, df: DataFrame, text: Column, out: str) -> DataFrame:
-        names = F.array(*[F.lit(label) for label in self.labels])
-        votes = F.transform(X.tokens(text), lambda w: hashed_bucket(w, len(self.labels)))
-        voted = df.withColumn("_votes", votes)
-        found = F.sort_array(F.array_distinct("_votes"))
-        scores = F.transform(
-            found,
-            lambda i: F.struct(
-                F.get(names, i).alias("label"),
-                (F.size(F.filter("_votes", lambda v: v == i)) / F.size("_votes")).alias("score"),
-            ),
+        size = len(self.labels)
+        if size > len(_SYMBOLS):
+            raise ValueError(f"at most {len(_SYMBOLS)} labels")
+        symbol = lambda digest: F.substring(
+            F.lit(_SYMBOLS), _digest_bucket(digest, size) + 1, F.lit(1)
+        )
+        digests = F.transform(X.tokens(text), lambda word: F.md5(word))
+        voted = df.withColumn("_votes", F.array_join(F.transform(digests, symbol), ""))
+        words = F.nullif(F.length("_votes"), F.lit(0))
+        entries = F.array(
+            *[
+                F.struct(
+                    F.lit(label).alias("label"),
+                    (
+                        (words - F.length(F.replace("_votes", F.lit(_SYMBOLS[i]), F.lit(""))))
+                        / words
+                    ).alias("score"),
+                )
+                for i, label in enumerate(self.labels)
+            ]
         )
-        return voted.withColumn(out, scores).drop("_votes")
+        return voted.withColumn(out, F.filter(entries, lambda e: e["score"] > 0)).drop("_votes")
 
 
 @dataclass(frozen=True)

@@ -53,19 +53,18 @@ def term_stats(df: DataFrame, text: str, ngrams: tuple[int, int] = (1, 2)) -> Da
     )
 
 
-@F.pandas_udf(T.ArrayType(T.StructType([
-    T.StructField("at", T.IntegerType()), T.StructField("weight", T.DoubleType()),
-])))
-def vector_entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
-    """The stored entries of a sparse vector."""
+@F.pandas_udf(
+    T.StructType(
+        [
+            T.StructField("at", T.ArrayType(T.IntegerType())),
+            T.StructField("weight", T.ArrayType(T.DoubleType())),
+        ]
+    )
+)
+def sparse_parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Positions and weights stored in a sparse vector, passed on as they are."""
     for vectors in batches:
-        yield pd.Series(
-            [
-                [{"at": int(i), "weight": float(v)} for i, v in zip(at, values, strict=True)]
-                for at, values in zip(vectors["indices"], vectors["values"], strict=True)
-            ],
-            dtype="object",
-        )
+        yield pd.DataFrame({"at": vectors["indices"], "weight": vectors["values"]})
 
 
 @dataclass(frozen=True)
@@ -98,9 +97,10 @@ class TfidfModel:
 
     def long(self, df: DataFrame, row_id: str) -> DataFrame:
         """``row_id, term, weight`` of the stored entries."""
-        entries = self.transform(df.select(row_id, self.text)).select(
-            row_id, F.inline(vector_entries("tfidf"))
+        stored = self.transform(df.select(row_id, self.text)).select(
+            row_id, sparse_parts("tfidf").alias("s")
         )
+        entries = stored.select(row_id, F.inline(F.arrays_zip("s.at", "s.weight")))
         return entries.join(F.broadcast(self.terms_table(df)), "at").select(
             row_id, "term", "weight"
         )

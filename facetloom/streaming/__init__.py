@@ -1,0 +1,5 @@
+"""No streaming operators: every job runs once over finite files.
+
+The column expressions, the hash scorer, the gate and the masking flag are per-row
+expressions, so they also work on a streaming DataFrame as they are.
+"""
