@@ -31,6 +31,15 @@ def ensure_columns(df: DataFrame, schema: T.StructType) -> DataFrame:
     )
 
 
+def with_settled(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a costly column that is computed once per row.
+
+    As the output of a generator over one element, its expression is not copied into
+    filters and projections that come later.
+    """
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 def select_categoricals(
     df: DataFrame,
     cluster: str = "cluster",

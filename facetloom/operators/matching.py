@@ -21,7 +21,9 @@ from facetloom.operators.scoring import Model, _model_column
 TIE_DIGITS = 12
 BROADCAST_QUERIES = 4096
 QUERY_BLOCK = 4096
-ROW_BLOCK = 16384
+ROW_BLOCK = 32768
+PAIR_BLOCK = 1 << 21
+_NO_ROW = np.iinfo("int64").max
 
 _FOUND = "query_id bigint, row_id bigint, similarity double"
 
@@ -35,15 +37,22 @@ class _Best:
         self.rows = np.empty((len(ids), 0), dtype="int64")
 
     def add(self, rows: np.ndarray, vectors: np.ndarray) -> None:
-        for at in range(0, len(rows), ROW_BLOCK):
-            part = slice(at, at + ROW_BLOCK)
+        step = max(256, PAIR_BLOCK // max(1, len(self.ids)))
+        for at in range(0, len(rows), step):
+            part = slice(at, at + step)
             near = np.round(self.vectors @ vectors[part].T, TIE_DIGITS)
-            ids = np.broadcast_to(rows[part], near.shape)
             near = np.concatenate([self.similarity, near], axis=1)
-            ids = np.concatenate([self.rows, ids], axis=1)
-            order = np.lexsort((ids, -near), axis=1)[:, : self.k]
-            self.similarity = np.take_along_axis(near, order, axis=1)
-            self.rows = np.take_along_axis(ids, order, axis=1)
+            ids = np.concatenate(
+                [self.rows, np.broadcast_to(rows[part], (len(self.ids), len(rows[part])))], axis=1
+            )
+            picked = []
+            for _ in range(min(self.k, near.shape[1])):
+                top = near.max(axis=1, keepdims=True)
+                row = np.where(near == top, ids, _NO_ROW).min(axis=1, keepdims=True)
+                picked.append((top, row))
+                near[(near == top) & (ids == row)] = -np.inf
+            self.similarity = np.concatenate([top for top, _ in picked], axis=1)
+            self.rows = np.concatenate([row for _, row in picked], axis=1)
 
     def table(self) -> pd.DataFrame:
         return pd.DataFrame(

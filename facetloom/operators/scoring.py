@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from facetloom import constants as C
 from facetloom.functions import labels as L
 from facetloom.functions import text as X
+from facetloom.operators.columns import with_settled
 from facetloom.operators.lookups import lookup
 from facetloom.operators.ordering import row_range
 from facetloom.schemas import SCORES
@@ -197,9 +198,8 @@ def score_emotions(
     df: DataFrame, text: str, scorer: Scorer, slots: int = C.EMOTION_SLOTS, missing: str = ""
 ) -> DataFrame:
     """Add ``top_emotion, emotion_conf, emotion_sentiment`` and the best slots."""
-    ranked = score_labels(df, text, scorer, "_scores", missing).withColumn(
-        "_ranked", L.top_k_labels(F.col("_scores"), slots)
-    )
+    scored = score_labels(df, text, scorer, "_scores", missing)
+    ranked = with_settled(scored, "_ranked", L.top_k_labels(F.col("_scores"), slots))
     best = F.get("_ranked", F.lit(0))
     return ranked.select(
         *df.columns,
@@ -226,9 +226,9 @@ def score_sentiment(
         source = "_cut"
         words = F.split(F.col(text), r"\s+")
         work = df.withColumn("_cut", F.array_join(F.slice(words, 1, max_tokens), " "))
-    ranked = score_labels(work, source, scorer, "_scores", missing).withColumn(
-        "_best", F.get(L.top_k_labels(F.col("_scores"), 1), F.lit(0))
-    )
+    scored = score_labels(work, source, scorer, "_scores", missing)
+    best = F.get(L.top_k_labels(F.col("_scores"), 1), F.lit(0))
+    ranked = with_settled(scored, "_best", best)
     return ranked.select(
         *df.columns,
         L.map_sentiment_label(F.col("_best")["label"]).alias("reddit_sentiment"),
