@@ -428,12 +428,19 @@ def high_conf_attributes(spark: SparkSession, sf: str) -> DataFrame:
 
 def index_rows(spark: SparkSession, sf: str) -> DataFrame:
     """Index rows with the attributes of the document of the same number."""
-    docs = documents(spark, sf, "lang", "source").withColumnRenamed("source", "job")
-    scored = sure_slots(scoring.score_emotions(docs, "text", scoring.HashScorer()))
+    docs = table(spark, sf, "documents").select(
+        F.col("doc_id").alias("row_id"), "text", "lang", F.col("source").alias("job")
+    )
+    rows = spread(asked_and_held(spark, sf)[1].join(docs, "row_id"), "row_id")
+    scored = sure_slots(scoring.score_emotions(rows, "text", scoring.HashScorer()))
     slots = [f"emo{i}_{part}" for i in range(1, 6) for part in ("label", "conf")]
-    held = asked_and_held(spark, sf)[1]
-    return held.join(
-        scored.select(F.col("doc_id").alias("row_id"), "text", "lang", "job", *slots), "row_id"
+    path = scratch(spark, "rows")
+    index.write_persona_index(
+        index.build_index(scored.select("row_id", "persona_id", "vector", "text", "lang", "job", *slots)),
+        path,
+    )
+    return index.read_persona_index(spark, path).select(
+        "row_id", "persona_id", "vector", "text", "lang", "job", *slots
     )
 
 

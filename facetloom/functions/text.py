@@ -19,6 +19,11 @@ WHITESPACE = "".join(
 TOKEN_PATTERN = r"[\p{L}\p{N}_]{2,}"
 
 
+def sql_text(value: str) -> str:
+    """A string literal of Spark SQL."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def strip(text: Column) -> Column:
     """Remove white space of any script from both ends."""
     return F.trim(text, F.lit(WHITESPACE))

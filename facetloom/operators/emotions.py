@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from facetloom.functions.text import strip
+from facetloom.functions.text import sql_text, strip
 
 MAX_LABELS = 1000
 
@@ -66,14 +66,29 @@ def emotion_wide(df: DataFrame, labels: Sequence[str] | None = None) -> DataFram
     slots = emotion_slots(df)
     names = emotion_labels(df) if labels is None else list(labels)
 
+    if not slots:
+        return df
+    clean = df.select(
+        "*",
+        *[
+            column
+            for i, (label, conf) in enumerate(slots)
+            for column in (
+                strip(F.col(label)).alias(f"_label{i}"),
+                F.col(conf).try_cast("double").alias(f"_conf{i}"),
+            )
+        ],
+    )
+
     def best(label: str) -> Column:
         hits = [
-            F.when(strip(F.col(lc)) == label, F.col(cc).try_cast("double")) for lc, cc in slots
+            f"CASE WHEN _label{i} = {sql_text(label)} THEN _conf{i} END" for i in range(len(slots))
         ]
-        top = F.greatest(*hits) if len(hits) > 1 else hits[0]
-        return F.coalesce(top, F.lit(0.0)).alias(f"emotion_{label}")
+        # The added null lets one slot be compared like many.
+        return F.expr(f"coalesce(greatest({', '.join(hits)}, NULL), 0D)")
 
-    return df.select("*", *[best(label) for label in names]) if slots else df
+    found = [best(label).alias(f"emotion_{label}") for label in names]
+    return clean.select(*df.columns, *found)
 
 
 def emotion_columns(df: DataFrame) -> list[str]:

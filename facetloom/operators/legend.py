@@ -11,36 +11,22 @@ from facetloom.operators.profiles import cluster_sizes
 from facetloom.palette import CLUSTER_PALETTE, NAMED_COLORS, NOISE_COLOR
 
 
-def _channel(code: Column, channel: int) -> Column:
-    return F.conv(F.substring(code, 2 * channel + 1, 2), 16, 10).cast("int")
+def _rgb(code: str) -> str:
+    red, green, blue = (int(code[i : i + 2], 16) for i in (0, 2, 4))
+    return f"named_struct('r', {red}, 'g', {green}, 'b', {blue})"
 
 
-def nearest_color_name(code: Column) -> Column:
-    """The named colour closest in RGB to a hex code; the first of equals in name order."""
-    names = F.array(
-        *[
-            F.struct(
-                F.lit(i).alias("at"),
-                F.lit(name).alias("name"),
-                *[F.lit(int(hexa[2 * c : 2 * c + 2], 16)).alias("rgb"[c]) for c in range(3)],
-            )
-            for i, (name, hexa) in enumerate(NAMED_COLORS)
-        ]
+def nearest_color_name(color: str) -> Column:
+    """The named colour closest to an RGB struct column; the first of equals in name order."""
+    names = ", ".join(
+        f"named_struct('at', {i}, 'name', '{name}', 'c', {_rgb(code)})"
+        for i, (name, code) in enumerate(NAMED_COLORS)
     )
-    red, green, blue = (_channel(code, c) for c in range(3))
-    measured = F.transform(
-        names,
-        lambda n: F.struct(
-            (
-                (n["r"] - red) * (n["r"] - red)
-                + (n["g"] - green) * (n["g"] - green)
-                + (n["b"] - blue) * (n["b"] - blue)
-            ).alias("distance"),
-            n["at"].alias("at"),
-            n["name"].alias("name"),
-        ),
+    gap = " + ".join(f"(n.c.{p} - {color}.{p}) * (n.c.{p} - {color}.{p})" for p in "rgb")
+    return F.expr(
+        f"array_min(transform(array({names}), n -> named_struct('gap', {gap}, 'at', n.at,"
+        " 'name', n.name))).name"
     )
-    return F.array_min(measured)["name"]
 
 
 def cluster_legend(df: DataFrame, cluster: str = "cluster") -> DataFrame:
@@ -52,11 +38,11 @@ def cluster_legend(df: DataFrame, cluster: str = "cluster") -> DataFrame:
     noise = F.col(cluster) == -1
     # Noise sorts last, so it uses up no colour.
     placed = global_index(sizes, [noise.cast("int"), F.col(cluster)], "_at")
-    palette = F.array(*[F.lit(code) for code in CLUSTER_PALETTE])
+    palette = F.expr(f"array({', '.join(_rgb(code) for code in CLUSTER_PALETTE)})")
     turn = (F.col("_at") % F.lit(len(CLUSTER_PALETTE))).cast("int")
-    code = F.when(noise, F.lit(NOISE_COLOR)).otherwise(F.get(palette, turn))
-    colored = placed.withColumn("_code", code)
-    return colored.select(cluster, "count", nearest_color_name(F.col("_code")).alias("color_name"))
+    color = F.when(noise, F.expr(_rgb(NOISE_COLOR))).otherwise(F.get(palette, turn))
+    colored = placed.withColumn("_color", color)
+    return colored.select(cluster, "count", nearest_color_name("_color").alias("color_name"))
 
 
 def add_cluster_colors(

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from facetloom.session import pin
+
 BROADCAST_ROWS = 500_000
 BROADCAST_BYTES = 64 * 1024 * 1024
 HOT_SHARE = 1 / 64
@@ -37,15 +39,18 @@ def lookup(
     how: str = "left",
     spread_by: Sequence[str] | None = None,
     max_rows: int = BROADCAST_ROWS,
+    pinned: bool = False,
 ) -> DataFrame:
     """Join ``df`` to ``table`` on equal keys.
 
     A table that passes the size check is broadcast: no shuffle, no skew. A larger one
     is joined by shuffle, and keys that hold more than 1/64 of the rows of ``df`` are
     salted: their rows are spread over 64 parts by ``spread_by`` (a row id), and only
-    their rows in ``table`` are repeated.
+    their rows in ``table`` are repeated. ``pinned`` writes a table that is costly to
+    compute once, before its size is checked.
     """
     keys = list(on)
+    table = pin(table) if pinned else table
     if fits_broadcast(table, max_rows):
         return df.join(F.broadcast(table), keys, how)
     if spread_by is None:

@@ -16,6 +16,7 @@ from facetloom.functions.labels import high_conf_emotions
 from facetloom.functions.numeric import clamp01
 from facetloom.operators.lookups import fits_broadcast, lookup
 from facetloom.operators.scoring import Model, _model_column
+from facetloom.session import pin
 
 # Similarities equal to this many decimals are ties, whatever order they were summed in.
 TIE_DIGITS = 12
@@ -146,6 +147,7 @@ def match(
     asked = queries.select(
         F.col("query_id").cast("bigint").alias("query_id"), "persona_id", "vector"
     ).where(F.col("persona_id").isNotNull() & F.col("vector").isNotNull())
+    asked = pin(asked)
     held = index.select(
         F.col("row_id").cast("bigint").alias("row_id"), "persona_id", "vector"
     ).where(F.col("vector").isNotNull())
@@ -182,7 +184,8 @@ def with_card_traits(df: DataFrame, cards: DataFrame, persona: str = "persona_id
         F.col("avg_sentiment_score").alias("_sentiment"),
         F.lit(True).alias("_known"),
     )
-    joined = lookup(df.withColumn("_card_id", F.col(persona).cast("string")), known, ["_card_id"])
+    keyed = df.withColumn("_card_id", F.col(persona).cast("string"))
+    joined = lookup(keyed, known, ["_card_id"], pinned=True)
     traits = P.persona_traits(
         F.col(persona),
         F.coalesce(F.col("_known"), F.lit(False)),

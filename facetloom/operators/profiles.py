@@ -206,7 +206,7 @@ def value_profiles(
     by_row = cells.groupBy("feature", "cluster").agg(F.sum("n").alias("row_n"))
     values = cells.select("feature", "value").distinct()
     # The result itself is values x clusters; the cluster side is small or salted.
-    grid = lookup(values, by_row, ["feature"], "inner", spread_by=["value"])
+    grid = lookup(values, by_row, ["feature"], "inner", spread_by=["value"], pinned=True)
     share = F.coalesce(F.col("n"), F.lit(0)) / F.col("row_n") * F.lit(100.0)
     return grid.join(cells, ["feature", "cluster", "value"], "left").select(
         "cluster", "feature", "value", round_half_even(share, 2).alias("pct")
@@ -253,7 +253,7 @@ def exact_medians(df: DataFrame, columns: Sequence[str], cluster: str = "cluster
     )
     zone = F.when(F.col("x") < F.col("low"), -1).when(F.col("x") > F.col("high"), 1).otherwise(0)
     counted = (
-        lookup(long, brackets, groups, "inner", spread_by=["x"])
+        lookup(long, brackets, groups, "inner", spread_by=["x"], pinned=True)
         .select(*groups, "rows", zone.alias("zone"), F.when(zone == 0, F.col("x")).alias("x"))
         .groupBy(*groups, "zone", "x")
         .agg(F.count(F.lit(1)).alias("n"), F.first("rows").alias("rows"))

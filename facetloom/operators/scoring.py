@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from facetloom import constants as C
 from facetloom.functions import labels as L
 from facetloom.functions import text as X
+from facetloom.functions.text import sql_text
 from facetloom.operators.columns import with_settled
 from facetloom.operators.lookups import lookup
 from facetloom.operators.ordering import row_range
@@ -64,20 +65,13 @@ class HashScorer:
         )
         digests = F.transform(X.tokens(text), lambda word: F.md5(word))
         voted = df.withColumn("_votes", F.array_join(F.transform(digests, symbol), ""))
-        words = F.nullif(F.length("_votes"), F.lit(0))
-        entries = F.array(
-            *[
-                F.struct(
-                    F.lit(label).alias("label"),
-                    (
-                        (words - F.length(F.replace("_votes", F.lit(_SYMBOLS[i]), F.lit(""))))
-                        / words
-                    ).alias("score"),
-                )
-                for i, label in enumerate(self.labels)
-            ]
+        entries = ", ".join(
+            f"struct({sql_text(label)} AS label, (length(_votes) - length(replace(_votes,"
+            f" '{_SYMBOLS[i]}', ''))) / nullif(length(_votes), 0) AS score)"
+            for i, label in enumerate(self.labels)
         )
-        return voted.withColumn(out, F.filter(entries, lambda e: e["score"] > 0)).drop("_votes")
+        scores = F.expr(f"filter(array({entries}), e -> e.score > 0)")
+        return voted.withColumn(out, scores).drop("_votes")
 
 
 @dataclass(frozen=True)
@@ -104,6 +98,7 @@ class LexiconScorer:
             ["term"],
             "inner",
             spread_by=[self.row_id, "_pos"],
+            pinned=True,
         )
         per_label = hits.groupBy(self.row_id, "label").agg(
             (F.sum("weight") / F.first("_count")).alias("score")

@@ -11,12 +11,15 @@ from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normali
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.storagelevel import StorageLevel
 
 from facetloom import constants as C
 from facetloom.functions import text as X
+from facetloom.functions.text import sql_text
+from facetloom.operators.columns import with_settled
 
 
 def with_terms(df: DataFrame, text: str, ngrams: tuple[int, int] = (1, 2)) -> DataFrame:
@@ -24,7 +27,7 @@ def with_terms(df: DataFrame, text: str, ngrams: tuple[int, int] = (1, 2)) -> Da
     low, high = ngrams
     if not 1 <= low <= high <= 2:
         raise ValueError("ngrams must lie between 1 and 2")
-    worded = df.withColumn("_words", X.tokens(F.coalesce(F.col(text), F.lit(""))))
+    worded = with_settled(df, "_words", X.tokens(F.coalesce(F.col(text), F.lit(""))))
     words, pairs = F.col("_words"), X.bigrams(F.col("_words"))
     terms = words if high == 1 else pairs if low == 2 else F.concat(words, pairs)
     return worded.withColumn("_terms", terms).drop("_words")
@@ -36,7 +39,10 @@ def term_stats(df: DataFrame, text: str, ngrams: tuple[int, int] = (1, 2)) -> Da
     One pass: each occurrence and each first occurrence in a row is a small record that
     is summed before the shuffle, so frequent terms cost one record per task.
     """
-    terms = with_terms(df, text, ngrams).select("_terms")
+    return _count_terms(with_terms(df, text, ngrams).select("_terms"))
+
+
+def _count_terms(terms: DataFrame) -> DataFrame:
     marks = F.concat(
         F.transform(
             "_terms", lambda t: F.struct(t.alias("term"), F.lit(1).alias("o"), F.lit(0).alias("d"))
@@ -53,6 +59,26 @@ def term_stats(df: DataFrame, text: str, ngrams: tuple[int, int] = (1, 2)) -> Da
     )
 
 
+def _frequent_pairs(df: DataFrame, text: str, words: list[str]) -> DataFrame:
+    """``_terms``: the word pairs of each row of which both words are in ``words``."""
+    listed = ", ".join(sql_text(w) for w in words)
+    kept = F.expr(f"transform(_words, w -> CASE WHEN w IN ({listed}) THEN w END)")
+    worded = df.select(X.tokens(F.coalesce(F.col(text), F.lit(""))).alias("_words"))
+    known = with_settled(worded, "_kept", kept)
+    count = F.greatest(F.size("_kept") - 1, F.lit(0))
+    pairs = F.zip_with(
+        F.slice("_kept", F.lit(1), count),
+        F.slice("_kept", F.lit(2), count),
+        lambda left, right: F.concat(left, F.lit(" "), right),
+    )
+    return with_settled(known.select(pairs.alias("_pairs")), "_terms", F.array_compact("_pairs"))
+
+
+def _top(stats: DataFrame, size: int, min_df: int) -> list[Row]:
+    best = stats.where(F.col("df") >= min_df).orderBy(F.desc("tf"), "term").limit(size)
+    return best.collect()
+
+
 @F.pandas_udf(
     T.StructType(
         [
@@ -116,15 +142,36 @@ def fit_tfidf(
     """Learn the vocabulary: the most frequent terms in at least ``min_df`` documents.
 
     Equal counts go by term. Only the vocabulary comes to the driver.
+
+    A pair occurs no more often than either of its words. So once the words alone fill
+    the vocabulary, a pair with a word below the least frequent of them cannot get in,
+    and only the pairs of frequent words have to be counted.
     """
     documents = df.count()
-    rows = (
-        term_stats(df, text, ngrams)
-        .where(F.col("df") >= min_df)
-        .orderBy(F.desc("tf"), "term")
-        .limit(max_features)
-        .collect()
-    )
+    if ngrams == (1, 2):
+        singles = term_stats(df, text, (1, 1)).where(F.col("df") >= min_df)
+        singles = singles.persist(StorageLevel.MEMORY_AND_DISK)
+        rows = _top(singles, max_features, min_df)
+        full = len(rows) == max_features
+        least = rows[-1]["tf"] if full else 0
+        # Words as frequent as the last one may be cut off above; with more of them than
+        # the limit nothing is pruned.
+        ties = (
+            [r["term"] for r in singles.where(F.col("tf") == least).limit(max_features + 1).collect()]
+            if full
+            else []
+        )
+        if full and len(ties) <= max_features:
+            frequent = sorted({r["term"] for r in rows} | set(ties))
+            pairs = _count_terms(_frequent_pairs(df, text, frequent))
+            found = _top(pairs.where(F.col("tf") >= least), max_features, min_df)
+        else:
+            found = _top(term_stats(df, text, (2, 2)), max_features, min_df)
+        singles.unpersist()
+        merged = sorted([*rows, *found], key=lambda r: (-r["tf"], r["term"]))
+        rows = merged[:max_features]
+    else:
+        rows = _top(term_stats(df, text, ngrams), max_features, min_df)
     if not rows:
         raise ValueError("no terms left for the vocabulary")
     vocabulary = sorted((r["term"], r["df"]) for r in rows)
