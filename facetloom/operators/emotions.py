@@ -88,7 +88,8 @@ def emotion_wide(df: DataFrame, labels: Sequence[str] | None = None) -> DataFram
         return F.expr(f"coalesce(greatest({', '.join(hits)}, NULL), 0D)")
 
     found = [best(label).alias(f"emotion_{label}") for label in names]
-    return clean.select(*df.columns, *found)
+    added = {f"emotion_{label}" for label in names}
+    return clean.select(*[c for c in df.columns if c not in added], *found)
 
 
 def emotion_columns(df: DataFrame) -> list[str]:
