@@ -217,14 +217,20 @@ legend AS (
   QUALIFY row_number() OVER (PARTITION BY cluster ORDER BY
     {' + '.join(f"({_hex('target', a)} - {_hex('code', a)}) ^ 2" for a in (1, 3, 5))}, pos) = 1)"""
 
-_NEAR = """
+
+
+def _near(source: str) -> str:
+    return f"""
 pairs AS (
   SELECT q.vec_id AS query_id, i.label AS persona_id, i.vec_id AS row_id,
     round(list_dot_product(q.embedding::DOUBLE[], i.embedding::DOUBLE[]), 12) AS similarity
-  FROM embeddings q JOIN embeddings i ON i.label = (q.label + 1) % 10),
+  FROM {source} q JOIN {source} i ON i.label = (q.label + 1) % 10),
 near AS (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, row_id)::INT AS rank FROM pairs)"""
 
+
+_NEAR = _near("embeddings")
+
 _NEAREST = f"WITH {_NEAR} SELECT query_id, persona_id, row_id, round(similarity, 6) AS similarity, rank FROM near"
 
 _SLOT_NAMES = [(f"emo{i}_label", f"emo{i}_conf") for i in range(1, 6)]
@@ -259,7 +265,9 @@ _ATTRIBUTES = ", ".join(
 )
 
 PROMPTS = rf"""
-WITH {EMO}, {SLOT_TABLE}, {_NEAR},
+WITH {EMO}, {SLOT_TABLE},
+written AS (SELECT * FROM embeddings WHERE vec_id IN (SELECT doc_id FROM documents)),
+{_near('written')},
 held AS (
   SELECT e.vec_id AS row_id, e.label AS persona_id, d.text, d.lang, d.source AS job, {_ROUNDED_SLOTS}
   FROM embeddings e JOIN documents d ON d.doc_id = e.vec_id LEFT JOIN slots USING (doc_id)),

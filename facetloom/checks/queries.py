@@ -18,7 +18,7 @@ from facetloom.operators import cards as cards_ops
 from facetloom.operators import clustering, columns, emotions, features, legend, matching
 from facetloom.operators import ordering, profiles, ranking, scoring, terms
 from facetloom.plans import enrichment
-from facetloom.session import ensure_checkpoint_dir
+from facetloom.session import ensure_checkpoint_dir, pin
 from facetloom.sources import blogs, index, tables
 from facetloom.sources import cards as card_files
 
@@ -436,8 +436,7 @@ def index_rows(spark: SparkSession, sf: str) -> DataFrame:
     slots = [f"emo{i}_{part}" for i in range(1, 6) for part in ("label", "conf")]
     path = scratch(spark, "rows")
     index.write_persona_index(
-        index.build_index(scored.select("row_id", "persona_id", "vector", "text", "lang", "job", *slots)),
-        path,
+        scored.select("row_id", "persona_id", "vector", "text", "lang", "job", *slots), path
     )
     return index.read_persona_index(spark, path).select(
         "row_id", "persona_id", "vector", "text", "lang", "job", *slots
@@ -500,7 +499,7 @@ def persona_index(spark: SparkSession, sf: str) -> DataFrame:
 
 def cards_json(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch(spark, "cards")
-    docs = scored_documents(spark, sf, "lang", "source").withColumnRenamed("source", "job")
+    docs = pin(scored_documents(spark, sf, "lang", "source").withColumnRenamed("source", "job"))
     made = cards_ops.persona_cards(docs, terms.fit_tfidf(docs, "text"), "lang", "doc_id")
     card_files.write_cards(cards_ops.run_summary(made, "documents", 0.5, group="lang"), path)
     back = card_files.read_cards(spark, path)
@@ -529,7 +528,7 @@ def hashed_embeddings(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def feature_blocks(spark: SparkSession, sf: str) -> DataFrame:
-    docs = scored_documents(spark, sf, "lang", "source").withColumnRenamed("source", "job")
+    docs = pin(scored_documents(spark, sf, "lang", "source").withColumnRenamed("source", "job"))
     encoder = scoring.fit_text_encoder(docs, "text", 64)
     blocks = features.feature_blocks(scoring.embed(docs, "text", encoder), "vector")
     return blocks.select("doc_id", vector_to_array("features").alias("features"))
@@ -552,7 +551,7 @@ def svd_features(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def persona_features(spark: SparkSession, sf: str) -> DataFrame:
-    docs = scored_documents(spark, sf, "lang", "source").withColumnRenamed("source", "job")
+    docs = pin(scored_documents(spark, sf, "lang", "source").withColumnRenamed("source", "job"))
     ready, _ = features.persona_features(docs)
     return ready.select("doc_id", vector_to_array("features").alias("features"))
 

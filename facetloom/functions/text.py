@@ -31,10 +31,8 @@ def strip(text: Column) -> Column:
 
 def parse_year(date: Column) -> Column:
     """Year of a ``23,November,2002`` date, null where it is no date."""
-    clean = strip(date)
-    shaped = clean.rlike(r"^[0-9]{1,2},\p{L}+,[0-9]{4}$")
-    year = F.year(F.try_to_timestamp(F.when(shaped, clean), F.lit("d,MMMM,yyyy")))
-    return F.when(year > 0, year)
+    shaped = F.regexp_extract(strip(date), r"^[0-9]{1,2},\p{L}+,(?!0000)[0-9]{4}$", 0)
+    return F.year(F.try_to_timestamp(shaped, F.lit("d,MMMM,yyyy")))
 
 
 def birth_year(date: Column, age: Column | None = None) -> Column:

@@ -107,7 +107,6 @@ def density_clusters(
     min_size: int = C.DENSITY_MIN_SIZE,
     out: str = "cluster",
     spread_by: Sequence[str] = (),
-    checkpoint_every: int = 4,
 ) -> DataFrame:
     """Add density clusters over a few coordinates, such as ``x2d, y2d``; noise is -1.
 
@@ -157,9 +156,8 @@ def density_clusters(
         .join(dense.withColumnRenamed("cell", "source"), "source")
     )
     label = dense.withColumn("label", F.col("cell"))
-    rounds = 0
     while True:
-        lowest = (
+        lowest = pin(
             edges.join(label.withColumnRenamed("cell", "source"), "source")
             .groupBy("cell")
             .agg(F.min("label").alias("label"))
@@ -168,21 +166,16 @@ def density_clusters(
         jumped = lowest.alias("a").join(
             lowest.select(F.col("cell").alias("label"), F.col("label").alias("further")), "label"
         )
-        following = jumped.select("cell", F.least("label", "further").alias("label"))
-        rounds += 1
-        if rounds % checkpoint_every == 0:
-            following = pin(following)
-            changed = (
-                following.alias("n")
-                .join(label.alias("o"), "cell")
-                .where(F.col("n.label") != F.col("o.label"))
-            )
-            done = changed.isEmpty()
-            label = following
-            if done:
-                break
-        else:
-            label = following
+        following = pin(jumped.select("cell", F.least("label", "further").alias("label")))
+        changed = (
+            following.alias("n")
+            .join(label.alias("o"), "cell")
+            .where(F.col("n.label") != F.col("o.label"))
+        )
+        settled = changed.isEmpty()
+        label = following
+        if settled:
+            break
     border = (
         links.select("source", "cell")
         .join(label.select(F.col("cell").alias("source"), "label"), "source")

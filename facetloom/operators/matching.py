@@ -221,16 +221,22 @@ def match_records(
     )
     emotion_kind = "array<struct<label: string, confidence: double>>"
     sure = high_conf_emotions(min_confidence) if slots else F.array().cast(emotion_kind)
-    described = index.select(
-        "row_id",
+    # The few matches are joined to the index, and only matched rows are described.
+    found = near.select(
+        "row_id", "persona_id", *[F.col(c).alias(f"_{c}") for c in ("query_id", "similarity", "used_attributes")]
+    )
+    matched = lookup(index.select(*attributes), found, ["row_id", "persona_id"], "inner", pinned=True)
+    described = matched.select(
+        F.col("_query_id").alias("query_id"),
         "persona_id",
+        "row_id",
+        F.col("_similarity").alias("similarity"),
+        F.col("_used_attributes").alias("used_attributes"),
         P.attributes_json(attributes, text, min_confidence).alias("_attributes"),
         sure.alias("_sure"),
     )
-    matched = described.join(near.drop("rank"), ["row_id", "persona_id"]).join(
-        queries.select("query_id", F.col(text).alias("_asked")), "query_id"
-    )
-    shown = with_card_traits(matched, cards)
+    asked = queries.select("query_id", F.col(text).alias("_asked"))
+    shown = with_card_traits(described.join(asked, "query_id"), cards)
     used = F.col("used_attributes")
     gated = shown.withColumn("attributes_sent", F.when(used, F.col("_attributes"))).withColumn(
         "high_conf_emotions_sent", F.when(used, F.col("_sure"))

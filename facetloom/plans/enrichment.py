@@ -7,7 +7,12 @@ from pyspark.sql import functions as F
 
 from facetloom import constants as C
 from facetloom.functions.text import birth_year, generation_flag
-from facetloom.operators.columns import add_masking, confidence_gate, require_columns
+from facetloom.operators.columns import (
+    add_masking,
+    confidence_gate,
+    require_columns,
+    with_settled,
+)
 from facetloom.operators.scoring import Scorer, score_emotions, score_sentiment
 
 
@@ -24,9 +29,8 @@ def add_cohort(
     """
     age = None if date_is_birthdate else F.col("age") if "age" in df.columns else F.lit(None)
     year = birth_year(F.col("date"), age)
-    return df.withColumn("birth_year_est", year).withColumn(
-        "is_genz", generation_flag(F.col("birth_year_est"), start, end)
-    )
+    dated = with_settled(df, "birth_year_est", year)
+    return dated.withColumn("is_genz", generation_flag(F.col("birth_year_est"), start, end))
 
 
 def score_rows(
