@@ -11,7 +11,8 @@ from facetloom.session import pin
 
 BROADCAST_ROWS = 500_000
 BROADCAST_BYTES = 64 * 1024 * 1024
-HOT_SHARE = 1 / 64
+HOT_ROWS = 2_000_000
+HOT_KEYS = 1024
 SALTS = 64
 
 
@@ -44,9 +45,9 @@ def lookup(
     """Join ``df`` to ``table`` on equal keys.
 
     A table that passes the size check is broadcast: no shuffle, no skew. A larger one
-    is joined by shuffle, and keys that hold more than 1/64 of the rows of ``df`` are
-    salted: their rows are spread over 64 parts by ``spread_by`` (a row id), and only
-    their rows in ``table`` are repeated. ``pinned`` writes a table that is costly to
+    is joined by shuffle, and the most frequent keys of ``df`` (up to ``HOT_KEYS`` keys with
+    ``HOT_ROWS`` rows or more) are salted: their rows are spread over ``SALTS`` parts by
+    ``spread_by`` (a row id), and only their rows in ``table`` are repeated. ``pinned`` writes a table that is costly to
     compute once, before its size is checked.
     """
     keys = list(on)
@@ -56,27 +57,30 @@ def lookup(
     if spread_by is None:
         return df.join(table, keys, how)
 
-    # At most 1/HOT_SHARE keys can pass the threshold, so this list is bounded.
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    total = df.agg(F.count(F.lit(1)).alias("_n")).first()["_n"]
-    hot = [
-        tuple(r[k] for k in keys)
-        for r in counts.where(F.col("_n") > F.lit(total * HOT_SHARE)).select(*keys).collect()
-    ]
-    if not hot:
-        return df.join(table, keys, how)
+    # Keys of the many rows, the most frequent first; a shorter list would do no harm.
+    hot = (
+        df.groupBy(*keys)
+        .agg(F.count(F.lit(1)).alias("_n"))
+        .where(F.col("_n") >= HOT_ROWS)
+        .orderBy(F.desc("_n"))
+        .limit(HOT_KEYS)
+        .select(*keys, F.lit(True).alias("_hot"))
+    )
+    hot = pin(hot)
+
+    def marked(side: DataFrame) -> DataFrame:
+        return side.join(F.broadcast(hot), keys, "left")
 
-    is_hot = F.lit(False)
-    for values in hot:
-        match = F.lit(True)
-        for key, value in zip(keys, values, strict=True):
-            match = match & F.col(key).eqNullSafe(F.lit(value))
-        is_hot = is_hot | match
-    salted = df.withColumn(
-        "_salt", F.when(is_hot, F.pmod(F.xxhash64(*spread_by), F.lit(SALTS))).otherwise(F.lit(0))
+    unknown = F.lit(False)
+    for key in keys:
+        unknown = unknown | F.col(key).isNull()
+    spread = F.pmod(F.xxhash64(*spread_by), F.lit(SALTS))
+    salted = marked(df).withColumn(
+        "_salt", F.when(F.col("_hot") | unknown, spread).otherwise(F.lit(0))
     )
-    every = F.array(*[F.lit(i).cast("bigint") for i in range(SALTS)])
-    repeated = table.withColumn(
-        "_salt", F.explode(F.when(is_hot, every).otherwise(F.array(F.lit(0).cast("bigint"))))
+    every = F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))
+    repeated = marked(table).withColumn(
+        "_salt", F.explode(F.when(F.col("_hot"), every).otherwise(F.array(F.lit(0).cast("bigint"))))
     )
-    return salted.join(repeated, [*keys, "_salt"], how).drop("_salt")
+    joined = salted.drop("_hot").join(repeated.drop("_hot"), [*keys, "_salt"], how)
+    return joined.drop("_salt")

@@ -140,17 +140,20 @@ def carry_forward(
     the value is carried inside each chunk, and the last value of every chunk is carried
     over the chunks, so that no task has to hold a whole partition.
     """
-    keys = list(partition)
-    rows = df.withColumn("_value", value).withColumn(
-        "_chunk", F.floor(F.col(order) / F.lit(chunk))
+    # A struct is never null itself, so one shuffle serves the window and the join.
+    rows = df.select(
+        "*",
+        value.alias("_value"),
+        F.struct(*partition).alias("_group"),
+        F.floor(F.col(order) / F.lit(chunk)).alias("_chunk"),
     )
-    inside = Window.partitionBy(*keys, "_chunk").orderBy(order)
+    inside = Window.partitionBy("_group", "_chunk").orderBy(order)
     so_far = F.last("_value", ignorenulls=True).over(
         inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    earlier = Window.partitionBy(*keys).orderBy("_chunk")
+    earlier = Window.partitionBy("_group").orderBy("_chunk")
     ends = (
-        rows.groupBy(*keys, "_chunk")
+        rows.groupBy("_group", "_chunk")
         .agg(
             F.max_by("_value", F.when(F.col("_value").isNotNull(), F.col(order))).alias("_end")
         )
@@ -161,11 +164,7 @@ def carry_forward(
             ),
         )
     )
-    left, right = rows.withColumn("_here", so_far).alias("l"), ends.alias("r")
-    same = F.lit(True)
-    for key in [*keys, "_chunk"]:
-        same = same & F.col(f"l.{key}").eqNullSafe(F.col(f"r.{key}"))
-    return left.join(right, same, "left").select(
-        *[F.col(f"l.{c}") for c in df.columns],
-        F.coalesce("l._here", "r._before").alias(name),
+    joined = rows.withColumn("_here", so_far).join(
+        ends.select("_group", "_chunk", "_before"), ["_group", "_chunk"], "left"
     )
+    return joined.select(*df.columns, F.coalesce("_here", "_before").alias(name))

@@ -190,6 +190,13 @@ def order_tests(tests: DataFrame) -> DataFrame:
     return tests.orderBy(F.asc_nulls_last("p_value"), "feature")
 
 
+def diag_profiles(tests: DataFrame) -> DataFrame:
+    """``feature, type, p_value, effect`` of categorical tests, by p-value."""
+    return order_tests(tests).select(
+        "feature", F.lit("categorical").alias("type"), "p_value", "effect"
+    )
+
+
 def strongest_associations(tests: DataFrame, top: int = 10) -> DataFrame:
     """The ``top`` features by Cramér's V, nulls last."""
     return tests.orderBy(F.desc_nulls_last("cramers_v"), "feature").limit(top)

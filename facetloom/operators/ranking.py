@@ -128,13 +128,15 @@ def permutation_importance(
         predictionCol="_guess",
     ).fit(table)
     used = [i for i in range(width) if forest.featureImportances[i] > 0]
-    placed = global_index(
-        table.select("_id", "_label", vector_to_array(features).alias("x")), ["_id"], "at"
+    guessed = forest.transform(table).select(
+        "_id",
+        (F.col("_guess") == F.col("_label")).cast("int").alias("_right"),
+        "_label",
+        vector_to_array(features).alias("x"),
     )
+    # Pinned by the index, so the first guesses are made once.
+    placed = global_index(guessed, ["_id"], "at")
     rows = placed.count()
-    scored = placed.select("_label", array_to_vector("x").alias(features))
-    hits = F.avg((F.col("_guess") == F.col("_label")).cast("int"))
-    base = forest.transform(scored).agg(hits.alias("a")).first()["a"]
     drops = dict.fromkeys(range(width), 0.0)
     rng = random.Random(seed)
     if used and rows > 1:
@@ -143,15 +145,17 @@ def permutation_importance(
             wide = F.col("at").cast("decimal(38,0)")
             target = ((wide * F.lit(step) + F.lit(shift)) % F.lit(rows)).cast("bigint")
             donors = placed.select(target.alias("at"), F.col("x").alias("donor"))
+            # Only rows whose value changes are scored; the others keep their guess.
             swapped = (
                 placed.join(donors, "at")
                 .select(
-                    "_label", "x", "donor",
+                    "_label", "_right", "x", "donor",
                     F.explode(F.array(*[F.lit(i) for i in used])).alias("feature"),
                 )
                 .where(F.get("x", F.col("feature")) != F.get("donor", F.col("feature")))
                 .select(
                     "_label",
+                    "_right",
                     "feature",
                     array_to_vector(
                         F.transform(
@@ -161,18 +165,12 @@ def permutation_importance(
                             ).otherwise(v),
                         )
                     ).alias(features),
-                    array_to_vector("x").alias("_before"),
                 )
             )
-            # Only rows whose value changes are scored; the others keep their prediction.
-            after = forest.transform(swapped).drop("rawPrediction", "probability", features)
-            before = forest.copy({forest.predictionCol: "_old", forest.featuresCol: "_before"})
-            both = before.transform(after)
-            lost = F.sum(
-                (F.col("_old") == F.col("_label")).cast("int")
-                - (F.col("_guess") == F.col("_label")).cast("int")
-            )
-            for r in both.groupBy("feature").agg(lost.alias("lost")).collect():
+            lost = F.sum(F.col("_right") - (F.col("_guess") == F.col("_label")).cast("int"))
+            after = forest.transform(swapped).groupBy("feature").agg(lost.alias("lost"))
+            # One row per feature.
+            for r in after.collect():
                 drops[r["feature"]] += r["lost"] / rows / repeats
     scores = df.sparkSession.createDataFrame(
         [(i, names[i], float(drops[i])) for i in range(width)],

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from facetloom import constants as C
@@ -10,10 +10,15 @@ from facetloom.functions.text import birth_year, generation_flag
 from facetloom.operators.columns import (
     add_masking,
     confidence_gate,
+    quality_report,
     require_columns,
     with_settled,
 )
+from facetloom.operators.ordering import global_index, row_range
 from facetloom.operators.scoring import Scorer, score_emotions, score_sentiment
+from facetloom.session import pin
+from facetloom.sources.blogs import build_dataset
+from facetloom.sources.tables import write_dataset
 
 
 def add_cohort(
@@ -46,6 +51,35 @@ def score_rows(
     return score_sentiment(scored, text, sentiment, max_tokens)
 
 
+def enrich_blogs(
+    spark: SparkSession,
+    directory: str,
+    out: str,
+    emotions: Scorer,
+    sentiment: Scorer,
+    min_confidence: float = C.GATE_MIN_CONFIDENCE,
+    start: int | None = None,
+    end: int | None = None,
+    limit: int | None = None,
+    max_tokens: int | None = None,
+) -> DataFrame:
+    """Blog files to a published dataset with its splits; gives the quality report.
+
+    ``start, end`` or ``limit`` choose rows of each split by their place in file order.
+    """
+    lines = build_dataset(spark, directory)
+    if start is not None or end is not None or limit:
+        parts = []
+        for split in ("train", "validation"):
+            rows = lines.where(F.col("split") == split)
+            placed = global_index(rows, ["file_idx", "post_no", "line_no"], "_place")
+            parts.append(row_range(placed, start, end, "_place", limit).drop("_place"))
+        lines = parts[0].unionByName(parts[1])
+    scored = pin(score_rows(lines, emotions, sentiment, max_tokens=max_tokens))
+    write_dataset(add_masking(confidence_gate(scored, min_confidence)), out)
+    return quality_report(scored, min_confidence)
+
+
 def enrich(
     df: DataFrame,
     emotions: Scorer,

@@ -25,6 +25,8 @@ def test_golden_tests(legend):
     assert row["p_value"] == pytest.approx(0.24263868733675567, rel=1e-12)
     assert row["cramers_v"] is None
     assert row["effect"] == pytest.approx(1.0)
+    diag = P.diag_profiles(P.chi_square(legend, ["color_name"])).first()
+    assert tuple(diag)[:2] == ("color_name", "categorical")
 
 
 def test_golden_profiles(legend):

@@ -121,7 +121,8 @@ def test_carry_forward_over_chunks(spark, chunk):
 
 
 @pytest.mark.parametrize("how", ["left", "inner"])
-def test_lookup_by_broadcast_and_by_salt(spark, how):
+def test_lookup_by_broadcast_and_by_salt(spark, how, monkeypatch):
+    monkeypatch.setattr(lookups, "HOT_ROWS", 500)
     df = spark.range(3000).select(
         F.col("id"), F.when(F.col("id") % 3 > 0, 7).when(F.col("id") % 9 > 0, F.col("id")).alias("k")
     )

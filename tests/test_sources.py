@@ -3,6 +3,8 @@ import os
 
 import pytest
 
+from facetloom.operators.scoring import HashScorer
+from facetloom.plans.enrichment import enrich_blogs
 from facetloom.schemas import CLUSTER_LEGEND, CLUSTERED, ENRICHED
 from facetloom.sources import blogs, cards, index, tables
 
@@ -59,6 +61,21 @@ def test_build_dataset_splits_by_file(spark, blog_dir):
     }
 
 
+def test_enrich_blogs(spark, blog_dir, tmp_path):
+    out = str(tmp_path / "out")
+    emotions, sentiment = HashScorer(), HashScorer(("LABEL_0", "LABEL_2"))
+    report = enrich_blogs(spark, blog_dir, out, emotions, sentiment, min_confidence=0.3)
+    loaded, kept, dropped, rate = report.first()
+    lines = [line for _, line, _ in expected_lines()]
+    assert loaded == len(lines) and kept + dropped == loaded and 0 <= rate <= 1
+    saved = tables.read_dataset(spark, out).collect()
+    assert len(saved) == kept and {r["text"] for r in saved} <= set(lines)
+    assert {r["birth_year_est"] for r in saved} <= {None, 2004}
+    some = enrich_blogs(spark, blog_dir, out, emotions, sentiment, start=2, end=2)
+    # The second line of each split; the first file alone is validation.
+    assert some.first()["rows_loaded"] == 2
+
+
 def test_missing_and_empty_folders(spark, tmp_path):
     with pytest.raises(FileNotFoundError):
         blogs.read_blog_files(spark, str(tmp_path / "nowhere"))
