@@ -336,7 +336,9 @@ def persona_emotions(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def persona_base(spark: SparkSession, sf: str) -> DataFrame:
-    base = cards_ops.persona_base(scored_documents(spark, sf, "lang"), "lang")
+    docs = documents(spark, sf, "lang")
+    scored = scoring.score_sentiment(docs, "text", scoring.HashScorer(SENTIMENTS))
+    base = cards_ops.persona_base(scored, "lang")
     return rounded(base, "share", "avg_sentiment_score")
 
 

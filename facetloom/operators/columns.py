@@ -96,16 +96,21 @@ def add_masking(df: DataFrame) -> DataFrame:
     )
 
 
-def quality_report(df: DataFrame, min_confidence: float = C.GATE_MIN_CONFIDENCE) -> DataFrame:
-    """One row over scored, not yet gated rows: loaded, kept, dropped, masking rate."""
+def quality_metrics(min_confidence: float = C.GATE_MIN_CONFIDENCE) -> list[Column]:
+    """Aggregates over scored, not yet gated rows: loaded, kept, dropped, masking rate."""
     good = gate_predicate(min_confidence)
     masked = masking(F.col("emotion_sentiment"), F.col("reddit_sentiment"))
-    return df.agg(
+    return [
         F.count(F.lit(1)).alias("rows_loaded"),
         F.count_if(good).alias("rows_kept"),
         F.count_if(~good).alias("rows_dropped"),
         F.coalesce(F.avg(F.when(good, masked)), F.lit(0.0)).alias("masking_rate"),
-    )
+    ]
+
+
+def quality_report(df: DataFrame, min_confidence: float = C.GATE_MIN_CONFIDENCE) -> DataFrame:
+    """The quality metrics as one row."""
+    return df.agg(*quality_metrics(min_confidence))
 
 
 def drop_text_and_low_conf(

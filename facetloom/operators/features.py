@@ -19,7 +19,6 @@ from pyspark.ml.feature import (
 )
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import Vectors
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -198,16 +197,19 @@ def _gram_times(rows: DataFrame, features: str, matrix: np.ndarray) -> np.ndarra
                 total[at] += np.outer(held, held @ matrix[at])
                 seen[at] = True
         found = np.flatnonzero(seen)
-        yield pd.DataFrame({"at": found.astype("int32"), "part": list(total[found])})
+        part = pd.DataFrame(total[found], columns=names)
+        part.insert(0, "at", found.astype("int32"))
+        yield part
 
-    parts = rows.select(f"{features}.*").mapInPandas(sums, "at int, part array<double>")
-    summed = parts.groupBy("at").agg(
-        vector_to_array(Summarizer.sum(array_to_vector("part"))).alias("total")
+    names = [f"c{i}" for i in range(matrix.shape[1])]
+    kind = T.StructType(
+        [T.StructField("at", T.IntegerType()), *[T.StructField(n, T.DoubleType()) for n in names]]
     )
-    out = np.zeros_like(matrix)
+    parts = rows.select(f"{features}.*").mapInPandas(sums, kind)
     # At most one line per term of the vocabulary.
-    for at, total in summed.collect():
-        out[at] = total
+    summed = parts.groupBy("at").agg(*[F.sum(n).alias(n) for n in names]).toPandas()
+    out = np.zeros_like(matrix)
+    out[summed["at"].to_numpy()] = summed[names].to_numpy()
     return out
 
 

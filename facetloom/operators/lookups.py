@@ -20,17 +20,10 @@ def fits_broadcast(
     table: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES
 ) -> bool:
     """Whether the table, counted and weighed, is small enough to copy to every executor."""
-    size = (
-        table.limit(max_rows + 1)
-        .agg(
-            F.count(F.lit(1)).alias("rows"),
-            F.sum(F.octet_length(F.to_json(F.struct(*[F.col(c) for c in table.columns])))).alias(
-                "bytes"
-            ),
-        )
-        .first()
-    )
-    return size["rows"] <= max_rows and (size["bytes"] or 0) <= max_bytes
+    if table.count() > max_rows:
+        return False
+    row = F.octet_length(F.to_json(F.struct(*[F.col(c) for c in table.columns])))
+    return (table.agg(F.sum(row).alias("bytes")).first()["bytes"] or 0) <= max_bytes
 
 
 def lookup(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from facetloom import constants as C
@@ -10,13 +10,12 @@ from facetloom.functions.text import birth_year, generation_flag
 from facetloom.operators.columns import (
     add_masking,
     confidence_gate,
-    quality_report,
+    quality_metrics,
     require_columns,
     with_settled,
 )
 from facetloom.operators.ordering import global_index, row_range
 from facetloom.operators.scoring import Scorer, score_emotions, score_sentiment
-from facetloom.session import pin
 from facetloom.sources.blogs import build_dataset
 from facetloom.sources.tables import write_dataset
 
@@ -66,6 +65,7 @@ def enrich_blogs(
     """Blog files to a published dataset with its splits; gives the quality report.
 
     ``start, end`` or ``limit`` choose rows of each split by their place in file order.
+    The report is observed while the rows are written, so each row is scored once.
     """
     lines = build_dataset(spark, directory)
     if start is not None or end is not None or limit:
@@ -75,9 +75,14 @@ def enrich_blogs(
             placed = global_index(rows, ["file_idx", "post_no", "line_no"], "_place")
             parts.append(row_range(placed, start, end, "_place", limit).drop("_place"))
         lines = parts[0].unionByName(parts[1])
-    scored = pin(score_rows(lines, emotions, sentiment, max_tokens=max_tokens))
-    write_dataset(add_masking(confidence_gate(scored, min_confidence)), out)
-    return quality_report(scored, min_confidence)
+    scored = score_rows(lines, emotions, sentiment, max_tokens=max_tokens)
+    seen = Observation("quality")
+    observed = scored.observe(seen, *quality_metrics(min_confidence))
+    write_dataset(add_masking(confidence_gate(observed, min_confidence)), out)
+    return spark.createDataFrame(
+        [(seen.get["rows_loaded"], seen.get["rows_kept"], seen.get["rows_dropped"], seen.get["masking_rate"])],
+        "rows_loaded bigint, rows_kept bigint, rows_dropped bigint, masking_rate double",
+    )
 
 
 def enrich(

@@ -15,15 +15,19 @@ def read_csv(
     path: str | list[str],
     schema: T.StructType | str | None = None,
     null_values: Sequence[str] = (),
+    multi_line: bool = True,
 ) -> DataFrame:
     """CSV with a header, quoted fields and line breaks inside quotes.
 
+    Files without line breaks inside fields are better read with ``multi_line=False``,
+    which lets several tasks share a large file.
+
     Columns are found by header name. With a schema the types are declared, a column the
     file lacks is null, and text that is no number becomes null in a number column. Words
     in ``null_values`` become null in every column.
     """
     raw = spark.read.csv(
-        path, header=True, quote='"', escape='"', multiLine=True, inferSchema=False
+        path, header=True, quote='"', escape='"', multiLine=multi_line, inferSchema=False
     )
 
     def cleaned(name: str):
