@@ -17,7 +17,8 @@ from facetloom.functions import text as X
 from facetloom.operators import cards as cards_ops
 from facetloom.operators import clustering, columns, emotions, features, legend, matching
 from facetloom.operators import ordering, profiles, ranking, scoring, terms
-from facetloom.plans import enrichment
+from facetloom.plans import enrichment, personas
+from facetloom.schemas import CLUSTERED
 from facetloom.session import ensure_checkpoint_dir, pin
 from facetloom.sources import blogs, index, tables
 from facetloom.sources import cards as card_files
@@ -148,7 +149,7 @@ def column_checks(spark: SparkSession, sf: str) -> DataFrame:
     numbers = columns.select_numerics(rows)
     wide = columns.ensure_columns(
         rows.select(F.col("o_orderstatus").alias("job"), F.lit(1).alias("cluster")),
-        features_schema(),
+        CLUSTERED,
     )
     return wide.groupBy("job", "top_emotion", "cluster").agg(
         F.count(F.lit(1)).alias("n"),
@@ -158,12 +159,6 @@ def column_checks(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def features_schema():
-    from facetloom.schemas import CLUSTERED
-
-    return CLUSTERED
-
-
 def scalar_functions(spark: SparkSession, sf: str) -> DataFrame:
     docs = documents(spark, sf, "lang", "n_chars")
     odd = F.col("doc_id") % 3 == 0
@@ -558,6 +553,14 @@ def persona_features(spark: SparkSession, sf: str) -> DataFrame:
     return ready.select("doc_id", vector_to_array("features").alias("features"))
 
 
+def persona_map(spark: SparkSession, sf: str) -> DataFrame:
+    """The clustered table of the documents: vectors, blocks, clusters, places, colours."""
+    docs = pin(scored_documents(spark, sf, "lang", "source").withColumnRenamed("source", "job"))
+    encoder = scoring.fit_text_encoder(docs, "text", 64)
+    placed, _ = personas.map_clusters(docs, encoder, keep=["doc_id"])
+    return placed.select("doc_id", "top_emotion", "job", "cluster", "x2d", "y2d", "cluster_color_name")
+
+
 def choose_k(spark: SparkSession, sf: str) -> DataFrame:
     chosen = clustering.choose_k(vectors(spark, sf), kmax=4, restarts=3)
     return clustering.assign_personas(vectors(spark, sf), chosen).select("vec_id", "persona_id")
@@ -593,6 +596,6 @@ QUERIES: dict[str, Query] = {
         mutual_information, legend_colors, cluster_colors, nearest_in_persona, nearest_three,
         nearest_in_blocks, high_conf_attributes, prompt_records, csv_table, published_dataset,
         persona_index, cards_json, hashed_embeddings, feature_blocks, pca_2d, kmeans_clusters,
-        svd_features, persona_features, choose_k, permutation_importance, density_clusters,
+        svd_features, persona_features, persona_map, choose_k, permutation_importance, density_clusters,
     )
 }

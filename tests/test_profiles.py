@@ -129,10 +129,12 @@ def test_profiles_sum_to_hundred_and_skip_null_clusters(spark):
     assert all(abs(r["s"] - 100) < 0.03 for r in sums)
 
 
-@pytest.mark.parametrize("size", [1, 2, 7, 5000])
-def test_medians_are_exact(spark, size, monkeypatch):
+@pytest.mark.parametrize("ranked", [5_000_000, 0])
+@pytest.mark.parametrize("size", [1, 2, 7, 20_000])
+def test_medians_are_exact(spark, size, ranked, monkeypatch):
     monkeypatch.setattr(P, "MEDIAN_ACCURACY", 200)
     monkeypatch.setattr(P, "MEDIAN_MARGIN", 4 / 200)
+    monkeypatch.setattr(P, "RANKED_ROWS", ranked)
     rng = random.Random(size)
     groups = {g: [rng.choice([rng.gauss(0, 1e6), 5.0, 5.0]) for _ in range(size + g)] for g in (0, 1)}
     rows = [(g, x) for g, xs in groups.items() for x in xs] + [(0, None), (0, float("nan"))]
