@@ -390,6 +390,38 @@ WITH s AS (
   FROM documents)
 SELECT doc_id, CASE WHEN refused THEN NULL WHEN joy >= fear THEN 'joy' ELSE 'fear' END AS top_emotion,
   CASE WHEN NOT refused THEN round(greatest(joy, fear), 6) END AS emotion_conf FROM s""",
+    "model_embeddings": """
+WITH s AS (
+  SELECT doc_id, length(text) - length(replace(text, 'e', '')) AS e,
+    length(text) - length(replace(text, 'n', '')) AS n, length(text) - length(replace(text, 'z', '')) AS z
+  FROM documents),
+u AS (
+  SELECT doc_id, CASE WHEN z <= 3 THEN [e, n, z]::DOUBLE[] END AS v,
+    nullif(sqrt((e * e + n * n + z * z)::DOUBLE), 0) AS norm FROM s)
+SELECT doc_id, """ + ", ".join(
+        f"round(coalesce(v[{i + 1}] / norm, v[{i + 1}]), 4) AS e{i}" for i in range(3)
+    ) + " FROM u",
+    "numeric_block": """
+WITH raw AS (
+  SELECT l_orderkey, l_linenumber, l_quantity, l_extendedprice,
+    CASE WHEN l_orderkey % 7 <> 0 THEN l_discount END AS given FROM lineitem),
+filled AS (SELECT *, coalesce(given, avg(given) OVER ()) AS d FROM raw),
+m AS (SELECT avg(l_quantity) AS m0, stddev_samp(l_quantity) AS s0, avg(l_extendedprice) AS m1,
+        stddev_samp(l_extendedprice) AS s1, avg(d) AS m2, stddev_samp(d) AS s2 FROM filled),
+z AS (SELECT l_orderkey, l_linenumber, (l_quantity - m0) / s0 AS a, (l_extendedprice - m1) / s1 AS b,
+        (d - m2) / s2 AS c FROM filled, m),
+u AS (SELECT *, sqrt(a * a + b * b + c * c) AS norm FROM z)
+SELECT l_orderkey, l_linenumber, round(a / norm, 6) AS n0, round(b / norm, 6) AS n1,
+  round(c / norm, 6) AS n2, 0::DOUBLE AS n3 FROM u""",
+    "categorical_block": """
+WITH t AS (
+  SELECT o_orderkey, dense_rank() OVER (ORDER BY o_orderpriority) - 1 AS p,
+    5 + dense_rank() OVER (ORDER BY CASE WHEN o_orderkey % 5 <> 0 THEN o_orderstatus ELSE 'NA' END) - 1 AS s
+  FROM orders)
+SELECT o_orderkey, """ + ", ".join(
+        f"CASE WHEN p = {i} OR s = {i} THEN round(1 / sqrt(2), 6) ELSE 0 END::DOUBLE AS c{i}"
+        for i in range(9)
+    ) + " FROM t",
     "cluster_sizes": f"WITH {SEGMENTS} SELECT cluster, count(*) AS count FROM seg GROUP BY ALL",
     "crosstab": f"WITH {SEGMENTS} SELECT cluster, feature, value, count(*) AS n FROM long GROUP BY ALL",
     "chi_square_tests": f"""

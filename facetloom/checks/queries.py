@@ -269,6 +269,23 @@ def model_scores(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(scored.select("doc_id", "top_emotion", "emotion_conf"), "emotion_conf")
 
 
+def model_embeddings(spark: SparkSession, sf: str) -> DataFrame:
+    """Letter counts as an encoder; it refuses texts with many z."""
+
+    def make_model():
+        def model(texts):
+            vectors = [[t.count("e"), t.count("n"), t.count("z")] for t in texts]
+            if any(v[2] > 3 for v in vectors):
+                raise ValueError("too many z")
+            return vectors
+
+        return model
+
+    made = scoring.embed(documents(spark, sf), "text", make_model)
+    parts = [F.col("vector")[i].cast("double").alias(f"e{i}") for i in range(3)]
+    return rounded(made.select("doc_id", *parts), "e0", "e1", "e2", digits=4)
+
+
 # Profiles.
 
 ORDER_FEATURES = ("o_orderpriority", "o_orderstatus")
@@ -515,6 +532,33 @@ def cards_json(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+# Feature blocks.
+
+
+def numeric_block(spark: SparkSession, sf: str) -> DataFrame:
+    """Order lines with their prices; every seventh discount is missing."""
+    lines = table(spark, sf, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice",
+        F.when(F.col("l_orderkey") % 7 != 0, F.col("l_discount")).alias("discount"),
+        F.lit(1).alias("flag"),
+    )
+    names = ["l_quantity", "l_extendedprice", "discount", "flag"]
+    block = features.numeric_block(lines, names).withColumn("v", vector_to_array("numeric_block"))
+    parts = [F.round(F.col("v")[i], 6).alias(f"n{i}") for i in range(4)]
+    return block.select("l_orderkey", "l_linenumber", *parts)
+
+
+def categorical_block(spark: SparkSession, sf: str) -> DataFrame:
+    orders = table(spark, sf, "orders").select(
+        "o_orderkey", "o_orderpriority",
+        F.when(F.col("o_orderkey") % 5 != 0, F.col("o_orderstatus")).alias("status"),
+    )
+    block = features.categorical_block(orders, ["o_orderpriority", "status"])
+    block = block.withColumn("v", vector_to_array("categorical_block"))
+    parts = [F.round(F.col("v")[i], 6).alias(f"c{i}") for i in range(9)]
+    return block.select("o_orderkey", *parts)
+
+
 # Models, without a SQL form.
 
 
@@ -590,7 +634,7 @@ QUERIES: dict[str, Query] = {
         emotion_sentiment, generation_flags, blog_lines, carry_forward, split_every_20th,
         row_range, limit_then_filter, column_checks, scalar_functions, unit_vectors,
         emotion_top5, top_emotion, lexicon_emotions, sentiment_scores, confidence_gate_masking,
-        quality_report, model_scores, cluster_sizes, crosstab, chi_square_tests,
+        quality_report, model_scores, model_embeddings, numeric_block, categorical_block, cluster_sizes, crosstab, chi_square_tests,
         strongest_associations, value_profiles, numeric_summary, emotion_wide, persona_emotions,
         persona_base, most_common, term_stats, tfidf_terms, persona_top_terms,
         mutual_information, legend_colors, cluster_colors, nearest_in_persona, nearest_three,
