@@ -145,26 +145,22 @@ def carry_forward(
         "*",
         value.alias("_value"),
         F.struct(*partition).alias("_group"),
-        F.floor(F.col(order) / F.lit(chunk)).alias("_chunk"),
+        F.expr(f"`{order}` div {chunk}").alias("_chunk"),
     )
     inside = Window.partitionBy("_group", "_chunk").orderBy(order)
     so_far = F.last("_value", ignorenulls=True).over(
         inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    earlier = Window.partitionBy("_group").orderBy("_chunk")
-    ends = (
-        rows.groupBy("_group", "_chunk")
-        .agg(
-            F.max_by("_value", F.when(F.col("_value").isNotNull(), F.col(order))).alias("_end")
-        )
-        .withColumn(
-            "_before",
-            F.last("_end", ignorenulls=True).over(
-                earlier.rowsBetween(Window.unboundedPreceding, -1)
-            ),
-        )
+    carried = rows.withColumn("_here", so_far).withColumn(
+        "_ends", F.lead(F.lit(True)).over(inside).isNull()
     )
-    joined = rows.withColumn("_here", so_far).join(
-        ends.select("_group", "_chunk", "_before"), ["_group", "_chunk"], "left"
+    earlier = Window.partitionBy("_group").orderBy("_chunk")
+    ends = carried.where("_ends").select(
+        "_group",
+        "_chunk",
+        F.last("_here", ignorenulls=True)
+        .over(earlier.rowsBetween(Window.unboundedPreceding, -1))
+        .alias("_before"),
     )
+    joined = carried.join(ends, ["_group", "_chunk"], "left")
     return joined.select(*df.columns, F.coalesce("_here", "_before").alias(name))
