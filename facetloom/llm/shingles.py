@@ -48,12 +48,11 @@ def span_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix((sums[ends] - sums[starts]) * down[starts])
 
 
-def window_hashes(data: np.ndarray, width: int) -> np.ndarray:
-    """Hash of every window of ``width`` bytes."""
-    n = len(data) - width + 1
+def window_hashes(sums: np.ndarray, width: int) -> np.ndarray:
+    """Hash of every window of ``width`` bytes, from the prefix sums."""
+    n = len(sums) - width
     if n <= 0:
         return np.empty(0, dtype=np.uint64)
-    sums = prefix_sums(data)
     return mix((sums[width:] - sums[:-width]) * _powers("down", _INVERSE, n))
 
 

@@ -29,12 +29,14 @@ WIDTH = 50
 ANCHOR = 24
 #: Windows that a string around an anchor can have.
 REACH = WIDTH - ANCHOR + 1
-SEGMENT = 1 << 19
+SEGMENT = 1 << 16
 BLOCK_BYTES = 6_000_000
 #: Input bytes whose anchors go to one part.
 PART_BYTES = 24_000_000
 #: Symbols whose suffix order is built at once.
-SYMBOLS = 3_000_000
+SYMBOLS = 400_000
+
+_LOG = np.zeros(1, dtype=np.int64)
 
 
 def _sliding_min(values: np.ndarray, width: int) -> np.ndarray:
@@ -60,7 +62,8 @@ def anchored_runs(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
     found: list[tuple[np.ndarray, ...]] = []
     for low in range(0, len(data) - WIDTH + 1, SEGMENT):
         part = data[low : low + SEGMENT + WIDTH - 1]
-        least = _sliding_min(window_hashes(part, ANCHOR), REACH)
+        sums = prefix_sums(part)
+        least = _sliding_min(window_hashes(sums, ANCHOR), REACH)
         ok = valid[low : low + len(least)]
         new = np.ones(len(least), dtype=bool)
         new[1:] = (least[1:] != least[:-1]) | (ok[1:] != ok[:-1])
@@ -73,7 +76,7 @@ def anchored_runs(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
         inside = np.arange(int(pieces.sum())) - np.repeat(np.cumsum(pieces) - pieces, pieces)
         first, left = np.repeat(first, pieces) + inside * REACH, np.repeat(length, pieces) - inside * REACH
         length = np.minimum(left, REACH)
-        hashes = span_hashes(prefix_sums(part), first, first + length + WIDTH - 1)
+        hashes = span_hashes(sums, first, first + length + WIDTH - 1)
         found.append((first + low, length, least[first], hashes))
     if not found:
         none = np.empty(0, dtype=np.int64)
@@ -200,56 +203,53 @@ def _strings_of_block(parts: int):
     return run
 
 
-class _RangeMin:
-    """Smallest value of any range, from minima over powers of two."""
-
-    def __init__(self, values: np.ndarray):
-        self.levels, span = [values], 1
-        while 2 * span <= len(values):
-            last = self.levels[-1]
-            self.levels.append(np.minimum(last[:-span], last[span:]))
-            span *= 2
-
-    def __call__(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-        """Of ``[low, high]``, both included."""
-        level = np.frexp((high - low + 1).astype(np.float32))[1] - 1
-        out = np.empty(len(low), dtype=np.uint8)
-        for k in np.unique(level).tolist():
-            at = np.flatnonzero(level == k)
-            table = self.levels[k]
-            out[at] = np.minimum(table[low[at]], table[high[at] - (1 << k) + 1])
-        return out
+def _range_minima(values: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Smallest value of each range ``[low, high]``, from minima over powers of two."""
+    n = len(values)
+    levels = np.empty((n.bit_length(), n), dtype=np.uint8)
+    levels[0] = values
+    for k in range(1, len(levels)):
+        span, last = 1 << (k - 1), levels[k - 1]
+        np.minimum(last[: n - span], last[span:], out=levels[k, : n - span])
+    level = _LOG[high - low + 1]
+    flat, row = levels.reshape(-1), level * n
+    return np.minimum(flat[row + low], flat[row + high - (1 << level) + 1])
 
 
 def suffix_order(data: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """All suffixes of a collection of strings in order: string, length, common prefix.
 
     The common prefix is that with the suffix before, at most 255. In each round every string gives
-    its next symbol from the right; the transform holds the symbol in front of each suffix, and sorting it stably
-    puts the suffixes that it makes in order. Their common prefixes are one more than the smallest between the suffixes
-    they come from.
+    its next symbol from the right; the transform holds the symbol in front of each suffix, and sorting it
+    stably puts the suffixes that it makes in order. Their common prefixes are one more than the
+    smallest between the suffixes they come from.
     """
-    n = len(lengths)
-    ends = np.cumsum(lengths)
-    strings = np.arange(n, dtype=np.int32)
-    size = np.zeros(n, dtype=np.int32)
-    common = np.zeros(n, dtype=np.uint8)
+    global _LOG
+    n, total = len(lengths), len(data) + len(lengths)
+    if len(_LOG) <= total:
+        _LOG = np.frexp(np.arange(2 * total + 2, dtype=np.float64))[1].astype(np.int64) - 1
+    # Every string begins with a 0, its other symbols are larger.
+    ends = np.cumsum(lengths + 1)
+    text = np.zeros(total, dtype=np.uint8)
+    inside = np.ones(total, dtype=bool)
+    inside[ends - lengths - 1] = False
+    text[inside] = data + np.uint8(1)
+    last = (ends - 1).astype(np.int32)
+    before, common = last, np.zeros(n, dtype=np.uint8)
     for _ in range(int(lengths.max(initial=0))):
-        more = size < lengths[strings]
-        place = ends[strings] - size - 1
-        transform = np.where(more, data[np.where(more, place, 0)] + 1, 0).astype(np.uint8)
+        transform = text[before]
         order = np.argsort(transform, kind="stable")
-        order = order[int((~more).sum()) :]
+        order = order[int(np.count_nonzero(transform == 0)) :]
         symbol = transform[order]
         prefix = np.zeros(n + len(order), dtype=np.uint8)
-        if len(order) > 1:
-            same = np.flatnonzero(symbol[1:] == symbol[:-1])
-            between = _RangeMin(common)(order[same] + 1, order[same + 1])
+        same = np.flatnonzero(symbol[1:] == symbol[:-1])
+        if len(same):
+            between = _range_minima(common, order[same] + 1, order[same + 1])
             prefix[n + 1 + same] = np.minimum(between, 254) + 1
-        strings = np.concatenate((np.arange(n, dtype=np.int32), strings[order]))
-        size = np.concatenate((np.zeros(n, dtype=np.int32), size[order] + 1))
+        before = np.concatenate((last, before[order] - 1))
         common = prefix
-    return strings, size, common
+    string = np.searchsorted(ends, before, side="right")
+    return string, ends[string] - 1 - before, common
 
 
 def first_documents(data: np.ndarray, windows: np.ndarray, low: np.ndarray) -> np.ndarray:
@@ -267,6 +267,29 @@ def first_documents(data: np.ndarray, windows: np.ndarray, low: np.ndarray) -> n
     return out
 
 
+def _shared_windows(
+    data: np.ndarray, starts: np.ndarray, windows: np.ndarray
+) -> tuple[np.ndarray, np.ndarray]:
+    """First and number of the windows of each string up to the last one whose hash is not alone."""
+    lengths = windows + WIDTH - 1
+    text = _gather(data, starts, lengths)
+    place = _gather(np.arange(len(text)), np.cumsum(lengths) - lengths, windows)
+    hashes = span_hashes(prefix_sums(text), place, place + WIDTH)
+    order = np.argsort(hashes, kind="stable")
+    first = _groups(hashes[order])
+    count = np.diff(np.append(first, len(hashes)))
+    at = np.sort(order[np.repeat(count > 1, count)])
+    owner = np.repeat(np.arange(len(windows)), windows)[at]
+    inside = at - (np.cumsum(windows) - windows)[owner]
+    offset, n = np.zeros(len(windows), dtype=np.int64), np.zeros(len(windows), dtype=np.int64)
+    begin = _groups(owner)
+    if len(begin):
+        who, last = owner[begin], np.append(begin[1:], len(owner)) - 1
+        offset[who] = inside[begin]
+        n[who] = inside[last] - inside[begin] + 1
+    return offset, n
+
+
 def _meet(group: Columns) -> Columns | None:
     """Which windows of each block's strings an earlier document has."""
     unpack = zstandard.ZstdDecompressor().decompress
@@ -293,18 +316,21 @@ def _meet(group: Columns) -> Columns | None:
     base = np.cumsum(count) - count
     earliest = np.repeat(least, count)
 
-    # Anchors with one string need no order; the others are taken a few million symbols at a time.
+    # Anchors with one string need no order, nor do strings without a window that another
+    # string has by its hash. The others are cut to the windows that may be shared.
     begin = _groups(anchor[some])
     alike = np.diff(np.append(begin, len(some)))
-    symbols = np.add.reduceat(lengths[some], begin)
-    many = np.flatnonzero(alike > 1)
-    turn = np.cumsum(symbols[many]) // SYMBOLS
-    for t in np.unique(turn).tolist():
-        these = many[turn == t]
-        at = _gather(np.arange(len(some)), begin[these], alike[these])
-        text = _gather(data, starts[some[at]], lengths[some[at]])
-        where = _gather(np.arange(len(earliest)), base[at], count[at])
-        earliest[where] = first_documents(text, count[at], least[at])
+    at = _gather(np.arange(len(some)), begin[alike > 1], alike[alike > 1])
+    size = np.cumsum(lengths[some[at]])
+    for turn in np.split(at, _groups(size // (8 * SYMBOLS))[1:]):
+        offset, n = _shared_windows(data, starts[some[turn]], count[turn])
+        turn, offset, n = turn[n > 0], offset[n > 0], n[n > 0]
+        size_ = np.cumsum(n + WIDTH - 1)
+        for part in np.split(np.arange(len(turn)), _groups(size_ // SYMBOLS)[1:]):
+            if len(part):
+                text = _gather(data, starts[some[turn[part]]] + offset[part], n[part] + WIDTH - 1)
+                where = _gather(np.arange(len(earliest)), base[turn[part]] + offset[part], n[part])
+                earliest[where] = first_documents(text, n[part], least[turn[part]])
 
     # Runs of windows with the same first document, for the entries that have a later one.
     owner = np.repeat(np.arange(len(some)), count)
