@@ -187,7 +187,7 @@ def _strings_of_block(parts: int):
             low, high = np.minimum.reduceat(doc, first), np.maximum.reduceat(doc, first)
             start, windows, anchor, hashes = (x[first] for x in (start, windows, anchor, hashes))
             part = ((anchor >> np.uint64(20)) % np.uint64(parts)).astype(np.int64)
-            packer = zstandard.ZstdCompressor(level=1)
+            packer = zstandard.ZstdCompressor(level=6)
             for p in np.unique(part).tolist():
                 at = np.flatnonzero(part == p)
                 raw = _gather(data, start[at], windows[at] + WIDTH - 1).tobytes()
