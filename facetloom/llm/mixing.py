@@ -27,10 +27,9 @@ _UNIT = 1 << 32
 
 
 def word_count(text: Column) -> Column:
-    """Blank-separated words of a text; 0 for null or blank."""
-    bare = F.trim(F.regexp_replace(text, r"\s+", " "))
-    words = F.char_length(bare) - F.char_length(F.replace(bare, F.lit(" "))) + 1
-    return F.when(F.char_length(bare) > 0, words).otherwise(0).cast("long")
+    """The pieces of a text between blanks, an estimate of its tokens; 0 for null or empty."""
+    blanks = F.char_length(text) - F.char_length(F.replace(text, F.lit(" "), F.lit("")))
+    return F.when(F.char_length(text) > 0, blanks + 1).otherwise(0).cast("long")
 
 
 def _place(doc_id: Column, *more: Column) -> Column:
@@ -95,8 +94,8 @@ def mix(
     row falls in; each block holds the sources by their weights. ``budget`` is the number of tokens
     of the mix; without one it is the smallest that leaves no document out. A source's last epoch takes the
     documents whose hash comes first, while the tokens before them are below the rest of the
-    budget. Rows without a token (null or blank text) take no budget and come once, in epoch
-    0; a null source is a source of its own; rows that are alike are each mixed. ``tokens`` and
+    budget. Rows without a token (null or empty text) take no budget and come once, in epoch
+    0; a null source is a source of its own; rows that are alike share their place. ``tokens`` and
     ``tie`` (what tells rows of one doc_id apart) are taken from the text by default.
     """
     tokens = word_count(F.col("text")) if tokens is None else tokens
@@ -106,13 +105,13 @@ def mix(
         source_key(F.col("source")).alias("_source"),
         tokens.alias("_tokens"),
         _place(F.col("doc_id"), F.coalesce(tie, F.lit("-"))).alias("_at"),
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("_doc"),
     )
+    light = pin(rows.where(F.col("_tokens") > 0).select("_source", "_tokens", "_at", "_doc"))
     # Tokens by source and slice of the hash; slices are whole parts of the permutation.
-    cell = F.floor(F.col("_at") * F.lit(SLICES) / F.lit(_UNIT)).cast("int")
+    slice_ = F.floor(F.col("_at") * F.lit(SLICES) / F.lit(_UNIT)).cast("int")
     cells = pin(
-        rows.where(F.col("_tokens") > 0)
-        .groupBy("_source", cell.alias("_cell"))
-        .agg(F.sum("_tokens").alias("tokens"))
+        light.groupBy("_source", slice_.alias("_cell")).agg(F.sum("_tokens").alias("tokens"))
     )
     sources = pin(cells.groupBy("_source").agg(F.sum("tokens").alias("tokens")))
     exponent = fit_exponent(sources, repetitions, entropy)
@@ -121,44 +120,38 @@ def mix(
     share = sources.withColumn("weight", weight / F.lit(total))
     if budget is None:
         budget = share.agg(F.max(F.col("tokens") / F.col("weight"))).first()[0] or 0.0
-    plan = share.select(
-        "_source",
-        F.round(F.lit(budget) * F.col("weight") / F.col("tokens"), 9).alias("_times"),
-        F.col("tokens").alias("_size"),
-    )
-    # The slice in which the last epoch ends, and the tokens of the slices before it.
-    left = (F.col("_times") - F.floor("_times")) * F.col("_size")
+    times = F.round(F.lit(budget) * F.col("weight") / F.col("tokens"), 9)
+    plan = share.select("_source", times.alias("_times"), F.col("tokens").alias("_size"))
+    plan = pin(plan.withColumn("_left", (F.col("_times") - F.floor("_times")) * F.col("_size")))
+
+    # The slice in which the last epoch ends, and in it the last row that the epoch takes.
     running = Window.partitionBy("_source").orderBy("_cell")
-    before = F.sum("tokens").over(running) - F.col("tokens")
     ends = (
-        cells.withColumn("_before", before)
+        cells.withColumn("_before", F.sum("tokens").over(running) - F.col("tokens"))
         .join(plan, "_source")
-        .where(F.col("_before") < left)
-        .groupBy("_source")
+        .where(F.col("_before") < F.col("_left"))
+        .groupBy("_source", "_left")
         .agg(F.max_by(F.struct("_cell", "_before"), "_cell").alias("_end"))
+        .select("_source", "_left", "_end._cell", "_end._before")
     )
-    plan = plan.join(ends, "_source", "left").select(
-        "_source", "_times", left.alias("_left"), "_end._cell", "_end._before"
+    order = ["_at", "_doc", "_tokens"]
+    inside = lookup(
+        light.withColumn("_slice", slice_), ends, ["_source"], how="inner", spread_by=["_at"], pinned=True
     )
-    placed = lookup(rows.withColumn("_slice", cell), plan, ["_source"], spread_by=["_at"], pinned=True)
-    # Only the slice that the budget cuts is ordered.
-    whole = F.col("_tokens") == 0
-    cut = (F.col("_slice") == F.col("_cell")) & ~whole
-    inside = (
-        Window.partitionBy("_source", "_slice")
-        .orderBy("_at", F.col("_row.doc_id"), F.col("_tokens"))
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    edge = placed.where(cut).withColumn(
-        "_more",
-        F.col("_before") + F.coalesce(F.sum("_tokens").over(inside), F.lit(0)) < F.col("_left"),
-    )
-    rest = placed.where(~F.coalesce(cut, F.lit(False))).withColumn(
-        "_more", F.coalesce((F.col("_slice") < F.col("_cell")) & ~whole, F.lit(False))
+    inside = inside.where(F.col("_slice") == F.col("_cell")).groupBy("_source", "_before", "_left", *order)
+    along = Window.partitionBy("_source").orderBy(*order)
+    last = (
+        inside.agg(F.sum("_tokens").alias("_here"))
+        .withColumn("_before", F.col("_before") + F.sum("_here").over(along) - F.col("_here"))
+        .where(F.col("_before") < F.col("_left"))
+        .groupBy("_source")
+        .agg(F.max(F.struct(*order)).alias("_last"))
     )
-    every = edge.unionByName(rest)
-    epochs = F.when(whole, 1).otherwise(F.floor("_times") + F.col("_more").cast("int")).cast("int")
-    counted = every.withColumn("_epochs", epochs).where(F.col("_epochs") > 0)
+    plan = plan.join(last, "_source", "left").select("_source", "_times", "_last")
+    placed = lookup(rows, plan, ["_source"], spread_by=["_at"], pinned=True)
+    more = F.coalesce(F.struct(*order) <= F.col("_last"), F.lit(False)).cast("int")
+    epochs = F.when(F.col("_tokens") == 0, 1).otherwise(F.floor("_times") + more).cast("int")
+    counted = placed.withColumn("_epochs", epochs).where(F.col("_epochs") > 0)
     repeated = counted.withColumn(
         "_epoch", F.explode(F.sequence(F.lit(0), F.col("_epochs") - 1))
     )

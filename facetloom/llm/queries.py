@@ -170,12 +170,11 @@ FROM d LEFT JOIN kept USING (doc_id)
 _OP7 = r"""
 WITH rows AS (
   SELECT doc_id, source, text,
-    trim(regexp_replace(text, '\s+', ' ', 'g')) AS bare,
     ('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, '-') || ':' || coalesce(md5(text), '-')), 1, 8))::BIGINT AS u
   FROM documents
 ), counted AS (
   SELECT doc_id, source, coalesce('+' || source, '-') AS k, u,
-    CASE WHEN length(bare) > 0 THEN length(bare) - length(replace(bare, ' ', '')) + 1 ELSE 0 END::BIGINT AS n
+    CASE WHEN length(text) > 0 THEN length(text) - length(replace(text, ' ', '')) + 1 ELSE 0 END::BIGINT AS n
   FROM rows
 ), sources AS (SELECT k, sum(n)::BIGINT AS t FROM counted WHERE n > 0 GROUP BY k
 ), expo AS (
