@@ -10,26 +10,33 @@ rank among the pieces of its length.
 
 from __future__ import annotations
 
+import json
 import re
+import struct
 import zlib
 from bisect import bisect_right
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from facetloom.llm.groups import small_batches
 from facetloom.session import pin
 
 CAPACITY = 2048
 END = b"\0\0\0\0"
 #: Words whose ids a worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 250_000
 #: Parts in which the pieces of one length are numbered.
 RANK_PARTS = 128
 
 _ODD_BLANK = re.compile(r" \s")
+# Fixed value: how byte-level tokenizers cut a text before merging.
+_CUTS = (
+    r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+)
 
 Pattern = tuple[tuple[int, ...], int]
 
@@ -39,7 +46,8 @@ class WordIds(dict):
 
     A byte-level tokenizer cuts before every single blank, so the ids of a text are those of
     its words, each with the blank before it. That does not hold for blanks next to other white space nor
-    for special tokens: such texts are encoded whole.
+    for special tokens: such texts are encoded whole. New words are merged by the ranks of the
+    same vocabulary where its merges are in the order of the ids.
     """
 
     def __init__(self, path: str):
@@ -48,16 +56,17 @@ class WordIds(dict):
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self._merge = _ranked(json.loads(self.tokenizer.to_str()))
 
     def __missing__(self, word: str) -> bytes:
         if len(self) >= REMEMBERED:
             self.clear()
-        made = self[word] = self._encode(" " + word)
+        text = " " + word
+        made = self[word] = _packed(self._merge(text)) if self._merge else self._encode(text)
         return made
 
     def _encode(self, text: str) -> bytes:
-        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-        return b"".join(i.to_bytes(4, "little") for i in ids)
+        return _packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def ids(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit numbers."""
@@ -69,6 +78,36 @@ class WordIds(dict):
         return self._encode(text)
 
 
+def _packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
+def _ranked(said: dict) -> Callable[[str], list[int]] | None:
+    """A quick encoder for a byte-level vocabulary without a normalizer, if the ids rank its merges."""
+    import tiktoken
+
+    cutter, model = said.get("pre_tokenizer") or {}, said["model"]
+    plain = cutter.get("type") == "ByteLevel" and not cutter.get("add_prefix_space")
+    if said.get("normalizer") or not plain or not cutter.get("use_regex", True) or model["type"] != "BPE":
+        return None
+    pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+    vocabulary = model["vocab"]
+    if [vocabulary.get(a + b) for a, b in pairs] != list(range(256, 256 + len(pairs))):
+        return None
+    # Bytes that have no printable character stand for the characters from 256 on.
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in set(shown)]
+    byte_of = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
+    ranks = {
+        bytes(byte_of[c] for c in token): i
+        for token, i in vocabulary.items()
+        if all(c in byte_of for c in token) and i < 256 + len(pairs)
+    }
+    return tiktoken.Encoding(
+        "ranked", pat_str=_CUTS, mergeable_ranks=ranks, special_tokens={}
+    ).encode_ordinary
+
+
 def cut(n_tokens: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
     """(start, length) of a document's pieces: full ones, after a shorter first one."""
     first = n_tokens % capacity or min(n_tokens, capacity)
@@ -95,7 +134,7 @@ def tokenize(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) ->
             yield made.astype({"doc_id": object})
 
     # Ids travel as text: pandas would make numbers with nulls inexact.
-    rows = docs.select(F.col("doc_id").cast("string"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = small_batches(docs).select(F.col("doc_id").cast("string"), F.coalesce("text", F.lit("")).alias("text"))
     return rows.mapInPandas(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
