@@ -17,6 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from facetloom.llm.groups import small_batches
 from facetloom.session import pin
 
 BUCKETS = 256
@@ -129,7 +130,7 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     stream by, and only the texts at the ends of the parts meet in a second, small step.
     """
     spark = docs.sparkSession
-    rows = docs.select(
+    rows = small_batches(docs).select(
         F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")
     ).withColumn("tie", F.xxhash64("text"))
     parts = spark.sparkContext.defaultParallelism

@@ -10,6 +10,20 @@ from pyspark.sql import DataFrame
 
 Columns = dict[str, np.ndarray]
 
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+TEXT_ROWS = 2000
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, with Arrow batches of ``TEXT_ROWS`` rows unless the session sets another number.
+
+    Whole texts are large; a batch of the usual ten thousand would fill a worker's memory.
+    """
+    conf = df.sparkSession.conf
+    if conf.get(_BATCH) == "10000":
+        conf.set(_BATCH, str(TEXT_ROWS))
+    return df
+
 
 def each_group(
     df: DataFrame, keys: Sequence[str], work: Callable[[Columns], Columns | None], schema: str

@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from facetloom.llm.groups import small_batches
 from facetloom.llm.shingles import mix
 
 GRAM = 4
@@ -88,7 +89,7 @@ def learn(docs: DataFrame, sample: int = SAMPLE) -> LanguageFilter:
     smallest hash of the id are taken, so the sample is the same on every run. Without
     such documents no language is known.
     """
-    labelled = docs.select("doc_id", "text", "lang").where(
+    labelled = small_batches(docs).select("doc_id", "text", "lang").where(
         F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))
     )
     labelled = labelled.withColumn("at", F.xxhash64(F.lit("language"), "doc_id"))

@@ -18,6 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from facetloom.llm.groups import small_batches
 from facetloom.llm.setjoin import (
     components,
     first_of,
@@ -115,7 +116,7 @@ def _sets_of(texts: DataFrame) -> DataFrame:
 
 def classify(docs: DataFrame, threshold: float, recall: float) -> DataFrame:
     """doc_id, tie (hash of the text), class_id, n_links, wordless; see ``similar_documents``."""
-    rows = docs.select(
+    rows = small_batches(docs).select(
         F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tie"), "text"
     )
     known = rows.where(F.col("doc_id").isNotNull())

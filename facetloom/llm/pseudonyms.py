@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from facetloom.llm.groups import small_batches
+
 ROUNDS = 10
 #: For tests and examples; give a secret key of your own.
 KEY = b"facetloom pseudonyms"
@@ -229,7 +231,7 @@ def pseudonymize(docs: DataFrame, column: str = "text", key: bytes = KEY) -> Dat
     at = F.col(column)
     some = F.when(at.rlike("[0-9@]"), at)
     return (
-        docs.withColumn("_changed", change(some))
+        small_batches(docs).withColumn("_changed", change(some))
         .withColumn(column, F.coalesce("_changed.text", at))
         .withColumn("pii_kinds", F.coalesce("_changed.kinds", F.array().cast("array<string>")))
         .drop("_changed")
