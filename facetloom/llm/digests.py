@@ -102,13 +102,14 @@ def _along(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             else:
                 out.append((*_compare(*before, now[1], now[2]), part, None, None))
             before = now
-        yield pd.DataFrame(out, columns=columns).astype({"doc_id": object})
+        yield pd.DataFrame(out, columns=columns, dtype=object)
     if before is not None:
         edges = [(kind, doc_id, text) for kind, (doc_id, text, _) in (("first", first), ("last", before))]
         yield pd.DataFrame(
             [(d, None, None, None, None, None, None, part, kind, t) for kind, d, t in edges],
             columns=columns,
-        ).astype(object)
+            dtype=object,
+        )
 
 
 def _ends(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -117,7 +118,7 @@ def _ends(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             _compare(_id(d), t, digest(_encode(t)), n, digest(_encode(n)))
             for d, t, n in zip(pdf["doc_id"], pdf["text"], pdf["after"], strict=True)
         ]
-        yield pd.DataFrame(rows, columns=_NAMES).astype({"doc_id": object})
+        yield pd.DataFrame(rows, columns=_NAMES, dtype=object)
 
 
 def fingerprint_documents(docs: DataFrame) -> DataFrame:

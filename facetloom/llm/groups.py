@@ -6,7 +6,8 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 Columns = dict[str, np.ndarray]
 
@@ -25,6 +26,11 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def whole_row(df: DataFrame) -> Column:
+    """All columns as one, so that their names cannot clash with those of an operator."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns])
+
+
 def each_group(
     df: DataFrame, keys: Sequence[str], work: Callable[[Columns], Columns | None], schema: str
 ) -> DataFrame:

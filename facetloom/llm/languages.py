@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from facetloom.llm.groups import small_batches
+from facetloom.llm.groups import small_batches, whole_row
 from facetloom.llm.shingles import mix
 
 GRAM = 4
@@ -193,9 +193,6 @@ def language_id(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
 
 def keep_known(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """The documents whose language is known; all their columns stay as they are."""
-    texts = docs.select(*docs.columns, F.col("text").alias("_text"))
     model = learn(docs, sample)
-    judged = predict(
-        texts.select(F.struct(*docs.columns).alias("_row"), F.col("_text").alias("text")), model
-    )
+    judged = predict(docs.select(whole_row(docs).alias("_row"), "text"), model)
     return judged.where(F.col("lang_pred") != UNKNOWN).select("_row.*")

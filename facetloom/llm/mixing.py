@@ -15,6 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from facetloom.llm.groups import whole_row
 from facetloom.operators.lookups import lookup
 from facetloom.session import pin
 
@@ -101,7 +102,7 @@ def mix(
     tokens = word_count(F.col("text")) if tokens is None else tokens
     tie = F.md5("text") if tie is None else tie
     rows = docs.select(
-        F.struct(*docs.columns).alias("_row"),
+        whole_row(docs).alias("_row"),
         source_key(F.col("source")).alias("_source"),
         tokens.alias("_tokens"),
         _place(F.col("doc_id"), F.coalesce(tie, F.lit("-"))).alias("_at"),

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from facetloom.llm.groups import small_batches
+from facetloom.llm.groups import small_batches, whole_row
 from facetloom.llm.setjoin import (
     components,
     first_of,
@@ -91,7 +91,7 @@ def _tokens_table(docs: DataFrame, threshold: float, runs: int) -> DataFrame:
                     continue
                 paths = [p.view(np.int64) for p in paths_of(tokens, runs, threshold)]
                 out.append((doc_id, tie, set_hash(tokens), len(tokens), sketch_of(tokens), *paths))
-            yield pd.DataFrame(out, columns=names).astype({"node": object})
+            yield pd.DataFrame(out, columns=names, dtype=object)
 
     schema = (
         "doc_id long, tie long, node long, size int, sketch binary, first array<long>, "
@@ -215,7 +215,7 @@ def one_of_each_class(
         F.col("doc_id").alias("_doc"), F.col("tie").alias("_tie"), F.lit(True).alias("_wordless")
     )
     packed = docs.where(F.col("doc_id").isNotNull()).select(
-        F.struct(*docs.columns).alias("_row"),
+        whole_row(docs).alias("_row"),
         F.col("doc_id").cast("long").alias("_doc"),
         F.xxhash64("text").alias("_tie"),
     )

@@ -130,8 +130,8 @@ def tokenize(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) ->
                 for i, (start, length) in enumerate(cut(len(ids) // 4, capacity)):
                     crc = zlib.crc32(ids[4 * start : 4 * (start + length)])
                     out.append((key, i, start, length, crc))
-            made = pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
-            yield made.astype({"doc_id": object})
+            names = ["doc_id", "piece", "start", "length", "ids_crc32"]
+            yield pd.DataFrame(out, columns=names, dtype=object)
 
     # Ids travel as text: pandas would make numbers with nulls inexact.
     rows = small_batches(docs).select(F.col("doc_id").cast("string"), F.coalesce("text", F.lit("")).alias("text"))

@@ -163,7 +163,7 @@ def build_lists(rows: DataFrame, n_rows: int) -> tuple[DataFrame, Centroids]:
 
 def _best(found: pd.DataFrame, top: int) -> pd.DataFrame:
     """The nearest of each query; ties go to the smaller id."""
-    order = found.drop_duplicates(["query_id", "vec_id"]).sort_values(["query_id", "score", "vec_id"])
+    order = found.sort_values(["query_id", "score", "vec_id"]).drop_duplicates(["query_id", "vec_id"])
     return order.groupby("query_id", sort=False).head(top)
 
 

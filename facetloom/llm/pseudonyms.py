@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from facetloom.llm.groups import small_batches
+from facetloom.llm.groups import small_batches, whole_row
 
 ROUNDS = 10
 #: For tests and examples; give a secret key of your own.
@@ -246,7 +246,7 @@ def pseudonymize_documents(docs: DataFrame, key: bytes = KEY) -> DataFrame:
 
 def without_personal_data(docs: DataFrame, key: bytes = KEY) -> DataFrame:
     """All columns of ``docs``, with pseudonyms in ``text`` and ``n_chars`` to match."""
-    rows = docs.select(F.struct(*docs.columns).alias("_row"), "text")
+    rows = docs.select(whole_row(docs).alias("_row"), "text")
     changed = pseudonymize(rows, "text", key)
     out = []
     for name in docs.columns:

@@ -290,6 +290,18 @@ def _shared_windows(
     return offset, n
 
 
+def _whole_anchors(
+    values: np.ndarray, anchor: np.ndarray, symbols: np.ndarray, limit: int
+) -> list[np.ndarray]:
+    """``values`` in parts of about ``limit`` symbols that never split the strings of an anchor."""
+    if not len(values):
+        return []
+    first = _groups(anchor)
+    sums = np.add.reduceat(symbols, first)
+    turn = (np.cumsum(sums) - sums) // limit
+    return np.split(values, first[_groups(turn)[1:]])
+
+
 def _meet(group: Columns) -> Columns | None:
     """Which windows of each block's strings an earlier document has."""
     unpack = zstandard.ZstdDecompressor().decompress
@@ -321,16 +333,14 @@ def _meet(group: Columns) -> Columns | None:
     begin = _groups(anchor[some])
     alike = np.diff(np.append(begin, len(some)))
     at = _gather(np.arange(len(some)), begin[alike > 1], alike[alike > 1])
-    size = np.cumsum(lengths[some[at]])
-    for turn in np.split(at, _groups(size // (8 * SYMBOLS))[1:]):
+    for turn in _whole_anchors(at, anchor[some[at]], lengths[some[at]], 8 * SYMBOLS):
         offset, n = _shared_windows(data, starts[some[turn]], count[turn])
         turn, offset, n = turn[n > 0], offset[n > 0], n[n > 0]
-        size_ = np.cumsum(n + WIDTH - 1)
-        for part in np.split(np.arange(len(turn)), _groups(size_ // SYMBOLS)[1:]):
-            if len(part):
-                text = _gather(data, starts[some[turn[part]]] + offset[part], n[part] + WIDTH - 1)
-                where = _gather(np.arange(len(earliest)), base[turn[part]] + offset[part], n[part])
-                earliest[where] = first_documents(text, n[part], least[turn[part]])
+        places = np.arange(len(turn))
+        for part in _whole_anchors(places, anchor[some[turn]], n + WIDTH - 1, SYMBOLS):
+            text = _gather(data, starts[some[turn[part]]] + offset[part], n[part] + WIDTH - 1)
+            where = _gather(np.arange(len(earliest)), base[turn[part]] + offset[part], n[part])
+            earliest[where] = first_documents(text, n[part], least[turn[part]])
 
     # Runs of windows with the same first document, for the entries that have a later one.
     owner = np.repeat(np.arange(len(some)), count)

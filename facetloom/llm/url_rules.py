@@ -103,9 +103,8 @@ def _sweep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             # Of equal lengths the more special host, which is higher on the stack.
             best = max(reversed(found), key=lambda r: len(r[0]), default=(None, None))
             out.append((None if row.page_id is None else int(row.page_id), row.host, row.path, *best))
-        yield pd.DataFrame(out, columns=["page_id", "host", "path", "rule", "verdict"]).astype(
-            {"page_id": object}
-        )
+        names = ["page_id", "host", "path", "rule", "verdict"]
+        yield pd.DataFrame(out, columns=names, dtype=object)
 
 
 def judge_urls(pages: DataFrame, rules: DataFrame, default: str = DEFAULT) -> DataFrame:
