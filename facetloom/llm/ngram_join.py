@@ -115,7 +115,7 @@ def _sets_of(texts: DataFrame) -> DataFrame:
 
 
 def classify(docs: DataFrame, threshold: float, recall: float) -> DataFrame:
-    """doc_id, tie (hash of the text), class_id, n_links, wordless; see ``similar_documents``."""
+    """doc_id, tie (hash of the text), root (null without words), class_id, n_links."""
     rows = small_batches(docs).select(
         F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tie"), "text"
     )
@@ -164,7 +164,7 @@ def classify(docs: DataFrame, threshold: float, recall: float) -> DataFrame:
     )
     lowest = classed.groupBy("root").agg(F.min("rep").alias("class_id"))
     by_node = classed.join(lowest, "root").select(
-        "node", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")
+        "node", "root", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")
     )
     texted = table.select("doc_id", "tie", "node").where(F.col("node").isNotNull())
     found = lookup(texted, by_node, ["node"], how="inner", spread_by=["doc_id"], pinned=True)
@@ -173,12 +173,11 @@ def classify(docs: DataFrame, threshold: float, recall: float) -> DataFrame:
         .select("doc_id", "tie")
         .unionByName(rows.where(F.col("doc_id").isNull()).select("doc_id", "tie"))
     )
-    return found.select("doc_id", "tie", "class_id", "n_links", F.lit(False).alias("wordless")).unionByName(
-        alone.select(
-            "doc_id", "tie", F.col("doc_id").alias("class_id"),
-            F.lit(0).cast("long").alias("n_links"), F.lit(True).alias("wordless"),
-        )
+    alone = alone.select(
+        "doc_id", "tie", F.lit(None).cast("long").alias("root"), F.col("doc_id").alias("class_id"),
+        F.lit(0).cast("long").alias("n_links"),
     )
+    return found.select("doc_id", "tie", "root", "class_id", "n_links").unionByName(alone)
 
 
 def similar_documents(
@@ -206,12 +205,12 @@ def one_of_each_class(
     """
     classes = classify(docs, threshold, recall).where(F.col("doc_id").isNotNull())
     keepers = (
-        classes.where(~F.col("wordless") & (F.col("class_id") == F.col("doc_id")))
-        .groupBy(F.col("doc_id").alias("_doc"))
+        classes.where(F.col("root").isNotNull() & (F.col("class_id") == F.col("doc_id")))
+        .groupBy(F.col("doc_id").alias("_doc"), "root")
         .agg(F.min("tie").alias("_tie"))
-        .withColumn("_wordless", F.lit(False))
+        .select("_doc", "_tie", F.lit(False).alias("_wordless"))
     )
-    bare = classes.where("wordless").select(
+    bare = classes.where(F.col("root").isNull()).select(
         F.col("doc_id").alias("_doc"), F.col("tie").alias("_tie"), F.lit(True).alias("_wordless")
     )
     packed = docs.where(F.col("doc_id").isNotNull()).select(
