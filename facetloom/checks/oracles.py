@@ -96,7 +96,7 @@ chi AS (
     sum(CASE WHEN nr = 2 AND nc = 2 THEN (gap - least(0.5::DOUBLE, gap)) ^ 2 ELSE gap ^ 2 END / e) AS chi2
   FROM dense GROUP BY feature),
 tests AS (
-  SELECT feature, chi2, ((nr - 1) * (nc - 1))::INT AS dof,
+  SELECT feature, chi2, ((nr - 1) * (nc - 1))::BIGINT AS dof,
     CASE WHEN n > 1 AND room > 0
          THEN sqrt(greatest(0, chi2 / n - (nr - 1) * (nc - 1) / (n - 1)) / room) END AS cramers_v,
     CASE WHEN least(nr, nc) > 1 THEN sqrt(chi2 / n / (least(nr, nc) - 1)) END AS effect
@@ -493,7 +493,30 @@ WITH {_NEAR} SELECT query_id, persona_id, row_id, round(greatest(0, least(1, sim
     "nearest_in_blocks": f"{_NEAREST} WHERE rank = 1",
     "high_conf_attributes": HIGH_CONF,
     "prompt_records": PROMPTS,
-    "csv_table": "SELECT doc_id, text, lang, '5,May,2004' AS date FROM documents",
+    "csv_table": """
+SELECT doc_id, text, lang, '5,May,2004' AS date FROM documents
+UNION ALL SELECT doc_id + 9007199254740993, '  lead, "quoted" and trail  ' || chr(9) || chr(10) || ' next line ', '', NULL
+FROM documents""",
+    "match_edges": """
+WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings
+), asked AS (SELECT 'q' || vec_id AS query_id, CASE WHEN label = 9 THEN 'none' ELSE 'p' || label END AS persona_id, v FROM e
+), held AS (SELECT 'r' || lpad(vec_id::VARCHAR, 9, '0') AS row_id, 'p' || label AS persona_id, v FROM e WHERE vec_id % 50 <> 7
+), near AS (
+  SELECT query_id, row_id, round(list_inner_product(a.v, h.v), 12) AS s FROM asked a JOIN held h USING (persona_id)
+), best AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, row_id) AS k FROM near)
+SELECT query_id, persona_id, row_id, round(s, 6) AS similarity FROM asked LEFT JOIN (SELECT * FROM best WHERE k = 1) USING (query_id)""",
+    "silhouette_score": """
+WITH x AS (SELECT vec_id, label, unnest(embedding::DOUBLE[]) AS v, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings
+), rows AS (SELECT vec_id, label, sum(v * v) AS q FROM x GROUP BY ALL
+), groups AS (SELECT label AS g, count(*) AS n, avg(q) AS q FROM rows GROUP BY label
+), centres AS (SELECT label AS g, i, avg(v) AS m FROM (SELECT label, i, v FROM x) GROUP BY ALL
+), dots AS (SELECT vec_id, g, sum(v * m) AS d FROM x JOIN centres USING (i) GROUP BY ALL
+), far AS (
+  SELECT r.vec_id, r.label, g, n, r.q - 2 * d + groups.q AS f FROM rows r JOIN dots USING (vec_id) JOIN groups USING (g)
+), each AS (
+  SELECT vec_id, any_value(n) FILTER (g = label) AS n, sum(f * n / nullif(n - 1, 0)) FILTER (g = label) AS a, min(f) FILTER (g <> label) AS b
+  FROM far GROUP BY vec_id)
+SELECT round(avg(CASE WHEN n = 1 THEN 0 ELSE (b - a) / greatest(a, b) END), 6) AS silhouette FROM each""",
     "published_dataset": f"WITH {_FILES} SELECT path, file_idx, split FROM split WHERE split = 'validation'",
     "persona_index": """
 SELECT vec_id AS row_id, label AS persona_id, len(embedding)::INT AS width FROM embeddings WHERE label = 3""",

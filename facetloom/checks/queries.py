@@ -427,6 +427,33 @@ def nearest_in_blocks(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(found, "similarity")
 
 
+def match_edges(spark: SparkSession, sf: str) -> DataFrame:
+    """Text ids, a persona without rows, and index rows whose vector holds no number."""
+    asked, held = asked_and_held(spark, sf)
+    persona = F.concat(F.lit("p"), F.col("persona_id").cast("string"))
+    rows = held.select(
+        F.concat(F.lit("r"), F.lpad(F.col("row_id").cast("string"), 9, "0")).alias("row_id"),
+        persona.alias("persona_id"),
+        F.when(
+            F.col("row_id") % 50 == 7, F.transform("vector", lambda x: x * F.lit(float("nan")))
+        ).otherwise(F.col("vector").cast("array<double>")).alias("vector"),
+    )
+    queries = held.select(
+        F.concat(F.lit("q"), F.col("row_id").cast("string")).alias("query_id"),
+        F.when(F.col("persona_id") == 9, "none").otherwise(persona).alias("persona_id"),
+        "vector",
+    )
+    found = matching.match(queries, rows).select("query_id", "persona_id", "row_id", "similarity")
+    return rounded(found, "similarity")
+
+
+def silhouette_score(spark: SparkSession, sf: str) -> DataFrame:
+    """How well the labels of the embeddings separate them."""
+    labelled = vectors(spark, sf).withColumn("cluster", F.col("label"))
+    score = clustering.silhouette(labelled)
+    return spark.createDataFrame([(round(score, 6),)], "silhouette double")
+
+
 def sure_slots(df: DataFrame) -> DataFrame:
     return rounded(df, *[f"emo{i}_conf" for i in range(1, 6)], digits=4)
 
@@ -490,6 +517,13 @@ def csv_table(spark: SparkSession, sf: str) -> DataFrame:
     """Documents written as CSV, kept as parquet, read back."""
     path = scratch(spark, "csv")
     docs = documents(spark, sf, "lang").withColumn("date", F.lit("5,May,2004"))
+    hard = docs.select(
+        (F.col("doc_id") + 9007199254740993).alias("doc_id"),
+        F.lit('  lead, "quoted" and trail  \t\n next line ').alias("text"),
+        F.lit("").alias("lang"),
+        F.lit(None).cast("string").alias("date"),
+    )
+    docs = docs.unionByName(hard)
     tables.write_csv(docs, path, ["doc_id"])
     return tables.materialize_parquet(
         spark, path, scratch(spark, "parquet"), "doc_id bigint, text string, lang string, date string"
@@ -564,13 +598,13 @@ def categorical_block(spark: SparkSession, sf: str) -> DataFrame:
 
 def hashed_embeddings(spark: SparkSession, sf: str) -> DataFrame:
     docs = documents(spark, sf)
-    encoder = scoring.fit_text_encoder(docs, "text", 64)
+    encoder = scoring.fit_text_encoder(docs, "text", 256)
     return scoring.embed(docs, "text", encoder).select("doc_id", "vector")
 
 
 def feature_blocks(spark: SparkSession, sf: str) -> DataFrame:
     docs = pin(scored_documents(spark, sf, "lang", "source").withColumnRenamed("source", "job"))
-    encoder = scoring.fit_text_encoder(docs, "text", 64)
+    encoder = scoring.fit_text_encoder(docs, "text", 256)
     blocks = features.feature_blocks(scoring.embed(docs, "text", encoder), "vector")
     return blocks.select("doc_id", vector_to_array("features").alias("features"))
 
@@ -600,7 +634,7 @@ def persona_features(spark: SparkSession, sf: str) -> DataFrame:
 def persona_map(spark: SparkSession, sf: str) -> DataFrame:
     """The clustered table of the documents: vectors, blocks, clusters, places, colours."""
     docs = pin(scored_documents(spark, sf, "lang", "source").withColumnRenamed("source", "job"))
-    encoder = scoring.fit_text_encoder(docs, "text", 64)
+    encoder = scoring.fit_text_encoder(docs, "text", 256)
     placed, _ = personas.map_clusters(docs, encoder, keep=["doc_id"])
     return placed.select("doc_id", "top_emotion", "job", "cluster", "x2d", "y2d", "cluster_color_name")
 
@@ -638,7 +672,7 @@ QUERIES: dict[str, Query] = {
         strongest_associations, value_profiles, numeric_summary, emotion_wide, persona_emotions,
         persona_base, most_common, term_stats, tfidf_terms, persona_top_terms,
         mutual_information, legend_colors, cluster_colors, nearest_in_persona, nearest_three,
-        nearest_in_blocks, high_conf_attributes, prompt_records, csv_table, published_dataset,
+        nearest_in_blocks, match_edges, silhouette_score, high_conf_attributes, prompt_records, csv_table, published_dataset,
         persona_index, cards_json, hashed_embeddings, feature_blocks, pca_2d, kmeans_clusters,
         svd_features, persona_features, persona_map, choose_k, permutation_importance, density_clusters,
     )

@@ -73,3 +73,12 @@ PROMPT_REQUEST = (
 PROMPT_SIMILARITY = "Nearest-sample similarity: "
 PROMPT_ATTRIBUTES = "Nearest-sample attributes (no text): "
 PROMPT_EMOTIONS = "Nearest-sample high-confidence emotions: "
+PROMPT_MESSAGE = "\n\nMessage: "
+
+# Headings of a persona's description.
+TRAITS_PERSONA = "Persona #"
+TRAITS_TITLE = " traits:"
+TRAITS_EMOTIONS = "\n- Typical emotions: "
+TRAITS_WORDS = "\n- Common words/phrases: "
+TRAITS_TONE = "\n- Overall tone tendency: "
+TRAITS_MISSING = " (no card found)"

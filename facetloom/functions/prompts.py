@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -22,7 +23,7 @@ def json_members(pairs: Sequence[tuple[str, Column, Column | None]]) -> Column:
     """JSON object from (key, value, keep) entries; entries not kept are absent."""
     members = []
     for key, value, keep in pairs:
-        member = F.concat(F.lit(f'"{key}": '), json_value(value))
+        member = F.concat(F.lit(f"{json.dumps(key, ensure_ascii=False)}: "), json_value(value))
         members.append(member if keep is None else F.when(keep, member))
     return F.concat(F.lit("{"), F.concat_ws(", ", *members), F.lit("}"))
 
@@ -72,15 +73,15 @@ def persona_traits(
         text = F.array_join(F.slice(F.coalesce(names, F.array().cast("array<string>")), 1, top), ", ")
         return F.when(text == "", "n/a").otherwise(text)
 
-    title = F.concat(F.lit("Persona #"), persona.cast("string"), F.lit(" traits:"))
+    title = F.concat(F.lit(C.TRAITS_PERSONA), persona.cast("string"), F.lit(C.TRAITS_TITLE))
     described = F.concat(
         title,
-        F.lit("\n- Typical emotions: "), listed(emotions, top_emotions),
-        F.lit("\n- Common words/phrases: "), listed(words, top_words),
-        F.lit("\n- Overall tone tendency: "), tone(avg_sentiment),
+        F.lit(C.TRAITS_EMOTIONS), listed(emotions, top_emotions),
+        F.lit(C.TRAITS_WORDS), listed(words, top_words),
+        F.lit(C.TRAITS_TONE), tone(avg_sentiment),
         F.lit("\n"),
     )
-    return F.when(has_card, described).otherwise(F.concat(title, F.lit(" (no card found)")))
+    return F.when(has_card, described).otherwise(F.concat(title, F.lit(C.TRAITS_MISSING)))
 
 
 def build_prompt(
@@ -108,7 +109,7 @@ def build_prompt(
         ),
     )
     request = F.concat(
-        context, F.lit("\n\nMessage: "), strip(user_text), F.lit("\n\n" + C.PROMPT_REQUEST)
+        context, F.lit(C.PROMPT_MESSAGE), strip(F.coalesce(user_text, F.lit(""))), F.lit("\n\n" + C.PROMPT_REQUEST)
     )
     return F.array(
         F.struct(F.lit("system").alias("role"), F.lit(C.PROMPT_SYSTEM).alias("content")),

@@ -34,10 +34,10 @@ def _pairs(slots: Sequence[tuple[str, str]]) -> Column:
     )
 
 
-def emotion_labels(df: DataFrame) -> list[str]:
+def emotion_labels(df: DataFrame, most: int = MAX_LABELS) -> list[str]:
     """The labels that occur with a confidence, in name order.
 
-    They are the classes of one model; a column with more than ``MAX_LABELS`` values is
+    They are the classes of one model; a column with more than ``most`` values is
     no label column and raises ValueError.
     """
     slots = emotion_slots(df)
@@ -49,11 +49,11 @@ def emotion_labels(df: DataFrame) -> list[str]:
         .select("emotion")
         .distinct()
         .orderBy("emotion")
-        .limit(MAX_LABELS + 1)
+        .limit(most + 1)
         .collect()
     )
-    if len(labels) > MAX_LABELS:
-        raise ValueError(f"more than {MAX_LABELS} emotion labels")
+    if len(labels) > most:
+        raise ValueError(f"more than {most} emotion labels")
     return [r["emotion"] for r in labels]
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,13 +20,11 @@ from facetloom.session import pin
 
 # Similarities equal to this many decimals are ties, whatever order they were summed in.
 TIE_DIGITS = 12
+NO_MATCH = "no row of the persona to match"
 BROADCAST_QUERIES = 4096
 QUERY_BLOCK = 4096
 ROW_BLOCK = 32768
 PAIR_BLOCK = 1 << 21
-_NO_ROW = np.iinfo("int64").max
-
-_FOUND = "query_id bigint, row_id bigint, similarity double"
 
 
 class _Best:
@@ -35,7 +33,7 @@ class _Best:
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int) -> None:
         self.ids, self.vectors, self.k = ids, vectors, k
         self.similarity = np.full((len(ids), 0), -np.inf)
-        self.rows = np.empty((len(ids), 0), dtype="int64")
+        self.rows: np.ndarray | None = None
 
     def add(self, rows: np.ndarray, vectors: np.ndarray) -> None:
         step = max(256, PAIR_BLOCK // max(1, len(self.ids)))
@@ -43,28 +41,41 @@ class _Best:
             part = slice(at, at + step)
             near = np.round(self.vectors @ vectors[part].T, TIE_DIGITS)
             near = np.concatenate([self.similarity, near], axis=1)
-            ids = np.concatenate(
-                [self.rows, np.broadcast_to(rows[part], (len(self.ids), len(rows[part])))], axis=1
-            )
+            ids = np.broadcast_to(rows[part], (len(self.ids), len(rows[part])))
+            ids = ids if self.rows is None else np.concatenate([self.rows, ids], axis=1)
+            # Ids of any type that has an order, by their place in it.
+            known, places = np.unique(ids, return_inverse=True)
+            ids = places.reshape(ids.shape)
             picked = []
             for _ in range(min(self.k, near.shape[1])):
                 top = near.max(axis=1, keepdims=True)
-                row = np.where(near == top, ids, _NO_ROW).min(axis=1, keepdims=True)
+                row = np.where(near == top, ids, len(known)).min(axis=1, keepdims=True)
                 picked.append((top, row))
                 near[(near == top) & (ids == row)] = -np.inf
             self.similarity = np.concatenate([top for top, _ in picked], axis=1)
-            self.rows = np.concatenate([row for _, row in picked], axis=1)
+            self.rows = known[np.concatenate([row for _, row in picked], axis=1)]
 
     def table(self) -> pd.DataFrame:
+        if self.rows is None:
+            return _nothing()
         return pd.DataFrame(
             {
-                "query_id": np.repeat(self.ids, self.rows.shape[1]),
-                "row_id": self.rows.ravel(),
+                "query_id": _as_is(np.repeat(self.ids, self.rows.shape[1])),
+                "row_id": _as_is(self.rows.ravel()),
                 "similarity": self.similarity.ravel(),
             }
         )
 
 
+def _as_is(values: np.ndarray) -> pd.Series:
+    """Values of any type, without a type that pandas would choose."""
+    return pd.Series(values.tolist(), dtype=object)
+
+
+def _nothing() -> pd.DataFrame:
+    return pd.DataFrame({"query_id": [], "row_id": [], "similarity": []}, dtype=object)
+
+
 def _matrix(vectors: pd.Series) -> np.ndarray:
     return np.stack([np.asarray(v, dtype="float64") for v in vectors])
 
@@ -73,22 +84,40 @@ def _match_broadcast(queries: DataFrame, index: DataFrame, k: int) -> DataFrame:
     """Every task compares its rows with the few queries and sends only their best."""
     few = queries.toPandas()
     groups = {
-        persona: (group["query_id"].to_numpy("int64"), _matrix(group["vector"]))
+        persona: (group["query_id"].to_numpy(), _matrix(group["vector"]))
         for persona, group in few.groupby("persona_id")
     }
     shared = queries.sparkSession.sparkContext.broadcast(groups)
     # The literal list of personas prunes the folders of the index.
-    wanted = index.where(F.col("persona_id").isin([int(p) for p in groups]))
+    values = [p.item() if hasattr(p, "item") else p for p in groups]
+    wanted = index.where(F.col("persona_id").isin(values))
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         best = {p: _Best(ids, vectors, k) for p, (ids, vectors) in shared.value.items()}
         for batch in batches:
             for persona, rows in batch.groupby("persona_id"):
-                best[persona].add(rows["row_id"].to_numpy("int64"), _matrix(rows["vector"]))
+                best[persona].add(rows["row_id"].to_numpy(), _matrix(rows["vector"]))
         for found in best.values():
             yield found.table()
 
-    return wanted.mapInPandas(search, _FOUND)
+    return wanted.mapInPandas(search, _found_schema(queries, index))
+
+
+def _found_schema(queries: DataFrame, index: DataFrame) -> T.StructType:
+    """Ids keep the types that they have in the two tables."""
+    return T.StructType(
+        [
+            T.StructField("query_id", queries.schema["query_id"].dataType),
+            T.StructField("row_id", index.schema["row_id"].dataType),
+            T.StructField("similarity", T.DoubleType()),
+        ]
+    )
+
+
+def finite(vector: Column) -> Column:
+    """Whether a vector is not null and all its components are numbers."""
+    good = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    return F.coalesce(good, F.lit(False))
 
 
 def _match_blocks(queries: DataFrame, index: DataFrame, k: int) -> DataFrame:
@@ -103,8 +132,10 @@ def _match_blocks(queries: DataFrame, index: DataFrame, k: int) -> DataFrame:
             F.ceil(F.count(F.lit(1)) / F.lit(size)).alias(name)
         )
 
-    counts = blocks(queries, QUERY_BLOCK, "_query_blocks").join(
-        blocks(index, ROW_BLOCK, "_row_blocks"), "persona_id"
+    counts = pin(
+        blocks(queries, QUERY_BLOCK, "_query_blocks").join(
+            blocks(index, ROW_BLOCK, "_row_blocks"), "persona_id"
+        )
     )
 
     def cut(table: DataFrame, key: str, own: str, other: str, own_at: str, other_at: str) -> DataFrame:
@@ -121,14 +152,14 @@ def _match_blocks(queries: DataFrame, index: DataFrame, k: int) -> DataFrame:
 
     def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
-            return pd.DataFrame({"query_id": [], "row_id": [], "similarity": []}).astype(
-                {"query_id": "int64", "row_id": "int64", "similarity": "float64"}
-            )
-        best = _Best(left["query_id"].to_numpy("int64"), _matrix(left["vector"]), k)
-        best.add(right["row_id"].to_numpy("int64"), _matrix(right["vector"]))
+            return _nothing()
+        best = _Best(left["query_id"].to_numpy(), _matrix(left["vector"]), k)
+        best.add(right["row_id"].to_numpy(), _matrix(right["vector"]))
         return best.table()
 
-    return asked.groupBy(*keys).cogroup(held.groupBy(*keys)).applyInPandas(meet, _FOUND)
+    return asked.groupBy(*keys).cogroup(held.groupBy(*keys)).applyInPandas(
+        meet, _found_schema(queries, index)
+    )
 
 
 def match(
@@ -143,27 +174,27 @@ def match(
     persona_id, vector``, with unit vectors. Every row of the persona is compared by inner
     product; the lowest row id wins ties. Few queries are broadcast, many are compared
     block by block; in both ways a task sends on its best ``k`` per query, not the pairs.
+
+    Ids and personas may be of any type that has an order. Index rows whose vector is null or
+    not finite are no candidates. A query without a persona, with such a vector, or
+    whose persona has no rows, stays with null ``row_id``, ``similarity`` and ``rank``.
     """
-    asked = queries.select(
-        F.col("query_id").cast("bigint").alias("query_id"), "persona_id", "vector"
-    ).where(F.col("persona_id").isNotNull() & F.col("vector").isNotNull())
-    asked = pin(asked)
-    held = index.select(
-        F.col("row_id").cast("bigint").alias("row_id"), "persona_id", "vector"
-    ).where(F.col("vector").isNotNull())
+    every = pin(queries.select("query_id", "persona_id", "vector"))
+    asked = every.where(F.col("persona_id").isNotNull() & finite(F.col("vector")))
+    held = index.select("row_id", "persona_id", "vector").where(finite(F.col("vector")))
     few = fits_broadcast(asked, broadcast_queries)
     found = (_match_broadcast if few else _match_blocks)(asked, held, k)
     if k == 1:
         best = found.groupBy("query_id").agg(
-            F.max_by(
-                F.struct("row_id", "similarity"), F.struct("similarity", -F.col("row_id"))
+            F.min_by(
+                F.struct("row_id", "similarity"), F.struct(-F.col("similarity"), F.col("row_id"))
             ).alias("b")
         )
         ranked = best.select("query_id", "b.row_id", "b.similarity", F.lit(1).alias("rank"))
     else:
         order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "row_id")
         ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return ranked.join(asked.select("query_id", "persona_id"), "query_id").select(
+    return every.select("query_id", "persona_id").join(ranked, "query_id", "left").select(
         "query_id", "persona_id", "row_id", "similarity", "rank"
     )
 
@@ -171,7 +202,7 @@ def match(
 def similarity_gate(df: DataFrame, threshold: float = C.SIMILARITY_MIN) -> DataFrame:
     """Clamp ``similarity`` to 0..1 and add ``used_attributes``."""
     return df.withColumn("similarity", clamp01(F.col("similarity"))).withColumn(
-        "used_attributes", F.col("similarity") >= threshold
+        "used_attributes", F.coalesce(F.col("similarity") >= threshold, F.lit(False))
     )
 
 
@@ -212,7 +243,9 @@ def match_records(
     matched row goes into the record. ``make_generator`` makes a function from prompts
     (JSON) to replies; without one ``reaction`` is null and ``error`` says so.
     """
-    near = similarity_gate(match(queries, index), threshold)
+    near = pin(similarity_gate(match(queries, index), threshold))
+    unmatched = near.where(F.col("row_id").isNull())
+    near = near.where(F.col("row_id").isNotNull())
     attributes = [c for c in index.columns if c not in (text, "vector")]
     slots = all(
         f"emo{i}_{part}" in index.columns
@@ -235,6 +268,13 @@ def match_records(
         P.attributes_json(attributes, text, min_confidence).alias("_attributes"),
         sure.alias("_sure"),
     )
+    described = described.unionByName(
+        unmatched.select(
+            "query_id", "persona_id", "row_id", "similarity", "used_attributes",
+            F.lit(None).cast("string").alias("_attributes"),
+            F.lit(None).cast(emotion_kind).alias("_sure"),
+        )
+    )
     asked = queries.select("query_id", F.col(text).alias("_asked"))
     shown = with_card_traits(described.join(asked, "query_id"), cards)
     used = F.col("used_attributes")
@@ -262,6 +302,7 @@ def match_records(
         prompted = prompted.withColumn("_reply", generate(F.to_json("prompt_preview")))
         reaction = F.col("_reply")
         error = F.when(reaction.isNull(), "generator failed")
+    error = F.when(F.col("row_id").isNull(), F.lit(NO_MATCH)).otherwise(error)
     return prompted.select(
         "query_id",
         "persona_id",

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from itertools import count
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -48,10 +49,16 @@ def crosstab(df: DataFrame, features: Sequence[str], cluster: str = "cluster") -
     )
 
 
+#: From here on the uniform expansion is exact to about 1e-9.
+LARGE_GAMMA = 1e5
+
+
 def _upper_gamma(a: float, x: float) -> float:
     """Regularised upper incomplete gamma function, by series or continued fraction."""
     if x <= 0:
         return 1.0
+    if a > LARGE_GAMMA:
+        return _upper_gamma_large(a, x)
     front = math.exp(a * math.log(x) - x - math.lgamma(a))
     if x < a + 1:
         term = total = 1.0 / a
@@ -65,15 +72,24 @@ def _upper_gamma(a: float, x: float) -> float:
     b = x + 1.0 - a
     c, d = 1.0 / tiny, 1.0 / b
     value = d
-    for i in range(1, 100_000):
+    for i in count(1):
         weight = -i * (i - a)
         b += 2.0
         d = 1.0 / (weight * d + b or tiny)
         c = b + weight / c or tiny
         value *= c * d
-        if abs(c * d - 1.0) < 1e-16:
-            break
-    return front * value
+        if abs(c * d - 1.0) < 1e-15:
+            return front * value
+
+
+def _upper_gamma_large(a: float, x: float) -> float:
+    """The same for large ``a``: the first two terms of the uniform expansion."""
+    mu = x / a - 1.0
+    eta = math.copysign(math.sqrt(2.0 * max(0.0, mu - math.log1p(mu))), mu)
+    # Near 0 the difference of the inverses is taken from its series.
+    first = -1 / 3 + eta / 12 - 2 * eta * eta / 135 if abs(mu) < 1e-3 else 1.0 / mu - 1.0 / eta
+    tail = 0.5 * math.erfc(eta * math.sqrt(a / 2.0))
+    return min(1.0, max(0.0, tail + math.exp(-a * eta * eta / 2.0) * first / math.sqrt(2.0 * math.pi * a)))
 
 
 @F.pandas_udf(T.DoubleType())
@@ -179,7 +195,7 @@ def chi_square(df: DataFrame, features: Sequence[str], cluster: str = "cluster")
         .select(
             "feature",
             "chi2",
-            dof.cast("int").alias("dof"),
+            dof.cast("bigint").alias("dof"),
             chi_square_tail("chi2", dof.cast("double")).alias("p_value"),
             v.alias("cramers_v"),
             effect.alias("effect"),
@@ -317,15 +333,20 @@ def exact_medians(df: DataFrame, columns: Sequence[str], cluster: str = "cluster
     return ranked.groupBy(*groups).agg(((at(lower) + at(upper)) / 2).alias("median"))
 
 
+def without_nan(value: Column) -> Column:
+    return F.when(~F.isnan(value), value)
+
+
 def numeric_summary(
     df: DataFrame, columns: Sequence[str], cluster: str = "cluster"
 ) -> DataFrame:
     """``cluster`` and ``<col>_mean, _std, _median, _min, _max`` per numeric column.
 
-    Sample standard deviation (null for one row), exact median, null cluster left out.
+    Sample standard deviation (null for one row), exact median, null cluster left out. NaN
+    counts as null.
     """
     numbers = df.where(F.col(cluster).isNotNull()).select(
-        F.col(cluster).alias("cluster"), *[F.col(c).cast("double").alias(c) for c in columns]
+        F.col(cluster).alias("cluster"), *[without_nan(F.col(c).cast("double")).alias(c) for c in columns]
     )
     stats = numbers.groupBy("cluster").agg(
         *[

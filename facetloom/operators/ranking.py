@@ -106,7 +106,7 @@ def permutation_importance(
     features: str = "features",
     repeats: int = 8,
     trees: int = 250,
-    depth: int = 5,
+    depth: int = 30,
     top: int = 30,
     seed: int = 42,
 ) -> DataFrame:

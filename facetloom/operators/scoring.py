@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from facetloom import constants as C
 from facetloom.functions import labels as L
 from facetloom.functions import text as X
-from facetloom.functions.text import sql_text
+from facetloom.functions.text import sql_text, strip
 from facetloom.operators.columns import with_settled
 from facetloom.operators.lookups import lookup
 from facetloom.operators.ordering import row_range
@@ -219,7 +219,7 @@ def score_sentiment(
     source, work = text, df
     if max_tokens is not None:
         source = "_cut"
-        words = F.split(F.col(text), r"\s+")
+        words = F.split(strip(F.col(text)), r"\s+")
         work = df.withColumn("_cut", F.array_join(F.slice(words, 1, max_tokens), " "))
     scored = score_labels(work, source, scorer, "_scores", missing)
     best = F.get(L.top_k_labels(F.col("_scores"), 1), F.lit(0))

@@ -26,6 +26,7 @@ from facetloom.operators.ordering import limit_then_filter
 from facetloom.operators.scoring import embed
 from facetloom.operators.terms import fit_tfidf
 from facetloom.schemas import CLUSTERED
+from facetloom.session import pin
 
 
 def map_clusters(
@@ -45,7 +46,8 @@ def map_clusters(
     first = limit_then_filter(df, limit, row_id) if limit else df
     if not limit and "is_genz" in df.columns:
         first = df.where(F.col("is_genz") == 1)
-    vectors = embed(first, "text", encoder, "_vector")
+    # Several passes follow; the encoder runs once.
+    vectors = pin(embed(first, "text", encoder, "_vector"))
     blocks = feature_blocks(vectors, "_vector").drop("_vector")
     reduced = reduce_pca(blocks, dimensions).drop("features")
     reduced = reduced.persist(StorageLevel.MEMORY_AND_DISK)

@@ -34,7 +34,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     )
     current = context.getCheckpointDir()
     if shared:
-        if current is None or not current.startswith(("file:" + shared, shared)):
+        plain = shared.rstrip("/").removeprefix("file://").removeprefix("file:")
+        if current is None or f"{plain}/" not in current:
             context.setCheckpointDir(shared)
         return shared
     if current:

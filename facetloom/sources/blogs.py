@@ -27,8 +27,7 @@ def list_blog_files(spark: SparkSession, directory: str) -> DataFrame:
         )
     except AnalysisException as error:
         raise FileNotFoundError(f"blog directory not found: {directory}") from error
-    parent = F.regexp_replace("path", r"/[^/]+$", "")
-    files = found.select("path", "content").where(parent.endswith(base))
+    files = found.select("path", "content")
     if files.select("path").isEmpty():
         raise FileNotFoundError(f"no .xml files under {directory}")
     return files

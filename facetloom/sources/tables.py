@@ -10,6 +10,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+# White space in fields is kept. A field without quotes and content is null, ``""`` is empty.
+_EXACT = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+_NO_VALUE = "\0"
+
+
 def read_csv(
     spark: SparkSession,
     path: str | list[str],
@@ -27,7 +32,8 @@ def read_csv(
     in ``null_values`` become null in every column.
     """
     raw = spark.read.csv(
-        path, header=True, quote='"', escape='"', multiLine=multi_line, inferSchema=False
+        path, header=True, quote='"', escape='"', multiLine=multi_line, inferSchema=False, **_EXACT,
+        nullValue=_NO_VALUE,
     )
 
     def cleaned(name: str):
@@ -41,8 +47,10 @@ def read_csv(
     for field in declared.fields:
         value = cleaned(field.name) if field.name in raw.columns else F.lit(None).cast("string")
         if isinstance(field.dataType, T.IntegralType):
-            # Whole numbers may be written as 1997.0.
-            value = value.try_cast("double").try_cast(field.dataType)
+            # Whole numbers may be written as 1997.0; other fractions are no whole numbers.
+            real = value.try_cast("double")
+            whole = F.when(real == F.floor(real), real.try_cast(field.dataType))
+            value = F.coalesce(value.try_cast(field.dataType), whole)
         elif not isinstance(field.dataType, T.StringType):
             value = value.try_cast(field.dataType)
         out.append(value.alias(field.name))
@@ -52,7 +60,9 @@ def read_csv(
 def write_csv(df: DataFrame, path: str, order_by: Sequence[str] = ()) -> None:
     """CSV with a header; ``order_by`` sorts the whole table over the part files."""
     ordered = df.orderBy(*order_by) if order_by else df
-    ordered.write.mode("overwrite").csv(path, header=True, quote='"', escape='"')
+    ordered.write.mode("overwrite").csv(
+        path, header=True, quote='"', escape='"', emptyValue='""', **_EXACT
+    )
 
 
 def read_parquet_if_any(spark: SparkSession, path: str) -> DataFrame | None:
