@@ -443,8 +443,8 @@ def match_edges(spark: SparkSession, sf: str) -> DataFrame:
         F.when(F.col("persona_id") == 9, "none").otherwise(persona).alias("persona_id"),
         "vector",
     )
-    found = matching.match(queries, rows).select("query_id", "persona_id", "row_id", "similarity")
-    return rounded(found, "similarity")
+    found = matching.match(queries, rows, keep_unmatched=True)
+    return rounded(found.select("query_id", "persona_id", "row_id", "similarity"), "similarity")
 
 
 def silhouette_score(spark: SparkSession, sf: str) -> DataFrame:

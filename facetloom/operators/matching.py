@@ -167,6 +167,7 @@ def match(
     index: DataFrame,
     k: int = 1,
     broadcast_queries: int = BROADCAST_QUERIES,
+    keep_unmatched: bool = False,
 ) -> DataFrame:
     """``query_id, persona_id, row_id, similarity, rank``: exact nearest rows in a persona.
 
@@ -177,7 +178,8 @@ def match(
 
     Ids and personas may be of any type that has an order. Index rows whose vector is null or
     not finite are no candidates. A query without a persona, with such a vector, or
-    whose persona has no rows, stays with null ``row_id``, ``similarity`` and ``rank``.
+    whose persona has no rows, has no match: with ``keep_unmatched`` it stays with null
+    ``row_id``, ``similarity`` and ``rank``, else it is left out.
     """
     every = pin(queries.select("query_id", "persona_id", "vector"))
     asked = every.where(F.col("persona_id").isNotNull() & finite(F.col("vector")))
@@ -194,7 +196,9 @@ def match(
     else:
         order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "row_id")
         ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return every.select("query_id", "persona_id").join(ranked, "query_id", "left").select(
+    return every.select("query_id", "persona_id").join(
+        ranked, "query_id", "left" if keep_unmatched else "inner"
+    ).select(
         "query_id", "persona_id", "row_id", "similarity", "rank"
     )
 
@@ -243,7 +247,7 @@ def match_records(
     matched row goes into the record. ``make_generator`` makes a function from prompts
     (JSON) to replies; without one ``reaction`` is null and ``error`` says so.
     """
-    near = pin(similarity_gate(match(queries, index), threshold))
+    near = pin(similarity_gate(match(queries, index, keep_unmatched=True), threshold))
     unmatched = near.where(F.col("row_id").isNull())
     near = near.where(F.col("row_id").isNotNull())
     attributes = [c for c in index.columns if c not in (text, "vector")]
