@@ -479,6 +479,20 @@ p AS (
     sum(n) OVER (PARTITION BY feature, value) AS c FROM cells),
 scores AS (SELECT feature, sum(n / t * ln(n * t / (r * c))) AS score FROM p GROUP BY feature)
 SELECT feature, round(score, 8) AS score, row_number() OVER (ORDER BY score DESC)::INT AS rank FROM scores""",
+    "vector_information": """
+WITH x AS (
+  SELECT label, unnest(embedding::DOUBLE[]) AS x, unnest(range(0, len(embedding))) AS i FROM embeddings
+  WHERE label IS NOT NULL
+), span AS (SELECT i, min(x) AS low, max(x) - min(x) AS width FROM x GROUP BY i
+), cells AS (
+  SELECT label, i, least(floor((x - low) * 10::DOUBLE / width), 9) AS value, count(*)::DOUBLE AS n
+  FROM x JOIN span USING (i) GROUP BY ALL
+), p AS (
+  SELECT i, n, sum(n) OVER (PARTITION BY i) AS t, sum(n) OVER (PARTITION BY i, label) AS r,
+    sum(n) OVER (PARTITION BY i, value) AS c FROM cells
+), scores AS (SELECT i, sum(n / t * ln(n * t / (r * c))) AS score FROM p GROUP BY i)
+SELECT 'dim_' || i AS feature, round(score, 8) AS score, row_number() OVER (ORDER BY score DESC, i)::INT AS rank
+FROM scores QUALIFY rank <= 30""",
     "legend_colors": f"""
 WITH sizes AS (SELECT CASE WHEN label = 3 THEN -1 ELSE label END AS cluster, count(*) AS count FROM embeddings GROUP BY 1),
 {_COLORS} SELECT cluster, count, color_name FROM legend""",

@@ -381,6 +381,13 @@ def mutual_information(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(scores, "score", digits=8)
 
 
+def vector_information(spark: SparkSession, sf: str) -> DataFrame:
+    """The positions of the embeddings that tell most of their label."""
+    names = [f"dim_{i}" for i in range(64)]
+    scores = ranking.vector_information(vectors(spark, sf), names, "label")
+    return rounded(scores, "score", digits=8)
+
+
 def legend_colors(spark: SparkSession, sf: str) -> DataFrame:
     """Embedding labels as clusters; label 3 stands for noise."""
     rows = table(spark, sf, "embeddings").select(
@@ -671,7 +678,7 @@ QUERIES: dict[str, Query] = {
         quality_report, model_scores, model_embeddings, numeric_block, categorical_block, cluster_sizes, crosstab, chi_square_tests,
         strongest_associations, value_profiles, numeric_summary, emotion_wide, persona_emotions,
         persona_base, most_common, term_stats, tfidf_terms, persona_top_terms,
-        mutual_information, legend_colors, cluster_colors, nearest_in_persona, nearest_three,
+        mutual_information, vector_information, legend_colors, cluster_colors, nearest_in_persona, nearest_three,
         nearest_in_blocks, match_edges, silhouette_score, high_conf_attributes, prompt_records, csv_table, published_dataset,
         persona_index, cards_json, hashed_embeddings, feature_blocks, pca_2d, kmeans_clusters,
         svd_features, persona_features, persona_map, choose_k, permutation_importance, density_clusters,

@@ -8,6 +8,7 @@ from collections.abc import Sequence
 
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -62,7 +63,54 @@ def mutual_information(
     The plug-in estimate over the values as they are; bin numeric columns first. Equal
     scores keep the order of ``features``.
     """
-    cells = crosstab(df, features, label)
+    return _most_informative(crosstab(df, features, label), [(c, c) for c in features], top)
+
+
+def vector_information(
+    df: DataFrame,
+    names: Sequence[str],
+    label: str = "persona_id",
+    features: str = "features",
+    bins: int = 10,
+    top: int = 30,
+) -> DataFrame:
+    """``feature, score, rank``: mutual information with the label of every vector position.
+
+    The range of each position is cut into ``bins`` equal parts; a constant position scores
+    0, and NaN is left out. One pass finds the ranges, another counts the cells in the tasks.
+    ``names`` holds a name per position; names may repeat, and equal scores keep their order.
+    """
+    rows = df.select(F.col(label).alias("cluster"), features).dropna()
+    if rows.isEmpty():
+        low = high = [0.0] * len(names)
+    else:
+        summary = Summarizer.metrics("min", "max").summary(F.col(features))
+        low, high = rows.select(summary.alias("s")).select("s.min", "s.max").first()
+    if len(names) != len(low):
+        raise ValueError("names must match the width of the feature vectors")
+    # One row per position of the vector.
+    spans = df.sparkSession.createDataFrame(
+        [(i, float(a), float(b - a)) for i, (a, b) in enumerate(zip(low, high, strict=True))],
+        "position int, low double, width double",
+    )
+    place = F.floor((F.col("x") - F.col("low")) * F.lit(float(bins)) / F.col("width"))
+    cells = (
+        rows.select("cluster", F.posexplode(vector_to_array(features)).alias("position", "x"))
+        .where(~F.isnan("x"))
+        .join(F.broadcast(spans), "position")
+        .select(
+            "cluster",
+            F.col("position").cast("string").alias("feature"),
+            F.when(F.col("width") > 0, F.least(place, F.lit(bins - 1))).otherwise(0).alias("value"),
+        )
+        .groupBy("cluster", "feature", "value")
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
+    return _most_informative(cells, [(str(i), name) for i, name in enumerate(names)], top)
+
+
+def _most_informative(cells: DataFrame, names: Sequence[tuple[str, str]], top: int) -> DataFrame:
+    """The ranking by the cells ``cluster, feature, value, n``; ``names`` pairs feature and name."""
     by_row = cells.groupBy("feature", "cluster").agg(F.sum("n").alias("row_n"))
     by_value = cells.groupBy("feature", "value").agg(F.sum("n").alias("value_n"))
     totals = by_row.groupBy("feature").agg(F.sum("row_n").alias("total"))
@@ -74,11 +122,13 @@ def mutual_information(
         .groupBy("feature")
         .agg(F.sum(n / total * F.ln(joint)).alias("score"))
     )
-    names = df.sparkSession.createDataFrame(
-        list(enumerate(features)), "position int, feature string"
+    listed = cells.sparkSession.createDataFrame(
+        [(i, *pair) for i, pair in enumerate(names)], "position int, feature string, name string"
     )
-    scored = F.broadcast(names).join(scores, "feature", "left").select(
-        "feature", "position", F.greatest(F.coalesce("score", F.lit(0.0)), F.lit(0.0)).alias("score")
+    scored = F.broadcast(listed).join(scores, "feature", "left").select(
+        F.col("name").alias("feature"),
+        "position",
+        F.greatest(F.coalesce("score", F.lit(0.0)), F.lit(0.0)).alias("score"),
     )
     return top_features(scored, top)
 

@@ -14,7 +14,6 @@ from facetloom import constants as C
 from facetloom.operators import clustering, profiles, ranking
 from facetloom.operators.cards import persona_cards, run_summary
 from facetloom.operators.columns import ensure_columns, select_categoricals, select_numerics
-from facetloom.operators.emotions import emotion_labels
 from facetloom.operators.features import (
     feature_blocks,
     persona_features,
@@ -37,11 +36,13 @@ def map_clusters(
     row_id: str = "row_id",
     dimensions: int = C.MAP_DIMENSIONS,
     keep: Sequence[str] = (),
+    density: float | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """The clustered table and its legend, from the rows of the cohort.
 
     ``limit`` takes the first rows before the cohort filter. ``keep`` names further
-    columns to carry, such as the row id.
+    columns to carry, such as the row id. With ``density``, the side of a cell, density clusters
+    over the two axes of the map take the place of the ``k`` clusters; noise is -1.
     """
     first = limit_then_filter(df, limit, row_id) if limit else df
     if not limit and "is_genz" in df.columns:
@@ -51,7 +52,13 @@ def map_clusters(
     blocks = feature_blocks(vectors, "_vector").drop("_vector")
     reduced = reduce_pca(blocks, dimensions).drop("features")
     reduced = reduced.persist(StorageLevel.MEMORY_AND_DISK)
-    placed = project_2d(clustering.kmeans(reduced, k))
+    if density is None:
+        placed = project_2d(clustering.kmeans(reduced, k))
+    else:
+        spread = [row_id] if row_id in reduced.columns else []
+        placed = clustering.density_clusters(
+            project_2d(reduced), ["x2d", "y2d"], density, spread_by=spread
+        )
     legend = cluster_legend(placed)
     colored = add_cluster_colors(placed, legend)
     table = ensure_columns(colored, CLUSTERED)
@@ -118,11 +125,7 @@ def discover_personas(
     chosen = clustering.choose_k(featured, kmax, restarts)
     assigned = clustering.assign_personas(featured, chosen)
     cards = persona_cards(assigned, fit_tfidf(df, text, min_df=min_df), row_id=row_id)
-    scores = ["sentiment_score", *[f"emotion_{label}" for label in emotion_labels(df)]]
-    categories = [c for c in C.PERSONA_CATEGORICAL if c in df.columns]
-    information = ranking.mutual_information(
-        ranking.binned(assigned, scores), [*categories, *scores]
-    )
+    information = ranking.vector_information(assigned, names)
     importance = ranking.permutation_importance(
         assigned, names, row_id=row_id, trees=trees, repeats=repeats
     )

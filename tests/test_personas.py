@@ -7,6 +7,7 @@ from collections import Counter
 import numpy as np
 import pytest
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from facetloom.operators import cards as K
@@ -257,6 +258,16 @@ def test_mutual_information(spark):
     assert [f[2] for f in found] == [1, 2, 3]
 
 
+def test_vector_information(spark):
+    rows = [(i % 4, Vectors.dense([float(i % 4), 7.0, float(i % 2)])) for i in range(80)]
+    df = spark.createDataFrame([*rows, (None, rows[0][1])], ["persona_id", "features"])
+    found = [tuple(r) for r in ranking.vector_information(df, ["same", "flat", "half"]).collect()]
+    assert [f[0] for f in found] == ["same", "half", "flat"]
+    assert [f[1] for f in found] == pytest.approx([math.log(4), math.log(2), 0.0])
+    empty = ranking.vector_information(df.limit(0), ["a", "b"]).collect()
+    assert [tuple(r) for r in empty] == [("a", 0.0, 1), ("b", 0.0, 2)]
+
+
 def test_permutation_importance(spark):
     rng = np.random.default_rng(3)
     noise = rng.normal(size=(200, 3))
@@ -305,6 +316,8 @@ def test_map_and_profiles(spark):
     rows = table.collect()
     assert len(rows) == 90 and {r["cluster"] for r in rows} == {0, 1}
     assert {r["cluster"]: r["count"] for r in key.collect()} == dict(Counter(r["cluster"] for r in rows))
+    dense, _ = personas.map_clusters(df, encoder, dimensions=5, density=10.0)
+    assert dense.columns == table.drop("row_id").columns and dense.agg({"cluster": "max"}).first()[0] <= 0
     profile = personas.profile_clusters(table.drop("row_id"), max_cardinality=20)
     tests = {r["feature"]: r for r in profile.tests.collect()}
     assert tests["top_emotion"]["p_value"] < 1e-6 and "text" not in tests
@@ -321,7 +334,8 @@ def test_discover_personas(spark, tmp_path):
     assert list(line) == ["source_csv", "n_rows", "n_personas", "silhouette", "feature_importance", "personas"]
     assert (line["n_rows"], line["n_personas"], line["source_csv"]) == (120, 2, "rows.csv")
     ranked = line["feature_importance"]
-    assert len(ranked["mutual_information_top30"]) >= 5
+    told = {r["feature"] for r in ranked["mutual_information_top30"]}
+    assert any(n.startswith("text_svd_") for n in told) and "top_emotion_joy" in told
     scores = [r["score"] for r in ranked["permutation_importance_top30"]]
     assert scores == sorted(scores, reverse=True)
     cards = {r["persona_id"]: r for r in read_cards(spark, path).collect()}
