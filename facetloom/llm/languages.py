@@ -22,6 +22,8 @@ from facetloom.llm.shingles import mix
 GRAM = 4
 #: Labelled documents of each language that the filter learns from (a documented bound).
 SAMPLE = 2000
+#: Tasks that share the ranking of one language; the last ranking sees ``SLICES * sample`` rows of it.
+SLICES = 64
 SLOT_BITS = 21
 PROBES = 3
 #: An n-gram belongs to a language if this share of its sampled documents has it, and at
@@ -93,11 +95,14 @@ def learn(docs: DataFrame, sample: int = SAMPLE) -> LanguageFilter:
         F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))
     )
     labelled = labelled.withColumn("at", F.xxhash64(F.lit("language"), "doc_id"))
-    # Only the smallest hashes of each task are shuffled.
-    first = Window.partitionBy("lang").orderBy("at")
+    # A language is ranked in slices of the hash first, which leave a bounded rest to rank whole.
+    sliced = Window.partitionBy("lang", "slice").orderBy("at")
+    whole = Window.partitionBy("lang").orderBy("at")
     limits = (
-        labelled.select("lang", "at")
-        .withColumn("rank", F.row_number().over(first))
+        labelled.select("lang", "at", F.pmod("at", F.lit(SLICES)).alias("slice"))
+        .withColumn("rank", F.row_number().over(sliced))
+        .where(F.col("rank") <= sample)
+        .withColumn("rank", F.row_number().over(whole))
         .where(F.col("rank") <= sample)
         .groupBy("lang")
         .agg(F.max("at").alias("last"), F.count(F.lit(1)).alias("docs"))
