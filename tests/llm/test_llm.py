@@ -510,6 +510,35 @@ def test_near_paragraphs_equal_brute_force(spark):
     assert not pairs or hit >= 0.95 * len(pairs)
 
 
+def test_planted_paragraphs_of_any_length_are_removed(spark):
+    """Exact and near copies of lines of 10 to 150 words, between lines of their own."""
+    made, rows, exact, near = random.Random(9), [], {}, {}
+    for i, n in enumerate(range(10, 151, 5)):
+        line = words(n, 1000 + i)
+        rows.append((i, f"{words(40, 2000 + i)}\n{line}\n{words(30, 3000 + i)}"))
+        rows.append((100 + i, f"{words(35, 4000 + i)}\n{line}\n{words(45, 5000 + i)}"))
+        exact[100 + i] = n
+        copy = line.split()
+        # A changed word in the middle is in five shingles; from 50 words on the copy is near enough.
+        copy[made.choice([0, n - 1]) if n < 50 else n // 2] = "changed"
+        if jaccard(text_shingles(line), text_shingles(" ".join(copy))) >= 0.8:
+            rows.append((200 + i, f"{words(33, 6000 + i)}\n{' '.join(copy)}\n{words(41, 7000 + i)}"))
+            near[200 + i] = n
+    got = {r["doc_id"]: r for r in paragraphs.removed_paragraphs(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[i]["n_words_removed"] == n and got[i]["class_id"] == i - 100 for i, n in exact.items())
+    assert len(near) >= 20 and sum(got[i]["n_words_removed"] >= n for i, n in near.items()) >= 0.95 * len(near)
+
+
+def test_runs_reach_the_ends_of_the_passage(spark):
+    passage = words(60, 31)
+    rows = [(i, f"{words(50, 400 + i)} {passage} {words(50, 500 + i)}") for i in range(8)]
+    got = {r["doc_id"]: r for r in paragraphs.removed_paragraphs(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[0]["n_words_removed"] == 0
+    # A chunk over the border that is nearly equal goes whole, with a word or two beyond.
+    assert all(60 <= got[i]["n_words_removed"] <= 64 for i in range(1, 8))
+    assert not any(passage.split()[0] in paragraphs.without_paragraphs(t, got[i]["removed"]) for i, t in rows[1:])
+
+
 def test_bands():
     bands, rows = paragraphs.bands_for(0.8, 0.99)
     assert 1 - (1 - 0.8**rows) ** bands >= 0.99 and bands <= paragraphs.MAX_BANDS
