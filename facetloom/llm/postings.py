@@ -1,14 +1,16 @@
 """Approximate nearest neighbours over balanced posting lists.
 
 Vectors are dealt to the lists of their nearest centroids; a vector near a boundary goes to
-several lists. The centroids are searched through a neighbour graph in memory, the distance
-ratio to the nearest centroid selects the lists of a query, and their vectors are
-compared exactly. Long lists are cut into blocks, so no list has to fit one task.
+several lists. The centroids are searched through a neighbour graph in memory. How many lists a
+query reads is measured on the table: some queries are compared with all vectors, and the ranks of
+the lists that hold their neighbours tell how many reach the recall. The vectors of these
+lists are compared exactly. Long lists are cut into blocks, so no list has to fit one task.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,9 +29,10 @@ LIST = 100
 #: A vector also goes to lists whose centroid is at most this much farther than the nearest.
 BOUNDARY = 1.10
 COPIES = 3
-#: A query reads the lists within this ratio of the nearest centroid, at least and at most so many.
-RATIO = 1.25
-LEAST, MOST = 24, 96
+#: A query reads as many lists as give the measured queries (at most so many) this recall, and so many at least.
+RECALL = 0.95
+MEASURED = 100
+LEAST = 24
 NEIGHBOURS = 16
 BLOCK = 4096
 TOP = 10
@@ -45,9 +48,10 @@ class Centroids:
 
     def nearest(self, vector: np.ndarray, n: int) -> list[tuple[float, int]]:
         """Best-first search in the graph: up to ``n`` (distance, number), nearest first."""
-        far = np.linalg.norm(self.vectors - vector, axis=1) if len(self.vectors) <= n else None
-        if far is not None:
-            return sorted(zip(far.tolist(), range(len(far)), strict=True))
+        if len(self.vectors) <= 8 * n:
+            far = np.linalg.norm(self.vectors - vector, axis=1)
+            order = np.argsort(far, kind="stable")[:n]
+            return list(zip(far[order].tolist(), order.tolist(), strict=True))
         # Entry points spread over the centroids, then the best open one first.
         entries = np.unique(np.linspace(0, len(self.vectors) - 1, 16).astype(int))
         seen = set(entries.tolist())
@@ -167,6 +171,84 @@ def _best(found: pd.DataFrame, top: int) -> pd.DataFrame:
     return order.groupby("query_id", sort=False).head(top)
 
 
+def _nearest_of_all(rows: DataFrame, asked: DataFrame, top: int) -> pd.DataFrame:
+    """query_id, vec_id, score: the nearest of few queries among all rows."""
+    queries = asked.toPandas()
+    shared = rows.sparkSession.sparkContext.broadcast(
+        (queries["vec_id"].to_numpy(), _matrix(queries["embedding"]))
+    )
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids, points = shared.value
+        best = None
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            own, there = pdf["vec_id"].to_numpy(), _matrix(pdf["embedding"])
+            for low in range(0, len(own), 2048):
+                part = own[low : low + 2048]
+                square = _distances(points, there[low : low + 2048])
+                found = pd.DataFrame(
+                    {
+                        "query_id": np.repeat(ids, len(part)),
+                        "vec_id": np.tile(part, len(ids)),
+                        "score": np.sqrt(square).reshape(-1),
+                    }
+                )
+                found = found[found["query_id"] != found["vec_id"]]
+                best = _best(found if best is None else pd.concat([best, found]), top)
+        if best is not None:
+            yield best
+
+    schema = "query_id long, vec_id long, score double"
+    parts = rows.mapInPandas(compare, schema)
+    return parts.groupBy("query_id").applyInPandas(lambda pdf: _best(pdf, top), schema).toPandas()
+
+
+def lists_to_read(rows: DataFrame, lists: DataFrame, centroids: Centroids, every: int, top: int) -> int:
+    """How many lists give the measured queries the recall ``RECALL``.
+
+    A neighbour is found in the first list of the query's order that holds it; the quantile of
+    these ranks is where the number starts, and it grows until the search finds as much.
+    """
+    spark, k = rows.sparkSession, len(centroids.vectors)
+    if k <= LEAST:
+        return k
+    asked = (
+        rows.where(F.col("vec_id") % every == 0)
+        .dropDuplicates(["vec_id"])
+        .orderBy(F.xxhash64(F.lit("measured"), "vec_id"), "vec_id")
+        .limit(MEASURED)
+    )
+    asked = pin(asked)
+    near = _nearest_of_all(rows, asked, top)
+    if not len(near):
+        return LEAST
+    ids = spark.createDataFrame([(int(i),) for i in near["vec_id"].unique()], "vec_id long")
+    held = lists.join(F.broadcast(ids), "vec_id").select("vec_id", "list").distinct().toPandas()
+    places = held.groupby("vec_id")["list"].apply(lambda x: x.to_numpy()).to_dict()
+    wanted = [
+        (np.asarray(vector, dtype=float), [places[i] for i in near.loc[near["query_id"] == query, "vec_id"]])
+        for query, vector in asked.collect()
+    ]
+    ranks = []
+    for vector, own in wanted:
+        rank = np.empty(k, dtype=np.int64)
+        rank[np.argsort(np.linalg.norm(centroids.vectors - vector, axis=1), kind="stable")] = np.arange(k)
+        ranks += [int(rank[p].min()) for p in own]
+    n = min(k, max(LEAST, sorted(ranks)[math.ceil(RECALL * len(ranks)) - 1] + 1))
+    # The graph can miss lists that are near, so what it finds is measured too.
+    while n < k:
+        hits = 0
+        for vector, own in wanted:
+            read = [at for _, at in centroids.nearest(vector, n)]
+            hits += sum(bool(np.isin(p, read).any()) for p in own)
+        if hits >= RECALL * len(ranks):
+            break
+        n = min(k, math.ceil(1.25 * n))
+    return n
+
+
 def search(vectors: DataFrame, every: int = QUERY_EVERY, top: int = TOP) -> DataFrame:
     """The ``top`` nearest vectors of each vector whose id is divisible by ``every``.
 
@@ -184,6 +266,7 @@ def search(vectors: DataFrame, every: int = QUERY_EVERY, top: int = TOP) -> Data
     dealt, centroids = build_lists(rows, n_rows)
     lists = pin(dealt)
     sizes = dict(lists.groupBy("list").count().collect())
+    n_lists = lists_to_read(rows, lists, centroids, every, top)
     shared = spark.sparkContext.broadcast((centroids, sizes))
 
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -191,8 +274,7 @@ def search(vectors: DataFrame, every: int = QUERY_EVERY, top: int = TOP) -> Data
         for pdf in batches:
             out = []
             for query, vector in zip(pdf["vec_id"], pdf["embedding"], strict=True):
-                ranked = known.nearest(np.asarray(vector, dtype=float), MOST)
-                kept = [at for i, (far, at) in enumerate(ranked) if i < LEAST or far <= RATIO * ranked[0][0]]
+                kept = [at for _, at in known.nearest(np.asarray(vector, dtype=float), n_lists)]
                 if sum(many.get(at, 0) for at in kept) <= COPIES * (top + 1):
                     kept = range(len(known.vectors))
                 for at in kept:
@@ -217,9 +299,13 @@ def search(vectors: DataFrame, every: int = QUERY_EVERY, top: int = TOP) -> Data
         out = []
         for query, vector in zip(asked["query_id"], asked["vector"], strict=True):
             far = np.sqrt(((there - np.asarray(vector, dtype=np.float64)) ** 2).sum(1))
-            found = pd.DataFrame({"query_id": query, "vec_id": ids, "score": far})
-            out.append(_best(found[found["vec_id"] != query], top))
-        return pd.concat(out)
+            order = np.lexsort((ids, far))
+            order = order[ids[order] != query]
+            first = np.sort(np.unique(ids[order], return_index=True)[1])
+            order = order[first[:top]]
+            out.append((np.full(len(order), query), ids[order], far[order]))
+        columns = [np.concatenate(c) for c in zip(*out, strict=True)]
+        return pd.DataFrame(dict(zip(["query_id", "vec_id", "score"], columns, strict=True)))
 
     found = (
         queries.groupBy("list", "block")

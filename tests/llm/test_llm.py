@@ -411,6 +411,20 @@ def test_recall_on_the_embeddings(spark):
     assert hits >= 0.9 * len(got) and len(got) == 10 * (held.vec_id % 100 == 0).sum()
 
 
+def test_recall_with_many_lists(spark, monkeypatch):
+    """The lists that are read grow with the number of lists."""
+    monkeypatch.setattr(postings, "LIST", 8)
+    matrix = np.random.default_rng(3).normal(size=(6000, 32))
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(matrix)], "vec_id long, embedding array<double>")
+    got = postings.search(frame).toPandas()
+    hits = 0
+    for query, own in got.groupby("query_id"):
+        far = np.sqrt(((matrix - matrix[query]) ** 2).sum(1))
+        far[query] = np.inf
+        hits += len(set(np.argsort(far)[:10].tolist()) & set(own.vec_id))
+    assert len(got) == 600 and hits >= 0.9 * len(got)
+
+
 # 7: mixing.
 
 
