@@ -35,7 +35,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeat the documents of smaller sources; none is left out."""
-    return mixing.mixed_rows(docs)
+    return mixing.mixed_rows(docs, tokenizer_path=tokenizer_path())
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

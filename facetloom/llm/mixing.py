@@ -10,12 +10,14 @@ partial epoch up to its budget.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from facetloom.llm.groups import whole_row
+from facetloom.llm.groups import small_batches, whole_row
+from facetloom.llm.packing import WordIds
 from facetloom.operators.lookups import lookup
 from facetloom.session import pin
 
@@ -176,6 +178,24 @@ def mix_documents(docs: DataFrame, repetitions: float = REPETITIONS) -> DataFram
     )
 
 
-def mixed_rows(docs: DataFrame, repetitions: float = REPETITIONS) -> DataFrame:
-    """The rows of ``docs`` as often as the mix sees them; all columns as they were."""
-    return mix(docs, repetitions=repetitions).select("_row.*")
+def mixed_rows(
+    docs: DataFrame, repetitions: float = REPETITIONS, tokenizer_path: str | None = None
+) -> DataFrame:
+    """The rows of ``docs`` as often as the mix sees them; all columns as they were.
+
+    With a tokenizer, sources are weighed by its ids, counted once per document.
+    """
+    if tokenizer_path is None:
+        return mix(docs, repetitions=repetitions).select("_row.*")
+
+    @F.pandas_udf("long")
+    def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        ids = WordIds(tokenizer_path)
+        for texts in batches:
+            yield pd.Series([len(ids.ids(t)) // 4 if t else 0 for t in texts], dtype="int64")
+
+    rows = small_batches(docs).select(
+        whole_row(docs).alias("whole"), "doc_id", "source", F.md5("text").alias("tie"), count("text").alias("n_tokens")
+    )
+    mixed = mix(pin(rows), F.col("n_tokens"), F.col("tie"), repetitions)
+    return mixed.select("_row.whole.*")

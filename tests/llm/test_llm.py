@@ -445,6 +445,20 @@ def test_mix_odd_rows(odd):
     assert mixing.mixed_rows(odd).columns == odd.columns
 
 
+def test_the_stage_weighs_sources_by_token_ids(spark):
+    """Lines, blanks and indentation do not make a source look small or large."""
+    texts = {"lines": "\n".join(["word"] * 60), "blanks": " ".join(["word"] * 60), "indented": "word " + " " * 400 + " word" * 59}
+    rows = [(i, text, source) for k, (source, text) in enumerate(texts.items()) for i in range(1000 * k, 1000 * k + 40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    ids = packing.WordIds(tokenizer_path())
+    size = {source: 40 * len(ids.ids(text)) // 4 for source, text in texts.items()}
+    got = {r["source"]: r["count"] for r in corpus_pipeline.source_mix(spark, docs, SF).groupBy("source").count().collect()}
+    top, least = max(size.values()), min(size.values())
+    exponent = max(0.0, 1 - np.log(1.5) / np.log(top / least))
+    for source, n in size.items():
+        assert got[source] == pytest.approx(40 * (n / top) ** (exponent - 1), abs=1.01)
+
+
 def test_exponent_for_an_entropy(spark):
     sources = spark.createDataFrame([("a", 100), ("b", 10), ("c", 1)], "_source string, tokens long")
     exponent = mixing.fit_exponent(sources, entropy=0.9)
