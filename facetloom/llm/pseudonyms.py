@@ -41,6 +41,8 @@ _PATTERN = re.compile(
     r"|(?<![\w./])\d{1,2}(?P<mark>[./])\d{1,2}(?P=mark)\d{4}(?!\d|[./]\d))"
 )
 
+_GROUP = re.compile(r"[0-9A-Za-z]+")
+
 
 class Permutation:
     """A keyed permutation of ``range(size)`` for any size, and its inverse."""
@@ -148,7 +150,7 @@ class Pseudonymizer:
     def phone(self, text: str) -> str | None:
         """The country code (before the first gap, or one digit of eleven) stays."""
         digits = re.sub(r"\D", "", text)
-        if not 9 <= len(digits) <= 15:
+        if not 9 <= len(digits) <= 15 or (re.match(r"\+1[ .(-]", text) and len(digits) > 11):
             return None
         code = re.match(r"\+(\d{1,3})(?=[ .(-])", text)
         own = len(code[1]) if code else (1 if text[0] == "+" else 0)
@@ -204,15 +206,58 @@ class Pseudonymizer:
         """The text with pseudonyms, and the kinds that were replaced, in order."""
         kinds: list[str] = []
 
-        def one(match: re.Match) -> str:
-            kind = match.lastgroup if match.lastgroup != "mark" else "date"
-            made = getattr(self, kind)(match[0])
+        out, at = [], 0
+        while match := _PATTERN.search(text, at):
+            start, end, kind, made = match.start(), *self._first_valid(match)
             if made is None:
-                return match[0]
+                # No value begins here; one may begin at a later group of the match.
+                later = _GROUP.search(text, start + 1, match.end())
+                while later and text[later.start() - 1].isalnum():
+                    later = _GROUP.search(text, later.end(), match.end())
+                found = self._inside(text, later.start(), match.end()) if later else None
+                if found is None:
+                    out.append(text[at : match.end()])
+                    at = match.end()
+                    continue
+                start, end, kind, made = found
+            out += [text[at:start], made]
             kinds.append(kind)
-            return made
-
-        return _PATTERN.sub(one, text), kinds
+            at = end
+        return "".join(out) + text[at:], kinds
+
+    def _made(self, match: re.Match | None) -> tuple[str, str | None]:
+        if match is None:
+            return "", None
+        kind = match.lastgroup if match.lastgroup != "mark" else "date"
+        return kind, getattr(self, kind)(match[0])
+
+    def _first_valid(self, match: re.Match) -> tuple[int, str, str | None]:
+        """End, kind and pseudonym of the longest valid value that begins with the match, ending at a group."""
+        kind, made = self._made(match)
+        if made is not None:
+            return match.end(), kind, made
+        return self._shorter(match.string, match.start(), match.end() - 1)
+
+    def _shorter(self, text: str, start: int, last: int) -> tuple[int, str, str | None]:
+        ends = [m.end() for m in _GROUP.finditer(text, start, last + 1) if m.end() <= last]
+        for end in reversed(ends):
+            if end < len(text) and text[end].isalnum():
+                continue
+            kind, made = self._made(_PATTERN.fullmatch(text[start:end]))
+            if made is not None:
+                return end, kind, made
+        return last, "", None
+
+    def _inside(self, text: str, start: int, end: int) -> tuple[int, int, str, str] | None:
+        """The first valid value that begins at a group between the two places."""
+        for group in _GROUP.finditer(text, start, end):
+            match = _PATTERN.match(text, group.start())
+            to, kind, made = self._first_valid(match) if match else (end, "", None)
+            if made is None:
+                to, kind, made = self._shorter(text, group.start(), end)
+            if made is not None:
+                return group.start(), to, kind, made
+        return None
 
 
 def pseudonymize(docs: DataFrame, column: str = "text", key: bytes = KEY) -> DataFrame:

@@ -373,6 +373,22 @@ def test_pseudonyms_link_documents(spark):
     assert got[3]["text"] is None and got[3]["n_values"] == 0 and got[4]["text"] == "clean text"
 
 
+@pytest.mark.parametrize(
+    "before, value, after",
+    [
+        ("", "4111 1111 1111 1111", " 123"), ("", "4111 1111 1111 1111", " 12/27"), ("", "4111 1111 1111 1111", " 5 items"),
+        ("order 12 ", "4111 1111 1111 1111", ""), ("no 7-", "4111-1111-1111-1111", "-99"), ("", "+1 663 555 6869", " 2024"),
+        ("", "+44 20 7946 0958", " 2024"), ("", "+1 (663) 555-6869", " 17"),
+        ("1 2 3 4 5 6 7 ", "4111 1111 1111 1111", ""),
+    ],
+)
+def test_values_between_other_numbers(before, value, after):
+    maker = pseudonyms.Pseudonymizer()
+    alone, kinds = maker.replace(value)
+    assert len(kinds) == 1 and alone != value
+    assert maker.replace(before + value + after) == (before + alone + after, kinds)
+
+
 # 6: nearest vectors.
 
 
