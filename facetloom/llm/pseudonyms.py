@@ -8,9 +8,11 @@ values get equal pseudonyms in every document, and the key gives the values back
 from __future__ import annotations
 
 import datetime
+import functools
 import hashlib
 import math
 import re
+import unicodedata
 from collections.abc import Callable
 
 import pandas as pd
@@ -28,9 +30,10 @@ _AREAS = [a for a in range(1, 900) if a != 666]
 _CLASSES = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
 
 _PATTERN = re.compile(
-    r"(?P<email>(?<![\w.+-])[A-Za-z0-9_%+-]+(?:\.[A-Za-z0-9_%+-]+)*@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,})"
+    r"(?P<email>(?<![\w.+-])[\w%+-]+(?:\.[\w%+-]+)*@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,})"
     r"|(?P<secret>(?<![0-9A-Za-z])(?:[0-9a-f]{32,64}|[0-9A-F]{32,64})(?![0-9A-Za-z]))"
-    r"|(?P<iban>(?<![0-9A-Za-z])[A-Z]{2}\d{2}[A-Z0-9]{11,30}(?![0-9A-Za-z]))"
+    r"|(?P<iban>(?<![0-9A-Za-z])[A-Z]{2}\d{2}"
+    r"(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)(?![0-9A-Za-z]))"
     r"|(?P<phone>(?<![\w+])(?:\+\d{1,3}[ .-]?)?\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}(?!\d)"
     r"|(?<![\w+])\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\d)"
     r"|(?<![\w.+-])\d{3}-\d{3}-\d{4}(?![\d-]))"
@@ -41,6 +44,10 @@ _PATTERN = re.compile(
     r"|(?<![\w./])\d{1,2}(?P<mark>[./])\d{1,2}(?P=mark)\d{4}(?!\d|[./]\d))"
 )
 
+#: The forms in which cards are printed; they go before groups of other lengths.
+_PRINTED = re.compile(
+    r"(?<![0-9A-Za-z])(?:\d{4}([ -])\d{4}\1\d{4}\1\d{4}|\d{4}([ -])\d{6}\2\d{5}|\d{13,19})(?![0-9A-Za-z])"
+)
 _GROUP = re.compile(r"[0-9A-Za-z]+")
 
 
@@ -93,6 +100,22 @@ def iban_digits(country: str, body: str) -> str:
     return f"{98 - number % 97:02d}"
 
 
+@functools.cache
+def _letters_like(c: str) -> str | None:
+    """The letters of the same kind on the same page of Unicode as a letter beyond ASCII."""
+    if c.isascii() or not c.isalnum():
+        return None
+    page, kind = ord(c) & ~0xFF, unicodedata.category(c)
+    return "".join(x for x in map(chr, range(page, page + 256)) if not x.isascii() and x.isalnum() and unicodedata.category(x) == kind)
+
+
+@functools.cache
+def _late_days() -> tuple[list[int], dict[int, int]]:
+    """The days after the twelfth of a month, counted from the first day, and their places."""
+    days = [d for d in range(_DAYS[1] - _DAYS[0] + 1) if datetime.date.fromordinal(d + _DAYS[0]).day > 12]
+    return days, {d: i for i, d in enumerate(days)}
+
+
 def _refill(shape: str, chars: str) -> str:
     """``chars`` in the places of the digits of ``shape``."""
     rest = iter(chars)
@@ -117,7 +140,7 @@ class Pseudonymizer:
 
     def _by_class(self, name: str, text: str) -> str:
         """Digits, small and capital letters stay such; other characters stay."""
-        kinds = [next((k for k in _CLASSES if c in k), None) for c in text]
+        kinds = [next((k for k in _CLASSES if c in k), None) or _letters_like(c) for c in text]
         value, size = 0, 1
         for c, kind in zip(text, kinds, strict=True):
             if kind:
@@ -141,11 +164,13 @@ class Pseudonymizer:
         return made if text == text.lower() else made.upper()
 
     def iban(self, text: str) -> str | None:
-        country, body = text[:2], text[4:]
-        if iban_digits(country, body) != text[2:4]:
+        plain = text.replace(" ", "")
+        country, body = plain[:2], plain[4:]
+        if not 11 <= len(body) <= 30 or iban_digits(country, body) != plain[2:4]:
             return None
         body = self._by_class("iban" + country, body)
-        return country + iban_digits(country, body) + body
+        rest = iter(country + iban_digits(country, body) + body)
+        return "".join(c if c == " " else next(rest) for c in text)
 
     def phone(self, text: str) -> str | None:
         """The country code (before the first gap, or one digit of eleven) stays."""
@@ -183,9 +208,13 @@ class Pseudonymizer:
         return ".".join(map(str, value.to_bytes(4, "big")))
 
     def date(self, text: str) -> str | None:
-        """A day of 1900 to 2099; ``/`` has the month first, ``.`` the day."""
+        """A day of 1900 to 2099; ``.`` has the day first, ``/`` the month, or the day where that is no date.
+
+        A day-first date with ``/`` gets a day after the twelfth too, so that it is still read that way.
+        """
         a, b, c = map(int, re.split(r"[-./]", text))
-        year, month, day = (a, b, c) if "-" in text else (c, a, b) if "/" in text else (c, b, a)
+        day_first = "/" in text and a > 12
+        year, month, day = (a, b, c) if "-" in text else (c, a, b) if "/" in text and not day_first else (c, b, a)
         try:
             at = datetime.date(year, month, day).toordinal() - _DAYS[0]
         except ValueError:
@@ -193,12 +222,17 @@ class Pseudonymizer:
         size = _DAYS[1] - _DAYS[0] + 1
         if not 0 <= at < size:
             return None
-        new = datetime.date.fromordinal(self._move("date", at, size) + _DAYS[0])
+        if day_first:
+            days, places = _late_days()
+            moved = days[self._move("date/", places[at], len(days))]
+        else:
+            moved = self._move("date", at, size)
+        new = datetime.date.fromordinal(moved + _DAYS[0])
         if "-" in text:
             return new.isoformat()
         mark = "/" if "/" in text else "."
         short = min(len(p) for p in text.split(mark)[:2]) < 2
-        first, second = (new.month, new.day) if mark == "/" else (new.day, new.month)
+        first, second = (new.month, new.day) if mark == "/" and not day_first else (new.day, new.month)
         width = 1 if short else 2
         return f"{first:0{width}d}{mark}{second:0{width}d}{mark}{new.year}"
 
@@ -208,6 +242,13 @@ class Pseudonymizer:
 
         out, at = [], 0
         while match := _PATTERN.search(text, at):
+            card = _PRINTED.search(text, match.start()) if match.lastgroup == "card" else None
+            if card and card.start() < match.end() and (made := self.card(card[0])):
+                head, before = self.replace(text[match.start() : card.start()])
+                out += [text[at : match.start()], head, made]
+                kinds += [*before, "card"]
+                at = card.end()
+                continue
             start, end, kind, made = match.start(), *self._first_valid(match)
             if made is None:
                 # No value begins here; one may begin at a later group of the match.

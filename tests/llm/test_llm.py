@@ -389,6 +389,19 @@ def test_values_between_other_numbers(before, value, after):
     assert maker.replace(before + value + after) == (before + alone + after, kinds)
 
 
+@pytest.mark.parametrize(
+    "value, kind",
+    [
+        ("DE89 3704 0044 0532 0130 00", "iban"), ("ES91 2100 0418 4502 0005 1332", "iban"), ("25/12/1985", "date"), ("31/1/1985", "date"),
+        ("josé@x.com", "email"), ("李雷@example.com", "email"),
+    ],
+)
+def test_other_forms_and_back(value, kind):
+    text, kinds = pseudonyms.Pseudonymizer().replace(f"at {value} PAGO")
+    assert kinds == [kind] and value not in text and text.startswith("at ") and text.endswith(" PAGO")
+    assert pseudonyms.Pseudonymizer(back=True).replace(text)[0] == f"at {value} PAGO"
+
+
 # 6: nearest vectors.
 
 
