@@ -19,7 +19,7 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Leave out documents without a known language: null texts and texts without a letter."""
+    """Leave out documents without a known language: no text, no letter, or no n-gram of a learned one."""
     return languages.keep_known(docs)
 
 

@@ -31,6 +31,8 @@ PROBES = 3
 MIN_SHARE = 0.002
 CONTRAST = 0.25
 UNKNOWN = "und"
+#: Standard deviations of the share of false positives that a share must exceed to be evidence.
+EVIDENCE = 3.0
 
 
 @dataclass
@@ -159,11 +161,20 @@ def shares(text: str, model: LanguageFilter, wrong: np.ndarray) -> np.ndarray:
     return np.clip((hits / len(hashes) - wrong) / (1 - wrong), 0, 1)
 
 
-def predict(docs: DataFrame, model: LanguageFilter) -> DataFrame:
+def is_evidence(text: str, share: float, wrong: float) -> bool:
+    """Whether false positives of the filter do not explain a corrected share."""
+    if share <= 0:
+        return False
+    different = len(np.unique(gram_hashes(text)))
+    return share * (1 - wrong) > EVIDENCE * np.sqrt(wrong * (1 - wrong) / different)
+
+
+def predict(docs: DataFrame, model: LanguageFilter, strict: bool = False) -> DataFrame:
     """Add ``lang_pred`` and ``score``, from the text alone.
 
     A null text, one without a letter, or an empty filter gives ``und`` with score 0. Of
-    equal shares the language with more learned documents wins, then the smaller name.
+    equal shares the language with more learned documents wins, then the smaller name. With ``strict``
+    a text whose share is zero or no more than false positives give is ``und`` too.
     """
     shared = docs.sparkSession.sparkContext.broadcast((model, model.false_positives()))
 
@@ -177,6 +188,9 @@ def predict(docs: DataFrame, model: LanguageFilter) -> DataFrame:
                 continue
             share = shares(text, known, wrong)
             best = int(np.argmax(share))
+            if strict and not is_evidence(text, share[best], wrong[best]):
+                out.append((UNKNOWN, 0.0))
+                continue
             out.append((known.languages[best], float(share[best])))
         return pd.DataFrame(out, columns=["lang_pred", "score"])
 
@@ -197,7 +211,12 @@ def language_id(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
 
 
 def keep_known(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """The documents whose language is known; all their columns stay as they are."""
+    """The documents whose language is known; all their columns stay as they are.
+
+    If no language was learned, the documents with a letter are kept.
+    """
     model = learn(docs, sample)
-    judged = predict(docs.select(whole_row(docs).alias("_row"), "text"), model)
-    return judged.where(F.col("lang_pred") != UNKNOWN).select("_row.*")
+    rows = docs.select(whole_row(docs).alias("_row"), "text")
+    if not model.languages:
+        return rows.where(F.udf(has_letter, "boolean")("text")).select("_row.*")
+    return predict(rows, model, strict=True).where(F.col("lang_pred") != UNKNOWN).select("_row.*")

@@ -625,6 +625,17 @@ def test_filter_without_labels(spark):
     assert languages.language_id(docs).first()["lang_pred"] == "und"
 
 
+def test_the_stage_rejects_unknown_scripts_only(spark):
+    made = random.Random(2)
+    known = [(i, " ".join(made.choice(["the", "house", "garden", "walked", "river"]) for _ in range(30)), "en") for i in range(40)]
+    rows = [*known, (100, "今日は天気がいいですね散歩に行きましょう", "ja"), (101, "the garden river", None), (102, "12 34", None)]
+    rows = [(d, t, lang if d < 100 else None) for d, t, lang in rows]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert {r["doc_id"] for r in languages.keep_known(docs).collect()} == {*range(40), 101}
+    bare = docs.withColumn("lang", F.lit(None).cast("string"))
+    assert {r["doc_id"] for r in languages.keep_known(bare).collect()} == {*range(40), 100, 101}
+
+
 def test_more_than_64_languages():
     slots = np.zeros((1 << languages.SLOT_BITS, 2), dtype=np.uint64)
     for at in languages._probes(languages.gram_hashes("hello")):
