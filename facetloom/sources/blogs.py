@@ -26,10 +26,10 @@ def list_blog_files(spark: SparkSession, directory: str) -> DataFrame:
             spark.read.format("binaryFile").option("pathGlobFilter", "*.xml").load(base)
         )
     except AnalysisException as error:
-        raise FileNotFoundError(f"blog directory not found: {directory}") from error
+        raise FileNotFoundError(f"cannot list blog files in {directory}: no such folder") from error
     files = found.select("path", "content")
     if files.select("path").isEmpty():
-        raise FileNotFoundError(f"no .xml files under {directory}")
+        raise FileNotFoundError(f"{directory} holds no blog file (*.xml)")
     return files
 
 
