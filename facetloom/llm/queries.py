@@ -8,8 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from facetloom.llm import (
     digests,
+    divergence,
     languages,
+    lines,
     mixing,
+    negatives,
     ngram_join,
     packing,
     paragraphs,
@@ -73,6 +76,18 @@ def op10_language_id(spark: SparkSession, sf: str) -> DataFrame:
     return languages.language_id(_table(spark, sf, "documents"))
 
 
+def op11_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return lines.drop_repeated_lines(_table(spark, sf, "documents")).drop("keep")
+
+
+def op12_source_divergence(spark: SparkSession, sf: str) -> DataFrame:
+    return divergence.source_divergence(_table(spark, sf, "documents"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf: str) -> DataFrame:
+    return negatives.hard_negatives(_table(spark, sf, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf: str) -> DataFrame:
     import corpus_pipeline
 
@@ -90,6 +105,9 @@ QUERIES: dict[str, Query] = {
     "op8_fingerprints": op8_fingerprints,
     "op9_paragraph_dedup": op9_paragraph_dedup,
     "op10_language_id": op10_language_id,
+    "op11_line_dedup": op11_line_dedup,
+    "op12_source_divergence": op12_source_divergence,
+    "op13_hard_negatives": op13_hard_negatives,
     "pipeline": pipeline,
 }
 
@@ -195,9 +213,92 @@ SELECT doc_id, source, n AS n_tokens, epoch::INTEGER AS epoch,
 FROM (SELECT *, unnest(range(0, m::BIGINT)) AS epoch FROM epochs)
 """
 
+_OP11 = r"""
+WITH split AS (
+  SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents
+), lines AS (
+  SELECT doc_id, i, ls[i] AS line,
+    translate(trim(ls[i], ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
+  FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM split)
+), firsts AS (
+  SELECT k, min(doc_id) AS m FROM lines WHERE length(k) >= 10 GROUP BY k
+)
+SELECT doc_id, count(*)::BIGINT AS n_lines,
+  count(*) FILTER (WHERE m < doc_id)::BIGINT AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE m IS NULL OR m = doc_id), '')) AS kept_sha256
+FROM lines LEFT JOIN firsts USING (k) GROUP BY doc_id
+"""
+
+_OP12 = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(coalesce(text, ''), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w
+  FROM documents
+), words AS (
+  SELECT id, lang, source, translate(unnest(w), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term
+  FROM docs
+), kept AS (
+  SELECT lang, term, count(*) AS n FROM words GROUP BY lang, term HAVING count(DISTINCT id) >= 10
+), langs AS (SELECT lang, count(*)::HUGEINT AS v, sum(n)::HUGEINT AS total FROM kept GROUP BY lang
+), grps AS (SELECT DISTINCT lang, source FROM docs
+), counts AS (
+  SELECT lang, source, term, count(*) AS n FROM words JOIN kept USING (lang, term) GROUP BY lang, source, term
+), totals AS (SELECT lang, source, sum(n)::HUGEINT AS total FROM counts GROUP BY lang, source
+), given AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n,
+    1 + 1000000000::HUGEINT * (coalesce(c.n, 0) + 2) // (coalesce(t.total, 0) + 2 * l.v) AS p,
+    1 + 1000000000::HUGEINT * (k.n + 2) // (l.total + 2 * l.v) AS q
+  FROM grps g JOIN kept k USING (lang) JOIN langs l USING (lang)
+  LEFT JOIN totals t ON t.lang = g.lang AND t.source = g.source
+  LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+), sums AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+  FROM given a JOIN given b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source
+  GROUP BY 1, 2, 3
+), rows AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.value, 0)::BIGINT AS value
+  FROM grps a JOIN grps b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+  UNION ALL
+  SELECT lang, source, 'term', term, ((p - q) * (p - q) // (p + q))::BIGINT FROM given WHERE n > 0 AND p > q
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item))::INTEGER AS rank
+  FROM rows
+)
+SELECT * FROM ranked WHERE part = 'pair' OR rank <= 10
+"""
+
+_OP13 = """
+WITH valid AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::HUGEINT) AS v
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), anchors AS (SELECT * FROM valid WHERE vec_id % 100 = 0
+), scored AS (
+  SELECT a.vec_id AS a, b.vec_id AS b, a.label = b.label AS same,
+    list_sum(list_transform(list_zip(a.v, b.v), lambda z: z[1] * z[2]))::BIGINT AS s
+  FROM anchors a JOIN valid b ON a.vec_id <> b.vec_id
+), positives AS (
+  SELECT a, b AS p, s AS ps FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY a ORDER BY s DESC, b) <= 5
+)
+SELECT a AS anchor_id, p AS positive_id,
+  row_number() OVER (PARTITION BY a, p ORDER BY s DESC, b)::INTEGER AS rank,
+  b AS negative_id, ps AS positive_score, s AS negative_score
+FROM positives JOIN scored USING (a)
+WHERE NOT same AND 30 * ps <= 100 * s AND 100 * s <= 90 * ps
+QUALIFY row_number() OVER (PARTITION BY a, p ORDER BY s DESC, b) <= 10
+"""
+
 ORACLES: dict[str, str] = {
     "op1_ngram_join": _OP1,
     "op2_url_rules": _OP2,
     "op4_substring_dedup": _OP4,
     "op7_temperature_mix": _OP7,
+    "op11_line_dedup": _OP11,
+    "op12_source_divergence": _OP12,
+    "op13_hard_negatives": _OP13,
 }

@@ -86,7 +86,7 @@ def test_query_equals_its_sql(spark, name):
 
 def test_queries_are_registered():
     assert set(QUERIES) <= set(entry.queries()) and set(ORACLES) <= set(entry.oracle_sql())
-    assert len([n for n in QUERIES if n.startswith("op")]) == 10 and "pipeline" in QUERIES
+    assert len([n for n in QUERIES if n.startswith("op")]) == 13 and "pipeline" in QUERIES
 
 
 # Empty tables and odd rows, for all that take documents.
