@@ -322,6 +322,24 @@ SELECT c_custkey, coalesce(number, -1)::INT AS cluster FROM customer
 LEFT JOIN (home JOIN kept USING (label))
 ON a = floor(c_acctbal / 250::DOUBLE)::INT AND b = floor(c_nationkey * 2::DOUBLE)::INT"""
 
+DENSITY_VECTORS = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
+near AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON list_distance(a.e, b.e) <= 1.15::DOUBLE),
+core AS (SELECT a FROM near GROUP BY a HAVING count(*) >= 4),
+reach AS (
+  SELECT a, a AS label FROM core
+  UNION SELECT n.b, label FROM reach r JOIN near n ON n.a = r.a JOIN core c ON c.a = n.b),
+labels AS (SELECT a, min(label) AS label FROM reach GROUP BY a),
+home AS (
+  SELECT a, label FROM labels
+  UNION ALL SELECT n.a, min(label) FROM near n JOIN labels l ON l.a = n.b
+  WHERE n.a NOT IN (SELECT a FROM core) GROUP BY n.a),
+kept AS (
+  SELECT label, row_number() OVER (ORDER BY label) - 1 AS number FROM home GROUP BY label HAVING count(*) >= 3)
+SELECT vec_id, coalesce(number, -1)::INT AS cluster
+FROM v LEFT JOIN (home JOIN kept USING (label)) ON a = vec_id"""
+
 _FILES = """
 files AS (SELECT source || '/' || doc_id AS path FROM documents),
 split AS (
@@ -549,4 +567,5 @@ SELECT lang AS persona_id, size, round(share, 6) AS share, round(mean, 6) AS avg
   (SELECT string_agg(source, '|' ORDER BY rank) FROM ranked_jobs j WHERE j.lang = base.lang) AS job_top
 FROM base""",
     "density_clusters": DENSITY,
+    "density_vectors": DENSITY_VECTORS,
 }

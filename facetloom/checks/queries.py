@@ -15,7 +15,7 @@ from facetloom.functions import numeric as N
 from facetloom.functions import prompts as P
 from facetloom.functions import text as X
 from facetloom.operators import cards as cards_ops
-from facetloom.operators import clustering, columns, emotions, features, legend, matching
+from facetloom.operators import clustering, columns, density, emotions, features, legend, matching
 from facetloom.operators import ordering, profiles, ranking, scoring, terms
 from facetloom.plans import enrichment, personas
 from facetloom.schemas import CLUSTERED
@@ -669,6 +669,14 @@ def density_clusters(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("c_custkey", "cluster")
 
 
+def density_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    """Embeddings in all their dimensions: a cluster is a chain of crowded vectors."""
+    found = density.distance_clusters(
+        vectors(spark, sf), 1.15, min_points=4, min_size=3, features="features", row_id="vec_id"
+    )
+    return found.select("vec_id", "cluster")
+
+
 QUERIES: dict[str, Query] = {
     q.__name__: q
     for q in (
@@ -681,6 +689,6 @@ QUERIES: dict[str, Query] = {
         mutual_information, vector_information, legend_colors, cluster_colors, nearest_in_persona, nearest_three,
         nearest_in_blocks, match_edges, silhouette_score, high_conf_attributes, prompt_records, csv_table, published_dataset,
         persona_index, cards_json, hashed_embeddings, feature_blocks, pca_2d, kmeans_clusters,
-        svd_features, persona_features, persona_map, choose_k, permutation_importance, density_clusters,
+        svd_features, persona_features, persona_map, choose_k, permutation_importance, density_clusters, density_vectors,
     )
 }

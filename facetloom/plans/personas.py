@@ -14,6 +14,7 @@ from facetloom import constants as C
 from facetloom.operators import clustering, profiles, ranking
 from facetloom.operators.cards import persona_cards, run_summary
 from facetloom.operators.columns import ensure_columns, select_categoricals, select_numerics
+from facetloom.operators.density import distance_clusters
 from facetloom.operators.features import (
     feature_blocks,
     persona_features,
@@ -41,8 +42,8 @@ def map_clusters(
     """The clustered table and its legend, from the rows of the cohort.
 
     ``limit`` takes the first rows before the cohort filter. ``keep`` names further
-    columns to carry, such as the row id. With ``density``, the side of a cell, density clusters
-    over the two axes of the map take the place of the ``k`` clusters; noise is -1.
+    columns to carry, such as the row id. With ``density``, a radius, density clusters of the
+    reduced vectors take the place of the ``k`` clusters; noise is -1.
     """
     first = limit_then_filter(df, limit, row_id) if limit else df
     if not limit and "is_genz" in df.columns:
@@ -55,10 +56,8 @@ def map_clusters(
     if density is None:
         placed = project_2d(clustering.kmeans(reduced, k))
     else:
-        spread = [row_id] if row_id in reduced.columns else []
-        placed = clustering.density_clusters(
-            project_2d(reduced), ["x2d", "y2d"], density, spread_by=spread
-        )
+        known = row_id if row_id in reduced.columns else None
+        placed = project_2d(distance_clusters(reduced, density, row_id=known))
     legend = cluster_legend(placed)
     colored = add_cluster_colors(placed, legend)
     table = ensure_columns(colored, CLUSTERED)
