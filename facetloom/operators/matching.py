@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,55 +16,66 @@ from facetloom import constants as C
 from facetloom.functions import prompts as P
 from facetloom.functions.labels import high_conf_emotions
 from facetloom.functions.numeric import clamp01
-from facetloom.operators.lookups import fits_broadcast, lookup
+from facetloom.operators.lookups import lookup
+from facetloom.operators.ordering import global_index
 from facetloom.operators.scoring import Model, _model_column
-from facetloom.session import pin
+from facetloom.session import ensure_checkpoint_dir, pin
 
 # Similarities equal to this many decimals are ties, whatever order they were summed in.
 TIE_DIGITS = 12
 NO_MATCH = "no row of the persona to match"
-BROADCAST_QUERIES = 4096
-QUERY_BLOCK = 4096
-ROW_BLOCK = 32768
+#: Queries of one pass over the index, by number and by the bytes of their vectors.
+PASS_QUERIES = 32_768
+PASS_BYTES = 64 * 1024 * 1024
 PAIR_BLOCK = 1 << 21
 
 
 class _Best:
-    """The best ``k`` rows so far for each of a set of queries."""
+    """The best ``k`` rows so far for each of a set of queries; only rows that can get in are sorted."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int) -> None:
         self.ids, self.vectors, self.k = ids, vectors, k
-        self.similarity = np.full((len(ids), 0), -np.inf)
+        self.owner = np.empty(0, dtype=np.int64)
+        self.similarity = np.empty(0)
         self.rows: np.ndarray | None = None
+        self.floor = np.full(len(ids), -np.inf)
 
     def add(self, rows: np.ndarray, vectors: np.ndarray) -> None:
-        step = max(256, PAIR_BLOCK // max(1, len(self.ids)))
-        for at in range(0, len(rows), step):
-            part = slice(at, at + step)
+        most = max(256, PAIR_BLOCK // max(1, len(self.ids)))
+        # The first steps are short: they set the floor that later rows have to reach.
+        low, step = 0, 16 if self.rows is None else most
+        while low < len(rows):
+            part = slice(low, low + step)
             near = np.round(self.vectors @ vectors[part].T, TIE_DIGITS)
-            near = np.concatenate([self.similarity, near], axis=1)
-            ids = np.broadcast_to(rows[part], (len(self.ids), len(rows[part])))
-            ids = ids if self.rows is None else np.concatenate([self.rows, ids], axis=1)
-            # Ids of any type that has an order, by their place in it.
-            known, places = np.unique(ids, return_inverse=True)
-            ids = places.reshape(ids.shape)
-            picked = []
-            for _ in range(min(self.k, near.shape[1])):
-                top = near.max(axis=1, keepdims=True)
-                row = np.where(near == top, ids, len(known)).min(axis=1, keepdims=True)
-                picked.append((top, row))
-                near[(near == top) & (ids == row)] = -np.inf
-            self.similarity = np.concatenate([top for top, _ in picked], axis=1)
-            self.rows = known[np.concatenate([row for _, row in picked], axis=1)]
+            owner, at = np.nonzero(near >= self.floor[:, None])
+            if len(owner):
+                self._merge(owner, near[owner, at], rows[part][at])
+            low, step = low + step, min(4 * step, most)
+
+    def _merge(self, owner: np.ndarray, similarity: np.ndarray, rows: np.ndarray) -> None:
+        if self.rows is not None:
+            owner = np.concatenate([self.owner, owner])
+            similarity = np.concatenate([self.similarity, similarity])
+            rows = np.concatenate([self.rows, rows])
+        # Ids of any type that has an order, by their place in it.
+        places = np.unique(rows, return_inverse=True)[1]
+        order = np.lexsort((places, -similarity, owner))
+        owner, similarity, rows = owner[order], similarity[order], rows[order]
+        starts = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
+        rank = np.arange(len(owner)) - np.repeat(starts, np.diff([*starts, len(owner)]))
+        last = rank == self.k - 1
+        self.floor[owner[last]] = similarity[last]
+        held = rank < self.k
+        self.owner, self.similarity, self.rows = owner[held], similarity[held], rows[held]
 
     def table(self) -> pd.DataFrame:
         if self.rows is None:
             return _nothing()
         return pd.DataFrame(
             {
-                "query_id": _as_is(np.repeat(self.ids, self.rows.shape[1])),
-                "row_id": _as_is(self.rows.ravel()),
-                "similarity": self.similarity.ravel(),
+                "query_id": _as_is(self.ids[self.owner]),
+                "row_id": _as_is(self.rows),
+                "similarity": self.similarity,
             }
         )
 
@@ -80,8 +93,8 @@ def _matrix(vectors: pd.Series) -> np.ndarray:
     return np.stack([np.asarray(v, dtype="float64") for v in vectors])
 
 
-def _match_broadcast(queries: DataFrame, index: DataFrame, k: int) -> DataFrame:
-    """Every task compares its rows with the few queries and sends only their best."""
+def _one_pass(queries: DataFrame, index: DataFrame, k: int) -> tuple[DataFrame, Broadcast]:
+    """The index rows stay where they are: every task compares them with the queries of the pass and sends only the best."""
     few = queries.toPandas()
     groups = {
         persona: (group["query_id"].to_numpy(), _matrix(group["vector"]))
@@ -100,7 +113,7 @@ def _match_broadcast(queries: DataFrame, index: DataFrame, k: int) -> DataFrame:
         for found in best.values():
             yield found.table()
 
-    return wanted.mapInPandas(search, _found_schema(queries, index))
+    return wanted.mapInPandas(search, _found_schema(queries, index)), shared
 
 
 def _found_schema(queries: DataFrame, index: DataFrame) -> T.StructType:
@@ -120,61 +133,55 @@ def finite(vector: Column) -> Column:
     return F.coalesce(good, F.lit(False))
 
 
-def _match_blocks(queries: DataFrame, index: DataFrame, k: int) -> DataFrame:
-    """Blocks of queries meet blocks of rows of their persona; each meeting sends its best.
-
-    A persona is cut into as many blocks as its size asks for, so the largest persona
-    costs more tasks, not larger ones.
-    """
-
-    def blocks(table: DataFrame, size: int, name: str) -> DataFrame:
-        return table.groupBy("persona_id").agg(
-            F.ceil(F.count(F.lit(1)) / F.lit(size)).alias(name)
-        )
-
-    counts = pin(
-        blocks(queries, QUERY_BLOCK, "_query_blocks").join(
-            blocks(index, ROW_BLOCK, "_row_blocks"), "persona_id"
-        )
-    )
-
-    def cut(table: DataFrame, key: str, own: str, other: str, own_at: str, other_at: str) -> DataFrame:
-        numbered = lookup(table, counts, ["persona_id"], "inner", spread_by=[key])
-        return (
-            numbered.withColumn(own_at, F.pmod(F.xxhash64(key), F.col(own)))
-            .withColumn(other_at, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(other) - 1)))
-            .drop("_query_blocks", "_row_blocks")
+def _ranked(found: DataFrame, k: int) -> DataFrame:
+    """The best ``k`` rows of each query over all tasks."""
+    if k == 1:
+        best = found.groupBy("query_id").agg(
+            F.min_by(
+                F.struct("row_id", "similarity"), F.struct(-F.col("similarity"), F.col("row_id"))
+            ).alias("b")
         )
+        return best.select("query_id", "b.row_id", "b.similarity", F.lit(1).alias("rank"))
+    order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "row_id")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
-    asked = cut(queries, "query_id", "_query_blocks", "_row_blocks", "_query_at", "_row_at")
-    held = cut(index, "row_id", "_row_blocks", "_query_blocks", "_row_at", "_query_at")
-    keys = ["persona_id", "_query_at", "_row_at"]
 
-    def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
-            return _nothing()
-        best = _Best(left["query_id"].to_numpy(), _matrix(left["vector"]), k)
-        best.add(right["row_id"].to_numpy(), _matrix(right["vector"]))
-        return best.table()
+def _passes(queries: DataFrame, most: int) -> list[DataFrame]:
+    """The queries cut into passes of a bounded size, written by pass.
 
-    return asked.groupBy(*keys).cogroup(held.groupBy(*keys)).applyInPandas(
-        meet, _found_schema(queries, index)
-    )
+    They are cut in order of their persona, so that a pass reads the index of few personas.
+    """
+    rows, size = queries.agg(
+        F.count(F.lit(1)), F.sum(8 * F.size("vector") + 64).cast("long")
+    ).first()
+    number = max(1, -(-rows // max(1, most)), -(-(size or 0) // PASS_BYTES))
+    if number == 1:
+        return [queries]
+    placed = global_index(queries, ["persona_id", F.xxhash64("query_id")], "_at")
+    path = f"{ensure_checkpoint_dir(queries.sparkSession)}/match-{uuid.uuid4().hex}"
+    at = F.floor(F.col("_at") / F.lit(-(-rows // number))).cast("int")
+    placed.withColumn("_pass", at).drop("_at").write.partitionBy("_pass").parquet(path)
+    kind = T.StructType([*queries.schema, T.StructField("_pass", T.IntegerType())])
+    written = queries.sparkSession.read.schema(kind).parquet(path)
+    return [written.where(F.col("_pass") == i).drop("_pass") for i in range(number)]
 
 
 def match(
     queries: DataFrame,
     index: DataFrame,
     k: int = 1,
-    broadcast_queries: int = BROADCAST_QUERIES,
+    pass_queries: int = PASS_QUERIES,
     keep_unmatched: bool = False,
 ) -> DataFrame:
     """``query_id, persona_id, row_id, similarity, rank``: exact nearest rows in a persona.
 
     ``queries`` has ``query_id, persona_id, vector`` and ``index`` has ``row_id,
     persona_id, vector``, with unit vectors. Every row of the persona is compared by inner
-    product; the lowest row id wins ties. Few queries are broadcast, many are compared
-    block by block; in both ways a task sends on its best ``k`` per query, not the pairs.
+    product; the lowest row id wins ties.
+
+    The index is never shuffled. Queries are sent to it in passes of at most ``pass_queries`` queries and
+    ``PASS_BYTES`` bytes, in order of their persona; a pass reads the personas of its queries once, and a task
+    sends on its best ``k`` per query, not the pairs.
 
     Ids and personas may be of any type that has an order. Index rows whose vector is null or
     not finite are no candidates. A query without a persona, with such a vector, or
@@ -184,18 +191,16 @@ def match(
     every = pin(queries.select("query_id", "persona_id", "vector"))
     asked = every.where(F.col("persona_id").isNotNull() & finite(F.col("vector")))
     held = index.select("row_id", "persona_id", "vector").where(finite(F.col("vector")))
-    few = fits_broadcast(asked, broadcast_queries)
-    found = (_match_broadcast if few else _match_blocks)(asked, held, k)
-    if k == 1:
-        best = found.groupBy("query_id").agg(
-            F.min_by(
-                F.struct("row_id", "similarity"), F.struct(-F.col("similarity"), F.col("row_id"))
-            ).alias("b")
-        )
-        ranked = best.select("query_id", "b.row_id", "b.similarity", F.lit(1).alias("rank"))
-    else:
-        order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "row_id")
-        ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    passes = _passes(asked, pass_queries)
+    ranked = None
+    for part in passes:
+        found, sent = _one_pass(part, held, k)
+        best = _ranked(found, k)
+        if len(passes) > 1:
+            # The few results are kept, and the queries leave the executors before the next pass.
+            best = pin(best)
+            sent.destroy()
+        ranked = best if ranked is None else ranked.unionByName(best)
     return every.select("query_id", "persona_id").join(
         ranked, "query_id", "left" if keep_unmatched else "inner"
     ).select(

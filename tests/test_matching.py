@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from facetloom.operators import cards as K
 from facetloom.operators import matching, scoring, terms
 from facetloom.plans import reactions
+from facetloom.session import pin
 from facetloom.sources.cards import write_cards
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -49,20 +50,42 @@ def brute(near, persona, wanted, k):
 
 
 @pytest.mark.parametrize("k", [1, 3, 500])
-@pytest.mark.parametrize("way", ["broadcast", "blocks", "small blocks"])
+@pytest.mark.parametrize("way", ["one pass", "passes", "passes by bytes"])
 def test_match_is_exact(tables, k, way, monkeypatch):
     queries, index, near, persona, wanted = tables
-    if way == "small blocks":
-        monkeypatch.setattr(matching, "QUERY_BLOCK", 3)
-        monkeypatch.setattr(matching, "ROW_BLOCK", 40)
-    few = 4096 if way == "broadcast" else 0
-    rows = matching.match(queries, index, k, few).collect()
+    if way == "passes by bytes":
+        monkeypatch.setattr(matching, "PASS_BYTES", 2000)
+    monkeypatch.setattr(matching, "PAIR_BLOCK", 1 if way == "passes" else 1 << 21)
+    rows = matching.match(queries, index, k, 15 if way == "passes" else 4096).collect()
     assert {(r["query_id"], r["rank"]): r["row_id"] for r in rows} == brute(near, persona, wanted, k)
     for r in rows[:20]:
         assert r["similarity"] == pytest.approx(near[r["query_id"], r["row_id"]], abs=1e-12)
     assert not any(r["persona_id"] == 4 for r in rows)
 
 
+def test_index_stays_in_place(spark, tables):
+    """No shuffle below the comparison, and each pass reads the index once."""
+    queries, index, near, persona, wanted = tables
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(len(batch))
+            yield batch
+
+    seen = pin(index).mapInPandas(counted, index.schema)
+    asked = queries.where("persona_id < 4")
+    rows = matching.match(asked, seen, 2, pass_queries=10).collect()
+    expected = brute(near, persona, wanted, 2)
+    assert {(r["query_id"], r["rank"]): r["row_id"] for r in rows} == expected
+    assert asked.count() == 32 and read.value == 4 * index.count()
+    found, _ = matching._one_pass(asked, index.select("row_id", "persona_id", "vector"), 2)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInPandas" in plan and "Join" not in plan and "Aggregate" not in plan
+    # The repartition of the fixture is the only shuffle of the index.
+    assert plan.count("Repartition") == 1 and plan.index("MapInPandas") < plan.index("Repartition")
+
+
 def test_similarity_gate(spark):
     df = spark.createDataFrame([(1.0000001,), (-0.3,), (0.40,), (0.39,)], "similarity double")
     rows = [tuple(r) for r in matching.similarity_gate(df).collect()]
