@@ -340,6 +340,22 @@ kept AS (
 SELECT vec_id, coalesce(number, -1)::INT AS cluster
 FROM v LEFT JOIN (home JOIN kept USING (label)) ON a = vec_id"""
 
+CHOOSE_K_SEPARABLE = """
+WITH rows AS (
+  SELECT c_custkey, n_regionkey AS g, c_acctbal / 10000::DOUBLE AS b
+  FROM customer JOIN nation ON n_nationkey = c_nationkey),
+sums AS (SELECT g, count(*)::DOUBLE AS n, sum(b) AS s, sum(b * b) AS ss FROM rows GROUP BY g),
+far AS (
+  SELECT c_custkey, r.g, s.g AS h, n,
+    n * b * b + ss - 2 * b * s.s + CASE WHEN r.g = s.g THEN 0 ELSE n * 20000 END AS d
+  FROM rows r CROSS JOIN sums s),
+scored AS (
+  SELECT c_custkey, max(CASE WHEN g = h THEN d / (n - 1) END) AS own, min(CASE WHEN g <> h THEN d / n END) AS other
+  FROM far GROUP BY c_custkey)
+SELECT c_custkey, min(c_custkey) OVER (PARTITION BY g) AS first_member, 5 AS k,
+  (SELECT round(avg((other - own) / greatest(other, own)), 4) FROM scored) AS score
+FROM rows"""
+
 _FILES = """
 files AS (SELECT source || '/' || doc_id AS path FROM documents),
 split AS (
@@ -568,4 +584,5 @@ SELECT lang AS persona_id, size, round(share, 6) AS share, round(mean, 6) AS avg
 FROM base""",
     "density_clusters": DENSITY,
     "density_vectors": DENSITY_VECTORS,
+    "choose_k_separable": CHOOSE_K_SEPARABLE,
 }

@@ -647,10 +647,31 @@ def persona_map(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def choose_k(spark: SparkSession, sf: str) -> DataFrame:
-    chosen = clustering.choose_k(vectors(spark, sf), kmax=4, restarts=3)
+    chosen = clustering.choose_k(vectors(spark, sf))
     return clustering.assign_personas(vectors(spark, sf), chosen).select("vec_id", "persona_id")
 
 
+def corner_customers(spark: SparkSession, sf: str) -> DataFrame:
+    """Customers near one corner for each region, off it by their balance."""
+    off = F.col("c_acctbal") / 10_000.0
+    corner = [(F.col("n_regionkey") == r).cast("double") * 100 for r in range(5)]
+    nations = table(spark, sf, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_regionkey")
+    return table(spark, sf, "customer").join(F.broadcast(nations), "c_nationkey").select(
+        "c_custkey", array_to_vector(F.array(*corner, off)).alias("features")
+    )
+
+
+def choose_k_separable(spark: SparkSession, sf: str) -> DataFrame:
+    """Number of clusters and members where they are plain; a cluster is named by its first member."""
+    rows = corner_customers(spark, sf)
+    chosen = clustering.choose_k(rows)
+    found = clustering.assign_personas(rows, chosen)
+    named = found.groupBy("persona_id").agg(F.min("c_custkey").alias("first_member"))
+    return found.join(F.broadcast(named), "persona_id").select(
+        "c_custkey", "first_member", F.lit(chosen.k).alias("k"), F.lit(round(chosen.score, 4)).alias("score")
+    )
+
+
 def permutation_importance(spark: SparkSession, sf: str) -> DataFrame:
     names = [f"dim_{i}" for i in range(64)]
     return ranking.permutation_importance(
@@ -689,6 +710,6 @@ QUERIES: dict[str, Query] = {
         mutual_information, vector_information, legend_colors, cluster_colors, nearest_in_persona, nearest_three,
         nearest_in_blocks, match_edges, silhouette_score, high_conf_attributes, prompt_records, csv_table, published_dataset,
         persona_index, cards_json, hashed_embeddings, feature_blocks, pca_2d, kmeans_clusters,
-        svd_features, persona_features, persona_map, choose_k, permutation_importance, density_clusters, density_vectors,
+        svd_features, persona_features, persona_map, choose_k, choose_k_separable, permutation_importance, density_clusters, density_vectors,
     )
 }

@@ -5,16 +5,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 from itertools import product
-from multiprocessing.pool import ThreadPool
 
-from pyspark import inheritable_thread_target
-from pyspark.ml.clustering import KMeans, KMeansModel
+from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.storagelevel import StorageLevel
 
 from facetloom import constants as C
+from facetloom.operators.kmeans import Centres, fit_many
 from facetloom.operators.lookups import lookup
 from facetloom.operators.ordering import global_index
 from facetloom.session import pin
@@ -45,7 +43,7 @@ class ChosenK:
 
     k: int
     score: float
-    model: KMeansModel
+    model: Centres
     tried: tuple[tuple[int, float], ...]
 
 
@@ -56,42 +54,22 @@ def choose_k(
     features: str = "features",
     out: str = "persona_id",
     seed: int = 42,
-    parallelism: int = 4,
 ) -> ChosenK:
     """Fit each k from 2 to ``kmax`` and keep the one with the best silhouette.
 
     Each k takes the restart with the least cost. The smallest k wins ties; a k whose
     rows fall into one cluster is passed over; k = 2 with score -1 is the last resort.
-    ``parallelism`` restarts are submitted at a time.
+    All models of all k share each pass over the rows.
     """
-    rows = df.select(features).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        best: tuple[int, float, KMeansModel] | None = None
-        fallback: KMeansModel | None = None
-        tried = []
-        for k in range(2, max(3, kmax + 1)):
-
-            @inheritable_thread_target(df.sparkSession)
-            def fit(restart: int, k: int = k) -> KMeansModel:
-                return KMeans(
-                    k=k, seed=seed + restart, featuresCol=features, predictionCol=out
-                ).fit(rows)
-
-            with ThreadPool(parallelism) as pool:
-                fits = pool.map(fit, range(restarts))
-            model = min(fits, key=lambda m: m.summary.trainingCost)
-            fallback = fallback or model
-            if sum(size > 0 for size in model.summary.clusterSizes) < 2:
-                continue
-            score = silhouette(model.transform(rows), features, out)
-            tried.append((k, score))
-            if score > (best[1] if best else -1.0):
-                best = (k, score, model)
-    finally:
-        rows.unpersist()
-    if best is None:
-        return ChosenK(2, -1.0, fallback, tuple(tried))
-    return ChosenK(*best, tuple(tried))
+    ks = list(range(2, max(3, kmax + 1)))
+    fits = fit_many(df, ks, restarts, features, seed)
+    if not fits:
+        raise ValueError("there is no vector to cluster")
+    tried = tuple((k, fits[k][3]) for k in ks if fits[k][2] > 1)
+    k, score = max(tried, key=lambda t: (t[1], -t[0]), default=(2, -1.0))
+    if score <= -1.0:
+        k, score = 2, -1.0
+    return ChosenK(k, score, Centres(fits[k][0], features, out), tried)
 
 
 def assign_personas(df: DataFrame, chosen: ChosenK) -> DataFrame:

@@ -77,7 +77,7 @@ def local_components(x: np.ndarray, radius: float) -> np.ndarray:
 def _array(df: DataFrame, features: str) -> Column:
     if isinstance(df.schema[features].dataType, T.ArrayType):
         return F.col(features).cast("array<double>")
-    return vector_to_array(features)
+    return F.when(F.col(features).isNotNull(), vector_to_array(features))
 
 
 def _directions(nodes: DataFrame) -> np.ndarray:
