@@ -585,4 +585,10 @@ FROM base""",
     "density_clusters": DENSITY,
     "density_vectors": DENSITY_VECTORS,
     "choose_k_separable": CHOOSE_K_SEPARABLE,
+    "importance_planted": """
+WITH shares AS (
+  SELECT count(*) / (SELECT count(*) FROM customer)::DOUBLE AS p
+  FROM customer JOIN nation ON n_nationkey = c_nationkey GROUP BY n_regionkey)
+SELECT 'region' AS feature, round(1 - sum(p * p), 1) AS score, 1::INT AS rank FROM shares
+UNION ALL SELECT 'constant', 0::DOUBLE, 2::INT UNION ALL SELECT 'balance', 0::DOUBLE, 3::INT""",
 }

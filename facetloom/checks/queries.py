@@ -674,9 +674,21 @@ def choose_k_separable(spark: SparkSession, sf: str) -> DataFrame:
 
 def permutation_importance(spark: SparkSession, sf: str) -> DataFrame:
     names = [f"dim_{i}" for i in range(64)]
-    return ranking.permutation_importance(
-        vectors(spark, sf), names, "label", "vec_id", repeats=2, trees=20
+    rows = spread(vectors(spark, sf), "vec_id")
+    return ranking.permutation_importance(rows, names, "label", "vec_id")
+
+
+def importance_planted(spark: SparkSession, sf: str) -> DataFrame:
+    """Customers by region: one feature tells it, one is constant, one has nothing to do with it."""
+    nations = table(spark, sf, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_regionkey")
+    rows = table(spark, sf, "customer").join(F.broadcast(nations), "c_nationkey").select(
+        "c_custkey", F.col("n_regionkey").alias("persona_id"),
+        array_to_vector(F.array(F.lit(7.0), F.col("n_regionkey").cast("double"), "c_acctbal")).alias("features"),
+    )
+    found = ranking.permutation_importance(
+        spread(rows, "c_custkey"), ["constant", "region", "balance"], row_id="c_custkey"
     )
+    return rounded(found, "score", digits=1)
 
 
 def density_clusters(spark: SparkSession, sf: str) -> DataFrame:
@@ -710,6 +722,6 @@ QUERIES: dict[str, Query] = {
         mutual_information, vector_information, legend_colors, cluster_colors, nearest_in_persona, nearest_three,
         nearest_in_blocks, match_edges, silhouette_score, high_conf_attributes, prompt_records, csv_table, published_dataset,
         persona_index, cards_json, hashed_embeddings, feature_blocks, pca_2d, kmeans_clusters,
-        svd_features, persona_features, persona_map, choose_k, choose_k_separable, permutation_importance, density_clusters, density_vectors,
+        svd_features, persona_features, persona_map, choose_k, choose_k_separable, permutation_importance, importance_planted, density_clusters, density_vectors,
     )
 }

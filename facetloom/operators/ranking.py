@@ -4,15 +4,19 @@ from __future__ import annotations
 
 import math
 import random
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from facetloom.operators.forests import flatten
+from facetloom.operators.grouped import matrix_of
 from facetloom.operators.ordering import global_index
 from facetloom.operators.profiles import crosstab
 from facetloom.operators.features import vector_width
@@ -163,66 +167,60 @@ def permutation_importance(
     """``feature, score, rank``: mean loss of accuracy of a random forest on its own rows
     when one feature is shuffled.
 
-    Each repeat gives every row a donor row by one shuffle join on positions, and swaps
-    the features of the pair in one at a time. A feature that no tree splits on cannot
-    change a prediction; it scores 0 without being tried.
+    Each repeat gives every row a donor row by its position; one shuffle join brings the donors of all repeats. A row
+    takes over one feature of its donor at a time. Only trees whose path meets the feature are walked
+    again, see ``FlatForest``. A feature that no tree splits on cannot change a guess and scores 0.
     """
+    spark = df.sparkSession
     width = vector_width(df, features)
     if len(names) != width:
         raise ValueError("names must match the width of the feature vectors")
+    # Without metadata all features are numbers, as a donor's value may be any of them.
     table = df.select(
-        F.col(row_id).alias("_id"), F.col(label).cast("double").alias("_label"), features
+        F.col(row_id).alias("_id"),
+        F.col(label).cast("double").alias("_label"),
+        F.col(features).alias(features, metadata={}),
     )
     forest = RandomForestClassifier(
         numTrees=trees, maxDepth=depth, seed=seed, featuresCol=features, labelCol="_label",
-        predictionCol="_guess",
     ).fit(table)
     used = [i for i in range(width) if forest.featureImportances[i] > 0]
-    guessed = forest.transform(table).select(
-        "_id",
-        (F.col("_guess") == F.col("_label")).cast("int").alias("_right"),
-        "_label",
-        vector_to_array(features).alias("x"),
-    )
-    # Pinned by the index, so the first guesses are made once.
-    placed = global_index(guessed, ["_id"], "at")
-    rows = placed.count()
+    values = vector_to_array(features)
+    picked = F.transform(F.array(*[F.lit(i) for i in used]), lambda i: F.get(F.col("_x"), i))
+    plain = table.select("_id", "_label", values.alias("_x"))
     drops = dict.fromkeys(range(width), 0.0)
-    rng = random.Random(seed)
-    if used and rows > 1:
-        for _ in range(repeats):
+    if used:
+        placed = global_index(plain.select("_id", "_label", picked.alias("x")), ["_id"], "at")
+        rows = placed.count()
+        flat = spark.sparkContext.broadcast(flatten(spark, forest, used))
+        rng = random.Random(seed)
+        wide = F.col("at").cast("decimal(38,0)")
+        targets = []
+        for _ in range(repeats if rows > 1 else 0):
             step, shift = _affine_shuffle(rows, rng)
-            wide = F.col("at").cast("decimal(38,0)")
-            target = ((wide * F.lit(step) + F.lit(shift)) % F.lit(rows)).cast("bigint")
-            donors = placed.select(target.alias("at"), F.col("x").alias("donor"))
-            # Only rows whose value changes are scored; the others keep their guess.
-            swapped = (
-                placed.join(donors, "at")
-                .select(
-                    "_label", "_right", "x", "donor",
-                    F.explode(F.array(*[F.lit(i) for i in used])).alias("feature"),
-                )
-                .where(F.get("x", F.col("feature")) != F.get("donor", F.col("feature")))
-                .select(
-                    "_label",
-                    "_right",
-                    "feature",
-                    array_to_vector(
-                        F.transform(
-                            "x",
-                            lambda v, i: F.when(
-                                i == F.col("feature"), F.get("donor", i)
-                            ).otherwise(v),
-                        )
-                    ).alias(features),
+            targets.append(((wide * F.lit(step) + F.lit(shift)) % F.lit(rows)).cast("bigint"))
+        if targets:
+            donors = placed.select(F.explode(F.array(*targets)).alias("at"), F.col("x").alias("donor"))
+
+            def lost(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                total = np.zeros(len(used), dtype=np.int64)
+                for batch in batches:
+                    x, donor = (matrix_of(batch.column(c)).copy() for c in ("x", "donor"))
+                    total += flat.value.losses(x, donor, batch.column("_label").to_numpy())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.array(used), pa.int32()), pa.array(total)], names=["feature", "lost"]
                 )
+
+            after = (
+                placed.join(donors, "at").select("_label", "x", "donor")
+                .mapInArrow(lost, "feature int, lost long")
+                .groupBy("feature").agg(F.sum("lost").alias("lost"))
             )
-            lost = F.sum(F.col("_right") - (F.col("_guess") == F.col("_label")).cast("int"))
-            after = forest.transform(swapped).groupBy("feature").agg(lost.alias("lost"))
             # One row per feature.
             for r in after.collect():
-                drops[r["feature"]] += r["lost"] / rows / repeats
-    scores = df.sparkSession.createDataFrame(
+                drops[r["feature"]] = r["lost"] / rows / repeats
+        flat.destroy()
+    scores = spark.createDataFrame(
         [(i, names[i], float(drops[i])) for i in range(width)],
         T.StructType([
             T.StructField("position", T.IntegerType()),
