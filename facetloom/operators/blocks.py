@@ -8,6 +8,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -121,6 +122,38 @@ def blocks_of(batch: pa.RecordBatch) -> Iterator[tuple[slice, Block]]:
         low = high
 
 
+def block_of_vectors(vectors: pd.DataFrame) -> Block:
+    """One block of a batch of vectors as a pandas function gets them; none of them is null."""
+    values = [np.asarray(v, dtype=np.float64) for v in vectors["values"]]
+    if vectors["indices"].isna().all():
+        return Block(len(values), np.stack(values))
+    at = [
+        np.arange(len(v)) if i is None else np.asarray(i, dtype=np.int64)
+        for i, v in zip(vectors["indices"], values, strict=True)
+    ]
+    ends = np.cumsum([len(v) for v in values])
+    return Block(len(values), np.concatenate(values), np.concatenate(at), np.concatenate(([0], ends[:-1])))
+
+
+def projected(df: DataFrame, features: str, matrix: np.ndarray, shift: np.ndarray, out: str) -> DataFrame:
+    """Add the vector column ``rows x matrix - shift``; null stays null."""
+
+    def project(batches: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
+        for vectors in batches:
+            known = vectors["values"].notna()
+            placed = pd.Series([None] * len(vectors), dtype="object")
+            if known.any():
+                found = block_of_vectors(vectors[known.to_numpy()]).times(matrix) - shift
+                placed[known.to_numpy()] = pd.Series(list(found), index=placed.index[known.to_numpy()], dtype="object")
+            yield placed
+
+    project.__annotations__ = {"batches": Iterator[pd.DataFrame], "return": Iterator[pd.Series]}
+    coordinates = F.pandas_udf(project, T.ArrayType(T.DoubleType()))
+    placed = df.withColumn("_placed", coordinates(features))
+    vector = F.when(F.col("_placed").isNotNull(), array_to_vector("_placed"))
+    return placed.withColumn(out, vector).drop("_placed")
+
+
 def summed(parts: DataFrame) -> DataFrame:
     """Rows ``slot int, total array<double>`` summed by slot, entry by entry.
 

@@ -5,10 +5,9 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import (
-    PCA,
     ElementwiseProduct,
     Imputer,
     Normalizer,
@@ -21,15 +20,20 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.storagelevel import StorageLevel
 
 from facetloom import constants as C
 from facetloom.functions.labels import sentiment_score
 from facetloom.functions.text import category_text, to_number
+from facetloom.operators.blocks import blocks_of, projected, slot_batch, summed, unpacked
 from facetloom.operators.emotions import emotion_labels, emotion_wide
 from facetloom.operators.terms import fit_tfidf
 
+#: Rows with up to so many columns get their whole matrix of products, wider ones a basis of a few columns.
+EXACT_WIDTH = 512
+#: Terms whose sums travel together.
+TERM_GROUP = 64
+
 
 def vector_width(df: DataFrame, column: str) -> int:
     """Width of a vector column, from its metadata or its first row."""
@@ -142,8 +146,8 @@ def reduce_pca(
 ) -> DataFrame:
     """Add the first principal components, centred; vectors that are narrow enough stay.
 
-    The fit centres by itself. The rows are projected as they are, sparse, and the few
-    components are centred afterwards, which gives the same numbers.
+    The rows are projected as they are, sparse, and the few components are centred
+    afterwards, which gives the same numbers.
     """
     if vector_width(df, features) <= dimensions:
         return df.withColumn(out, F.col(features))
@@ -151,11 +155,8 @@ def reduce_pca(
 
 
 def _components(df: DataFrame, k: int, features: str, out: str) -> DataFrame:
-    stages = [
-        PCA(k=k, inputCol=features, outputCol="_components"),
-        StandardScaler(withMean=True, withStd=False, inputCol="_components", outputCol=out),
-    ]
-    return Pipeline(stages=stages).fit(df).transform(df).drop("_components")
+    vectors, mean = principal_directions(df, k, features)
+    return projected(df, features, vectors, mean @ vectors, out)
 
 
 def project_2d(df: DataFrame, features: str = "reduced") -> DataFrame:
@@ -166,77 +167,101 @@ def project_2d(df: DataFrame, features: str = "reduced") -> DataFrame:
     )
 
 
-@F.pandas_udf(
-    T.StructType(
-        [
-            T.StructField("indices", T.ArrayType(T.IntegerType())),
-            T.StructField("values", T.ArrayType(T.DoubleType())),
-        ]
-    )
-)
-def _unpacked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for vectors in batches:
-        yield vectors[["indices", "values"]]
-
+def _gram_times(rows: DataFrame, matrix: np.ndarray) -> np.ndarray:
+    """(transposed rows x rows) x matrix in one pass; tasks send only their sums, some terms together."""
+    sent = rows.sparkSession.sparkContext.broadcast(matrix)
 
-def _rows(vectors: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Positions and values stored in each vector; positions are distinct."""
-    for at, values in zip(vectors["indices"], vectors["values"], strict=True):
-        held = np.asarray(values, dtype="float64")
-        yield np.arange(len(held)) if at is None else np.asarray(at, dtype="int64"), held
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros_like(sent.value)
+        seen = np.zeros(len(total), dtype=bool)
+        for batch in batches:
+            for _, block in blocks_of(batch):
+                block.add_turned(block.times(sent.value), total)
+                seen[slice(None) if block.at is None else block.at] = True
+        groups = np.unique(np.flatnonzero(seen) // TERM_GROUP).tolist()
+        yield slot_batch({g: total[g * TERM_GROUP : (g + 1) * TERM_GROUP] for g in groups})
+
+    # One line for each group of terms.
+    found = summed(rows.select("indices", "values").mapInArrow(sums, "slot int, total array<double>")).collect()
+    sent.destroy()
+    out = np.zeros_like(matrix)
+    for r in found:
+        part = np.array(r["total"]).reshape(-1, matrix.shape[1])
+        out[r["slot"] * TERM_GROUP : r["slot"] * TERM_GROUP + len(part)] = part
+    return out
 
 
-def _gram_times(rows: DataFrame, features: str, matrix: np.ndarray) -> np.ndarray:
-    """(transposed rows x rows) x matrix in one pass; tasks send only their sums."""
+def _mean(rows: DataFrame, width: int) -> tuple[float, np.ndarray]:
+    """Number and mean of the rows."""
 
-    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros_like(matrix)
-        seen = np.zeros(len(matrix), dtype=bool)
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, count = np.zeros((1, width)), 0
         for batch in batches:
-            for at, held in _rows(batch):
-                total[at] += np.outer(held, held @ matrix[at])
-                seen[at] = True
-        found = np.flatnonzero(seen)
-        part = pd.DataFrame(total[found], columns=names)
-        part.insert(0, "at", found.astype("int32"))
-        yield part
-
-    names = [f"c{i}" for i in range(matrix.shape[1])]
-    kind = T.StructType(
-        [T.StructField("at", T.IntegerType()), *[T.StructField(n, T.DoubleType()) for n in names]]
-    )
-    parts = rows.select(f"{features}.*").mapInPandas(sums, kind)
-    # At most one line per term of the vocabulary.
-    summed = parts.groupBy("at").agg(*[F.sum(n).alias(n) for n in names]).toPandas()
-    out = np.zeros_like(matrix)
-    out[summed["at"].to_numpy()] = summed[names].to_numpy()
-    return out
+            for _, block in blocks_of(batch):
+                block.add_by_label(np.zeros(block.rows, dtype=np.int64), total)
+                count += block.rows
+        yield slot_batch({0: np.append(total[0], count)})
 
+    found = summed(rows.select("indices", "values").mapInArrow(sums, "slot int, total array<double>")).collect()
+    total = np.array(found[0]["total"]) if found else np.zeros(width + 1)
+    return total[-1], total[:-1] / max(total[-1], 1.0)
 
-def singular_vectors(
-    df: DataFrame, dimensions: int, features: str, passes: int = 5, seed: int = 42
+
+def _leading(
+    rows: DataFrame, width: int, k: int, passes: int, seed: int, centre: tuple[float, np.ndarray] | None
 ) -> np.ndarray:
-    """The leading right singular vectors of the rows, as columns.
+    """The leading eigenvectors of the rows' inner products, as columns; around their mean with ``centre``.
 
-    Randomised subspace iteration (Halko, Martinsson and Tropp, 2011): ``passes`` + 1
-    passes over the rows, each with one small sum per task. The sign of a vector is set
-    so that its largest entry is positive.
+    Up to ``EXACT_WIDTH`` columns the matrix of products is made as it is. Wider rows go through subspace
+    iteration (Halko, Martinsson and Tropp, 2011): the basis is a few columns, and the mean is a
+    correction of rank one, so that sparse rows stay sparse. The sign of a vector is set so that its largest
+    entry is positive.
     """
-    width = vector_width(df, features)
-    k = min(dimensions, width)
-    rng = np.random.default_rng(seed)
-    basis = np.linalg.qr(rng.standard_normal((width, min(width, k + 10))))[0]
-    plain = df.select(_unpacked(features).alias(features)).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
+
+    def times(basis: np.ndarray) -> np.ndarray:
+        found = _gram_times(rows, basis)
+        if centre is None:
+            return found
+        count, mean = centre
+        return found - count * np.outer(mean, mean @ basis)
+
+    if width <= EXACT_WIDTH:
+        basis = np.eye(width)
+    else:
+        rng = np.random.default_rng(seed)
+        basis = np.linalg.qr(rng.standard_normal((width, min(width, k + 10))))[0]
         for _ in range(passes):
-            basis = np.linalg.qr(_gram_times(plain, features, basis))[0]
-        small = basis.T @ _gram_times(plain, features, basis)
-    finally:
-        plain.unpersist()
+            basis = np.linalg.qr(times(basis))[0]
+    small = basis.T @ times(basis)
     _, rotation = np.linalg.eigh((small + small.T) / 2)
     vectors = basis @ rotation[:, ::-1][:, :k]
     top = np.abs(vectors).argmax(axis=0)
-    return vectors * np.sign(vectors[top, np.arange(vectors.shape[1])])
+    return vectors * np.where(vectors[top, np.arange(vectors.shape[1])] < 0, -1.0, 1.0)
+
+
+def singular_vectors(
+    df: DataFrame, dimensions: int, features: str, passes: int = 5, seed: int = 42
+) -> np.ndarray:
+    """The leading right singular vectors of the rows, as columns; ``passes`` + 1 passes over wide rows."""
+    width = vector_width(df, features)
+    rows = unpacked(df, features).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return _leading(rows, width, min(dimensions, width), passes, seed, None)
+    finally:
+        rows.unpersist()
+
+
+def principal_directions(
+    df: DataFrame, dimensions: int, features: str, passes: int = 8, seed: int = 42
+) -> tuple[np.ndarray, np.ndarray]:
+    """The leading principal directions of the rows, as columns, and the mean of the rows."""
+    width = vector_width(df, features)
+    rows = unpacked(df, features).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        centre = _mean(rows, width)
+        return _leading(rows, width, min(dimensions, width), passes, seed, centre), centre[1]
+    finally:
+        rows.unpersist()
 
 
 def svd(
@@ -247,15 +272,7 @@ def svd(
     The singular vectors are a terms x dimensions matrix, bounded by the vocabulary.
     """
     factors = singular_vectors(df, dimensions, features)
-
-    def project(batches: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
-        for vectors in batches:
-            placed = [held @ factors[at] for at, held in _rows(vectors)]
-            yield pd.Series(placed, dtype="object")
-
-    project.__annotations__ = {"batches": Iterator[pd.DataFrame], "return": Iterator[pd.Series]}
-    coordinates = F.pandas_udf(project, T.ArrayType(T.DoubleType()))
-    return df.withColumn(out, array_to_vector(coordinates(features)))
+    return projected(df, features, factors, np.zeros(factors.shape[1]), out)
 
 
 def persona_features(

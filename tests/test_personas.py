@@ -188,6 +188,27 @@ def test_pca_and_projection_are_centred(spark):
     assert same["reduced"] == same["features"]
 
 
+@pytest.mark.parametrize("exact", [512, 0])
+def test_pca_of_wide_sparse_rows(spark, monkeypatch, exact):
+    """100,000 columns through a basis of a few; with all directions, inner products are those of the centred rows."""
+    monkeypatch.setattr(features, "EXACT_WIDTH", exact)
+    rng = np.random.default_rng(4)
+    width = 100_000 if not exact else 30
+    shared = rng.choice(width, (3, 8), replace=False)
+    x = [{int(j): 5.0 + rng.random() for j in shared[i % 3]} | {int(j): 0.1 for j in rng.integers(0, width, 2)} for i in range(60)]
+    df = spark.createDataFrame([(i, Vectors.sparse(width, v)) for i, v in enumerate(x)], ["row_id", "features"]).repartition(3)
+    out = features.reduce_pca(df, 2 if not exact else 29).orderBy("row_id").collect()
+    got = np.array([r["reduced"].toArray() for r in out])
+    used = sorted({j for v in x for j in v})
+    plain = np.array([[v.get(j, 0.0) for j in used] for v in x])
+    centred = plain - plain.mean(axis=0)
+    if exact:
+        assert got @ got.T == pytest.approx(centred @ centred.T, abs=1e-8)
+    else:
+        u, s, _ = np.linalg.svd(centred, full_matrices=False)
+        assert np.abs(got) == pytest.approx(np.abs(u[:, :2] * s[:2]), abs=1e-3)
+
+
 def test_svd(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(40, 12)) * np.linspace(9, 0.5, 12) * (rng.random((40, 12)) < 0.6)
