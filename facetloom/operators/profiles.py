@@ -6,6 +6,7 @@ import math
 from collections.abc import Sequence
 from itertools import count
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,9 +16,8 @@ from facetloom.functions.numeric import round_half_even
 from facetloom.operators.lookups import lookup
 from facetloom.session import pin
 
-MEDIAN_ACCURACY = 10_000
-MEDIAN_MARGIN = 4 / MEDIAN_ACCURACY
-RANKED_ROWS = 5_000_000
+#: Bits that a pass of a median adds to the digits found; a group has at most 2^bits cells.
+DIGIT_BITS = 16
 
 
 def cluster_sizes(df: DataFrame, cluster: str = "cluster") -> DataFrame:
@@ -243,41 +243,29 @@ def order_profiles(profiles: DataFrame) -> DataFrame:
     return profiles.orderBy("feature", "cluster", F.desc("pct"), "value")
 
 
-def _narrowed(long: DataFrame, brackets: DataFrame, groups: Sequence[str]) -> DataFrame:
-    """Brackets about a hundred times narrower, from quantiles of the values inside."""
-    steps = 1000
-    inside = F.col("x").between(F.col("low"), F.col("high"))
-    parts = (
-        lookup(long, brackets, groups, "inner", spread_by=["x"])
-        .groupBy(*groups)
-        .agg(
-            F.first("rows").alias("rows"),
-            F.count_if(F.col("x") < F.col("low")).alias("below"),
-            F.count_if(inside).alias("inside"),
-            F.percentile_approx(
-                F.when(inside, F.col("x")), [i / steps for i in range(steps + 1)], MEDIAN_ACCURACY
-            ).alias("q"),
-        )
-    )
-    reach = max(5, math.ceil(steps * MEDIAN_MARGIN) + 1)
-    place = F.floor(steps * (F.col("rows") / 2 - F.col("below")) / F.col("inside"))
-    return parts.select(
-        *groups,
-        "rows",
-        F.get("q", F.greatest(place - reach, F.lit(0)).cast("int")).alias("low"),
-        F.get("q", F.least(place + reach, F.lit(steps)).cast("int")).alias("high"),
-    )
+def _ordered_bits(values: pd.Series) -> pd.Series:
+    """Doubles as whole numbers in the same order; both zeros are one."""
+    bits = (values.to_numpy(dtype="float64") + 0.0).view("int64")
+    return pd.Series(np.where(bits < 0, bits ^ np.int64(2**63 - 1), bits))
+
+
+def _from_bits(keys: pd.Series) -> pd.Series:
+    """The doubles back."""
+    bits = keys.to_numpy(dtype="int64")
+    return pd.Series(np.where(bits < 0, bits ^ np.int64(2**63 - 1), bits).view("float64"))
 
 
 def exact_medians(df: DataFrame, columns: Sequence[str], cluster: str = "cluster") -> DataFrame:
     """``cluster, column, median`` with exact medians of large groups.
 
-    A sketch brackets the median of each group. Values outside the bracket are only
-    counted, values inside are counted one by one and ranked, so a group is never held in
-    one place: the ranked part is about a thousandth of it, and where that is still
-    many rows the bracket is narrowed once more.
+    Radix selection for all groups at once: values become whole numbers of 64 bits in the same order, and
+    each of four passes counts those that share the digits found so far by their next ``DIGIT_BITS`` bits.
+    Counts are summed in the tasks, so a group is never held in one place, sorted or sketched.
     """
-    long = (
+    to_key = F.pandas_udf(_ordered_bits, "bigint")
+    to_value = F.pandas_udf(_from_bits, "double")
+    groups = ["cluster", "column"]
+    long = pin(
         df.where(F.col(cluster).isNotNull())
         .select(
             F.col(cluster).alias("cluster"),
@@ -293,44 +281,44 @@ def exact_medians(df: DataFrame, columns: Sequence[str], cluster: str = "cluster
             ),
         )
         .where(F.col("x").isNotNull() & ~F.isnan("x"))
+        .select(*groups, to_key("x").alias("key"))
     )
-    bracket = F.percentile_approx(
-        "x", [0.5 - MEDIAN_MARGIN, 0.5 + MEDIAN_MARGIN], MEDIAN_ACCURACY
-    )
-    groups = ["cluster", "column"]
-    brackets = (
-        long.groupBy(*groups)
-        .agg(bracket.alias("b"), F.count("x").alias("rows"))
-        .select(*groups, "rows", F.col("b")[0].alias("low"), F.col("b")[1].alias("high"))
-    )
-    brackets = pin(brackets)
-    largest = brackets.agg(F.max("rows")).first()[0] or 0
-    if largest * 2 * MEDIAN_MARGIN > RANKED_ROWS:
-        brackets = pin(_narrowed(long, brackets, groups))
-    zone = F.when(F.col("x") < F.col("low"), -1).when(F.col("x") > F.col("high"), 1).otherwise(0)
-    counted = (
-        lookup(long, brackets, groups, "inner", spread_by=["x"])
-        .select(*groups, "rows", zone.alias("zone"), F.when(zone == 0, F.col("x")).alias("x"))
-        .groupBy(*groups, "zone", "x")
-        .agg(F.count(F.lit(1)).alias("n"), F.first("rows").alias("rows"))
-    )
-    upto = Window.partitionBy(*groups).orderBy("zone", "x")
-    ranked = counted.withColumn("last", F.sum("n").over(upto)).withColumn(
-        "first", F.col("last") - F.col("n") + 1
+    rows = F.count(F.lit(1))
+    none = F.lit(0).cast("bigint")
+    # Of each middle value the digits found so far, and its rank among the values that share them.
+    state = pin(
+        long.groupBy(*groups).agg(
+            none.alias("low"), F.floor((rows + 1) / 2).alias("low_rank"),
+            none.alias("high"), (F.floor(rows / 2) + 1).alias("high_rank"),
+        )
     )
-    lower, upper = F.floor((F.col("rows") + 1) / 2), F.floor(F.col("rows") / 2) + 1
-
-    def at(rank: Column) -> Column:
-        return F.max(
-            F.when(
-                F.col("first").__le__(rank) & (F.col("last") >= rank),
-                F.when(F.col("zone") == 0, F.col("x")).otherwise(
-                    F.raise_error(F.lit("median outside its bracket")).cast("double")
-                ),
+    for shift in range(64 - DIGIT_BITS, -1, -DIGIT_BITS):
+        shared = shift + DIGIT_BITS
+        found = none if shared == 64 else F.shiftright("key", shared)
+        cells = (
+            lookup(long.select(*groups, "key", found.alias("found")), state, groups, "inner", spread_by=["key"])
+            .where((F.col("found") == F.col("low")) | (F.col("found") == F.col("high")))
+            .groupBy(*groups, "found", F.shiftright("key", shift).alias("digits"))
+            .agg(F.count(F.lit(1)).alias("n"))
+        )
+        upto = Window.partitionBy(*groups, "found").orderBy("digits")
+        counted = lookup(cells.withColumn("last", F.sum("n").over(upto)), state, groups, "inner")
+
+        def at(side: str) -> Column:
+            """The first digits that reach the rank, and the rank among their values."""
+            rank = F.col(f"{side}_rank")
+            reached = (F.col("found") == F.col(side)) & (F.col("last") >= rank)
+            return F.min(F.when(reached, F.struct("digits", (rank - F.col("last") + F.col("n")).alias("rank"))))
+
+        state = pin(
+            counted.groupBy(*groups)
+            .agg(at("low").alias("l"), at("high").alias("h"))
+            .select(
+                *groups, F.col("l.digits").alias("low"), F.col("l.rank").alias("low_rank"),
+                F.col("h.digits").alias("high"), F.col("h.rank").alias("high_rank"),
             )
         )
-
-    return ranked.groupBy(*groups).agg(((at(lower) + at(upper)) / 2).alias("median"))
+    return state.select(*groups, ((to_value("low") + to_value("high")) / 2).alias("median"))
 
 
 def without_nan(value: Column) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from facetloom.sources.publish import is_ready, publish
 
 # White space in fields is kept. A field without quotes and content is null, ``""`` is empty.
 _EXACT = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
@@ -65,34 +66,41 @@ def write_csv(df: DataFrame, path: str, order_by: Sequence[str] = ()) -> None:
     )
 
 
-def read_parquet_if_any(spark: SparkSession, path: str) -> DataFrame | None:
-    """The parquet table at ``path``, or None if there is none."""
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException as error:
-        if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            return None
-        raise
-
-
 def materialize_parquet(
     spark: SparkSession, csv_path: str, parquet_path: str, schema: T.StructType | str
 ) -> DataFrame:
-    """The parquet table if it exists, else the CSV table converted once."""
-    ready = read_parquet_if_any(spark, parquet_path)
-    if ready is not None:
-        return ready
-    read_csv(spark, csv_path, schema).write.mode("overwrite").parquet(parquet_path)
+    """The parquet table if it is complete, else the CSV table converted once.
+
+    A folder without the commit mark, left by a job that ended early, is moved aside and converted again.
+    """
+    if not is_ready(spark, parquet_path):
+        publish(read_csv(spark, csv_path, schema), parquet_path)
     return spark.read.parquet(parquet_path)
 
 
 def write_dataset(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Publish a table with a ``split`` column, one folder per split."""
-    df.write.mode(mode).partitionBy("split").parquet(path)
+    """Publish a table with a ``split`` column, one folder per split.
+
+    ``overwrite`` replaces a dataset once the new one is complete; ``errorifexists`` leaves one that is there and
+    fails, ``ignore`` leaves it. ``append`` adds files in place.
+    """
+    if mode == "append":
+        df.write.mode(mode).partitionBy("split").parquet(path)
+        return
+    if mode not in ("overwrite", "errorifexists", "error", "ignore"):
+        raise ValueError(f"unknown mode: {mode}")
+    if mode != "overwrite" and is_ready(df.sparkSession, path):
+        if mode == "ignore":
+            return
+        raise FileExistsError(f"there is a dataset at {path}")
+    if not publish(df, path, ["split"], replace=mode == "overwrite") and mode != "ignore":
+        raise FileExistsError(f"there is a dataset at {path}")
 
 
 def read_dataset(spark: SparkSession, path: str, split: str | None = None) -> DataFrame:
-    """A published dataset, or one split of it, of which only the folder is read."""
+    """A published dataset, or one split of it, of which only the folder is read; it must be complete."""
+    if not is_ready(spark, path):
+        raise FileNotFoundError(f"no complete dataset at {path}")
     data = spark.read.parquet(path)
     return data if split is None else data.where(F.col("split") == split)
 

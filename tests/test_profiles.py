@@ -1,3 +1,4 @@
+import math
 import random
 import statistics
 
@@ -129,12 +130,10 @@ def test_profiles_sum_to_hundred_and_skip_null_clusters(spark):
     assert all(abs(r["s"] - 100) < 0.03 for r in sums)
 
 
-@pytest.mark.parametrize("ranked", [5_000_000, 0])
+@pytest.mark.parametrize("bits", [16, 8])
 @pytest.mark.parametrize("size", [1, 2, 7, 20_000])
-def test_medians_are_exact(spark, size, ranked, monkeypatch):
-    monkeypatch.setattr(P, "MEDIAN_ACCURACY", 200)
-    monkeypatch.setattr(P, "MEDIAN_MARGIN", 4 / 200)
-    monkeypatch.setattr(P, "RANKED_ROWS", ranked)
+def test_medians_are_exact(spark, size, bits, monkeypatch):
+    monkeypatch.setattr(P, "DIGIT_BITS", bits)
     rng = random.Random(size)
     groups = {g: [rng.choice([rng.gauss(0, 1e6), 5.0, 5.0]) for _ in range(size + g)] for g in (0, 1)}
     rows = [(g, x) for g, xs in groups.items() for x in xs] + [(0, None), (0, float("nan"))]
@@ -143,6 +142,19 @@ def test_medians_are_exact(spark, size, ranked, monkeypatch):
     assert found == {g: pytest.approx(statistics.median(xs), rel=1e-15) for g, xs in groups.items()}
 
 
+def test_medians_of_odd_values(spark):
+    """Infinities, both zeros, the smallest and largest doubles, ties across the middle."""
+    inf = math.inf
+    groups = {
+        0: [inf, -inf, 3.0], 1: [-inf, -inf, 1.0, inf], 2: [0.0, -0.0], 3: [-5e-324, 5e-324, 0.0], 4: [1.5, 1.5, -2.0, 9.0],
+        5: [1.7e308, -1.7e308, 2.0, 2.0], 6: [-1.0, -2.0, -3.0, -4.0], 7: [inf, inf],
+    }
+    df = spark.createDataFrame([(g, x) for g, xs in groups.items() for x in xs], "cluster int, x double").repartition(4)
+    found = {r["cluster"]: r["median"] for r in P.exact_medians(df, ["x"]).collect()}
+    assert found == {g: statistics.median(xs) for g, xs in groups.items()}
+    assert P.exact_medians(df.limit(0), ["x"]).collect() == []
+
+
 def test_summary_of_one_row_and_null_cluster(spark):
     df = spark.createDataFrame([(0, 2.0, True), (None, 9.0, False)], "cluster int, x double, b boolean")
     row = P.numeric_summary(df.withColumn("b", F.col("b").cast("int")), ["x", "b"]).collect()

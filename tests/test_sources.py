@@ -1,12 +1,13 @@
 import datetime
 import os
+from multiprocessing.pool import ThreadPool
 
 import pytest
 
 from facetloom.operators.scoring import HashScorer
 from facetloom.plans.enrichment import enrich_blogs
 from facetloom.schemas import CLUSTER_LEGEND, CLUSTERED, ENRICHED
-from facetloom.sources import blogs, cards, index, tables
+from facetloom.sources import blogs, cards, index, publish, tables
 
 FILES = {
     "1.male.24.Student.Leo.xml": (
@@ -119,6 +120,48 @@ def test_dataset_by_split(spark, tmp_path):
     assert tables.read_dataset(spark, str(tmp_path / "d")).count() == 2
 
 
+def test_a_partial_folder_is_converted_again(spark, tmp_path):
+    csv, out = str(tmp_path / "a.csv"), str(tmp_path / "p")
+    (tmp_path / "a.csv").write_text("x\n" + "\n".join(map(str, range(10))))
+    tables.materialize_parquet(spark, csv, out, "x int")
+    os.remove(f"{out}/_SUCCESS")
+    os.remove(next(f for f in map(str, (tmp_path / "p").glob("part-*"))))
+    assert sorted(r["x"] for r in tables.materialize_parquet(spark, csv, out, "x int").collect()) == list(range(10))
+    assert len(list(tmp_path.glob("p.incomplete-*"))) == 1 and not list(tmp_path.glob("p.making-*"))
+
+
+def test_writers_at_once(spark, tmp_path):
+    """Each reader sees one whole table; the writers that lose leave nothing behind."""
+    out = str(tmp_path / "t")
+    frames = [spark.range(100).selectExpr("id", f"{i} AS who").repartition(4) for i in range(4)]
+    with ThreadPool(4) as pool:
+        won = pool.map(lambda df: publish.publish(df, out), frames)
+    found = spark.read.parquet(out).groupBy("who").count().collect()
+    assert sum(won) == 1 and [tuple(r) for r in found] == [(won.index(True), 100)]
+    assert [p.name for p in tmp_path.iterdir()] == ["t"]
+    with ThreadPool(2) as pool:
+        assert pool.map(lambda df: publish.publish(df, out, replace=True), frames[:2]) == [True, True]
+    assert spark.read.parquet(out).count() == 100 and [p.name for p in tmp_path.iterdir()] == ["t"]
+
+
+def test_modes_of_a_dataset(spark, tmp_path):
+    out = str(tmp_path / "d")
+    one = spark.createDataFrame([(1, "train")], "x int, split string")
+    tables.write_dataset(one, out, "errorifexists")
+    with pytest.raises(FileExistsError):
+        tables.write_dataset(one, out, "errorifexists")
+    tables.write_dataset(one, out, "ignore")
+    tables.write_dataset(one, out, "append")
+    assert tables.read_dataset(spark, out, "train").count() == 2
+    tables.write_dataset(one, out)
+    assert tables.read_dataset(spark, out).count() == 1
+    os.remove(f"{out}/_SUCCESS")
+    with pytest.raises(FileNotFoundError):
+        tables.read_dataset(spark, out)
+    with pytest.raises(ValueError):
+        tables.write_dataset(one, out, "other")
+
+
 def test_newest_file(spark, tmp_path):
     for i, name in enumerate(["m_a.csv", "m_b.csv"]):
         (tmp_path / name).write_text("x")
