@@ -2,22 +2,22 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import (
     ElementwiseProduct,
     Imputer,
     Normalizer,
-    OneHotEncoder,
     StandardScaler,
-    StringIndexer,
     VectorAssembler,
 )
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.linalg import Vectors
+from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
@@ -27,7 +27,10 @@ from facetloom.functions.labels import sentiment_score
 from facetloom.functions.text import category_text, to_number
 from facetloom.operators.blocks import blocks_of, projected, slot_batch, summed, unpacked
 from facetloom.operators.emotions import emotion_labels, emotion_wide
+from facetloom.operators.lookups import fits_broadcast, lookup
+from facetloom.operators.ordering import global_index
 from facetloom.operators.terms import fit_tfidf
+from facetloom.session import pin
 
 #: Rows with up to so many columns get their whole matrix of products, wider ones a basis of a few columns.
 EXACT_WIDTH = 512
@@ -75,12 +78,47 @@ def numeric_block(
     return Pipeline(stages=stages).fit(work).transform(work).select(*df.columns, out)
 
 
+def category_positions(df: DataFrame, texts: Sequence[str]) -> DataFrame:
+    """``column, value, position`` for every value of the text columns, in order of column and value."""
+    pairs = F.array(*[F.struct(F.lit(i).alias("column"), F.col(t).alias("value")) for i, t in enumerate(texts)])
+    return pin(global_index(df.select(F.inline(pairs)).distinct(), ["column", "value"], "position"))
+
+
+def one_hot(df: DataFrame, texts: Sequence[str], positions: DataFrame, out: str, unit: bool = False) -> DataFrame:
+    """Add a sparse vector with a one (with ``unit``, length one in all) at the position of each column's value.
+
+    The positions are joined to the rows: by broadcast if they are few, else by a shuffle with hot values spread. No list of
+    the values reaches the driver.
+    """
+    width, few = positions.count(), fits_broadcast(positions)
+    share = 1.0 / math.sqrt(len(texts)) if unit else 1.0
+    placed = df
+    for i, t in enumerate(texts):
+        own = positions.where(F.col("column") == i).select(
+            F.col("value").alias(t), F.col("position").cast("int").alias(f"{t}_at")
+        )
+        others = [x for x in texts if x != t] or [t]
+        placed = placed.join(F.broadcast(own), t) if few else lookup(placed, own, [t], "inner", spread_by=others)
+
+    @F.pandas_udf(VectorUDT())
+    def vector(at: pd.Series) -> pd.DataFrame:
+        n = len(at)
+        return pd.DataFrame({
+            "type": np.zeros(n, dtype="int8"), "size": np.full(n, width, dtype="int32"),
+            "indices": at, "values": [np.full(len(x), share) for x in at],
+        })
+
+    made = vector(F.array(*[F.col(f"{t}_at") for t in texts]))
+    return placed.select(*df.columns, made.alias(out, metadata={"ml_attr": {"num_attrs": width}}))
+
+
 def categorical_block(
     df: DataFrame, columns: Sequence[str], out: str = "categorical_block"
 ) -> DataFrame:
     """Add the categories one-hot encoded (sparse) and scaled to length one per row.
 
-    Missing values, and a missing column, are the category ``NA``.
+    Missing values, and a missing column, are the category ``NA``. Categories may be many: they
+    are numbered by a range sort, and never listed on the driver.
     """
     texts = [f"_cat{i}" for i in range(len(columns))]
     work = df.select(
@@ -90,17 +128,7 @@ def categorical_block(
             for c, t in zip(columns, texts, strict=True)
         ],
     )
-    indexed = [f"{t}_index" for t in texts]
-    hot = [f"{t}_hot" for t in texts]
-    stages = [
-        StringIndexer(
-            inputCols=texts, outputCols=indexed, stringOrderType="alphabetAsc", handleInvalid="keep"
-        ),
-        OneHotEncoder(inputCols=indexed, outputCols=hot, dropLast=True),
-        VectorAssembler(inputCols=hot, outputCol="_hot"),
-        Normalizer(p=2.0, inputCol="_hot", outputCol=out),
-    ]
-    return Pipeline(stages=stages).fit(work).transform(work).select(*df.columns, out)
+    return one_hot(work, texts, category_positions(work, texts), out, unit=True).select(*df.columns, out)
 
 
 def feature_blocks(
@@ -310,22 +338,12 @@ def persona_features(
         work = work.select(
             "*", *[category_text(F.col(c)).alias(t) for c, t in zip(present, texts, strict=True)]
         )
-        indexer = StringIndexer(
-            inputCols=texts,
-            outputCols=[f"{t}_index" for t in texts],
-            stringOrderType="alphabetAsc",
-            handleInvalid="keep",
-        ).fit(work)
-        for column, values in zip(present, indexer.labelsArray, strict=True):
-            names += [f"{column}_{value}" for value in values]
-        hot = [f"{t}_hot" for t in texts]
-        stages += [
-            indexer,
-            OneHotEncoder(
-                inputCols=[f"{t}_index" for t in texts], outputCols=hot, dropLast=True
-            ),
-        ]
-        parts += hot
+        positions = category_positions(work, texts)
+        # A name for each position of the vectors is part of the result.
+        for r in positions.orderBy("position").toLocalIterator():
+            names.append(f"{present[r['column']]}_{r['value']}")
+        work = one_hot(work, texts, positions, "_hot")
+        parts.append("_hot")
     numbers = ["sentiment_score", *[f"emotion_{label}" for label in labels]]
     names += numbers
     stages += [

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from facetloom.functions.numeric import round_half_even
-from facetloom.operators.lookups import lookup
+from facetloom.operators.lookups import fits_broadcast, lookup
 from facetloom.session import pin
 
 #: Bits that a pass of a median adds to the digits found; a group has at most 2^bits cells.
@@ -292,17 +292,24 @@ def exact_medians(df: DataFrame, columns: Sequence[str], cluster: str = "cluster
             none.alias("high"), (F.floor(rows / 2) + 1).alias("high_rank"),
         )
     )
+    few = fits_broadcast(state)
+
+    def with_state(rows: DataFrame) -> DataFrame:
+        """The state has a line for each group in every pass, so its size is checked once."""
+        return rows.join(F.broadcast(state), groups) if few else lookup(rows, state, groups, "inner", spread_by=["key"])
+
     for shift in range(64 - DIGIT_BITS, -1, -DIGIT_BITS):
         shared = shift + DIGIT_BITS
         found = none if shared == 64 else F.shiftright("key", shared)
         cells = (
-            lookup(long.select(*groups, "key", found.alias("found")), state, groups, "inner", spread_by=["key"])
+            with_state(long.select(*groups, "key", found.alias("found")))
             .where((F.col("found") == F.col("low")) | (F.col("found") == F.col("high")))
             .groupBy(*groups, "found", F.shiftright("key", shift).alias("digits"))
             .agg(F.count(F.lit(1)).alias("n"))
         )
         upto = Window.partitionBy(*groups, "found").orderBy("digits")
-        counted = lookup(cells.withColumn("last", F.sum("n").over(upto)), state, groups, "inner")
+        ranked = cells.withColumn("last", F.sum("n").over(upto)).withColumn("key", F.col("digits"))
+        counted = with_state(ranked)
 
         def at(side: str) -> Column:
             """The first digits that reach the rank, and the rank among their values."""

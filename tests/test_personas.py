@@ -173,6 +173,28 @@ def test_categorical_block_and_weights(spark):
     assert both[0]["features"].toArray() == pytest.approx([1.2, 1.6, 3.0, 0.0])
 
 
+@pytest.mark.parametrize("few", [True, False])
+def test_many_categories(spark, few):
+    """A million values of one column; positions are in order and every row has its own."""
+    many = 1_000_000 if not few else 1000
+    df = spark.range(many).select(
+        "id", F.format_string("v%07d", "id").alias("own"), F.when(F.col("id") % 3 > 0, F.col("id") % 3).alias("third")
+    )
+    out = features.categorical_block(df, ["own", "third"])
+    parts = out.select("id", "third", F.col("categorical_block").alias("v"))
+    wrong = parts.mapInPandas(
+        lambda batches: (
+            b[["id"]][[
+                list(v["indices"]) != [i, many + (2 if np.isnan(t) else int(t) - 1)] or v["size"] != many + 3
+                for i, t, v in zip(b["id"], b["third"], b["v"], strict=True)
+            ]]
+            for b in batches
+        ),
+        "id long",
+    )
+    assert wrong.count() == 0 and out.count() == many
+
+
 def test_pca_and_projection_are_centred(spark):
     rng = np.random.default_rng(0)
     x = rng.normal(size=(60, 6)) * [5, 3, 1, 1, 0.5, 0.1] + 7
