@@ -319,7 +319,7 @@ def strongest_associations(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def value_profiles(spark: SparkSession, sf: str) -> DataFrame:
-    return profiles.order_profiles(profiles.value_profiles(segments(spark, sf), ORDER_FEATURES))
+    return profiles.order_profiles(profiles.value_profiles(segments(spark, sf), ORDER_FEATURES, zeros=True))
 
 
 def numeric_summary(spark: SparkSession, sf: str) -> DataFrame:

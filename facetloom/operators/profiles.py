@@ -109,13 +109,16 @@ def _over(value: Column, by: Column) -> Column:
     return value / F.nullif(by, F.lit(0.0))
 
 
-def association_parts(df: DataFrame, features: Sequence[str], cluster: str) -> DataFrame:
+def association_parts(
+    df: DataFrame, features: Sequence[str], cluster: str, cells: DataFrame | None = None
+) -> DataFrame:
     """Per feature: ``n``, rows and columns of the crosstab, chi-square with its correction.
 
     The crosstab stays in long form. Cells that do not occur count through exact integer
-    totals of each row, so nothing is made dense and no digits cancel at large n.
+    totals of each row, so nothing is made dense and no digits cancel at large n. ``cells`` may give a
+    crosstab that was made before.
     """
-    cells = crosstab(df, features, cluster)
+    cells = crosstab(df, features, cluster) if cells is None else cells
     by_row = cells.groupBy("feature", "cluster").agg(F.sum("n").alias("row_n"))
     by_value = cells.groupBy("feature", "value").agg(F.sum("n").alias("value_n"))
     totals = by_row.groupBy("feature").agg(
@@ -171,14 +174,16 @@ def association_parts(df: DataFrame, features: Sequence[str], cluster: str) -> D
     )
 
 
-def chi_square(df: DataFrame, features: Sequence[str], cluster: str = "cluster") -> DataFrame:
+def chi_square(
+    df: DataFrame, features: Sequence[str], cluster: str = "cluster", cells: DataFrame | None = None
+) -> DataFrame:
     """Tests of each feature against the cluster.
 
     ``feature, chi2, dof, p_value, cramers_v, effect``: chi-square with the continuity
     correction for 2x2 tables, bias-corrected Cramér's V (null where its denominator is
     not positive) and the plain V. A feature without any cell has nulls.
     """
-    parts = association_parts(df, features, cluster)
+    parts = association_parts(df, features, cluster, cells)
     names = df.sparkSession.createDataFrame([(c,) for c in features], "feature string")
     n = F.col("n").cast("double")
     r, k = F.col("rows").cast("double"), F.col("cols").cast("double")
@@ -221,21 +226,29 @@ def strongest_associations(tests: DataFrame, top: int = 10) -> DataFrame:
 
 
 def value_profiles(
-    df: DataFrame, features: Sequence[str], cluster: str = "cluster"
+    df: DataFrame,
+    features: Sequence[str],
+    cluster: str = "cluster",
+    zeros: bool = False,
+    cells: DataFrame | None = None,
 ) -> DataFrame:
     """``cluster, feature, value, pct``: percentage of each value within a cluster.
 
-    Values that a cluster lacks are listed with 0. Rows with a null value do not count.
+    Rows with a null value do not count. Only values that occur in a cluster are listed: the table grows with the
+    cells, not with clusters times values. With ``zeros`` the values that a cluster lacks are listed with 0.
+    ``cells`` may give a crosstab that was made before.
     """
-    cells = crosstab(df, features, cluster)
+    cells = crosstab(df, features, cluster) if cells is None else cells
     by_row = cells.groupBy("feature", "cluster").agg(F.sum("n").alias("row_n"))
-    values = cells.select("feature", "value").distinct()
-    # The result itself is values x clusters; the cluster side is small or salted.
-    grid = lookup(values, by_row, ["feature"], "inner", spread_by=["value"], pinned=True)
+    if zeros:
+        values = cells.select("feature", "value").distinct()
+        # The result itself is values x clusters; the cluster side is small or salted.
+        grid = lookup(values, by_row, ["feature"], "inner", spread_by=["value"], pinned=True)
+        listed = grid.join(cells, ["feature", "cluster", "value"], "left")
+    else:
+        listed = lookup(cells, by_row, ["feature", "cluster"], "inner", spread_by=["value"], pinned=True)
     share = F.coalesce(F.col("n"), F.lit(0)) / F.col("row_n") * F.lit(100.0)
-    return grid.join(cells, ["feature", "cluster", "value"], "left").select(
-        "cluster", "feature", "value", round_half_even(share, 2).alias("pct")
-    )
+    return listed.select("cluster", "feature", "value", round_half_even(share, 2).alias("pct"))
 
 
 def order_profiles(profiles: DataFrame) -> DataFrame:

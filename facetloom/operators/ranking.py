@@ -15,11 +15,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from facetloom.operators.blocks import blocks_of, unpacked
 from facetloom.operators.forests import flatten
 from facetloom.operators.grouped import matrix_of
 from facetloom.operators.ordering import global_index
 from facetloom.operators.profiles import crosstab
 from facetloom.operators.features import vector_width
+from facetloom.session import pin
 
 
 def binned(
@@ -81,7 +83,7 @@ def vector_information(
     """``feature, score, rank``: mutual information with the label of every vector position.
 
     The range of each position is cut into ``bins`` equal parts; a constant position scores
-    0, and NaN is left out. One pass finds the ranges, another counts the cells in the tasks.
+    0, and NaN is left out. One pass finds the ranges, another counts the stored entries in the tasks.
     ``names`` holds a name per position; names may repeat, and equal scores keep their order.
     """
     rows = df.select(F.col(label).alias("cluster"), features).dropna()
@@ -92,25 +94,74 @@ def vector_information(
         low, high = rows.select(summary.alias("s")).select("s.min", "s.max").first()
     if len(names) != len(low):
         raise ValueError("names must match the width of the feature vectors")
-    # One row per position of the vector.
-    spans = df.sparkSession.createDataFrame(
-        [(i, float(a), float(b - a)) for i, (a, b) in enumerate(zip(low, high, strict=True))],
-        "position int, low double, width double",
+    lows, widths = np.array(low), np.array(high) - np.array(low)
+    cells = _histograms(rows, features, lows, widths, bins).select(
+        "cluster", F.col("position").cast("string").alias("feature"), F.col("bin").alias("value"), "n"
     )
-    place = F.floor((F.col("x") - F.col("low")) * F.lit(float(bins)) / F.col("width"))
-    cells = (
-        rows.select("cluster", F.posexplode(vector_to_array(features)).alias("position", "x"))
-        .where(~F.isnan("x"))
+    return _most_informative(cells, [(str(i), name) for i, name in enumerate(names)], top)
+
+
+def _bins(x: np.ndarray, low: np.ndarray, width: np.ndarray, bins: int) -> np.ndarray:
+    """The bin of each value in its position's range; 0 in a constant position, -1 for NaN."""
+    with np.errstate(invalid="ignore", divide="ignore"):
+        place = np.floor((x - low) * float(bins) / width)
+    place = np.where(width > 0, np.minimum(place, bins - 1), 0.0)
+    return np.where(np.isnan(x), -1.0, place).astype(np.int64)
+
+
+def _histograms(rows: DataFrame, features: str, low: np.ndarray, width: np.ndarray, bins: int) -> DataFrame:
+    """``cluster, position, bin, n``: the values of every vector position by bin and cluster.
+
+    Stored entries are counted in the tasks; a zero that is not stored follows from the rows of the cluster
+    less the entries. Only cells are shuffled.
+    """
+    spark = rows.sparkSession
+    sent = spark.sparkContext.broadcast((low, width))
+    cluster = rows.schema["cluster"].dataType
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        low, width = sent.value
+        for batch in batches:
+            labels = batch.column("cluster").dictionary_encode()
+            code = labels.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+            for part, block in blocks_of(batch):
+                if block.at is None:
+                    at = np.tile(np.arange(len(low)), block.rows)
+                    values, owner = block.values.ravel(), np.repeat(code[part], len(low))
+                else:
+                    at, values, owner = block.at, block.values, code[part][block.row_of()]
+                key = (owner * len(low) + at) * (bins + 1) + _bins(values, low[at], width[at], bins) + 1
+                found, n = np.unique(key, return_counts=True)
+                whole, bin_ = np.divmod(found, bins + 1)
+                owner, at = np.divmod(whole, max(1, len(low)))
+                yield pa.RecordBatch.from_arrays(
+                    [labels.dictionary.take(pa.array(owner)), pa.array(at, pa.int32()), pa.array(bin_ - 1, pa.int32()), pa.array(n)],
+                    names=["cluster", "position", "bin", "n"],
+                )
+
+    kind = T.StructType([
+        T.StructField("cluster", cluster), T.StructField("position", T.IntegerType()),
+        T.StructField("bin", T.IntegerType()), T.StructField("n", T.LongType()),
+    ])
+    stored = pin(
+        unpacked(rows, features, "cluster").mapInArrow(count, kind)
+        .groupBy("cluster", "position", "bin").agg(F.sum("n").alias("n"))
+    )
+    # One row per position of the vector, and one per cluster and position.
+    zero = _bins(np.zeros(len(low)), low, width, bins)
+    spans = spark.createDataFrame([(i, int(b)) for i, b in enumerate(zero)], "position int, bin int")
+    everywhere = rows.groupBy("cluster").agg(F.count(F.lit(1)).alias("rows")).select(
+        "cluster", "rows", F.explode(F.sequence(F.lit(0), F.lit(len(low) - 1)) if len(low) else F.array().cast("array<int>")).alias("position")
+    )
+    seen = stored.groupBy("cluster", "position").agg(F.sum("n").alias("seen"))
+    rest = (
+        everywhere.join(seen, ["cluster", "position"], "left")
+        .select("cluster", "position", (F.col("rows") - F.coalesce("seen", F.lit(0))).alias("n"))
+        .where("n > 0")
         .join(F.broadcast(spans), "position")
-        .select(
-            "cluster",
-            F.col("position").cast("string").alias("feature"),
-            F.when(F.col("width") > 0, F.least(place, F.lit(bins - 1))).otherwise(0).alias("value"),
-        )
-        .groupBy("cluster", "feature", "value")
-        .agg(F.count(F.lit(1)).alias("n"))
+        .select("cluster", "position", "bin", "n")
     )
-    return _most_informative(cells, [(str(i), name) for i, name in enumerate(names)], top)
+    return stored.where("bin >= 0").unionByName(rest).groupBy("cluster", "position", "bin").agg(F.sum("n").alias("n"))
 
 
 def _most_informative(cells: DataFrame, names: Sequence[tuple[str, str]], top: int) -> DataFrame:

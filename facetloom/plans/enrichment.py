@@ -43,9 +43,10 @@ def score_rows(
     sentiment: Scorer,
     text: str = "text",
     max_tokens: int | None = None,
+    date_is_birthdate: bool = True,
 ) -> DataFrame:
-    """Cohort, emotion and sentiment columns, before the gate."""
-    rows = add_cohort(require_columns(df, [text, "date"]))
+    """Cohort (see ``add_cohort``), emotion and sentiment columns, before the gate."""
+    rows = add_cohort(require_columns(df, [text, "date"]), date_is_birthdate)
     scored = score_emotions(rows, text, emotions)
     return score_sentiment(scored, text, sentiment, max_tokens)
 
@@ -61,6 +62,7 @@ def enrich_blogs(
     end: int | None = None,
     limit: int | None = None,
     max_tokens: int | None = None,
+    date_is_birthdate: bool = True,
 ) -> DataFrame:
     """Blog files to a published dataset with its splits; gives the quality report.
 
@@ -75,7 +77,9 @@ def enrich_blogs(
             placed = global_index(rows, ["file_idx", "post_no", "line_no"], "_place")
             parts.append(row_range(placed, start, end, "_place", limit).drop("_place"))
         lines = parts[0].unionByName(parts[1])
-    scored = score_rows(lines, emotions, sentiment, max_tokens=max_tokens)
+    scored = score_rows(
+        lines, emotions, sentiment, max_tokens=max_tokens, date_is_birthdate=date_is_birthdate
+    )
     seen = Observation("quality")
     observed = scored.observe(seen, *quality_metrics(min_confidence))
     write_dataset(add_masking(confidence_gate(observed, min_confidence)), out)
@@ -92,7 +96,8 @@ def enrich(
     min_confidence: float = C.GATE_MIN_CONFIDENCE,
     text: str = "text",
     max_tokens: int | None = None,
+    date_is_birthdate: bool = True,
 ) -> DataFrame:
     """Scored rows that pass the confidence gate, with the masking flag."""
-    scored = score_rows(df, emotions, sentiment, text, max_tokens)
+    scored = score_rows(df, emotions, sentiment, text, max_tokens, date_is_birthdate)
     return add_masking(confidence_gate(scored, min_confidence))

@@ -85,15 +85,22 @@ class ClusterProfiles:
 
 
 def profile_clusters(
-    df: DataFrame, cluster: str = "cluster", max_cardinality: int | None = None
+    df: DataFrame,
+    cluster: str = "cluster",
+    max_cardinality: int | None = None,
+    zeros: bool = False,
 ) -> ClusterProfiles:
-    """Sizes, value percentages, tests and numeric summaries of every cluster."""
+    """Sizes, value percentages, tests and numeric summaries of every cluster.
+
+    ``zeros`` also lists the values that a cluster lacks. The crosstab is counted once for percentages and tests.
+    """
     categories = select_categoricals(df, cluster, max_cardinality=max_cardinality)
     numbers = select_numerics(df, cluster)
+    cells = pin(profiles.crosstab(df, categories, cluster)) if categories else None
     return ClusterProfiles(
         profiles.cluster_sizes(df, cluster).orderBy(cluster),
-        profiles.order_profiles(profiles.value_profiles(df, categories, cluster)),
-        profiles.order_tests(profiles.chi_square(df, categories, cluster)),
+        profiles.order_profiles(profiles.value_profiles(df, categories, cluster, zeros, cells)),
+        profiles.order_tests(profiles.chi_square(df, categories, cluster, cells)),
         profiles.numeric_summary(df, numbers, cluster).orderBy("cluster") if numbers else None,
     )
 

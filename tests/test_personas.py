@@ -311,6 +311,26 @@ def test_vector_information(spark):
     assert [tuple(r) for r in empty] == [("a", 0.0, 1), ("b", 0.0, 2)]
 
 
+def test_information_of_sparse_vectors(spark):
+    """Dense, sparse and mixed rows give the same scores as a crosstab of the written-out bins."""
+    rng = np.random.default_rng(9)
+    x = np.round(rng.normal(size=(120, 5)), 1) * (rng.random((120, 5)) < [0.1, 0.5, 0.9, 0.3, 0.0])
+    label = [["a", "b", "c"][int(v > 0) + int(w > 0.5)] for v, w in zip(x[:, 1], x[:, 2], strict=True)]
+    names = list("vwxyz")
+
+    def scored(form):
+        rows = [
+            (t, Vectors.sparse(5, {j: float(v) for j, v in enumerate(r) if v}) if form(i) else Vectors.dense(r))
+            for i, (t, r) in enumerate(zip(label, x, strict=True))
+        ]
+        df = spark.createDataFrame(rows, ["persona_id", "features"]).repartition(3)
+        return [(r["feature"], round(r["score"], 9)) for r in ranking.vector_information(df, names).collect()]
+
+    cut = ranking.binned(spark.createDataFrame([(t, *map(float, r)) for t, r in zip(label, x, strict=True)], ["persona_id", *names]), names, 10)
+    want = [(r["feature"], round(r["score"], 9)) for r in ranking.mutual_information(cut, names).collect()]
+    assert scored(lambda i: False) == scored(lambda i: True) == scored(lambda i: i % 3 == 0) == want
+
+
 def test_permutation_importance(spark):
     rng = np.random.default_rng(3)
     noise = rng.normal(size=(200, 3))

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from facetloom.operators import profiles as P
+from facetloom.plans import personas
 
 LEGEND = [
     (0, 9056, "steelblue"), (1, 21016, "lightsteelblue"), (2, 9982, "darkorange"),
@@ -31,7 +32,7 @@ def test_golden_tests(legend):
 
 
 def test_golden_profiles(legend):
-    rows = P.order_profiles(P.value_profiles(legend, ["color_name"])).collect()
+    rows = P.order_profiles(P.value_profiles(legend, ["color_name"], zeros=True)).collect()
     assert len(rows) == 56
     names = sorted({name for _, _, name in LEGEND})
     want = []
@@ -39,6 +40,16 @@ def test_golden_profiles(legend):
         want.append((cluster, "color_name", own, 100.0))
         want += [(cluster, "color_name", n, 0.0) for n in names if n != own]
     assert [tuple(r) for r in rows] == want
+    plain = P.order_profiles(P.value_profiles(legend, ["color_name"])).collect()
+    assert [tuple(r) for r in plain] == [w for w in want if w[3]]
+
+
+def test_profiles_of_texts_grow_with_the_cells(spark):
+    """Each row has a text of its own; the job writes a line for each, not for each and every cluster."""
+    df = spark.range(500).selectExpr("cast(id % 10 AS int) AS cluster", "concat('text ', id) AS text", "id % 2 AS n")
+    found = personas.profile_clusters(df)
+    assert found.values.count() == 500 and personas.profile_clusters(df, zeros=True).values.count() == 5000
+    assert found.values.agg(F.min("pct"), F.max("pct")).first() == (2.0, 2.0)
 
 
 def test_golden_numbers(legend):

@@ -5,7 +5,7 @@ from multiprocessing.pool import ThreadPool
 import pytest
 
 from facetloom.operators.scoring import HashScorer
-from facetloom.plans.enrichment import enrich_blogs
+from facetloom.plans.enrichment import enrich, enrich_blogs
 from facetloom.schemas import CLUSTER_LEGEND, CLUSTERED, ENRICHED
 from facetloom.sources import blogs, cards, index, publish, tables
 
@@ -120,6 +120,18 @@ def test_dataset_by_split(spark, tmp_path):
     assert tables.read_dataset(spark, str(tmp_path / "d")).count() == 2
 
 
+def test_age_mode_of_the_jobs(spark, blog_dir, tmp_path):
+    """The author of the first file is 24 in 2004; without the mode the post's date is the birth date."""
+    out = str(tmp_path / "ages")
+    models = HashScorer(), HashScorer(("LABEL_0", "LABEL_2"))
+    enrich_blogs(spark, blog_dir, out, *models, min_confidence=0.0, date_is_birthdate=False)
+    dated = tables.read_dataset(spark, out).where("date != ''").select("birth_year_est", "is_genz")
+    assert {tuple(r) for r in dated.collect()} == {(1980, 0)}
+    rows = spark.createDataFrame([("some happy words", "1,May,2010", "9"), ("some happy words", "1,May,2010", "x")], "text string, date string, age string")
+    young = enrich(rows, *models, min_confidence=0.0, date_is_birthdate=False)
+    assert sorted((r["birth_year_est"] or 0, r["is_genz"]) for r in young.collect()) == [(0, 0), (2001, 1)]
+
+
 def test_a_partial_folder_is_converted_again(spark, tmp_path):
     csv, out = str(tmp_path / "a.csv"), str(tmp_path / "p")
     (tmp_path / "a.csv").write_text("x\n" + "\n".join(map(str, range(10))))
