@@ -272,7 +272,7 @@ held AS (
   SELECT e.vec_id AS row_id, e.label AS persona_id, d.text, d.lang, d.source AS job, {_ROUNDED_SLOTS}
   FROM embeddings e JOIN documents d ON d.doc_id = e.vec_id LEFT JOIN slots USING (doc_id)),
 members AS (SELECT * FROM held WHERE persona_id > 0),
-{_terms('members', 'row_id', pairs=False)},
+{_terms('members', 'row_id')},
 {_top_words('persona_id', 'members', 'row_id', 6)},
 {_persona_emotions('persona_id', 'members', 'members', 'row_id', 5)},
 words AS (SELECT persona_id, string_agg(term, ', ' ORDER BY rank) AS words FROM ranked_words GROUP BY 1),
@@ -356,6 +356,27 @@ SELECT c_custkey, min(c_custkey) OVER (PARTITION BY g) AS first_member, 5 AS k,
   (SELECT round(avg((other - own) / greatest(other, own)), 4) FROM scored) AS score
 FROM rows"""
 
+_COMPONENTS = """
+e AS (
+  SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings),
+m AS (SELECT i, avg(x) AS m FROM e GROUP BY i)"""
+
+_PRODUCTS = """
+SELECT a.vec_id, round(sum(a.x * a.x), 6) AS norm, round(sum(a.x * b.x), 6) AS next_product
+FROM c a LEFT JOIN c b ON b.vec_id = a.vec_id + 1 AND b.i = a.i GROUP BY a.vec_id"""
+
+FEATURE_PARTS = f"""
+WITH n AS (
+  SELECT vec_id, embedding::DOUBLE[] AS e, sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS length,
+    (vec_id - avg(vec_id) OVER ()) / stddev_samp(vec_id) OVER () AS a,
+    (label - avg(label) OVER ()) / stddev_samp(label) OVER () AS b, label % 3 AS kind
+  FROM embeddings)
+SELECT vec_id, 70::INT AS width, round(e[1] / length, 6) AS f0, round(e[64] / length, 6) AS f63,
+  round(2 * a / sqrt(a * a + b * b), 6) AS f64, round(2 * b / sqrt(a * a + b * b), 6) AS f65,
+  {", ".join(f"round(CASE WHEN kind = {k} THEN 0.5::DOUBLE / sqrt(2) ELSE 0 END, 6) AS f{i}" for i, k in ((66, 2), (67, 0), (68, 1)))},
+  round(0.5::DOUBLE / sqrt(2), 6) AS f69
+FROM n"""
+
 _FILES = """
 files AS (SELECT source || '/' || doc_id AS path FROM documents),
 split AS (
@@ -585,6 +606,12 @@ FROM base""",
     "density_clusters": DENSITY,
     "density_vectors": DENSITY_VECTORS,
     "choose_k_separable": CHOOSE_K_SEPARABLE,
+    "kmeans_separable": """
+SELECT c_custkey, min(c_custkey) OVER (PARTITION BY n_regionkey) AS first_member
+FROM customer JOIN nation ON n_nationkey = c_nationkey""",
+    "pca_products": f"WITH {_COMPONENTS}, c AS (SELECT vec_id, i, x - m AS x FROM e JOIN m USING (i)) {_PRODUCTS}",
+    "svd_products": f"WITH {_COMPONENTS}, c AS (SELECT * FROM e) {_PRODUCTS}",
+    "feature_parts": FEATURE_PARTS,
     "importance_planted": """
 WITH shares AS (
   SELECT count(*) / (SELECT count(*) FROM customer)::DOUBLE AS p

@@ -497,7 +497,7 @@ def prompt_records(spark: SparkSession, sf: str) -> DataFrame:
     texts = held.select(F.col("row_id").alias("query_id"), "text")
     asked = asked_and_held(spark, sf)[0].join(texts, "query_id")
     members = held.where(F.col("persona_id") > 0)
-    words = terms.fit_tfidf(members, "text", ngrams=(1, 1))
+    words = terms.fit_tfidf(members, "text")
     made = cards_ops.persona_cards(members, words, row_id="row_id")
     records = matching.match_records(asked, held, made, threshold=NEAR, min_confidence=SURE)
     return rounded(
@@ -678,6 +678,48 @@ def permutation_importance(spark: SparkSession, sf: str) -> DataFrame:
     return ranking.permutation_importance(rows, names, "label", "vec_id")
 
 
+def products(df: DataFrame, column: str) -> DataFrame:
+    """Squared length of each row, and its inner product with the row of the next id."""
+    rows = pin(df.select("vec_id", vector_to_array(column).alias("x")))
+    after = rows.select((F.col("vec_id") - 1).alias("vec_id"), F.col("x").alias("y"))
+
+    def dot(a: str, b: str):
+        return F.aggregate(F.zip_with(a, b, lambda v, w: v * w), F.lit(0.0), lambda total, v: total + v)
+
+    return rows.join(after, "vec_id", "left").select(
+        "vec_id", F.round(dot("x", "x"), 6).alias("norm"), F.round(dot("x", "y"), 6).alias("next_product")
+    )
+
+
+def pca_products(spark: SparkSession, sf: str) -> DataFrame:
+    """With all directions that vary, components keep the inner products of the centred rows."""
+    flat = F.concat(F.array(F.lit(3.0)), vector_to_array("features"))
+    rows = vectors(spark, sf).withColumn("features", array_to_vector(flat))
+    return products(features.reduce_pca(rows, 64), "reduced")
+
+
+def svd_products(spark: SparkSession, sf: str) -> DataFrame:
+    """With all singular vectors, coordinates keep the inner products of the rows."""
+    return products(features.svd(vectors(spark, sf), 64, "features"), "svd")
+
+
+def kmeans_separable(spark: SparkSession, sf: str) -> DataFrame:
+    """K-means where the clusters are plain; a cluster is named by its first member."""
+    found = clustering.kmeans(corner_customers(spark, sf), 5, "features")
+    named = found.groupBy("cluster").agg(F.min("c_custkey").alias("first_member"))
+    return found.join(F.broadcast(named), "cluster").select("c_custkey", "first_member")
+
+
+def feature_parts(spark: SparkSession, sf: str) -> DataFrame:
+    """Text, numeric and categorical block of the embeddings, weighted; first and last places of each."""
+    kind = F.when(F.col("label") % 3 == 0, "a").when(F.col("label") % 3 == 1, "b")
+    rows = table(spark, sf, "embeddings").withColumn("kind", kind)
+    blocks = features.feature_blocks(rows, "embedding", ["vec_id", "label"], ["kind", "gone"], (1.0, 2.0, 0.5))
+    places = [0, 63, 64, 65, 66, 67, 68, 69]
+    out = blocks.select("vec_id", vector_to_array("features").alias("x"))
+    return out.select("vec_id", F.size("x").alias("width"), *[F.round(F.col("x")[i], 6).alias(f"f{i}") for i in places])
+
+
 def importance_planted(spark: SparkSession, sf: str) -> DataFrame:
     """Customers by region: one feature tells it, one is constant, one has nothing to do with it."""
     nations = table(spark, sf, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_regionkey")
@@ -722,6 +764,7 @@ QUERIES: dict[str, Query] = {
         mutual_information, vector_information, legend_colors, cluster_colors, nearest_in_persona, nearest_three,
         nearest_in_blocks, match_edges, silhouette_score, high_conf_attributes, prompt_records, csv_table, published_dataset,
         persona_index, cards_json, hashed_embeddings, feature_blocks, pca_2d, kmeans_clusters,
-        svd_features, persona_features, persona_map, choose_k, choose_k_separable, permutation_importance, importance_planted, density_clusters, density_vectors,
+        svd_features, persona_features, persona_map, choose_k, choose_k_separable, permutation_importance, importance_planted,
+        pca_products, svd_products, kmeans_separable, feature_parts, density_clusters, density_vectors,
     )
 }

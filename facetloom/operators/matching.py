@@ -16,7 +16,7 @@ from facetloom import constants as C
 from facetloom.functions import prompts as P
 from facetloom.functions.labels import high_conf_emotions
 from facetloom.functions.numeric import clamp01
-from facetloom.operators.lookups import lookup
+from facetloom.operators.lookups import fits_broadcast, lookup
 from facetloom.operators.ordering import global_index
 from facetloom.operators.scoring import Model, _model_column
 from facetloom.session import ensure_checkpoint_dir, pin
@@ -28,6 +28,8 @@ NO_MATCH = "no row of the persona to match"
 PASS_QUERIES = 32_768
 PASS_BYTES = 64 * 1024 * 1024
 PAIR_BLOCK = 1 << 21
+#: Index rows up to which they are sent to a large number of matches.
+MATCHED_ROWS = 100_000
 
 
 class _Best:
@@ -263,11 +265,16 @@ def match_records(
     )
     emotion_kind = "array<struct<label: string, confidence: double>>"
     sure = high_conf_emotions(min_confidence) if slots else F.array().cast(emotion_kind)
-    # The few matches are joined to the index, and only matched rows are described.
+    # Few matches go to the index, and only matched rows are described. Many meet it in a shuffle, in which the
+    # matches of a row that very many queries share are spread.
     found = near.select(
         "row_id", "persona_id", *[F.col(c).alias(f"_{c}") for c in ("query_id", "similarity", "used_attributes")]
     )
-    matched = lookup(index.select(*attributes), found, ["row_id", "persona_id"], "inner", pinned=True)
+    keys = ["row_id", "persona_id"]
+    if fits_broadcast(found):
+        matched = index.select(*attributes).join(F.broadcast(found), keys)
+    else:
+        matched = lookup(found, index.select(*attributes), keys, "inner", spread_by=["_query_id"], max_rows=MATCHED_ROWS)
     described = matched.select(
         F.col("_query_id").alias("query_id"),
         "persona_id",

@@ -4,10 +4,11 @@ import sys
 import numpy as np
 import pytest
 from pyspark import cloudpickle
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from facetloom.operators import cards as K
-from facetloom.operators import matching, scoring, terms
+from facetloom.operators import lookups, matching, scoring, terms
 from facetloom.plans import reactions
 from facetloom.session import pin
 from facetloom.sources.cards import write_cards
@@ -86,6 +87,24 @@ def test_index_stays_in_place(spark, tables):
     assert plan.count("Repartition") == 1 and plan.index("MapInPandas") < plan.index("Repartition")
 
 
+def test_records_by_shuffle_are_the_same(spark, tables, monkeypatch):
+    """Matches that are too many to send meet the index in a shuffle; a popular row serves all its queries."""
+    queries, index, *_ = tables
+    texts = queries.where("persona_id < 4").withColumn("text", F.concat(F.lit("say "), F.col("query_id").cast("string")))
+    popular = texts.withColumn("vector", F.first("vector").over(Window.partitionBy(F.lit(1)).orderBy("query_id")))
+    held = index.withColumn("text", F.lit("held")).withColumn("job", F.concat(F.lit("j"), F.col("row_id").cast("string")))
+    made = spark.createDataFrame([], "persona_id string, top_emotions array<struct<emotion: string, avg_conf: double>>, top_words array<string>, avg_sentiment_score double")
+
+    def records():
+        return sorted(tuple(map(str, r)) for r in matching.match_records(popular, held, made).collect())
+
+    sent = records()
+    monkeypatch.setattr(matching, "fits_broadcast", lambda *given: False)
+    monkeypatch.setattr(matching, "MATCHED_ROWS", 0)
+    monkeypatch.setattr(lookups, "HOT_ROWS", 2)
+    assert records() == sent and len(sent) == 32
+
+
 def test_similarity_gate(spark):
     df = spark.createDataFrame([(1.0000001,), (-0.3,), (0.40,), (0.39,)], "similarity double")
     rows = [tuple(r) for r in matching.similarity_gate(df).collect()]
