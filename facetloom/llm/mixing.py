@@ -30,9 +30,11 @@ _UNIT = 1 << 32
 
 
 def word_count(text: Column) -> Column:
-    """The pieces of a text between blanks, an estimate of its tokens; 0 for null or empty."""
-    blanks = F.char_length(text) - F.char_length(F.replace(text, F.lit(" "), F.lit("")))
-    return F.when(F.char_length(text) > 0, blanks + 1).otherwise(0).cast("long")
+    """Words between runs of ASCII white space; 0 for null, empty or blank."""
+    # Single blanks, which are most of the runs, stay as they are.
+    bare = F.trim(F.regexp_replace(text, r"[ \t\n\x0B\f\r]{2,}|[\t\n\x0B\f\r]", " "))
+    words = F.char_length(bare) - F.char_length(F.replace(bare, F.lit(" "), F.lit(""))) + 1
+    return F.when(F.char_length(bare) > 0, words).otherwise(0).cast("long")
 
 
 def _place(doc_id: Column, *more: Column) -> Column:
@@ -97,7 +99,7 @@ def mix(
     row falls in; each block holds the sources by their weights. ``budget`` is the number of tokens
     of the mix; without one it is the smallest that leaves no document out. A source's last epoch takes the
     documents whose hash comes first, while the tokens before them are below the rest of the
-    budget. Rows without a token (null or empty text) take no budget and come once, in epoch
+    budget. Rows without a token (null or blank text) take no budget and come once, in epoch
     0; a null source is a source of its own; rows that are alike share their place. ``tokens`` and
     ``tie`` (what tells rows of one doc_id apart) are taken from the text by default.
     """

@@ -192,8 +192,8 @@ WITH rows AS (
   FROM documents
 ), counted AS (
   SELECT doc_id, source, coalesce('+' || source, '-') AS k, u,
-    CASE WHEN length(text) > 0 THEN length(text) - length(replace(text, ' ', '')) + 1 ELSE 0 END::BIGINT AS n
-  FROM rows
+    CASE WHEN bare <> '' THEN length(bare) - length(replace(bare, ' ', '')) + 1 ELSE 0 END::BIGINT AS n
+  FROM (SELECT *, trim(regexp_replace(text, '[ \t\n\x0B\f\r]+', ' ', 'g')) AS bare FROM rows)
 ), sources AS (SELECT k, sum(n)::BIGINT AS t FROM counted WHERE n > 0 GROUP BY k
 ), expo AS (
   SELECT CASE WHEN ln(max(t)) = ln(min(t)) THEN 0

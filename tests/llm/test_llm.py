@@ -468,6 +468,13 @@ def test_mix_keeps_to_its_weights(spark):
     assert share["big", True] / share["big", False] == pytest.approx(1, abs=0.15)
 
 
+def test_words_are_counted_by_white_space(spark):
+    texts = ["a b c d e", "a\nb\nc\td\r\ne", "a     b", " \n\t ", "", None, "\x0bone\x0c two ", "x\u00a0y", "z" * 100_000]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    found = {r["text"]: r["n"] for r in df.select("text", mixing.word_count(F.col("text")).alias("n")).collect()}
+    assert [found[t] for t in texts] == [5, 5, 2, 0, 0, 0, 2, 1, 1]
+
+
 def test_mix_odd_rows(odd):
     got = mixing.mix_documents(odd).where("epoch = 0").collect()
     assert {r["doc_id"] for r in got} == {r[0] for r in odd_rows()} and len(got) == len(odd_rows())
