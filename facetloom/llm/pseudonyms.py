@@ -30,24 +30,26 @@ _AREAS = [a for a in range(1, 900) if a != 666]
 _CLASSES = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
 
 _PATTERN = re.compile(
-    r"(?P<email>(?<![\w.+-])[\w%+-]+(?:\.[\w%+-]+)*@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,})"
+    r"(?P<email>(?<![\w.%+-])[\w%+-]+(?:\.[\w%+-]+)*@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,})"
     r"|(?P<secret>(?<![0-9A-Za-z])(?:[0-9a-f]{32,64}|[0-9A-F]{32,64})(?![0-9A-Za-z]))"
-    r"|(?P<iban>(?<![0-9A-Za-z])[A-Z]{2}\d{2}"
+    r"|(?P<iban>(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}"
     r"(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)(?![0-9A-Za-z]))"
-    r"|(?P<phone>(?<![\w+])(?:\+\d{1,3}[ .-]?)?\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}(?!\d)"
-    r"|(?<![\w+])\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\d)"
-    r"|(?<![\w.+-])\d{3}-\d{3}-\d{4}(?![\d-]))"
-    r"|(?P<card>(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\d-]))"
-    r"|(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))"
-    r"|(?P<ip>(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\d]|\.\d))"
-    r"|(?P<date>(?<![\w.-])\d{4}-\d{2}-\d{2}(?![\d-])"
-    r"|(?<![\w./])\d{1,2}(?P<mark>[./])\d{1,2}(?P=mark)\d{4}(?!\d|[./]\d))"
+    r"|(?P<phone>(?<![\w+])(?:\+[0-9]{1,3}[ .-]?)?\([0-9]{3}\)[ .-]?[0-9]{3}[ .-][0-9]{4}(?![0-9])"
+    r"|(?<![\w+])\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,5}(?![0-9])"
+    r"|(?<![\w.+-])[0-9]{3}-[0-9]{3}-[0-9]{4}(?![0-9-]))"
+    r"|(?P<card>(?<![\w.-])[0-9](?:[ -]?[0-9]){12,18}(?![0-9-]))"
+    r"|(?P<ssn>(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-]))"
+    r"|(?P<ip>(?<![\w.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9]))"
+    r"|(?P<date>(?<![\w.-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9-])"
+    r"|(?<![\w./])[0-9]{1,2}(?P<mark>[./])[0-9]{1,2}(?P=mark)[0-9]{4}(?![0-9]|[./][0-9]))"
 )
 
 #: The forms in which cards are printed; they go before groups of other lengths.
 _PRINTED = re.compile(
-    r"(?<![0-9A-Za-z])(?:\d{4}([ -])\d{4}\1\d{4}\1\d{4}|\d{4}([ -])\d{6}\2\d{5}|\d{13,19})(?![0-9A-Za-z])"
+    r"(?<![0-9A-Za-z])(?:[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{4}|[0-9]{4}([ -])[0-9]{6}\2[0-9]{5}|[0-9]{13,19})(?![0-9A-Za-z])"
 )
+#: More characters than a printed card and what has to follow it.
+_CARD_REACH = 24
 _GROUP = re.compile(r"[0-9A-Za-z]+")
 
 
@@ -242,7 +244,8 @@ class Pseudonymizer:
 
         out, at = [], 0
         while match := _PATTERN.search(text, at):
-            card = _PRINTED.search(text, match.start()) if match.lastgroup == "card" else None
+            reach = match.end() + _CARD_REACH
+            card = _PRINTED.search(text, match.start(), reach) if match.lastgroup == "card" else None
             if card and card.start() < match.end() and (made := self.card(card[0])):
                 head, before = self.replace(text[match.start() : card.start()])
                 out += [text[at : match.start()], head, made]
