@@ -430,7 +430,7 @@ def nearest_three(spark: SparkSession, sf: str) -> DataFrame:
 
 def nearest_in_blocks(spark: SparkSession, sf: str) -> DataFrame:
     """The way for more queries than a broadcast may hold."""
-    found = matching.match(*asked_and_held(spark, sf), pass_queries=12)
+    found = matching.match(*asked_and_held(spark, sf), pass_queries=256)
     return rounded(found, "similarity")
 
 
