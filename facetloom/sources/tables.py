@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from facetloom.sources.publish import is_ready, publish
+from facetloom.sources.records import csv_records
 
 # White space in fields is kept. A field without quotes and content is null, ``""`` is empty.
 _EXACT = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
@@ -25,17 +26,24 @@ def read_csv(
 ) -> DataFrame:
     """CSV with a header, quoted fields and line breaks inside quotes.
 
-    Files without line breaks inside fields are better read with ``multi_line=False``,
-    which lets several tasks share a large file.
+    Several tasks share a large file. Without line breaks inside fields, ``multi_line=False`` saves the
+    pass that looks for the quotes; the line breaks of other files would be wrong with it.
 
     Columns are found by header name. With a schema the types are declared, a column the
     file lacks is null, and text that is no number becomes null in a number column. Words
     in ``null_values`` become null in every column.
     """
-    raw = spark.read.csv(
-        path, header=True, quote='"', escape='"', multiLine=multi_line, inferSchema=False, **_EXACT,
-        nullValue=_NO_VALUE,
-    )
+    form = {"quote": '"', "escape": '"', "nullValue": _NO_VALUE, **_EXACT}
+    raw = spark.read.csv(path, header=True, multiLine=multi_line, inferSchema=False, **form)
+    if multi_line:
+        # Spark gives a file with line breaks in fields to one task, so only the header is taken from it.
+        records = csv_records(spark, path)
+        own = [c for c in raw.columns if c not in records.columns[1:]]
+        fields = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(own))])
+        options = {k: str(v).lower() if isinstance(v, bool) else v for k, v in form.items()}
+        raw = records.withColumn("value", F.from_csv("value", fields.simpleString()[7:-1].replace(":", " "), options))
+        others = [F.col(f"`{c}`") for c in raw.columns[1:]]
+        raw = raw.select(*[F.col(f"value.c{i}").alias(c) for i, c in enumerate(own)], *others)
 
     def cleaned(name: str):
         value = F.col(f"`{name}`")
