@@ -1,15 +1,15 @@
 """Approximate nearest neighbours over balanced posting lists.
 
 Vectors are dealt to the lists of their nearest centroids; a vector near a boundary goes to
-several lists. The centroids are searched through a neighbour graph in memory. How many lists a
-query reads is measured on the table: some queries are compared with all vectors, and the ranks of
-the lists that hold their neighbours tell how many reach the recall. The vectors of these
-lists are compared exactly. Long lists are cut into blocks, so no list has to fit one task.
+several lists. The centroids are searched through a neighbour graph in memory. A query reads the lists
+whose centroid is at most a ratio farther than its nearest one, however many they are. The ratio is measured on the
+table: some queries are compared with all vectors, and the lists that hold their neighbours
+tell which ratio reaches the recall. The vectors of these lists are compared exactly. Long lists are
+cut into blocks, so no list has to fit one task.
 """
 
 from __future__ import annotations
 
-import heapq
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -29,51 +29,85 @@ LIST = 100
 #: A vector also goes to lists whose centroid is at most this much farther than the nearest.
 BOUNDARY = 1.10
 COPIES = 3
-#: A query reads as many lists as give the measured queries (at most so many) this recall, and so many at least.
-RECALL = 0.95
+#: The ratio gives the measured queries (at most so many) this recall.
+RECALL = 0.97
 MEASURED = 100
-LEAST = 24
+#: Edges of a centroid to near ones, and to any, which keep the graph in one piece.
 NEIGHBOURS = 16
+SHORTCUTS = 4
+#: Centroids that a search takes up first, and expands at once.
+WIDTH = 64
+EXPANDED = 4
 BLOCK = 4096
+#: Vectors whose centroids are searched at once.
+AT_ONCE = 1024
 TOP = 10
 QUERY_EVERY = 100
 
 
 @dataclass
 class Centroids:
-    """Centroid vectors and, for each, the numbers of its nearest centroids."""
+    """Centroid vectors and, for each, the numbers of the centroids that its edges lead to."""
 
     vectors: np.ndarray
     graph: np.ndarray
 
-    def nearest(self, vector: np.ndarray, n: int) -> list[tuple[float, int]]:
-        """Best-first search in the graph: up to ``n`` (distance, number), nearest first."""
-        if len(self.vectors) <= 8 * n:
-            far = np.linalg.norm(self.vectors - vector, axis=1)
-            order = np.argsort(far, kind="stable")[:n]
-            return list(zip(far[order].tolist(), order.tolist(), strict=True))
-        # Entry points spread over the centroids, then the best open one first.
-        entries = np.unique(np.linspace(0, len(self.vectors) - 1, 16).astype(int))
-        seen = set(entries.tolist())
-        start = np.linalg.norm(self.vectors[entries] - vector, axis=1)
-        open_ = list(zip(start.tolist(), entries.tolist(), strict=True))
-        heapq.heapify(open_)
-        width = 2 * n
-        best = heapq.nsmallest(width, open_)
-        while open_:
-            far_now, at = heapq.heappop(open_)
-            if len(best) >= width and far_now > best[-1][0]:
+    def nearest(self, points: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers and distances of about the ``n`` nearest centroids of each point, nearest first.
+
+        A best-first search in the graph, for all points in step: each expands the nearest centroids it has not
+        expanded, until those it would return all are.
+        """
+        k, n = len(self.vectors), min(n, len(self.vectors))
+        square = (self.vectors**2).sum(1)
+        entries = np.unique(np.linspace(0, k - 1, max(WIDTH, math.isqrt(k))).astype(int))
+        ids = np.tile(entries, (len(points), 1))
+        far = _distances(points, self.vectors[entries])
+        expanded = np.zeros(ids.shape, dtype=bool)
+        seen = np.zeros((len(points), k), dtype=bool)
+        seen[:, entries] = True
+        width = max(n, WIDTH)
+        while True:
+            order = np.argsort(far, axis=1, kind="stable")[:, :width]
+            ids, far, expanded = (np.take_along_axis(x, order, axis=1) for x in (ids, far, expanded))
+            rows = np.flatnonzero((~expanded & np.isfinite(far)).any(axis=1))
+            if not len(rows):
                 break
-            new = [int(k) for k in self.graph[at] if int(k) not in seen]
-            if not new:
-                continue
-            seen.update(new)
-            there = np.linalg.norm(self.vectors[new] - vector, axis=1).tolist()
-            found = list(zip(there, new, strict=True))
-            for item in found:
-                heapq.heappush(open_, item)
-            best = heapq.nsmallest(width, best + found)
-        return best[:n]
+            waiting = np.where(expanded[rows], np.inf, far[rows])
+            take = np.argsort(waiting, axis=1, kind="stable")[:, :EXPANDED]
+            expanded[rows[:, None], take] = True
+            new = np.sort(self.graph[ids[rows[:, None], take]].reshape(len(rows), -1), axis=1)
+            known = seen[rows[:, None], new]
+            known[:, 1:] |= new[:, 1:] == new[:, :-1]
+            seen[rows[:, None], new] = True
+            there = square[new] - 2 * np.einsum("pd,pnd->pn", points[rows], self.vectors[new])
+            there = np.maximum(there + (points[rows] ** 2).sum(1)[:, None], 0)
+            added = np.full((len(points), new.shape[1]), np.inf)
+            added[rows] = np.where(known, np.inf, there)
+            more = np.zeros((len(points), new.shape[1]), dtype=ids.dtype)
+            more[rows] = new
+            ids, far = np.hstack((ids, more)), np.hstack((far, added))
+            expanded = np.hstack((expanded, np.zeros(more.shape, dtype=bool)))
+        return ids[:, :n], np.sqrt(far[:, :n])
+
+    def within(self, points: np.ndarray, ratio: float, floor: float) -> tuple[np.ndarray, np.ndarray]:
+        """(point, centroid) pairs: the centroids at most ``ratio`` farther than each point's nearest one.
+
+        A nearest distance below ``floor`` counts as this. The search widens until it leaves the ratio behind.
+        """
+        left, n = np.arange(len(points)), WIDTH
+        out = []
+        while len(left):
+            ids, far = self.nearest(points[left], n)
+            reach = ratio * np.maximum(far[:, 0], floor) * (1 + 1e-9)
+            row, rank = np.nonzero(far <= reach[:, None])
+            done = (far[:, -1] > reach) | (n >= len(self.vectors))
+            here = done[row]
+            out.append((left[row[here]], ids[row[here], rank[here]]))
+            left, n = left[~done], 2 * n
+        if not out:
+            return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
+        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
 def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -93,6 +127,33 @@ def _nearest(vectors: np.ndarray, centres: np.ndarray, extra: np.ndarray) -> tup
     return np.concatenate(owner), total / max(1, len(vectors))
 
 
+def _edges(centres: np.ndarray) -> np.ndarray:
+    """The edges of each centroid: near ones in different directions, then the nearest of the rest.
+
+    One that is nearer to a chosen one than to the centroid can be reached through that.
+    """
+    k = len(centres)
+    m, n = min(4 * NEIGHBOURS, k), min(NEIGHBOURS, k)
+    graph = np.empty((k, n), dtype=np.int64)
+    for low in range(0, k, 512):
+        square = _distances(centres[low : low + 512], centres)
+        some = np.argpartition(square, m - 1, axis=1)[:, :m]
+        there = np.take_along_axis(square, some, axis=1)
+        order = np.argsort(there, axis=1, kind="stable")
+        some, there = (np.take_along_axis(x, order, axis=1) for x in (some, there))
+        for i in range(len(some)):
+            between = _distances(centres[some[i]], centres[some[i]])
+            free = np.ones(m, dtype=bool)
+            chosen = []
+            while free.any() and len(chosen) < n:
+                chosen.append(int(free.argmax()))
+                free &= between[chosen[-1]] >= there[i]
+                free[chosen[-1]] = False
+            rest = np.setdiff1d(np.arange(m), chosen)[: n - len(chosen)]
+            graph[low + i] = some[i][np.concatenate((np.array(chosen, dtype=int), rest))]
+    return graph
+
+
 def fit_centroids(sample: np.ndarray, k: int, rounds: int = 8, seed: int = 7) -> Centroids:
     """Balanced k-means: a full cluster makes itself dearer, so lists stay of like length."""
     random = np.random.default_rng(seed)
@@ -108,9 +169,7 @@ def fit_centroids(sample: np.ndarray, k: int, rounds: int = 8, seed: int = 7) ->
         np.add.at(sums, owner, sample)
         filled = sizes > 0
         centres[filled] = sums[filled] / sizes[filled, None]
-    square = _distances(centres, centres)
-    n = min(NEIGHBOURS, k)
-    return Centroids(centres, np.argpartition(square, n - 1, axis=1)[:, :n])
+    return Centroids(centres, np.hstack((_edges(centres), random.integers(0, k, (k, SHORTCUTS)))))
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -145,17 +204,14 @@ def build_lists(rows: DataFrame, n_rows: int) -> tuple[DataFrame, Centroids]:
     chosen = rows.where(at < share) if share < 1 else rows
     sample = _matrix(chosen.select("embedding").toPandas()["embedding"])
     centroids = fit_centroids(sample, k)
-    shared = spark.sparkContext.broadcast(centroids.vectors)
+    shared = spark.sparkContext.broadcast(centroids)
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        centres = shared.value
-        copies = min(COPIES, len(centres))
+        known = shared.value
         for pdf in batches:
-            for low in range(0, len(pdf), 2048):
-                part = pdf.iloc[low : low + 2048]
-                far = np.sqrt(_distances(_matrix(part["embedding"]), centres))
-                near = np.argsort(far, axis=1, kind="stable")[:, :copies]
-                there = np.take_along_axis(far, near, axis=1)
+            for low in range(0, len(pdf), AT_ONCE):
+                part = pdf.iloc[low : low + AT_ONCE]
+                near, there = known.nearest(_matrix(part["embedding"]), COPIES)
                 row, rank = np.nonzero(there <= BOUNDARY * there[:, :1])
                 made = part.iloc[row].copy()
                 made["list"] = near[row, rank]
@@ -205,15 +261,16 @@ def _nearest_of_all(rows: DataFrame, asked: DataFrame, top: int) -> pd.DataFrame
     return parts.groupBy("query_id").applyInPandas(lambda pdf: _best(pdf, top), schema).toPandas()
 
 
-def lists_to_read(rows: DataFrame, lists: DataFrame, centroids: Centroids, every: int, top: int) -> int:
-    """How many lists give the measured queries the recall ``RECALL``.
+def ratio_to_read(
+    rows: DataFrame, lists: DataFrame, centroids: Centroids, every: int, top: int
+) -> tuple[float, float]:
+    """The distance ratio that gives the measured queries the recall ``RECALL``, and the floor below it.
 
-    A neighbour is found in the first list of the query's order that holds it; the quantile of
-    these ranks is where the number starts, and it grows until the search finds as much.
+    A neighbour is found if one of the lists that hold it is within the ratio. The quantile of the ratios
+    that this takes is where the ratio starts; it grows until the search in the graph finds as much. The floor, for
+    queries that lie on a centroid, is the tenth of the measured queries' distances to their nearest centroids.
     """
     spark, k = rows.sparkSession, len(centroids.vectors)
-    if k <= LEAST:
-        return k
     asked = (
         rows.where(F.col("vec_id") % every == 0)
         .dropDuplicates(["vec_id"])
@@ -223,30 +280,27 @@ def lists_to_read(rows: DataFrame, lists: DataFrame, centroids: Centroids, every
     asked = pin(asked)
     near = _nearest_of_all(rows, asked, top)
     if not len(near):
-        return LEAST
+        return 1.0, 0.0
     ids = spark.createDataFrame([(int(i),) for i in near["vec_id"].unique()], "vec_id long")
     held = lists.join(F.broadcast(ids), "vec_id").select("vec_id", "list").distinct().toPandas()
     places = held.groupby("vec_id")["list"].apply(lambda x: x.to_numpy()).to_dict()
-    wanted = [
-        (np.asarray(vector, dtype=float), [places[i] for i in near.loc[near["query_id"] == query, "vec_id"]])
-        for query, vector in asked.collect()
-    ]
-    ranks = []
-    for vector, own in wanted:
-        rank = np.empty(k, dtype=np.int64)
-        rank[np.argsort(np.linalg.norm(centroids.vectors - vector, axis=1), kind="stable")] = np.arange(k)
-        ranks += [int(rank[p].min()) for p in own]
-    n = min(k, max(LEAST, sorted(ranks)[math.ceil(RECALL * len(ranks)) - 1] + 1))
-    # The graph can miss lists that are near, so what it finds is measured too.
-    while n < k:
-        hits = 0
-        for vector, own in wanted:
-            read = [at for _, at in centroids.nearest(vector, n)]
-            hits += sum(bool(np.isin(p, read).any()) for p in own)
-        if hits >= RECALL * len(ranks):
+    queries = asked.toPandas()
+    points = _matrix(queries["embedding"])
+    far = np.sqrt(_distances(points, centroids.vectors))
+    floor = float(np.quantile(far.min(axis=1), 0.1))
+    at = {int(q): i for i, q in enumerate(queries["vec_id"])}
+    wanted = [(at[q], places[i]) for q, i in zip(near["query_id"], near["vec_id"], strict=True)]
+    base = np.maximum(far.min(axis=1), floor)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        needed = sorted(max(1.0, float(np.nan_to_num(far[q, own].min() / base[q], nan=1.0))) for q, own in wanted)
+    ratio = needed[math.ceil(RECALL * len(needed)) - 1]
+    while math.isfinite(ratio):
+        read = np.zeros(far.shape, dtype=bool)
+        read[centroids.within(points, ratio, floor)] = True
+        if read.all() or sum(bool(read[q, own].any()) for q, own in wanted) >= RECALL * len(wanted):
             break
-        n = min(k, math.ceil(1.25 * n))
-    return n
+        ratio *= 1.02
+    return ratio, floor
 
 
 def search(vectors: DataFrame, every: int = QUERY_EVERY, top: int = TOP) -> DataFrame:
@@ -265,22 +319,30 @@ def search(vectors: DataFrame, every: int = QUERY_EVERY, top: int = TOP) -> Data
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     dealt, centroids = build_lists(rows, n_rows)
     lists = pin(dealt)
-    sizes = dict(lists.groupBy("list").count().collect())
-    n_lists = lists_to_read(rows, lists, centroids, every, top)
-    shared = spark.sparkContext.broadcast((centroids, sizes))
+    # One row per centroid, at most ``CENTROIDS``.
+    sizes = pin(lists.groupBy("list").agg(F.count(F.lit(1)).alias("size")))
+    counted = sizes.toPandas()
+    many = np.zeros(len(centroids.vectors), dtype=np.int64)
+    many[counted["list"].to_numpy(dtype=int)] = counted["size"]
+    ratio, floor = ratio_to_read(rows, lists, centroids, every, top)
+    shared = spark.sparkContext.broadcast((centroids, many))
 
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known, many = shared.value
+        everything = np.arange(len(many))
         for pdf in batches:
-            out = []
-            for query, vector in zip(pdf["vec_id"], pdf["embedding"], strict=True):
-                kept = [at for _, at in known.nearest(np.asarray(vector, dtype=float), n_lists)]
-                if sum(many.get(at, 0) for at in kept) <= COPIES * (top + 1):
-                    kept = range(len(known.vectors))
-                for at in kept:
-                    blocks = -(-many.get(at, 0) // BLOCK)
-                    out.extend((query, vector, at, block) for block in range(blocks))
-            yield pd.DataFrame(out, columns=["query_id", "vector", "list", "block"])
+            for low in range(0, len(pdf), AT_ONCE):
+                part = pdf.iloc[low : low + AT_ONCE].rename(columns={"vec_id": "query_id", "embedding": "vector"})
+                point, at = known.within(_matrix(part["vector"]), ratio, floor)
+                read = np.bincount(point, weights=many[at], minlength=len(part))
+                few = np.flatnonzero(read <= COPIES * (top + 1))
+                stays = ~np.isin(point, few)
+                point = np.concatenate((point[stays], np.repeat(few, len(many))))
+                at = np.concatenate((at[stays], np.tile(everything, len(few))))
+                blocks = -(-many[at] // BLOCK)
+                block = np.arange(blocks.sum()) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+                made = part.iloc[np.repeat(point, blocks)][["query_id", "vector"]]
+                yield made.assign(list=np.repeat(at, blocks), block=block)
 
     queries = (
         rows.where(F.col("vec_id") % every == 0)
@@ -288,9 +350,8 @@ def search(vectors: DataFrame, every: int = QUERY_EVERY, top: int = TOP) -> Data
         .mapInPandas(route, "query_id long, vector array<double>, list int, block int")
     )
     # A long list is cut by the hash of the id; a query goes to all its blocks.
-    size = F.create_map(*[F.lit(v) for kv in sizes.items() for v in kv])[F.col("list")]
-    blocks = F.ceil(size / F.lit(BLOCK))
-    posted = lists.withColumn("block", F.pmod(F.xxhash64("vec_id"), blocks).cast("int"))
+    block = F.pmod(F.xxhash64("vec_id"), F.ceil(F.col("size") / F.lit(BLOCK))).cast("int")
+    posted = lists.join(F.broadcast(sizes), "list").withColumn("block", block).drop("size")
 
     def compare(key: tuple, asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
         if not len(asked) or not len(held):

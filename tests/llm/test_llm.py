@@ -473,6 +473,56 @@ def test_recall_with_many_lists(spark, monkeypatch):
     assert len(got) == 600 and hits >= 0.9 * len(got)
 
 
+def clustered(n, clusters, width=16):
+    made = np.random.default_rng(5)
+    return made.normal(size=(clusters, width))[made.integers(0, clusters, n)] + 0.15 * made.normal(size=(n, width))
+
+
+def test_the_graph_finds_near_centroids():
+    points = clustered(6000, 300)
+    fitted = postings.fit_centroids(points, 1500, rounds=2)
+    asked = points[::37]
+    far = np.sqrt(postings._distances(asked, fitted.vectors))
+    ids, found = fitted.nearest(asked, 10)
+    best = np.argsort(far, axis=1)[:, :10]
+    assert np.mean([len(set(a) & set(b)) for a, b in zip(ids, best)]) >= 9.5
+    assert np.allclose(found, np.take_along_axis(far, ids, axis=1), atol=1e-6)
+    point, at = fitted.within(asked, 2.0, 0.0)
+    wanted = set(zip(*np.nonzero(far <= 2.0 * far.min(axis=1, keepdims=True))))
+    got = set(zip(point.tolist(), at.tolist()))
+    assert len(got) == len(point) and len(got & wanted) >= 0.98 * len(wanted) and len(got - wanted) <= 0.02 * len(wanted)
+    # Without a limit on the ratio all centroids are within it, also for a point that lies on one.
+    point, at = fitted.within(fitted.vectors[:2], 1e9, 1.0)
+    assert len(set(zip(point, at))) == 2 * len(fitted.vectors)
+
+
+def test_the_ratio_prunes_lists(spark, monkeypatch):
+    """Few of many lists are read where vectors have structure, and the recall holds."""
+    monkeypatch.setattr(postings, "LIST", 8)
+    matrix = clustered(8000, 200)
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(matrix)], "vec_id long, embedding array<double>")
+    rows = postings.usable(frame)
+    lists, centroids = postings.build_lists(rows, 8000)
+    ratio, floor = postings.ratio_to_read(rows, lists.cache(), centroids, 100, 10)
+    point, _ = centroids.within(matrix[::100], ratio, floor)
+    assert len(centroids.vectors) == 1000 and np.bincount(point).mean() < 200
+    got = postings.search(frame).toPandas()
+    hits = 0
+    for query, own in got.groupby("query_id"):
+        far = np.sqrt(((matrix - matrix[query]) ** 2).sum(1))
+        far[query] = np.inf
+        hits += len(set(np.argsort(far)[:10].tolist()) & set(own.vec_id))
+    assert len(got) == 800 and hits >= 0.93 * len(got)
+
+
+def test_equal_vectors_only(spark):
+    rows = [(i, [1.0, 2.0]) for i in range(1200)]
+    got = postings.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).toPandas()
+    assert len(got) == 120 and (got.score == 0).all()
+    own = got[got.query_id == 300].sort_values("rank").vec_id.tolist()
+    assert own == list(range(10))
+
+
 # 7: mixing.
 
 
