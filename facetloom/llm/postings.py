@@ -39,6 +39,8 @@ SHORTCUTS = 4
 WIDTH = 64
 EXPANDED = 4
 BLOCK = 4096
+#: Found neighbours that a task holds before it keeps the best of each query.
+COMBINED = 200_000
 #: Vectors whose centroids are searched at once.
 AT_ONCE = 1024
 TOP = 10
@@ -353,12 +355,9 @@ def search(vectors: DataFrame, every: int = QUERY_EVERY, top: int = TOP) -> Data
     block = F.pmod(F.xxhash64("vec_id"), F.ceil(F.col("size") / F.lit(BLOCK))).cast("int")
     posted = lists.join(F.broadcast(sizes), "list").withColumn("block", block).drop("size")
 
-    def compare(key: tuple, asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
-        if not len(asked) or not len(held):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        ids, there = held["vec_id"].to_numpy(), _matrix(held["embedding"])
+    def nearest_held(asked: pd.DataFrame, ids: np.ndarray, there: np.ndarray) -> pd.DataFrame:
         out = []
-        for query, vector in zip(asked["query_id"], asked["vector"], strict=True):
+        for query, vector in zip(asked["id"], asked["vector"], strict=True):
             far = np.sqrt(((there - np.asarray(vector, dtype=np.float64)) ** 2).sum(1))
             order = np.lexsort((ids, far))
             order = order[ids[order] != query]
@@ -368,11 +367,38 @@ def search(vectors: DataFrame, every: int = QUERY_EVERY, top: int = TOP) -> Data
         columns = [np.concatenate(c) for c in zip(*out, strict=True)]
         return pd.DataFrame(dict(zip(["query_id", "vec_id", "score"], columns, strict=True)))
 
-    found = (
-        queries.groupBy("list", "block")
-        .cogroup(posted.groupBy("list", "block"))
-        .applyInPandas(compare, schema)
-    )
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Each block's vectors come before its queries; a task sends the best of a query over its blocks once."""
+        place, held, found, n = None, [], [], 0
+        for pdf in batches:
+            marks = pdf[["list", "block", "asked"]].to_numpy(dtype=np.int64)
+            cuts = np.flatnonzero((marks[1:] != marks[:-1]).any(axis=1)) + 1
+            for low, high in zip([0, *cuts], [*cuts, len(pdf)], strict=True):
+                if low == high:
+                    continue
+                some = pdf.iloc[low:high]
+                if tuple(marks[low, :2]) != place:
+                    place, held = tuple(marks[low, :2]), []
+                if not marks[low, 2]:
+                    held.append((some["id"].to_numpy(), _matrix(some["vector"])))
+                elif held:
+                    if len(held) > 1:
+                        held = [tuple(np.concatenate(x) for x in zip(*held, strict=True))]
+                    found.append(nearest_held(some, *held[0]))
+                    n += len(found[-1])
+                if n > COMBINED:
+                    found = [_best(pd.concat(found), top)]
+                    n = len(found[0])
+                    if n > COMBINED // 2:
+                        yield found.pop()
+                        n = 0
+        if found:
+            yield _best(pd.concat(found), top)
+
+    both = posted.select("list", "block", F.lit(0).alias("asked"), F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    both = both.unionByName(queries.select("list", "block", F.lit(1).alias("asked"), F.col("query_id").alias("id"), "vector"))
+    ordered = both.repartition("list", "block").sortWithinPartitions("list", "block", "asked")
+    found = ordered.mapInPandas(compare, schema)
 
     def finish(pdf: pd.DataFrame) -> pd.DataFrame:
         best = _best(pdf, top)
