@@ -18,6 +18,7 @@ from bisect import bisect_right
 from collections import Counter
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -56,6 +57,8 @@ class WordIds(dict):
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        #: Two bytes an id, if the vocabulary lets them.
+        self.kept_as = "<u2" if max(self.tokenizer.get_vocab().values()) < 1 << 16 else "<u4"
         self._merge = _ranked(json.loads(self.tokenizer.to_str()))
 
     def __missing__(self, word: str) -> bytes:
@@ -115,8 +118,10 @@ def cut(n_tokens: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
     return [(s, e - s) for s, e in zip(starts, [*starts[1:], n_tokens], strict=True)]
 
 
-def tokenize(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> DataFrame:
-    """One row per piece: doc_id, piece, start, length, ids_crc32. A null text is empty.
+def tokenize(
+    docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, with_ids: bool = False
+) -> DataFrame:
+    """One row per piece: doc_id, piece, start, length, ids_crc32, and with ``with_ids`` its ids. A null text is empty.
 
     Every document ends with the id 0, so an empty one has one token.
     """
@@ -128,14 +133,16 @@ def tokenize(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) ->
                 ids = words.ids(text) + END
                 key = None if doc_id is None else int(doc_id)
                 for i, (start, length) in enumerate(cut(len(ids) // 4, capacity)):
-                    crc = zlib.crc32(ids[4 * start : 4 * (start + length)])
-                    out.append((key, i, start, length, crc))
-            names = ["doc_id", "piece", "start", "length", "ids_crc32"]
+                    own = ids[4 * start : 4 * (start + length)]
+                    row = (key, i, start, length, zlib.crc32(own))
+                    out.append((*row, np.frombuffer(own, "<u4").astype(words.kept_as).tobytes()) if with_ids else row)
             yield pd.DataFrame(out, columns=names, dtype=object)
 
     # Ids travel as text: pandas would make numbers with nulls inexact.
     rows = small_batches(docs).select(F.col("doc_id").cast("string"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.mapInPandas(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids binary" if with_ids else "")
+    names = [c.split()[0] for c in schema.split(", ")]
+    return rows.mapInPandas(run, schema)
 
 
 class _Counts:
@@ -283,8 +290,9 @@ def slots_of(patterns: list[Pattern]) -> list[tuple[int, int, int, int, int, int
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """Add ``sequence_id`` and ``offset`` to pieces (doc_id, piece, start, length, ids_crc32).
+    """Add ``sequence_id`` and ``offset`` to pieces (doc_id, piece, start, length, ids_crc32, maybe ids).
 
+    Pieces with ids also get ``copy``, which tells the copies of a document apart that are packed several times (from 0).
     Sequences are filled without gaps from offset 0; their numbers are any. Pieces of the same length are
     interchangeable; their ranks go by the doc_id. An empty table gives no rows.
     """
@@ -310,18 +318,33 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         .join(F.broadcast(starts), ["length", "_part"])
         .withColumn("_rank", F.col("_rank") + F.col("_start"))
     )
+    if "ids" in pieces.columns:
+        alike = Window.partitionBy("length", "_part", "doc_id", "piece", "ids_crc32").orderBy("_rank")
+        ranked = ranked.withColumn("copy", F.row_number().over(alike) - 1)
     rank = F.col("_rank")
     placed = ranked.join(F.broadcast(slots), "length").where(
         (rank >= F.col("_first")) & (rank < F.col("_end"))
     )
     at = rank - F.col("_first")
-    return placed.select(
-        "doc_id", "piece", "start", "length", "ids_crc32",
+    places = [
         (F.col("_sequence") + F.floor(at / F.col("_copies"))).alias("sequence_id"),
         (F.col("_offset") + at % F.col("_copies") * F.col("length")).alias("offset"),
-    )
+    ]
+    more = ["copy", "ids"] if "ids" in pieces.columns else []
+    return placed.select("doc_id", "piece", "start", "length", "ids_crc32", *places, *more)
+
+
+def pack_documents(
+    docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, with_ids: bool = False
+) -> DataFrame:
+    """Tokenise and pack whole documents; one row per piece of a document.
+
+    ``with_ids`` adds ``copy`` and ``ids``, the piece's ids as ``unpack`` reads them, so that the sequences can be
+    written out: the pieces of a sequence in the order of their offsets.
+    """
+    return pack(tokenize(docs, tokenizer_path, capacity, with_ids), capacity)
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> DataFrame:
-    """Tokenise and pack whole documents; one row per piece of a document."""
-    return pack(tokenize(docs, tokenizer_path, capacity), capacity)
+def unpack(ids: bytes, length: int) -> np.ndarray:
+    """The ids of a piece of this length, kept in two or four bytes each, little-endian."""
+    return np.frombuffer(ids, f"<u{len(ids) // length}").astype(np.int64)

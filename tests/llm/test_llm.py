@@ -231,6 +231,29 @@ def test_packing_odd_rows(odd):
     assert ids == {r[0] for r in odd_rows()}
 
 
+def test_sequences_hold_every_text_as_often_as_it_comes(spark, odd):
+    """Decoded by copy and place, the ids are the texts, also of repeated rows and null ids."""
+    from tokenizers import Tokenizer
+
+    encoder = Tokenizer.from_file(tokenizer_path())
+    long = [(1, "one two " * 3000), (1, "one two " * 3000), (1, "other"), (2, None), (2, None), (None, "x y"), (None, "x y")]
+    docs = spark.createDataFrame(long, "doc_id long, text string")
+    rows = packing.pack_documents(docs, tokenizer_path(), with_ids=True).toPandas()
+    check_sequences(rows)
+    made = []
+    rows["ids"] = [packing.unpack(bytes(r.ids), r.length).tolist() for r in rows.itertuples()]
+    assert [zlib.crc32(np.array(r.ids, dtype="<u4").tobytes()) for r in rows.itertuples()] == list(rows.ids_crc32)
+    assert not rows.duplicated(["doc_id", "piece", "ids_crc32", "copy"]).any()
+    big = rows[(rows.doc_id == 1) & ((rows.piece > 0) | (rows.length > 100))]
+    for _, own in big.groupby("copy"):
+        made.append((1, encoder.decode([i for ids in own.sort_values("piece").ids for i in ids][:-1])))
+    for r in rows.drop(big.index).itertuples():
+        made.append((None if np.isnan(r.doc_id) else int(r.doc_id), encoder.decode(r.ids[:-1])))
+    assert sorted(made, key=str) == sorted(((i, t or "") for i, t in long), key=str)
+    assert packing.pack_documents(odd, tokenizer_path(), with_ids=True).count() >= len(odd_rows())
+    assert packing.pack_documents(docs.limit(0), tokenizer_path(), with_ids=True).count() == 0
+
+
 def test_words_give_the_ids_of_the_text():
     from tokenizers import Tokenizer
 
