@@ -39,8 +39,8 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pack the tokens of all documents; a document that the mix repeats is packed each time."""
-    return packing.pack_documents(docs, tokenizer_path())
+    """Pack the tokens of all documents, with their ids; a document that the mix repeats is packed each time."""
+    return packing.pack_documents(docs, tokenizer_path(), with_ids=True)
 
 
 STAGES: list[tuple[str, Stage]] = [
