@@ -1,14 +1,18 @@
-"""Python work on sorted groups of rows, streamed through a partition."""
+"""Python work on sorted groups of rows, streamed through a partition; tables between steps."""
 
 from __future__ import annotations
 
+import gc
+import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from facetloom.session import ensure_checkpoint_dir
+
 Columns = dict[str, np.ndarray]
 
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -31,6 +35,32 @@ def whole_row(df: DataFrame) -> Column:
     return F.struct(*[F.col(f"`{c}`") for c in df.columns])
 
 
+class Shelf:
+    """Tables between the steps of a job, written in the shared folder and deleted when no step reads them any more."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.folder = f"{ensure_checkpoint_dir(spark)}/shelf-{uuid.uuid4().hex}"
+
+    def keep(self, name: str, df: DataFrame) -> DataFrame:
+        """Write ``df`` and go on from the written rows."""
+        path = f"{self.folder}/{name}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *names: str) -> None:
+        """Delete tables, and have Spark's cleaner delete the shuffle files that no DataFrame refers to any more.
+
+        The cleaner acts on what the collections of Python and of the driver's JVM find unused. Without these
+        calls the files of all steps stay on the executors' disks until the JVM collects by itself.
+        """
+        for name in names:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        gc.collect()
+        self.spark._jvm.System.gc()
+
+
 def each_group(
     df: DataFrame, keys: Sequence[str], work: Callable[[Columns], Columns | None], schema: str
 ) -> DataFrame:

@@ -651,14 +651,15 @@ def test_near_paragraphs_equal_brute_force(spark):
         rows.append((i, " ".join(copy)))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     bands, band_rows = paragraphs.bands_for(0.8, 0.99)
-    found = paragraphs._colliding(docs, bands, band_rows, 2, 0.8).collect()
+    table = paragraphs._cut_table(docs.withColumn("tie", F.lit(0).cast("long")), bands, band_rows)
+    found = paragraphs._colliding(table, bands, 2, 0.8).collect()
     together = {}
     for r in found:
         together.setdefault(r["bucket"], set()).add(r["node"])
     sets = {}
     for _, text in rows:
         cut = paragraphs.Paragraphs(text)
-        hashes, first = cut.shingles()
+        hashes, first = cut.shingles(np.arange(len(cut.units)))
         for unit, part in zip(cut.units.view(np.int64).tolist(), np.split(hashes, first[1:]), strict=True):
             sets[unit] = set(part.tolist())
     pairs = [(a, b) for a, b in itertools.combinations(sets, 2) if jaccard(sets[a], sets[b]) >= 0.8]
