@@ -60,7 +60,8 @@ def anchored_runs(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
     np.add.at(steps, ends[whole] - WIDTH + 1, -1)
     valid = np.cumsum(steps[:-1]) > 0
     found: list[tuple[np.ndarray, ...]] = []
-    for low in range(0, len(data) - WIDTH + 1, SEGMENT):
+    low, total = 0, len(data) - WIDTH + 1
+    while low < total:
         part = data[low : low + SEGMENT + WIDTH - 1]
         sums = prefix_sums(part)
         least = _sliding_min(window_hashes(sums, ANCHOR), REACH)
@@ -69,7 +70,13 @@ def anchored_runs(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
         new[1:] = (least[1:] != least[:-1]) | (ok[1:] != ok[:-1])
         first = np.flatnonzero(new)
         length = np.diff(np.append(first, len(least)))
-        keep = ok[first]
+        following = low + len(least)
+        if following < total:
+            # The last run may go on: what is not a whole piece of it is left to the next segment, so that
+            # runs depend on their text alone, not on the texts that lie before it.
+            length[-1] -= length[-1] % REACH
+            following = low + int(first[-1] + length[-1])
+        keep = ok[first] & (length > 0)
         first, length = first[keep], length[keep]
         # Periodic text keeps one anchor for long; such runs are cut.
         pieces = -(-length // REACH)
@@ -78,6 +85,7 @@ def anchored_runs(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
         length = np.minimum(left, REACH)
         hashes = span_hashes(sums, first, first + length + WIDTH - 1)
         found.append((first + low, length, least[first], hashes))
+        low = following
     if not found:
         none = np.empty(0, dtype=np.int64)
         return none, none, none.astype(np.uint64), none.astype(np.uint64)

@@ -349,6 +349,30 @@ def test_substrings_equal_brute_force(spark, seed, monkeypatch):
     assert sorted(map(tuple, got.collect())) == sorted(want)
 
 
+def test_runs_of_a_text_are_the_same_wherever_it_lies(monkeypatch):
+    """Executors get the texts of a block in another order in each pass; runs once depended on it."""
+    monkeypatch.setattr(substrings, "SEGMENT", 64)
+    made = random.Random(4)
+    texts = [bytes(made.choice(b"abcdefgh") for _ in range(made.randint(40, 400))) for _ in range(20)]
+    texts += [b"ab" * 200, b"x" * 333, b""]
+
+    def runs(order):
+        data = np.frombuffer(b"".join(texts[i] for i in order), dtype=np.uint8)
+        ends = np.cumsum([len(texts[i]) for i in order])
+        start, windows, anchor, hashes = substrings.anchored_runs(data, ends)
+        place = np.searchsorted(ends, start, side="right")
+        begin = np.concatenate(([0], ends[:-1]))[place]
+        owner = np.array(order)[place]
+        return sorted(zip(owner, start - begin, windows, anchor, hashes, strict=True))
+
+    order = list(range(len(texts)))
+    found = runs(order)
+    assert sum(w for _, _, w, _, _ in found) == sum(max(0, len(t) - 49) for t in texts)
+    for _ in range(5):
+        made.shuffle(order)
+        assert runs(order) == found
+
+
 def test_suffix_order_equals_sorting():
     made = random.Random(2)
     strings = [bytes(made.choice(b"abc") for _ in range(made.randint(1, 12))) for _ in range(30)]
