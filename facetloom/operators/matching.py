@@ -27,6 +27,8 @@ NO_MATCH = "no row of the persona to match"
 #: Queries of one pass over the index, by number and by the bytes of their vectors.
 PASS_QUERIES = 32_768
 PASS_BYTES = 64 * 1024 * 1024
+#: Passes that a number of queries may ask for; beyond, a pass takes more and compares that number at a time.
+PASSES = 8
 PAIR_BLOCK = 1 << 21
 #: Index rows up to which they are sent to a large number of matches.
 MATCHED_ROWS = 100_000
@@ -48,10 +50,13 @@ class _Best:
         low, step = 0, 16 if self.rows is None else most
         while low < len(rows):
             part = slice(low, low + step)
-            near = np.round(self.vectors @ vectors[part].T, TIE_DIGITS)
-            owner, at = np.nonzero(near >= self.floor[:, None])
-            if len(owner):
-                self._merge(owner, near[owner, at], rows[part][at])
+            near = self.vectors @ vectors[part].T
+            # Only what may reach the floor is rounded.
+            owner, at = np.nonzero(near >= (self.floor - 10.0 ** (1 - TIE_DIGITS))[:, None])
+            found = np.round(near[owner, at], TIE_DIGITS)
+            enough = found >= self.floor[owner]
+            if enough.any():
+                self._merge(owner[enough], found[enough], rows[part][at[enough]])
             low, step = low + step, min(4 * step, most)
 
     def _merge(self, owner: np.ndarray, similarity: np.ndarray, rows: np.ndarray) -> None:
@@ -95,8 +100,9 @@ def _matrix(vectors: pd.Series) -> np.ndarray:
     return np.stack([np.asarray(v, dtype="float64") for v in vectors])
 
 
-def _one_pass(queries: DataFrame, index: DataFrame, k: int) -> tuple[DataFrame, Broadcast]:
-    """The index rows stay where they are: every task compares them with the queries of the pass and sends only the best."""
+def _one_pass(queries: DataFrame, index: DataFrame, k: int, most: int = PASS_QUERIES) -> tuple[DataFrame, Broadcast]:
+    """The index rows stay where they are: every task compares them with the queries of the pass, up to ``most``
+    at a time, and sends only the best."""
     few = queries.toPandas()
     groups = {
         persona: (group["query_id"].to_numpy(), _matrix(group["vector"]))
@@ -108,12 +114,18 @@ def _one_pass(queries: DataFrame, index: DataFrame, k: int) -> tuple[DataFrame,
     wanted = index.where(F.col("persona_id").isin(values))
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best = {p: _Best(ids, vectors, k) for p, (ids, vectors) in shared.value.items()}
+        best = {
+            p: [_Best(ids[low : low + most], vectors[low : low + most], k) for low in range(0, len(ids), most)]
+            for p, (ids, vectors) in shared.value.items()
+        }
         for batch in batches:
             for persona, rows in batch.groupby("persona_id"):
-                best[persona].add(rows["row_id"].to_numpy(), _matrix(rows["vector"]))
-        for found in best.values():
-            yield found.table()
+                ids, vectors = rows["row_id"].to_numpy(), _matrix(rows["vector"])
+                for part in best[persona]:
+                    part.add(ids, vectors)
+        for parts in best.values():
+            for part in parts:
+                yield part.table()
 
     return wanted.mapInPandas(search, _found_schema(queries, index)), shared
 
@@ -156,7 +168,7 @@ def _passes(queries: DataFrame, most: int) -> list[DataFrame]:
     rows, size = queries.agg(
         F.count(F.lit(1)), F.sum(8 * F.size("vector") + 64).cast("long")
     ).first()
-    number = max(1, -(-rows // max(1, most)), -(-(size or 0) // PASS_BYTES))
+    number = max(1, min(PASSES, -(-rows // max(1, most))), -(-(size or 0) // PASS_BYTES))
     if number == 1:
         return [queries]
     placed = global_index(queries, ["persona_id", F.xxhash64("query_id")], "_at")
@@ -183,7 +195,8 @@ def match(
 
     The index is never shuffled. Queries are sent to it in passes of at most ``pass_queries`` queries and
     ``PASS_BYTES`` bytes, in order of their persona; a pass reads the personas of its queries once, and a task
-    sends on its best ``k`` per query, not the pairs.
+    sends on its best ``k`` per query, not the pairs. Where the number asks for more than ``PASSES`` passes, passes
+    hold more queries, and a task compares ``pass_queries`` of them at a time; so only bytes add passes.
 
     Ids and personas may be of any type that has an order. Index rows whose vector is null or
     not finite are no candidates. A query without a persona, with such a vector, or
@@ -196,7 +209,7 @@ def match(
     passes = _passes(asked, pass_queries)
     ranked = None
     for part in passes:
-        found, sent = _one_pass(part, held, k)
+        found, sent = _one_pass(part, held, k, max(1, pass_queries))
         best = _ranked(found, k)
         if len(passes) > 1:
             # The few results are kept, and the queries leave the executors before the next pass.

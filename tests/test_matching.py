@@ -87,6 +87,17 @@ def test_index_stays_in_place(spark, tables):
     assert plan.count("Repartition") == 1 and plan.index("MapInPandas") < plan.index("Repartition")
 
 
+def test_passes_do_not_grow_with_the_queries(spark, tables, monkeypatch):
+    """A small number of queries a pass once made a pass, with a job and a read of the index, for each so many."""
+    queries, index, near, persona, wanted = tables
+    made = []
+    one_pass = matching._one_pass
+    monkeypatch.setattr(matching, "_one_pass", lambda *a: made.append(a) or one_pass(*a))
+    rows = matching.match(queries, index, 2, pass_queries=1).collect()
+    assert {(r["query_id"], r["rank"]): r["row_id"] for r in rows} == brute(near, persona, wanted, 2)
+    assert len(made) == matching.PASSES
+
+
 def test_records_by_shuffle_are_the_same(spark, tables, monkeypatch):
     """Matches that are too many to send meet the index in a shuffle; a popular row serves all its queries."""
     queries, index, *_ = tables
