@@ -73,6 +73,11 @@ class _Rows:
     def __init__(self, df: DataFrame, features: str):
         self.spark = df.sparkSession
         hashed = df.select(features, F.xxhash64(features).alias("_hash"))
+        # Narrow rows of many passes lie in few files: without this, a few tasks would do all the work. Dealt in
+        # turn, so that equal rows do not meet in one task.
+        cores = self.spark.sparkContext.defaultParallelism
+        if hashed.rdd.getNumPartitions() < cores:
+            hashed = hashed.repartition(cores)
         self.table = unpacked(hashed, features, "_hash").persist(StorageLevel.MEMORY_AND_DISK)
 
     def sums(self, given: object, work: Callable[[object, Block, np.ndarray, dict], None]) -> dict[int, np.ndarray]:

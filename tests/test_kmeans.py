@@ -3,7 +3,9 @@
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.ml.functions import array_to_vector
 from pyspark.ml.linalg import Vectors
+from pyspark.sql import functions as F
 
 from facetloom.operators import blocks, clustering, kmeans
 
@@ -82,3 +84,13 @@ def test_blocks_multiply_like_matrices(monkeypatch):
             seen += block.rows
         assert seen == 23 and turned == pytest.approx(x.T @ weights)
         assert sums == pytest.approx(np.array([x[label == c].sum(axis=0) for c in range(4)]))
+
+
+def test_rows_of_one_file_are_worked_on_by_all_cores(spark):
+    """A table in one part once kept all passes in one task."""
+    rows = spark.range(200).coalesce(1).select(array_to_vector(F.array(F.col("id").cast("double"))).alias("features"))
+    kept = kmeans._Rows(rows, "features")
+    try:
+        assert kept.table.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    finally:
+        kept.table.unpersist()
