@@ -122,8 +122,19 @@ def blocks_of(batch: pa.RecordBatch) -> Iterator[tuple[slice, Block]]:
         low = high
 
 
+def _pieces(vectors: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    """A batch of vectors cut into pieces with a bounded number of stored entries, of a row at least."""
+    ends = np.cumsum([len(v) for v in vectors["values"]])
+    low = 0
+    while low < len(vectors):
+        done = ends[low - 1] if low else 0
+        high = max(low + 1, int(np.searchsorted(ends, done + SPARSE_ENTRIES, side="right")))
+        yield vectors.iloc[low:high]
+        low = high
+
+
 def block_of_vectors(vectors: pd.DataFrame) -> Block:
-    """One block of a batch of vectors as a pandas function gets them; none of them is null."""
+    """One block of a piece of vectors as a pandas function gets them; none of them is null."""
     values = [np.asarray(v, dtype=np.float64) for v in vectors["values"]]
     if vectors["indices"].isna().all():
         return Block(len(values), np.stack(values))
@@ -143,8 +154,13 @@ def projected(df: DataFrame, features: str, matrix: np.ndarray, shift: np.ndarra
             known = vectors["values"].notna()
             placed = pd.Series([None] * len(vectors), dtype="object")
             if known.any():
-                found = block_of_vectors(vectors[known.to_numpy()]).times(matrix) - shift
-                placed[known.to_numpy()] = pd.Series(list(found), index=placed.index[known.to_numpy()], dtype="object")
+                # A whole batch of wide rows times the matrix would be gigabytes.
+                found = [
+                    row
+                    for piece in _pieces(vectors[known.to_numpy()])
+                    for row in block_of_vectors(piece).times(matrix) - shift
+                ]
+                placed[known.to_numpy()] = pd.Series(found, index=placed.index[known.to_numpy()], dtype="object")
             yield placed
 
     project.__annotations__ = {"batches": Iterator[pd.DataFrame], "return": Iterator[pd.Series]}

@@ -1,6 +1,7 @@
 """K-means of many models in shared passes, on dense and sparse rows."""
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 from pyspark.ml.functions import array_to_vector
@@ -94,3 +95,17 @@ def test_rows_of_one_file_are_worked_on_by_all_cores(spark):
         assert kept.table.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
     finally:
         kept.table.unpersist()
+
+
+def test_a_batch_of_wide_rows_is_projected_in_pieces(spark, monkeypatch):
+    """The product of a whole batch once filled a worker's memory."""
+    monkeypatch.setattr(blocks, "SPARSE_ENTRIES", 10)
+    made = np.random.default_rng(5).normal(size=(60, 7))
+    cut = list(blocks._pieces(pd.DataFrame({"values": list(made), "indices": [None] * 60})))
+    assert all(len(piece) == 1 for piece in cut) and len(cut) == 60
+    matrix, shift = np.random.default_rng(6).normal(size=(7, 3)), np.ones(3)
+    for sparse in (False, True):
+        df = rows_of(spark, made, sparse)
+        found = {r["row_id"]: r["out"] for r in blocks.projected(df, "features", matrix, shift, "out").collect()}
+        assert found.pop(60) is None
+        assert np.allclose([found[i].toArray() for i in range(60)], made @ matrix - 1)
