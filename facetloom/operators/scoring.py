@@ -6,12 +6,15 @@ one result per text, made once per worker by a factory.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from typing import Any
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import IDF, HashingTF, Normalizer, RegexTokenizer
 from pyspark.ml.functions import vector_to_array
@@ -21,7 +24,7 @@ from pyspark.sql import functions as F
 from facetloom import constants as C
 from facetloom.functions import labels as L
 from facetloom.functions import text as X
-from facetloom.functions.text import sql_text, strip
+from facetloom.functions.text import strip
 from facetloom.operators.columns import with_settled
 from facetloom.operators.lookups import lookup
 from facetloom.operators.ordering import row_range
@@ -31,7 +34,9 @@ Model = Callable[[list[str]], Sequence[Any]]
 
 
 _HEX = "0123456789abcdef"
-_SYMBOLS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+#: Labels that words can vote for, and rows of a batch whose votes are counted at a time.
+MAX_VOTES = 52
+VOTE_ROWS = 1000
 
 
 def _digest_bucket(digest: Column, buckets: int) -> Column:
@@ -45,33 +50,45 @@ def hashed_bucket(word: Column, buckets: int) -> Column:
     return _digest_bucket(F.md5(word), buckets)
 
 
+def _voted(words: pa.Array, labels: pa.Array) -> pa.Array:
+    """The scores of some rows of words; each different word is hashed once."""
+    size, n = len(labels), len(words)
+    coded = words.flatten().dictionary_encode()
+    bucket = np.array(
+        [hashlib.md5(w.encode()).digest()[0] % size for w in coded.dictionary.to_pylist()], dtype=np.int64
+    )
+    counts = pa.compute.fill_null(words.value_lengths(), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    place = np.repeat(np.arange(n) * size, counts) + bucket[coded.indices.to_numpy(zero_copy_only=False)]
+    votes = np.bincount(place, minlength=n * size).reshape(n, size)
+    row, label = np.nonzero(votes)
+    score = votes[row, label] / counts[row]
+    ends = np.concatenate(([0], np.cumsum(np.count_nonzero(votes, axis=1))))
+    entries = pa.StructArray.from_arrays([labels.take(pa.array(label)), pa.array(score)], names=["label", "score"])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), entries)
+
+
 @dataclass(frozen=True)
 class HashScorer:
     """Each word votes for the label its hash falls on; score = votes / words.
 
     A deterministic stand-in for a model that needs no table: all work stays in the row.
-    The votes of a text are one string with a letter per word, in which each label counts
-    its letter. Labels without a vote are left out.
+    The words of a batch are counted by label as whole columns. Labels without a vote are left out.
     """
 
     labels: Sequence[str] = C.EMOTION_LABELS
 
     def score(self, df: DataFrame, text: Column, out: str) -> DataFrame:
-        size = len(self.labels)
-        if size > len(_SYMBOLS):
-            raise ValueError(f"at most {len(_SYMBOLS)} labels")
-        symbol = lambda digest: F.substring(
-            F.lit(_SYMBOLS), _digest_bucket(digest, size) + 1, F.lit(1)
-        )
-        digests = F.transform(X.tokens(text), lambda word: F.md5(word))
-        voted = df.withColumn("_votes", F.array_join(F.transform(digests, symbol), ""))
-        entries = ", ".join(
-            f"struct({sql_text(label)} AS label, (length(_votes) - length(replace(_votes,"
-            f" '{_SYMBOLS[i]}', ''))) / nullif(length(_votes), 0) AS score)"
-            for i, label in enumerate(self.labels)
-        )
-        scores = F.expr(f"filter(array({entries}), e -> e.score > 0)")
-        return voted.withColumn(out, scores).drop("_votes")
+        if len(self.labels) > MAX_VOTES:
+            raise ValueError(f"at most {MAX_VOTES} labels")
+        labels = list(self.labels)
+
+        def voted(words: pa.Array) -> pa.Array:
+            names = pa.array(labels, pa.string())
+            parts = [_voted(words.slice(low, VOTE_ROWS), names) for low in range(0, max(1, len(words)), VOTE_ROWS)]
+            return pa.concat_arrays(parts)
+
+        voted.__annotations__ = {"words": pa.Array, "return": pa.Array}
+        return df.withColumn(out, F.arrow_udf(voted, SCORES)(X.tokens(text)))
 
 
 @dataclass(frozen=True)

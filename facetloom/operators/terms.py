@@ -6,7 +6,10 @@ import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
@@ -22,6 +25,10 @@ from facetloom.functions.text import sql_text
 from facetloom.operators.columns import with_settled
 
 
+#: Rows whose terms are counted at a time.
+COUNTED_ROWS = 1000
+
+
 def with_terms(df: DataFrame, text: str, ngrams: tuple[int, int] = (1, 2)) -> DataFrame:
     """Add ``_terms``: the words of the text, its word pairs, or both."""
     low, high = ngrams
@@ -36,27 +43,32 @@ def with_terms(df: DataFrame, text: str, ngrams: tuple[int, int] = (1, 2)) -> Da
 def term_stats(df: DataFrame, text: str, ngrams: tuple[int, int] = (1, 2)) -> DataFrame:
     """``term, tf, df``: occurrences and documents of every term of the corpus.
 
-    One pass: each occurrence and each first occurrence in a row is a small record that
-    is summed before the shuffle, so frequent terms cost one record per task.
+    One pass: the terms of some rows are counted as whole columns, and the counts of a task are
+    summed before the shuffle, so frequent terms cost one record per task.
     """
     return _count_terms(with_terms(df, text, ngrams).select("_terms"))
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Occurrences and rows of each term, for some rows at a time."""
+    for batch in batches:
+        for low in range(0, batch.num_rows, COUNTED_ROWS):
+            terms = batch.column("_terms").slice(low, COUNTED_ROWS)
+            coded = terms.flatten().dictionary_encode()
+            code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+            lengths = pa.compute.fill_null(terms.value_lengths(), 0).to_numpy(zero_copy_only=False)
+            n = len(coded.dictionary)
+            row = np.repeat(np.arange(len(terms)), lengths)
+            once = np.unique(row * max(1, n) + code) % max(1, n)
+            yield pa.RecordBatch.from_arrays(
+                [coded.dictionary, pa.array(np.bincount(code, minlength=n)), pa.array(np.bincount(once, minlength=n))],
+                names=["term", "tf", "df"],
+            )
+
+
 def _count_terms(terms: DataFrame) -> DataFrame:
-    marks = F.concat(
-        F.transform(
-            "_terms", lambda t: F.struct(t.alias("term"), F.lit(1).alias("o"), F.lit(0).alias("d"))
-        ),
-        F.transform(
-            F.array_distinct("_terms"),
-            lambda t: F.struct(t.alias("term"), F.lit(0).alias("o"), F.lit(1).alias("d")),
-        ),
-    )
-    return (
-        terms.select(F.inline(marks))
-        .groupBy("term")
-        .agg(F.sum("o").alias("tf"), F.sum("d").alias("df"))
-    )
+    counted = terms.mapInArrow(_counted, "term string, tf long, df long")
+    return counted.groupBy("term").agg(F.sum("tf").alias("tf"), F.sum("df").alias("df"))
 
 
 def _frequent_pairs(df: DataFrame, text: str, words: list[str]) -> DataFrame:

@@ -421,3 +421,14 @@ def test_features_are_named(spark):
         *[F.stddev_samp(F.col("f")[i]).alias(str(i)) for i in range(width)]
     ).first()
     assert all(d == pytest.approx(1.0) or d == pytest.approx(0.0) for d in deviations)
+
+
+def test_terms_are_counted_as_columns(spark):
+    """Each occurrence was once a row of its own; now some rows are counted at a time, nulls and empty texts too."""
+    df = spark.createDataFrame([("ab cd ab",), ("",), (None,), ("cd ab",), ("é_1 ab",)], "text string")
+    stats = terms.term_stats(df, "text", (1, 1))
+    assert "Generate explode(array(struct" not in stats._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in stats._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r["term"], r["tf"], r["df"]) for r in stats.collect()} == {("ab", 4, 3), ("cd", 2, 2), ("é_1", 1, 1)}
+    pairs = {(r["term"], r["tf"], r["df"]) for r in terms.term_stats(df, "text", (2, 2)).collect()}
+    assert pairs == {("ab cd", 1, 1), ("cd ab", 2, 2), ("é_1 ab", 1, 1)}

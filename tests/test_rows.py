@@ -1,3 +1,4 @@
+import hashlib
 import random
 import sys
 
@@ -226,3 +227,22 @@ def test_rows_can_be_streamed(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert spark.table("enriched").count() == 1
+
+
+def test_votes_are_counted_as_columns(spark, monkeypatch):
+    """A different word of a batch is hashed once, not each occurrence; the scores are those of single words."""
+    monkeypatch.setattr(scoring, "VOTE_ROWS", 2)
+    texts = ["one two one", "", None, "a", "one", "Two TWO three"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "row_id int, text string").coalesce(1)
+    labels = ("x", "y", "z")
+    scored = scoring.score_labels(df, "text", scoring.HashScorer(labels))
+    assert "md5(" not in scored._jdf.queryExecution().optimizedPlan().toString()
+
+    def want(text):
+        words = [w for w in (text or "").lower().split() if len(w) > 1]
+        votes = [labels[int(hashlib.md5(w.encode()).hexdigest()[:2], 16) % 3] for w in words]
+        return [(label, votes.count(label) / len(words)) for label in labels if label in votes]
+
+    assert {r["row_id"]: [tuple(e) for e in r["scores"]] for r in scored.collect()} == {
+        i: want(t) for i, t in enumerate(texts)
+    }
