@@ -7,7 +7,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
@@ -91,18 +90,15 @@ def _top(stats: DataFrame, size: int, min_df: int) -> list[Row]:
     return best.collect()
 
 
-@F.pandas_udf(
-    T.StructType(
-        [
-            T.StructField("at", T.ArrayType(T.IntegerType())),
-            T.StructField("weight", T.ArrayType(T.DoubleType())),
-        ]
-    )
-)
-def sparse_parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Positions and weights stored in a sparse vector, passed on as they are."""
-    for vectors in batches:
-        yield pd.DataFrame({"at": vectors["indices"], "weight": vectors["values"]})
+def _entries(terms: pa.Array, known: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, place in ``known`` and number of the known terms of some rows, in order of row and place."""
+    coded = terms.flatten().dictionary_encode()
+    place = pa.compute.fill_null(pa.compute.index_in(coded.dictionary, known), -1)
+    at = place.to_numpy(zero_copy_only=False).astype(np.int64)[coded.indices.to_numpy(zero_copy_only=False)]
+    lengths = pa.compute.fill_null(terms.value_lengths(), 0).to_numpy(zero_copy_only=False)
+    row = np.repeat(np.arange(len(terms)), lengths)
+    key, count = np.unique((row * len(known) + at)[at >= 0], return_counts=True)
+    return key // len(known), key % len(known), count
 
 
 @dataclass(frozen=True)
@@ -134,14 +130,27 @@ class TfidfModel:
         )
 
     def long(self, df: DataFrame, row_id: str) -> DataFrame:
-        """``row_id, term, weight`` of the stored entries."""
-        stored = self.transform(df.select(row_id, self.text)).select(
-            row_id, sparse_parts("tfidf").alias("s")
-        )
-        entries = stored.select(row_id, F.inline(F.arrays_zip("s.at", "s.weight")))
-        return entries.join(F.broadcast(self.terms_table(df)), "at").select(
-            row_id, "term", "weight"
-        )
+        """``row_id, term, weight`` of the stored entries; words become entries as whole columns."""
+        worded = with_terms(df.select(row_id, self.text), self.text, self.ngrams)
+        idf, vocabulary = np.array(self.idf), list(self.terms)
+
+        def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            known = pa.array(vocabulary, pa.string())
+            for batch in batches:
+                for low in range(0, batch.num_rows, COUNTED_ROWS):
+                    part = batch.slice(low, COUNTED_ROWS)
+                    row, at, count = _entries(part.column("_terms"), known)
+                    weight = count * idf[at]
+                    norm = np.sqrt(np.bincount(row, weight * weight, part.num_rows))
+                    yield pa.RecordBatch.from_arrays(
+                        [part.column(row_id).take(pa.array(row)), known.take(pa.array(at)), pa.array(weight / norm[row])],
+                        names=[row_id, "term", "weight"],
+                    )
+
+        kind = T.StructType([
+            df.schema[row_id], T.StructField("term", T.StringType()), T.StructField("weight", T.DoubleType()),
+        ])
+        return worded.select(row_id, "_terms").mapInArrow(weigh, kind)
 
 
 def fit_tfidf(
