@@ -1,29 +1,52 @@
-"""A fitted random forest as flat arrays, and what its votes lose when one feature changes."""
+"""Random forests of deep trees, fitted by Spark tasks, as flat arrays; what their votes lose when one feature changes.
+
+Features are cut at up to 31 thresholds, and equal rows become one cell with a count. Nodes of many cells are split by
+histograms that Spark sums over all tasks, a level at a time. As soon as a node's cells fit a task, one shuffle brings
+them together and its whole subtree is grown there, so that the number of passes does not grow with the number of nodes.
+"""
 
 from __future__ import annotations
 
+import hashlib
+import math
 import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.ml.classification import RandomForestClassificationModel
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from facetloom.session import ensure_checkpoint_dir
+from facetloom.operators.blocks import Block, blocks_of, unpacked
+from facetloom.session import ensure_checkpoint_dir, pin
 
 #: (row, tree) pairs that are walked through the forest at a time.
 PAIRS = 1 << 18
+#: Values of a feature that a split can tell apart.
+BINS = 32
+#: Codes (cells times features) of a node that one task may hold; larger nodes are split by all tasks.
+LOCAL = 1 << 24
+#: Codes of a piece that is shuffled as one row, and counters of the histograms that are scored at a time.
+PIECE = 1 << 20
+COUNTERS = 1 << 20
 
 
 @dataclass
 class FlatForest:
-    """All nodes of all trees in one set of arrays; leaves have no feature (-1)."""
+    """All nodes of all trees in one set of arrays; leaves have no feature (-1).
+
+    ``kind`` is the line of ``votes`` that a node gives; equal votes share a line.
+    """
 
     roots: np.ndarray
     feature: np.ndarray
     threshold: np.ndarray
     left: np.ndarray
     right: np.ndarray
+    kind: np.ndarray
     votes: np.ndarray
 
     def walk(self, x: np.ndarray, row: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, list[tuple]]:
@@ -44,15 +67,43 @@ class FlatForest:
         trees = len(self.roots)
         row, root = np.repeat(np.arange(len(x)), trees), np.tile(self.roots, len(x))
         leaf, _ = self.walk(x, row, root)
-        return self.votes[leaf].reshape(len(x), trees, -1).sum(axis=1).argmax(axis=1)
+        return self.votes[self.kind[leaf]].reshape(len(x), trees, -1).sum(axis=1).argmax(axis=1)
+
+    def known_guesses(self, x: np.ndarray) -> np.ndarray | None:
+        """The class of each row, if so many rows are equal that each distinct one is walked once; else None."""
+        if x.dtype == np.uint8 and x.shape[1] <= 8:
+            packed = np.zeros((len(x), 8), dtype=np.uint8)
+            packed[:, : x.shape[1]] = x
+            _, first, place = np.unique(packed.view(np.uint64).ravel(), return_index=True, return_inverse=True)
+            found = x[first]
+        else:
+            found, place = np.unique(x, axis=0, return_inverse=True)
+        if len(found) * 8 > len(x):
+            return None
+        step = max(1, PAIRS // len(self.roots))
+        return np.concatenate([self.guesses(found[low : low + step]) for low in range(0, len(found), step)])[place.ravel()]
 
     def losses(self, x: np.ndarray, donor: np.ndarray, label: np.ndarray) -> np.ndarray:
         """For each feature the rows guessed right that the donor's value makes wrong, less the reverse.
 
         A tree is walked again only for rows whose path meets the feature, and only from there on; the votes
-        of its old leaf are replaced by those of the new one.
+        of its old leaf are replaced by those of the new one. No tree is walked again for a row that keeps its guess
+        even if all the trees that meet the feature change sides.
         """
         total = np.zeros(x.shape[1], dtype=np.int64)
+        # A changed row is made of values that rows have, so few distinct rows mostly mean few changed ones.
+        guessed = self.known_guesses(x) if len(x) else None
+        if guessed is not None:
+            for f in range(x.shape[1]):
+                changed = x.copy()
+                changed[:, f] = donor[:, f]
+                after = self.known_guesses(changed)
+                if after is None:
+                    break
+                total[f] = int((guessed == label).sum()) - int((after == label).sum())
+            else:
+                return total
+            total[:] = 0
         step = max(1, PAIRS // len(self.roots))
         for low in range(0, len(x), step):
             part = slice(low, low + step)
@@ -65,7 +116,7 @@ class FlatForest:
         leaf, steps = self.walk(x, row, np.tile(self.roots, len(x)))
         if not steps:
             return
-        votes = self.votes[leaf].reshape(len(x), trees, -1).sum(axis=1)
+        votes = self.votes[self.kind[leaf]].reshape(len(x), trees, -1).sum(axis=1)
         right = votes.argmax(axis=1) == label
         # Where each pair first meets each feature: steps are in order, so the first entry counts.
         pair = np.concatenate([p for p, _ in steps])
@@ -73,6 +124,12 @@ class FlatForest:
         feature = self.feature[node]
         changes = x[row[pair], feature] != donor[row[pair], feature]
         pair, node, feature = pair[changes], node[changes], feature[changes]
+        # A tree that changes sides takes at most one vote from the guess and gives at most one to another class.
+        ranked = np.sort(votes, axis=1)
+        lead = ranked[:, -1] - (ranked[:, -2] if votes.shape[1] > 1 else 0)
+        met = np.bincount(row[pair] * x.shape[1] + feature, minlength=x.size).reshape(x.shape)
+        open_ = (2 * met >= lead[:, None])[row[pair], feature]
+        pair, node, feature = pair[open_], node[open_], feature[open_]
         order = np.lexsort((np.arange(len(pair)), pair, feature))
         pair, node, feature = pair[order], node[order], feature[order]
         first = np.ones(len(pair), dtype=bool)
@@ -85,8 +142,12 @@ class FlatForest:
             x[:, f] = donor[:, f]
             moved, _ = self.walk(x, row[pairs], node[low:high])
             x[:, f] = kept
-            rows, starts = np.unique(row[pairs], return_index=True)
-            change = np.add.reduceat(self.votes[moved] - self.votes[leaf[pairs]], starts, axis=0)
+            new, old = self.kind[moved], self.kind[leaf[pairs]]
+            other = np.flatnonzero(new != old)
+            if not len(other):
+                continue
+            rows, starts = np.unique(row[pairs[other]], return_index=True)
+            change = np.add.reduceat(self.votes[new[other]] - self.votes[old[other]], starts, axis=0)
             after = (votes[rows] + change).argmax(axis=1) == label[rows]
             total[f] += int(right[rows].sum()) - int(after.sum())
 
@@ -120,6 +181,432 @@ def flatten(spark: SparkSession, forest: RandomForestClassificationModel, used:
     votes = np.round(votes * 2.0**40) / 2.0**40
     # Ids within a tree are its places, from 0 for the root.
     return FlatForest(
-        start, feature, threshold, begin + nodes["leftChild"].to_numpy(), begin + nodes["rightChild"].to_numpy(), votes
+        start, feature, threshold, begin + nodes["leftChild"].to_numpy(), begin + nodes["rightChild"].to_numpy(),
+        np.arange(len(nodes)), votes,
+    )
+
+
+def thresholds_of(rows: DataFrame, features: str, width: int) -> list[np.ndarray]:
+    """Where each feature can be split: between all values of up to ``BINS``, else at quantiles of all rows."""
+
+    def some_values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = [np.empty(0) for _ in range(width)]
+        for batch in batches:
+            for _, block in blocks_of(batch):
+                x = dense(block, width)
+                if not np.isfinite(x).all():
+                    raise ValueError("feature vectors must not hold NaN or infinity")
+                for i in range(width):
+                    if len(known[i]) <= BINS:
+                        known[i] = np.unique(np.concatenate((known[i], x[:, i])))[: BINS + 1]
+        at = np.repeat(np.arange(width), [len(k) for k in known])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(at, pa.int32()), pa.array(np.concatenate([*known, np.empty(0)]))], names=["position", "value"]
+        )
+
+    # At most BINS + 1 values of each feature and task.
+    seen = unpacked(rows, features).mapInArrow(some_values, "position int, value double").distinct().toPandas()
+    values = {i: np.unique(part) for i, part in seen.groupby("position")["value"]}
+    cuts = [np.empty(0)] * width
+    many = []
+    for i, v in values.items():
+        if len(v) > BINS:
+            many.append(int(i))
+        else:
+            cuts[i] = (v[1:] + v[:-1]) / 2
+    if many:
+        wanted = np.zeros(width, dtype=bool)
+        wanted[many] = True
+
+        def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for _, block in blocks_of(batch):
+                    x = dense(block, width)[:, wanted]
+                    at = np.tile(np.flatnonzero(wanted), len(x))
+                    yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(x.ravel())], names=["position", "value"])
+
+        shares = [i / BINS for i in range(1, BINS)]
+        found = (
+            unpacked(rows, features).mapInArrow(entries, "position int, value double")
+            .groupBy("position").agg(F.percentile_approx("value", shares, 1000).alias("cuts"))
+        )
+        for r in found.collect():
+            cuts[r["position"]] = np.unique(r["cuts"])
+    return cuts
+
+
+def dense(block: Block, width: int) -> np.ndarray:
+    """The rows of a block with all their values."""
+    if block.at is None:
+        return block.values
+    x = np.zeros((block.rows, width))
+    x[block.row_of(), block.at] = block.values
+    return x
+
+
+def coded(rows: DataFrame, features: str, thresholds: list[np.ndarray], used: list[int] | None = None) -> DataFrame:
+    """The rows with ``codes`` instead of the vector: a byte per feature, its thresholds below the value."""
+    spark, width = rows.sparkSession, len(thresholds)
+    kept = list(range(width)) if used is None else used
+    others = [c for c in rows.columns if c != features]
+    sent = spark.sparkContext.broadcast(thresholds)
+
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cuts = sent.value
+        for batch in batches:
+            for part, block in blocks_of(batch):
+                x = dense(block, width)
+                codes = np.empty((len(x), len(kept)), dtype=np.uint8)
+                for j, i in enumerate(kept):
+                    codes[:, j] = np.searchsorted(cuts[i], x[:, i], side="left")
+                own = batch.slice(part.start, part.stop - part.start)
+                yield pa.RecordBatch.from_arrays(
+                    [*[own.column(c) for c in others], pa.array([r.tobytes() for r in codes], pa.binary())], names=[*others, "codes"]
+                )
+
+    kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in others)
+    return unpacked(rows, features, *others).mapInArrow(code, f"{kinds}, codes binary")
+
+
+def codes_of(column: pa.Array, width: int) -> np.ndarray:
+    """A column of codes as the rows of a matrix."""
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(len(column), width)
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    """Spread every bit of 64-bit values over the whole word."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+@dataclass(frozen=True)
+class Grower:
+    """How trees grow. A node is numbered by its way from the root: 1, then 2i to the left and 2i + 1 to the right.
+
+    Its features are drawn by a hash of the seed, the tree and this number, so a tree does not depend on where it grows.
+    """
+
+    trees: int
+    depth: int
+    seed: int
+    width: int
+    classes: int
+
+    def subsets(self, tree: int, nodes: np.ndarray) -> np.ndarray:
+        """The features that each node may be split by: the root of their number, rounded up; all for a single tree."""
+        n = self.width if self.trees == 1 else math.ceil(math.sqrt(self.width))
+        start = _mix(np.array([self.seed * 1_000_003 + tree + 1], dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        drawn = _mix(_mix(nodes.astype(np.uint64) ^ start)[:, None] + np.arange(1, self.width + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
+        return np.sort(np.argpartition(drawn, n - 1, axis=1)[:, :n], axis=1)
+
+    def weights(self, codes: bytes, label: int, rows: int) -> np.ndarray:
+        """How often each tree draws the equal rows of a cell: a Poisson number with their count as its mean."""
+        if self.trees == 1:
+            return np.array([rows])
+        digest = hashlib.blake2b(codes, digest_size=16, salt=label.to_bytes(8, "little")).digest()
+        return np.random.default_rng([self.seed, int.from_bytes(digest, "little")]).poisson(rows, self.trees)
+
+    def best(self, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The best split of each node by ``counts`` (node, feature, bin, class): feature's place, bin, whether it gains."""
+        low = counts.cumsum(axis=2)
+        total = low[:, :1, -1, :]
+        low = low[:, :, :-1]
+        n, square = total.sum(axis=2), (total**2).sum(axis=2)
+        left = low.sum(axis=3)
+        right = n[:, :, None] - left
+        own = np.einsum("akbc,akbc->akb", low, low)
+        rest = square[:, :, None] - 2 * np.einsum("akbc,ac->akb", low, total[:, 0]) + own
+        with np.errstate(divide="ignore", invalid="ignore"):
+            score = np.where((left > 0) & (right > 0), own / left + rest / right, -np.inf).reshape(len(counts), -1)
+        at = score.argmax(axis=1)
+        most = score[np.arange(len(at)), at]
+        gains = most - (square / n)[:, 0] > 1e-12 * n[:, 0]
+        place, cut = np.divmod(at, BINS - 1)
+        return place, cut, gains
+
+    def grow(self, tree: int, root: int, codes: np.ndarray, label: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, ...]:
+        """The subtree of a node by its cells: feature (-1: leaf), cut, left child's place (the right one follows), counts."""
+        features, cuts, lefts, counts = [], [], [], []
+        ids, slot, rows, made = np.array([root], dtype=np.int64), np.zeros(len(label), dtype=np.int64), np.arange(len(label)), 1
+        level = root.bit_length() - 1
+        while len(ids):
+            totals = np.bincount(slot * self.classes + label[rows], weight[rows], len(ids) * self.classes).reshape(len(ids), -1)
+            feature, cut, left = np.full(len(ids), -1, np.int32), np.zeros(len(ids), np.uint8), np.zeros(len(ids), np.int32)
+            opened = np.flatnonzero(((totals > 0).sum(axis=1) > 1) & (level < self.depth))
+            if len(opened):
+                self._split(tree, ids, opened, slot, codes[rows], label[rows], weight[rows], feature, cut)
+            split = feature >= 0
+            rank = np.cumsum(split) - 1
+            left[split] = made + 2 * rank[split]
+            made += 2 * int(split.sum())
+            features.append(feature)
+            cuts.append(cut)
+            lefts.append(left)
+            counts.append(totals)
+            stays = split[slot]
+            rows, slot = rows[stays], slot[stays]
+            right = codes[rows, feature[slot]] > cut[slot]
+            slot = 2 * rank[slot] + right
+            order = np.argsort(slot, kind="stable")
+            rows, slot = rows[order], slot[order]
+            ids = np.repeat(2 * ids[split], 2)
+            ids[1::2] += 1
+            level += 1
+        return tuple(np.concatenate(x) for x in (features, cuts, lefts, counts))
+
+    def _split(self, tree, ids, opened, slot, codes, label, weight, feature, cut) -> None:  # noqa: ANN001
+        """Fill in feature and cut of the nodes that gain by a split; rows are in the order of their node."""
+        begins, ends = np.searchsorted(slot, opened), np.searchsorted(slot, opened, side="right")
+        n = self.width if self.trees == 1 else math.ceil(math.sqrt(self.width))
+        step = max(1, COUNTERS // (n * BINS * self.classes))
+        for low in range(0, len(opened), step):
+            some = opened[low : low + step]
+            size = ends[low : low + step] - begins[low : low + step]
+            at = np.repeat(np.arange(len(some)), size)
+            rows = np.arange(len(at)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(begins[low : low + step], size)
+            subset = self.subsets(tree, ids[some])
+            place, best, gains = self.best(self.histogram(subset, at, codes[rows], label[rows], weight[rows]))
+            feature[some[gains]] = subset[np.flatnonzero(gains), place[gains]]
+            cut[some[gains]] = best[gains]
+
+    def histogram(self, subset: np.ndarray, at: np.ndarray, codes: np.ndarray, label: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """Weights by node, feature of its subset, bin and class; row ``i`` is in node ``at[i]``."""
+        n, k = subset.shape
+        key = (at[:, None] * k + np.arange(k)) * BINS + np.take_along_axis(codes, subset[at], axis=1)
+        key = key * self.classes + label[:, None]
+        return np.bincount(key.ravel(), np.repeat(weight, k), n * k * BINS * self.classes).reshape(n, k, BINS, self.classes)
+
+
+@dataclass
+class Top:
+    """The large nodes of a tree: feature and cut of those that are split, counts by class of those that are leaves."""
+
+    splits: dict[int, tuple[int, int]]
+    leaves: dict[int, list[float]]
+
+
+def _down(top: Top, codes: np.ndarray) -> np.ndarray:
+    """The number of the node below the split ones that each cell is in."""
+    node = np.ones(len(codes), dtype=np.int64)
+    for number in sorted(top.splits):
+        feature, cut = top.splits[number]
+        here = np.flatnonzero(node == number)
+        node[here] = 2 * number + (codes[here, feature] > cut)
+    return node
+
+
+def _drawn(batches: Iterator[pa.RecordBatch], grower: Grower) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Codes, labels and each tree's weights of some cells at a time."""
+    step = max(1, PIECE // max(grower.width, grower.trees))
+    for whole in batches:
+        for low in range(0, whole.num_rows, step):
+            batch = whole.slice(low, step)
+            raw = batch.column("codes").to_pylist()
+            label = batch.column("label").to_numpy()
+            weights = [grower.weights(*r) for r in zip(raw, label.tolist(), batch.column("n").to_pylist(), strict=True)]
+            yield np.frombuffer(b"".join(raw), dtype=np.uint8).reshape(len(raw), grower.width), label, np.stack(weights)
+
+
+def _tops(cells: DataFrame, grower: Grower) -> list[Top]:
+    """Split nodes by sums over all tasks until each node's cells fit one."""
+    spark = cells.sparkSession
+    tops = [Top({}, {}) for _ in range(grower.trees)]
+    # A tree has no more cells than there are.
+    large = {(t, 1) for t in range(grower.trees)} if cells.count() * grower.width > LOCAL else set()
+    while large:
+        sent = spark.sparkContext.broadcast((tops, large))
+
+        def count(batches: Iterator[pa.RecordBatch], sent: Broadcast = sent) -> Iterator[pa.RecordBatch]:
+            tops, large = sent.value
+            held: dict[tuple[int, int], np.ndarray] = {}
+            nodes: dict[int, list[int]] = {}
+            for t, number in sorted(large):
+                nodes.setdefault(t, []).append(number)
+            for codes, label, weights in _drawn(batches, grower):
+                for t, numbers in nodes.items():
+                    at = _down(tops[t], codes)
+                    for number in numbers:
+                        rows = np.flatnonzero((at == number) & (weights[:, t] > 0))
+                        if not len(rows):
+                            continue
+                        subset, one = grower.subsets(t, np.array([number])), np.zeros(len(rows), dtype=np.int64)
+                        added = np.stack([
+                            grower.histogram(subset, one, codes[rows], label[rows], w)[0]
+                            for w in (weights[rows, t], np.ones(len(rows)))
+                        ])
+                        held[t, number] = held[t, number] + added if (t, number) in held else added
+            for (t, number), total in held.items():
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([t], pa.int32()), pa.array([number], pa.int64()), pa.array([total.ravel()], pa.list_(pa.float64()))],
+                    names=["tree", "node", "total"],
+                )
+
+        def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: dict[tuple[int, int], np.ndarray] = {}
+            for batch in batches:
+                for t, number, total in zip(*(batch.column(c) for c in ("tree", "node", "total")), strict=True):
+                    key, values = (t.as_py(), number.as_py()), total.values.to_numpy()
+                    held[key] = held[key] + values if key in held else values
+            out = []
+            for (t, number), values in held.items():
+                weight, one = values.reshape(2, 1, -1, BINS, grower.classes)
+                place, cut, gains = grower.best(weight)
+                p, c = int(place[0]), int(cut[0])
+                cells = one[0, p].sum(axis=1)
+                split = gains[0] and number.bit_length() - 1 < grower.depth
+                feature = int(grower.subsets(t, np.array([number]))[0, p]) if split else -1
+                by_class = weight[0, 0].sum(axis=0).tolist()
+                out.append((t, number, feature, c, int(cells[: c + 1].sum()), int(cells[c + 1 :].sum()), by_class))
+            names = ["tree", "node", "feature", "cut", "low", "high", "counts"]
+            kinds = [pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.float64())]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=names
+            )
+
+        parts = cells.mapInArrow(count, "tree int, node long, total array<double>")
+        # One row per node that is too large for a task.
+        found = parts.repartition("tree", "node").mapInArrow(
+            choose, "tree int, node long, feature int, cut int, low long, high long, counts array<double>"
+        ).collect()
+        sent.destroy()
+        large = set()
+        for t, number, feature, cut, low, high, counts in found:
+            if feature < 0:
+                tops[t].leaves[number] = counts
+                continue
+            tops[t].splits[number] = (feature, cut)
+            large |= {(t, child) for child, n in ((2 * number, low), (2 * number + 1, high)) if n * grower.width > LOCAL}
+    return tops
+
+
+def fit_forest(
+    rows: DataFrame, features: str, label: str, thresholds: list[np.ndarray], classes: int, trees: int, depth: int, seed: int
+) -> tuple[FlatForest, list[int]]:
+    """A random forest over coded features, and the features that it uses, by which its nodes number them.
+
+    Trees are grown as Spark's ``RandomForestClassifier`` does: Poisson draws of the rows for each tree, the best Gini gain among
+    the root of the number of features at each node, until nodes are pure, no split gains or ``depth`` is reached. The
+    trees do not depend on how the rows are dealt to tasks. The model is held by the driver, as Spark's is.
+    """
+    spark = rows.sparkSession
+    grower = Grower(trees, depth, seed, len(thresholds), classes)
+    cores = spark.sparkContext.defaultParallelism
+    cells = pin(
+        coded(rows.select(F.col(label).cast("int").alias("label"), features), features, thresholds)
+        .groupBy("label", "codes").agg(F.count(F.lit(1)).alias("n"))
+        .repartition(cores, "label", "codes")
+    )
+    tops = _tops(cells, grower)
+    sent = spark.sparkContext.broadcast(tops)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for codes, label, weights in _drawn(batches, grower):
+            for t, top in enumerate(sent.value):
+                at = _down(top, codes)
+                drawn = weights[:, t] > 0
+                for number in set(np.unique(at[drawn]).tolist()) - top.leaves.keys():
+                    own = np.flatnonzero(drawn & (at == number))
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array([t], pa.int32()), pa.array([number], pa.int64()), pa.array([codes[own].tobytes()], pa.binary()),
+                            pa.array([label[own].astype(np.int32).tobytes()], pa.binary()),
+                            pa.array([weights[own, t].astype(np.int64).tobytes()], pa.binary()),
+                        ],
+                        names=["tree", "node", "codes", "label", "weight"],
+                    )
+
+    def grown(tree: int, number: int, held: list[tuple[bytes, bytes, bytes]]) -> pa.RecordBatch:
+        codes, label, weight = (b"".join(x) for x in zip(*held, strict=True))
+        feature, cut, left, counts = grower.grow(
+            tree, number, np.frombuffer(codes, np.uint8).reshape(-1, grower.width),
+            np.frombuffer(label, np.int32).astype(np.int64), np.frombuffer(weight, np.int64).astype(np.float64),
+        )
+        # A pure leaf's votes are named by its class, those of a mixed one by their line after the classes.
+        kind = counts.argmax(axis=1).astype(np.int32)
+        mixed = np.flatnonzero((feature < 0) & ((counts > 0).sum(axis=1) > 1))
+        kind[mixed] = grower.classes + np.arange(len(mixed))
+        parts = feature, cut, left, kind, counts[mixed]
+        return pa.RecordBatch.from_arrays(
+            [pa.array([tree], pa.int32()), pa.array([number], pa.int64()), *[pa.array([p.tobytes()], pa.binary()) for p in parts]],
+            names=["tree", "node", "feature", "cut", "first", "kind", "mixed"],
+        )
+
+    def subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held = None, []
+        for batch in batches:
+            for t, number, *blobs in zip(*batch.to_pydict().values(), strict=True):
+                if held and (t, number) != last:
+                    yield grown(*last, held)
+                    held = []
+                last = (t, number)
+                held.append(tuple(blobs))
+        if held:
+            yield grown(*last, held)
+
+    parts = max(2 * cores, min(2000, sum(len(t.splits) + 1 for t in tops)))
+    built = (
+        cells.mapInArrow(deal, "tree int, node long, codes binary, label binary, weight binary")
+        .repartition(parts, "tree", "node").sortWithinPartitions("tree", "node")
+        .mapInArrow(subtrees, "tree int, node long, feature binary, cut binary, first binary, kind binary, mixed binary")
+    )
+    # One row per tree, and per subtree below the nodes that all tasks split: the model.
+    found = built.collect()
+    sent.destroy()
+    return _assembled(found, tops, grower)
+
+
+def _assembled(found: list, tops: list[Top], grower: Grower) -> tuple[FlatForest, list[int]]:
+    """One forest of the split nodes and the subtrees below them."""
+
+    def shares(counts: np.ndarray) -> np.ndarray:
+        sums = counts.sum(axis=1, keepdims=True)
+        return np.round(np.divide(counts, sums, out=np.zeros_like(counts), where=sums > 0) * 2.0**40) / 2.0**40
+
+    names = {"feature": np.int32, "cut": np.uint8, "first": np.int32, "kind": np.int32}
+    blobs = [{n: np.frombuffer(r[n], kind) for n, kind in names.items()} for r in found]
+    tables = [np.frombuffer(r["mixed"], np.float64).reshape(-1, grower.classes) for r in found]
+    votes = [np.eye(grower.classes)]
+    begin, lines, roots = 0, grower.classes, {}
+    feature, cut, left, kind = [], [], [], []
+    for r, blob, table in zip(found, blobs, tables, strict=True):
+        roots[r["tree"], r["node"]] = begin
+        feature.append(blob["feature"])
+        cut.append(blob["cut"])
+        left.append(begin + blob["first"])
+        kind.append(np.where(blob["kind"] < grower.classes, blob["kind"], blob["kind"] + lines - grower.classes))
+        votes.append(shares(table))
+        begin, lines = begin + len(blob["feature"]), lines + len(table)
+    # Large leaves; a tree that drew no row votes for no class.
+    base = len(votes)
+    extra: list[tuple[int, int, int, int, int]] = []
+
+    def place(t: int, number: int) -> int:
+        if (t, number) in roots:
+            return roots[t, number]
+        if number in tops[t].splits:
+            f, c = tops[t].splits[number]
+            low, high = place(t, 2 * number), place(t, 2 * number + 1)
+            extra.append((f, c, low, high, 0))
+        else:
+            counts = np.array([tops[t].leaves.get(number, [0.0] * grower.classes)])
+            extra.append((-1, 0, 0, 0, lines + len(votes) - base))
+            votes.append(shares(counts))
+        return begin + len(extra) - 1
+
+    starts = np.array([place(t, 1) for t in range(grower.trees)], dtype=np.int64)
+    more = np.array(extra, dtype=np.int64).reshape(-1, 5)
+    # Places are 32-bit numbers as long as they fit.
+    size = np.int32 if begin + len(extra) < 2**31 - 2 else np.int64
+    first = np.concatenate([*left, np.empty(0, np.int32)]).astype(size)
+    whole = np.concatenate([*feature, more[:, 0].astype(np.int32)])
+    used = np.unique(whole[whole >= 0])
+    renamed = np.full(grower.width + 1, -1, dtype=np.int32)
+    renamed[used] = np.arange(len(used))
+    forest = FlatForest(
+        starts, renamed[whole], np.concatenate([*cut, more[:, 1].astype(np.uint8)]),
+        np.concatenate([first, more[:, 2].astype(size)]), np.concatenate([first + 1, more[:, 3].astype(size)]),
+        np.concatenate([*kind, more[:, 4]]).astype(np.int32), np.concatenate(votes),
     )
+    return forest, used.tolist()
 

@@ -8,16 +8,13 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.functions import vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from facetloom.operators.blocks import blocks_of, unpacked
-from facetloom.operators.forests import flatten
-from facetloom.operators.grouped import matrix_of
+from facetloom.operators.forests import coded, codes_of, fit_forest, thresholds_of
 from facetloom.operators.ordering import global_index
 from facetloom.operators.profiles import crosstab
 from facetloom.operators.features import vector_width
@@ -218,6 +215,7 @@ def permutation_importance(
     """``feature, score, rank``: mean loss of accuracy of a random forest on its own rows
     when one feature is shuffled.
 
+    Rows are coded by the thresholds that splits can have, and trees are grown in the tasks, see ``fit_forest``.
     Each repeat gives every row a donor row by its position; one shuffle join brings the donors of all repeats. A row
     takes over one feature of its donor at a time. Only trees whose path meets the feature are walked
     again, see ``FlatForest``. A feature that no tree splits on cannot change a guess and scores 0.
@@ -226,24 +224,19 @@ def permutation_importance(
     width = vector_width(df, features)
     if len(names) != width:
         raise ValueError("names must match the width of the feature vectors")
-    # Without metadata all features are numbers, as a donor's value may be any of them.
     table = df.select(
-        F.col(row_id).alias("_id"),
-        F.col(label).cast("double").alias("_label"),
-        F.col(features).alias(features, metadata={}),
+        F.col(row_id).alias("_id"), F.col(label).cast("double").alias("_label"), F.col(features).alias("_x"),
     )
-    forest = RandomForestClassifier(
-        numTrees=trees, maxDepth=depth, seed=seed, featuresCol=features, labelCol="_label",
-    ).fit(table)
-    used = [i for i in range(width) if forest.featureImportances[i] > 0]
-    values = vector_to_array(features)
-    picked = F.transform(F.array(*[F.lit(i) for i in used]), lambda i: F.get(F.col("_x"), i))
-    plain = table.select("_id", "_label", values.alias("_x"))
+    known = F.col("_x").isNotNull() & F.col("_label").isNotNull() & (F.col("_label") >= 0) & (F.col("_label") == F.floor("_label"))
+    rows, good, most = table.agg(F.count(F.lit(1)), F.count(F.when(known, 1)), F.max("_label")).first()
+    if good < rows or not rows:
+        raise ValueError("a forest needs rows, each with a feature vector and a whole label from 0 on")
+    thresholds = thresholds_of(table.select("_x"), "_x", width)
+    forest, used = fit_forest(table, "_x", "_label", thresholds, int(most) + 1, trees, depth, seed)
     drops = dict.fromkeys(range(width), 0.0)
     if used:
-        placed = global_index(plain.select("_id", "_label", picked.alias("x")), ["_id"], "at")
-        rows = placed.count()
-        flat = spark.sparkContext.broadcast(flatten(spark, forest, used))
+        placed = global_index(coded(table, "_x", thresholds, used), ["_id"], "at")
+        flat = spark.sparkContext.broadcast(forest)
         rng = random.Random(seed)
         wide = F.col("at").cast("decimal(38,0)")
         targets = []
@@ -251,19 +244,21 @@ def permutation_importance(
             step, shift = _affine_shuffle(rows, rng)
             targets.append(((wide * F.lit(step) + F.lit(shift)) % F.lit(rows)).cast("bigint"))
         if targets:
-            donors = placed.select(F.explode(F.array(*targets)).alias("at"), F.col("x").alias("donor"))
+            parts = 4 * spark.sparkContext.defaultParallelism
+            donors = placed.select(F.explode(F.array(*targets)).alias("at"), F.col("codes").alias("donor"))
 
             def lost(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 total = np.zeros(len(used), dtype=np.int64)
                 for batch in batches:
-                    x, donor = (matrix_of(batch.column(c)).copy() for c in ("x", "donor"))
+                    x, donor = (codes_of(batch.column(c), len(used)).copy() for c in ("codes", "donor"))
                     total += flat.value.losses(x, donor, batch.column("_label").to_numpy())
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.array(used), pa.int32()), pa.array(total)], names=["feature", "lost"]
                 )
 
             after = (
-                placed.join(donors, "at").select("_label", "x", "donor")
+                placed.repartition(parts, "at").join(donors.repartition(parts, "at"), "at")
+                .select("_label", "codes", "donor")
                 .mapInArrow(lost, "feature int, lost long")
                 .groupBy("feature").agg(F.sum("lost").alias("lost"))
             )
