@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from facetloom.llm.groups import small_batches, whole_row
+from facetloom.llm.groups import Shelf, small_batches, whole_row
 from facetloom.llm.setjoin import (
     components,
     first_of,
@@ -29,7 +29,6 @@ from facetloom.llm.setjoin import (
 )
 from facetloom.llm.shingles import mix, shingle_set
 from facetloom.operators.lookups import lookup
-from facetloom.session import pin
 
 WIDTH = 5
 THRESHOLD = 0.8
@@ -114,14 +113,19 @@ def _sets_of(texts: DataFrame) -> DataFrame:
     return texts.mapInPandas(run, "node long, copies long, tokens binary")
 
 
-def classify(docs: DataFrame, threshold: float, recall: float) -> DataFrame:
-    """doc_id, tie (hash of the text), root (null without words), class_id, n_links."""
+def classify(docs: DataFrame, threshold: float, recall: float, shelf: Shelf) -> DataFrame:
+    """doc_id, tie (hash of the text), root (null without words), class_id, n_links.
+
+    Reads ``table`` and ``named`` of the shelf; each other table goes, with the shuffle files behind it, as soon as the next
+    step has read it.
+    """
     rows = small_batches(docs).select(
         F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tie"), "text"
     )
     known = rows.where(F.col("doc_id").isNotNull())
-    table = pin(_tokens_table(known, threshold, runs_for(recall)))
-    nodes = pin(
+    table = shelf.keep("table", _tokens_table(known, threshold, runs_for(recall)))
+    nodes = shelf.keep(
+        "nodes",
         table.where(F.col("node").isNotNull())
         .groupBy("node")
         .agg(
@@ -132,27 +136,35 @@ def classify(docs: DataFrame, threshold: float, recall: float) -> DataFrame:
             F.first("first").alias("first"),
             F.first("parents").alias("parents"),
             F.first("second").alias("second"),
-        )
+        ),
     )
 
     # First level: buckets of one set are done, large ones are split by a second token.
     first = nodes.select("node", F.explode("first").alias("bucket"))
     sizes = first.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
-    sizes = pin(sizes.where(F.col("n") > 1))
+    sizes = shelf.keep("sizes", sizes.where(F.col("n") > 1))
     small = first.join(sizes.where(F.col("n") <= SMALL).select("bucket"), "bucket")
     steps = nodes.select("node", F.explode(F.arrays_zip("parents", "second")).alias("step")).select(
         "node", F.col("step.parents").alias("parent"), F.col("step.second").alias("bucket")
     )
     large = sizes.where(F.col("n") > SMALL).select(F.col("bucket").alias("parent"))
     second = lookup(steps, large, ["parent"], how="inner", spread_by=["node"]).select("node", "bucket")
-    members = pin(without_repeats(small.select("node", "bucket").unionByName(second).distinct()))
+    buckets = shelf.keep("buckets", small.select("node", "bucket").unionByName(second).distinct())
+    members = shelf.keep("members", without_repeats(buckets))
+    del first, sizes, small, steps, large, second, buckets
+    shelf.drop("sizes", "buckets")
 
     # Brute force, by sketches first, then by whole sets where the sketches leave a partner.
     parts = members.join(nodes.select("node", "size", "sketch"), "node")
-    likely = pin(without_repeats(likely_members(parts, threshold)))
+    met = shelf.keep("met", likely_members(parts, threshold))
+    likely = shelf.keep("likely", without_repeats(met))
+    del members, parts, met
+    shelf.drop("members", "met")
     wanted = likely.select("node").distinct().join(nodes.select("node", "rep", "copies"), "node")
     texts = known.join(wanted.withColumnRenamed("rep", "doc_id"), "doc_id")
-    links = pin(verify(likely, _sets_of(texts.select("node", "copies", "text")), threshold))
+    links = shelf.keep("links", verify(likely, _sets_of(texts.select("node", "copies", "text")), threshold))
+    del likely, wanted, texts
+    shelf.drop("likely")
 
     counts = links.groupBy("node").agg(F.sum("links").alias("links"))
     roots = components(links.select(F.col("node").alias("a"), F.col("root").alias("b")))
@@ -167,7 +179,10 @@ def classify(docs: DataFrame, threshold: float, recall: float) -> DataFrame:
         "node", "root", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")
     )
     texted = table.select("doc_id", "tie", "node").where(F.col("node").isNotNull())
-    found = lookup(texted, by_node, ["node"], how="inner", spread_by=["doc_id"], pinned=True)
+    named = shelf.keep("named", by_node)
+    found = lookup(texted, named, ["node"], how="inner", spread_by=["doc_id"])
+    del nodes, links, counts, roots, classed, lowest, by_node
+    shelf.drop("nodes", "links")
     alone = (
         table.where(F.col("node").isNull())
         .select("doc_id", "tie")
@@ -192,7 +207,7 @@ def similar_documents(
     with a null doc_id, has no links; its class is its own doc_id. A pair at the
     threshold is found with the chance ``recall`` at least; what is found is verified exactly.
     """
-    return classify(docs, threshold, recall).select("doc_id", "class_id", "n_links")
+    return classify(docs, threshold, recall, Shelf(docs.sparkSession)).select("doc_id", "class_id", "n_links")
 
 
 def one_of_each_class(
@@ -203,7 +218,10 @@ def one_of_each_class(
     Rows without words or without a doc_id stay. Of several rows with the smallest doc_id of a class
     the one with the smallest text hash stays.
     """
-    classes = classify(docs, threshold, recall).where(F.col("doc_id").isNotNull())
+    shelf = Shelf(docs.sparkSession)
+    classes = shelf.keep("classes", classify(docs, threshold, recall, shelf).where(F.col("doc_id").isNotNull()))
+    # The files of all steps before go before whole rows are shuffled.
+    shelf.drop("table", "named")
     keepers = (
         classes.where(F.col("root").isNotNull() & (F.col("class_id") == F.col("doc_id")))
         .groupBy(F.col("doc_id").alias("_doc"), "root")

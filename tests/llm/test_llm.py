@@ -15,6 +15,7 @@ import __spark_entry__ as entry
 import corpus_pipeline
 from facetloom.llm import (
     digests,
+    groups,
     languages,
     mixing,
     ngram_join,
@@ -794,3 +795,13 @@ def test_stages_on_odd_rows(spark, odd):
 def test_shingle_hashes_depend_on_words_only():
     a, b = shingles.shingle_set("One two  three four five six"), shingles.shingle_set("one TWO three\nfour five six")
     assert len(a) == 2 and (a == b).all() and len(shingles.shingle_set("")) == 0
+
+
+def test_tables_of_the_near_duplicate_join_go_before_rows_are_shuffled(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(groups, "ensure_checkpoint_dir", lambda _: str(tmp_path))
+    text = " ".join(f"w{i}" for i in range(30))
+    rows = [(1, text), (2, text + " more"), (3, "some other words that are alone here"), (4, None), (None, text)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = ngram_join.one_of_each_class(docs)
+    assert [f.name for f in tmp_path.glob("shelf-*/*")] == ["classes"]
+    assert sorted(r["doc_id"] or 0 for r in kept.collect()) == [0, 1, 3, 4]
