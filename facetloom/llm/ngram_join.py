@@ -35,6 +35,11 @@ THRESHOLD = 0.8
 RECALL = 0.9995
 #: Buckets of more sets than this are split once more.
 SMALL = 256
+#: Bits of the filter of documents whose texts are read again: so many for each of them, in bitmaps of the size that Spark
+#: makes, and at most so many bitmaps (32 MB), which are broadcast.
+BITS_EACH = 64
+BITMAP_BITS = 1 << 15
+MOST_BITMAPS = 1 << 13
 
 
 def runs_for(recall: float) -> int:
@@ -99,6 +104,24 @@ def _tokens_table(docs: DataFrame, threshold: float, runs: int) -> DataFrame:
     return docs.select("doc_id", "tie", "text").mapInPandas(run, schema)
 
 
+def _passing(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id the filter of the doc_ids of ``wanted`` passes, where they lie.
+
+    All wanted rows pass, and of the others the share of bits that are set, about one in ``BITS_EACH``. The join that
+    follows shuffles these rows instead of all texts, if it cannot broadcast ``wanted``.
+    """
+    bitmaps = min(MOST_BITMAPS, max(1, math.ceil(wanted.count() * BITS_EACH / BITMAP_BITS)))
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(bitmaps * BITMAP_BITS)) + 1
+    number, place = F.bitmap_bucket_number(slot).alias("_number"), F.bitmap_bit_position(slot).alias("_place")
+    # Dealt by bitmap first, so that places are shuffled and not bitmaps.
+    marks = wanted.select(number, place).repartition("_number").groupBy("_number")
+    marks = marks.agg(F.bitmap_construct_agg("_place").alias("_marks"))
+    byte = F.substring("_marks", F.floor(F.col("_place") / 8).cast("int") + 1, F.lit(1))
+    bit = F.getbit(F.conv(F.hex(byte), 16, 10).cast("int"), F.pmod("_place", F.lit(8)).cast("int"))
+    found = docs.select("*", number, place).join(F.broadcast(marks), "_number").where(bit == 1)
+    return found.select(*docs.columns)
+
+
 def _sets_of(texts: DataFrame) -> DataFrame:
     """node, copies, tokens from node, copies, text; rows of another text drop out."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -160,11 +183,12 @@ def classify(docs: DataFrame, threshold: float, recall: float, shelf: Shelf) ->
     likely = shelf.keep("likely", without_repeats(met))
     del members, parts, met
     shelf.drop("members", "met")
-    wanted = likely.select("node").distinct().join(nodes.select("node", "rep", "copies"), "node")
-    texts = known.join(wanted.withColumnRenamed("rep", "doc_id"), "doc_id")
+    wanted = likely.select("node").distinct().join(nodes.select("node", "copies", F.col("rep").alias("doc_id")), "node")
+    wanted = shelf.keep("wanted", wanted)
+    texts = _passing(known.select("doc_id", "text"), wanted).join(wanted, "doc_id")
     links = shelf.keep("links", verify(likely, _sets_of(texts.select("node", "copies", "text")), threshold))
     del likely, wanted, texts
-    shelf.drop("likely")
+    shelf.drop("likely", "wanted")
 
     counts = links.groupBy("node").agg(F.sum("links").alias("links"))
     roots = components(links.select(F.col("node").alias("a"), F.col("root").alias("b")))

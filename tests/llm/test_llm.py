@@ -154,6 +154,40 @@ def test_ngram_join_equals_brute_force_in_large_groups(spark, monkeypatch):
         assert r["class_id"] == min(seen)
 
 
+def test_filter_of_documents_passes_the_wanted_and_few_others(spark):
+    docs = spark.range(-5000, 5000).select(F.col("id").alias("doc_id"), F.lit("some text").alias("text"))
+    for wanted in (docs.where("doc_id % 5 = 0"), docs.where("doc_id = 7"), docs.where("false")):
+        got = ngram_join._passing(docs.unionByName(docs), wanted.select("doc_id"))
+        n = wanted.count()
+        assert got.columns == docs.columns and got.join(wanted, "doc_id", "left_semi").count() == 2 * n
+        assert got.join(wanted, "doc_id", "left_anti").count() < 2 * (0.15 * n + 5)
+
+
+@pytest.mark.parametrize("slots", [ngram_join.BITMAP_BITS, 1])
+def test_ngram_join_shuffles_texts_with_likely_partners_only(spark, monkeypatch, slots):
+    passing, passed = ngram_join._passing, []
+
+    def counted(docs, wanted):
+        passed.append(passing(docs, wanted).count())
+        return passing(docs, wanted)
+
+    monkeypatch.setattr(ngram_join, "_passing", counted)
+    monkeypatch.setattr(ngram_join, "BITMAP_BITS", slots)
+    monkeypatch.setattr(ngram_join, "MOST_BITMAPS", 1)
+    rows = [(i - 200, words(40, i)) for i in range(400)]
+    copies = {1000 + i: 40 * i - 200 for i in range(10)}
+    rows += [(k, f"{dict(rows)[first]} more") for k, first in copies.items()]
+    linked = {*copies, *copies.values()}
+    want = sorted((i, copies.get(i, i), int(i in linked)) for i, _ in rows)
+    # Another text of the doc_id of a first document: it passes the filter and is no copy.
+    rows.append((-160, words(40, 1000)))
+    want.insert(want.index((-160, -160, 1)), (-160, -160, 0))
+    got = ngram_join.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(tuple(r) for r in got) == want
+    # With a single slot every document passes, and the join after it finds the same.
+    assert passed == [len(rows)] if slots == 1 else 21 <= passed[0] < 40
+
+
 def test_sketches_rule_out_only_unlike_sets():
     made = random.Random(5)
     for n in (1, 3, 20, 400):
