@@ -107,8 +107,8 @@ def _tokens_table(docs: DataFrame, threshold: float, runs: int) -> DataFrame:
 def _passing(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose doc_id the filter of the doc_ids of ``wanted`` passes, where they lie.
 
-    All wanted rows pass, and of the others the share of bits that are set, about one in ``BITS_EACH``. The join that
-    follows shuffles these rows instead of all texts, if it cannot broadcast ``wanted``.
+    All wanted rows pass, and of the others the share of bits that are set, about one in ``BITS_EACH``, so that what
+    follows shuffles little more than the sets it needs.
     """
     bitmaps = min(MOST_BITMAPS, max(1, math.ceil(wanted.count() * BITS_EACH / BITMAP_BITS)))
     slot = F.pmod(F.xxhash64("doc_id"), F.lit(bitmaps * BITMAP_BITS)) + 1
@@ -123,17 +123,17 @@ def _passing(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def _sets_of(texts: DataFrame) -> DataFrame:
-    """node, copies, tokens from node, copies, text; rows of another text drop out."""
+    """doc_id, node, tokens from doc_id, text; texts without words drop out."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
-            for node, copies, text in zip(pdf["node"], pdf["copies"], pdf["text"], strict=True):
+            for doc_id, text in zip(pdf["doc_id"], pdf["text"], strict=True):
                 tokens = shingle_set(text, WIDTH)
-                if len(tokens) and set_hash(tokens) == node:
-                    out.append((node, copies, tokens.tobytes()))
-            yield pd.DataFrame(out, columns=["node", "copies", "tokens"])
+                if len(tokens):
+                    out.append((doc_id, set_hash(tokens), tokens.tobytes()))
+            yield pd.DataFrame(out, columns=["doc_id", "node", "tokens"])
 
-    return texts.mapInPandas(run, "node long, copies long, tokens binary")
+    return texts.mapInPandas(run, "doc_id long, node long, tokens binary")
 
 
 def classify(docs: DataFrame, threshold: float, recall: float, shelf: Shelf) -> DataFrame:
@@ -183,11 +183,13 @@ def classify(docs: DataFrame, threshold: float, recall: float, shelf: Shelf) ->
     likely = shelf.keep("likely", without_repeats(met))
     del members, parts, met
     shelf.drop("members", "met")
-    wanted = likely.select("node").distinct().join(nodes.select("node", "copies", F.col("rep").alias("doc_id")), "node")
+    wanted = likely.select("node").distinct().join(nodes.select("node", "rep", "copies"), "node")
     wanted = shelf.keep("wanted", wanted)
-    texts = _passing(known.select("doc_id", "text"), wanted).join(wanted, "doc_id")
-    links = shelf.keep("links", verify(likely, _sets_of(texts.select("node", "copies", "text")), threshold))
-    del likely, wanted, texts
+    made = _sets_of(_passing(known.select("doc_id", "text"), wanted.select(F.col("rep").alias("doc_id"))))
+    # No document of a node is below its rep. Equal doc_ids as a second key would have the sets shuffled once more.
+    sets = made.join(wanted, "node").where(F.col("doc_id") <= F.col("rep"))
+    links = shelf.keep("links", verify(likely, sets.select("node", "copies", "tokens"), threshold))
+    del likely, wanted, made, sets
     shelf.drop("likely", "wanted")
 
     counts = links.groupBy("node").agg(F.sum("links").alias("links"))

@@ -164,7 +164,7 @@ def test_filter_of_documents_passes_the_wanted_and_few_others(spark):
 
 
 @pytest.mark.parametrize("slots", [ngram_join.BITMAP_BITS, 1])
-def test_ngram_join_shuffles_texts_with_likely_partners_only(spark, monkeypatch, slots):
+def test_ngram_join_reads_texts_with_likely_partners_only(spark, monkeypatch, slots):
     passing, passed = ngram_join._passing, []
 
     def counted(docs, wanted):
