@@ -3,6 +3,7 @@
 Features are cut at up to 31 thresholds, and equal rows become one cell with a count. Nodes of many cells are split by
 histograms that Spark sums over all tasks, a level at a time. As soon as a node's cells fit a task, one shuffle brings
 them together and its whole subtree is grown there, so that the number of passes does not grow with the number of nodes.
+A grown forest stays where the tasks wrote it; ``FlatForest`` holds a small one in memory.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from facetloom.operators.blocks import Block, blocks_of, unpacked
+from facetloom.operators.trees import Packed, Top, Tree, pack
 from facetloom.session import ensure_checkpoint_dir, pin
 
 #: (row, tree) pairs that are walked through the forest at a time.
@@ -28,7 +30,11 @@ PAIRS = 1 << 18
 #: Values of a feature that a split can tell apart.
 BINS = 32
 #: Codes (cells times features) of a node that one task may hold; larger nodes are split by all tasks.
-LOCAL = 1 << 24
+LOCAL = 1 << 25
+#: Numbers of cells up to which nodes are split by sorted cells, not by bins.
+FEW = (2, 4, 8)
+#: Bytes of packed trees that the driver holds and sends at a time.
+SENT = 1 << 25
 #: Codes of a piece that is shuffled as one row, and counters of the histograms that are scored at a time.
 PIECE = 1 << 20
 COUNTERS = 1 << 20
@@ -135,7 +141,9 @@ class FlatForest:
         first = np.ones(len(pair), dtype=bool)
         first[1:] = (pair[1:] != pair[:-1]) | (feature[1:] != feature[:-1])
         pair, node, feature = pair[first], node[first], feature[first]
-        cuts = np.flatnonzero(np.concatenate(([True], feature[1:] != feature[:-1]))) if len(feature) else []
+        if not len(feature):
+            return
+        cuts = np.flatnonzero(np.concatenate(([True], feature[1:] != feature[:-1])))
         for low, high in zip(cuts, [*cuts[1:], len(feature)], strict=True):
             f, pairs = feature[low], pair[low:high]
             kept = x[:, f].copy()
@@ -355,14 +363,58 @@ class Grower:
             level += 1
         return tuple(np.concatenate(x) for x in (features, cuts, lefts, counts))
 
+    def best_of_few(self, codes: np.ndarray, label: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``best`` for nodes of a few cells: ``codes`` (node, cell, feature), ``label`` and ``weight`` (node, cell), filled up with
+        code 255 and weight 0. Cells are sorted by code instead of counted by bin; sums and order are the same."""
+        nodes, cells, _ = codes.shape
+        order = codes.argsort(axis=1, kind="stable")
+        codes = np.take_along_axis(codes, order, axis=1)
+        # Classes are named by their first cell.
+        own = (label[:, :, None] == label[:, None, :]).argmax(axis=2)
+        by_class = np.zeros((nodes, cells, cells))
+        by_class[np.arange(nodes)[:, None], np.arange(cells), own] = weight
+        total = by_class.sum(axis=1)
+        low = by_class[np.arange(nodes)[:, None, None], order[:, :-1]].cumsum(axis=1)
+        n, square = total.sum(axis=1), (total**2).sum(axis=1)
+        left = low.sum(axis=3)
+        right = n[:, None, None] - left
+        inside = np.einsum("npkc,npkc->npk", low, low)
+        rest = square[:, None, None] - 2 * np.einsum("npkc,nc->npk", low, total) + inside
+        with np.errstate(divide="ignore", invalid="ignore"):
+            score = np.where((left > 0) & (right > 0) & (codes[:, 1:] > codes[:, :-1]), inside / left + rest / right, -np.inf)
+        score = score.transpose(0, 2, 1).reshape(nodes, -1)
+        at = score.argmax(axis=1)
+        most = score[np.arange(nodes), at]
+        place, cell = np.divmod(at, cells - 1)
+        return place, codes[np.arange(nodes), cell, place], most - square / n > 1e-12 * n
+
     def _split(self, tree, ids, opened, slot, codes, label, weight, feature, cut) -> None:  # noqa: ANN001
         """Fill in feature and cut of the nodes that gain by a split; rows are in the order of their node."""
         begins, ends = np.searchsorted(slot, opened), np.searchsorted(slot, opened, side="right")
+        sizes = ends - begins
         n = self.width if self.trees == 1 else math.ceil(math.sqrt(self.width))
+        least = 0
+        for most in FEW:
+            few = np.flatnonzero((sizes > least) & (sizes <= most))
+            step = max(1, COUNTERS // (n * most * most))
+            for low in range(0, len(few), step):
+                some = few[low : low + step]
+                at = begins[some][:, None] + np.arange(most)
+                beyond = at >= ends[some][:, None]
+                at[beyond] = 0
+                subset = self.subsets(tree, ids[opened[some]])
+                cells = codes[at[:, :, None], subset[:, None, :]]
+                cells[beyond] = 255
+                place, best, gains = self.best_of_few(cells, label[at], np.where(beyond, 0.0, weight[at]))
+                feature[opened[some[gains]]] = subset[np.flatnonzero(gains), place[gains]]
+                cut[opened[some[gains]]] = best[gains]
+            least = most
+        many = sizes > least
+        opened, begins, sizes = opened[many], begins[many], sizes[many]
         step = max(1, COUNTERS // (n * BINS * self.classes))
         for low in range(0, len(opened), step):
             some = opened[low : low + step]
-            size = ends[low : low + step] - begins[low : low + step]
+            size = sizes[low : low + step]
             at = np.repeat(np.arange(len(some)), size)
             rows = np.arange(len(at)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(begins[low : low + step], size)
             subset = self.subsets(tree, ids[some])
@@ -378,14 +430,6 @@ class Grower:
         return np.bincount(key.ravel(), np.repeat(weight, k), n * k * BINS * self.classes).reshape(n, k, BINS, self.classes)
 
 
-@dataclass
-class Top:
-    """The large nodes of a tree: feature and cut of those that are split, counts by class of those that are leaves."""
-
-    splits: dict[int, tuple[int, int]]
-    leaves: dict[int, list[float]]
-
-
 def _down(top: Top, codes: np.ndarray) -> np.ndarray:
     """The number of the node below the split ones that each cell is in."""
     node = np.ones(len(codes), dtype=np.int64)
@@ -411,7 +455,7 @@ def _drawn(batches: Iterator[pa.RecordBatch], grower: Grower) -> Iterator[tuple[
 def _tops(cells: DataFrame, grower: Grower) -> list[Top]:
     """Split nodes by sums over all tasks until each node's cells fit one."""
     spark = cells.sparkSession
-    tops = [Top({}, {}) for _ in range(grower.trees)]
+    tops = [Top() for _ in range(grower.trees)]
     # A tree has no more cells than there are.
     large = {(t, 1) for t in range(grower.trees)} if cells.count() * grower.width > LOCAL else set()
     while large:
@@ -480,14 +524,14 @@ def _tops(cells: DataFrame, grower: Grower) -> list[Top]:
     return tops
 
 
-def fit_forest(
+def grow_forest(
     rows: DataFrame, features: str, label: str, thresholds: list[np.ndarray], classes: int, trees: int, depth: int, seed: int
-) -> tuple[FlatForest, list[int]]:
-    """A random forest over coded features, and the features that it uses, by which its nodes number them.
+) -> GrownForest:
+    """A random forest over coded features, left where the tasks wrote it.
 
     Trees are grown as Spark's ``RandomForestClassifier`` does: Poisson draws of the rows for each tree, the best Gini gain among
     the root of the number of features at each node, until nodes are pure, no split gains or ``depth`` is reached. The
-    trees do not depend on how the rows are dealt to tasks. The model is held by the driver, as Spark's is.
+    trees do not depend on how the rows are dealt to tasks.
     """
     spark = rows.sparkSession
     grower = Grower(trees, depth, seed, len(thresholds), classes)
@@ -518,18 +562,13 @@ def fit_forest(
 
     def grown(tree: int, number: int, held: list[tuple[bytes, bytes, bytes]]) -> pa.RecordBatch:
         codes, label, weight = (b"".join(x) for x in zip(*held, strict=True))
-        feature, cut, left, counts = grower.grow(
+        feature, cut, _, counts = grower.grow(
             tree, number, np.frombuffer(codes, np.uint8).reshape(-1, grower.width),
             np.frombuffer(label, np.int32).astype(np.int64), np.frombuffer(weight, np.int64).astype(np.float64),
         )
-        # A pure leaf's votes are named by its class, those of a mixed one by their line after the classes.
-        kind = counts.argmax(axis=1).astype(np.int32)
-        mixed = np.flatnonzero((feature < 0) & ((counts > 0).sum(axis=1) > 1))
-        kind[mixed] = grower.classes + np.arange(len(mixed))
-        parts = feature, cut, left, kind, counts[mixed]
         return pa.RecordBatch.from_arrays(
-            [pa.array([tree], pa.int32()), pa.array([number], pa.int64()), *[pa.array([p.tobytes()], pa.binary()) for p in parts]],
-            names=["tree", "node", "feature", "cut", "first", "kind", "mixed"],
+            [pa.array([tree], pa.int32()), pa.array([number], pa.int64()), *[pa.array([p], pa.binary()) for p in pack(feature, cut, counts, grower.width)]],
+            names=["tree", "node", "feature", "value", "mixed"],
         )
 
     def subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -545,68 +584,62 @@ def fit_forest(
             yield grown(*last, held)
 
     parts = max(2 * cores, min(2000, sum(len(t.splits) + 1 for t in tops)))
-    built = (
+    built = pin(
         cells.mapInArrow(deal, "tree int, node long, codes binary, label binary, weight binary")
         .repartition(parts, "tree", "node").sortWithinPartitions("tree", "node")
-        .mapInArrow(subtrees, "tree int, node long, feature binary, cut binary, first binary, kind binary, mixed binary")
+        .mapInArrow(subtrees, "tree int, node long, feature binary, value binary, mixed binary")
     )
-    # One row per tree, and per subtree below the nodes that all tasks split: the model.
-    found = built.collect()
     sent.destroy()
-    return _assembled(found, tops, grower)
-
-
-def _assembled(found: list, tops: list[Top], grower: Grower) -> tuple[FlatForest, list[int]]:
-    """One forest of the split nodes and the subtrees below them."""
-
-    def shares(counts: np.ndarray) -> np.ndarray:
-        sums = counts.sum(axis=1, keepdims=True)
-        return np.round(np.divide(counts, sums, out=np.zeros_like(counts), where=sums > 0) * 2.0**40) / 2.0**40
-
-    names = {"feature": np.int32, "cut": np.uint8, "first": np.int32, "kind": np.int32}
-    blobs = [{n: np.frombuffer(r[n], kind) for n, kind in names.items()} for r in found]
-    tables = [np.frombuffer(r["mixed"], np.float64).reshape(-1, grower.classes) for r in found]
-    votes = [np.eye(grower.classes)]
-    begin, lines, roots = 0, grower.classes, {}
-    feature, cut, left, kind = [], [], [], []
-    for r, blob, table in zip(found, blobs, tables, strict=True):
-        roots[r["tree"], r["node"]] = begin
-        feature.append(blob["feature"])
-        cut.append(blob["cut"])
-        left.append(begin + blob["first"])
-        kind.append(np.where(blob["kind"] < grower.classes, blob["kind"], blob["kind"] + lines - grower.classes))
-        votes.append(shares(table))
-        begin, lines = begin + len(blob["feature"]), lines + len(table)
-    # Large leaves; a tree that drew no row votes for no class.
-    base = len(votes)
-    extra: list[tuple[int, int, int, int, int]] = []
-
-    def place(t: int, number: int) -> int:
-        if (t, number) in roots:
-            return roots[t, number]
-        if number in tops[t].splits:
-            f, c = tops[t].splits[number]
-            low, high = place(t, 2 * number), place(t, 2 * number + 1)
-            extra.append((f, c, low, high, 0))
-        else:
-            counts = np.array([tops[t].leaves.get(number, [0.0] * grower.classes)])
-            extra.append((-1, 0, 0, 0, lines + len(votes) - base))
-            votes.append(shares(counts))
-        return begin + len(extra) - 1
-
-    starts = np.array([place(t, 1) for t in range(grower.trees)], dtype=np.int64)
-    more = np.array(extra, dtype=np.int64).reshape(-1, 5)
-    # Places are 32-bit numbers as long as they fit.
-    size = np.int32 if begin + len(extra) < 2**31 - 2 else np.int64
-    first = np.concatenate([*left, np.empty(0, np.int32)]).astype(size)
-    whole = np.concatenate([*feature, more[:, 0].astype(np.int32)])
-    used = np.unique(whole[whole >= 0])
-    renamed = np.full(grower.width + 1, -1, dtype=np.int32)
-    renamed[used] = np.arange(len(used))
-    forest = FlatForest(
-        starts, renamed[whole], np.concatenate([*cut, more[:, 1].astype(np.uint8)]),
-        np.concatenate([first, more[:, 2].astype(size)]), np.concatenate([first + 1, more[:, 3].astype(size)]),
-        np.concatenate([*kind, more[:, 4]]).astype(np.int32), np.concatenate(votes),
-    )
-    return forest, used.tolist()
+    return GrownForest(built, tops, grower)
+
+
+@dataclass
+class GrownForest:
+    """The subtrees of a forest as packed rows in the shared folder, below the nodes that all tasks split."""
+
+    built: DataFrame
+    tops: list[Top]
+    grower: Grower
+
+    def groups(self) -> Iterator[list[tuple[int, Top, Packed]]]:
+        """All trees that drew a row, some at a time: ``SENT`` bytes of subtrees, or one tree if that is larger."""
+        size = F.octet_length("feature") + F.octet_length("value") + F.octet_length("mixed")
+        whole = self.built.agg(F.sum(size.cast("long"))).first()[0] or 0
+        dealt = self.built.repartition(-(-2 * whole // SENT) or 1, "tree").sortWithinPartitions("tree")
+        left = {t for t, top in enumerate(self.tops) if top.splits or top.leaves}
+        group: dict[int, Packed] = {}
+        held = 0
+        # One part at a time comes to the driver.
+        for r in dealt.toLocalIterator():
+            if r["tree"] not in group and held >= SENT:
+                yield [(t, self.tops[t], parts) for t, parts in group.items()]
+                group, held = {}, 0
+            packed = tuple(bytes(r[c]) for c in ("feature", "value", "mixed"))
+            group.setdefault(r["tree"], {})[r["node"]] = packed
+            held += sum(map(len, packed))
+            left.discard(r["tree"])
+        # Trees of large leaves alone.
+        group |= {t: {} for t in left}
+        if group:
+            yield [(t, self.tops[t], parts) for t, parts in group.items()]
 
+
+def fit_forest(
+    rows: DataFrame, features: str, label: str, thresholds: list[np.ndarray], classes: int, trees: int, depth: int, seed: int
+) -> tuple[FlatForest, list[int]]:
+    """The forest of ``grow_forest`` in the driver's memory, and the features that it uses, by which its nodes number them."""
+    grown = grow_forest(rows, features, label, thresholds, classes, trees, depth, seed)
+    width = grown.grower.width
+    found = {t: Tree.unpacked(top, parts, width, classes) for group in grown.groups() for t, top, parts in group}
+    # A tree that drew no row votes for no class.
+    each = [found[t] if t in found else Tree.unpacked(Top(), {}, width, classes) for t in range(trees)]
+    begins = np.cumsum([0, *[len(t.feature) for t in each]])
+    lines = np.cumsum([classes, *[len(t.table) for t in each]])
+    feature = np.concatenate([t.feature for t in each])
+    used = np.unique(feature[feature >= 0])
+    renamed = np.full(width + 1, -1)
+    renamed[used] = np.arange(len(used))
+    left = np.concatenate([t.left + begin for t, begin in zip(each, begins, strict=False)])
+    kind = np.concatenate([np.where(t.kind < classes, t.kind, t.kind + line - classes) for t, line in zip(each, lines, strict=False)])
+    votes = np.concatenate([np.eye(classes), *[t.table for t in each]])
+    return FlatForest(begins[:-1], renamed[feature], np.concatenate([t.cut for t in each]), left, left + 1, kind, votes), used.tolist()

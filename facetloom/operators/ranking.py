@@ -8,18 +8,23 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from facetloom.operators.blocks import blocks_of, unpacked
-from facetloom.operators.forests import coded, codes_of, fit_forest, thresholds_of
+from facetloom.operators.forests import coded, codes_of, grow_forest, thresholds_of
 from facetloom.operators.ordering import global_index
 from facetloom.operators.profiles import crosstab
 from facetloom.operators.features import vector_width
+from facetloom.operators.trees import Tree, block_losses, features_of
 from facetloom.session import pin
 
+#: Bytes of a block's values, of one kind, that a task holds, and rows that make a block worth a pass of the forest.
+HELD = 1 << 25
+LEAST_ROWS = 1 << 12
 
 def binned(
     df: DataFrame, columns: Sequence[str], bins: int = 10, method: str = "width"
@@ -200,6 +205,67 @@ def _affine_shuffle(rows: int, rng: random.Random) -> tuple[int, int]:
     return step, rng.randrange(rows)
 
 
+def _losses(
+    table: DataFrame, thresholds: list[np.ndarray], used: list[int], sents: list[Broadcast], shuffles: list[tuple[int, int]],
+    rows: int, classes: int,
+) -> list[tuple[int, int]]:
+    """Each used feature and what its shuffles lose, in rows, by the groups of trees that were sent."""
+    width, repeats, all_features = len(used), len(shuffles), len(thresholds)
+    placed = global_index(coded(table, "_x", thresholds, used), ["_id"], "at")
+    wide = F.col("at").cast("decimal(38,0)")
+    targets = [((wide * F.lit(step) + F.lit(shift)) % F.lit(rows)).cast("bigint") for step, shift in shuffles]
+    # As many rows as memory allows; fewer, if there are cores without a block.
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    most = max(1, HELD // max(width * -(-repeats // 8) * 8, 8 * repeats, 8 * classes))
+    size = min(most, max(LEAST_ROWS, -(-rows // (2 * cores))))
+    blocks = -(-rows // size)
+    # A row goes to its own block, and as a donor to those of its targets.
+    dealt = placed.select("_label", "codes", F.posexplode(F.array("at", *targets)).alias("slot", "at")).select(
+        (F.col("at") / F.lit(size)).cast("int").alias("block"), "*"
+    )
+
+    def lost(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        renamed = np.full(all_features, -1)
+        renamed[used] = np.arange(width)
+
+        def trees() -> Iterator[Tree]:
+            for sent in sents:
+                for _, top, parts in sent.value:
+                    yield Tree.unpacked(top, parts, all_features, classes, renamed)
+                if getattr(sent, "_path", None):
+                    # One group at a time is in memory; it is read again from the executor's disk.
+                    vars(sent).pop("_value", None)
+
+        total = np.zeros(width, dtype=np.int64)
+        last = held = None
+        for batch in batches:
+            block, at, slot, label = (batch.column(c).to_numpy() for c in ("block", "at", "slot", "_label"))
+            codes = codes_of(batch.column("codes"), width)
+            for number in np.unique(block).tolist():
+                if number != last:
+                    if held:
+                        total += block_losses(trees, *held, classes)
+                    n, last = min(size, rows - number * size), number
+                    held = np.empty((n, width), np.uint8), np.empty((n, width, repeats), np.uint8), np.empty(n, np.int64)
+                own = np.flatnonzero((block == number) & (slot == 0))
+                held[0][at[own] - number * size] = codes[own]
+                held[2][at[own] - number * size] = label[own]
+                others = np.flatnonzero((block == number) & (slot > 0))
+                held[1][at[others] - number * size, :, slot[others] - 1] = codes[others]
+        if held:
+            total += block_losses(trees, *held, classes)
+        yield pa.RecordBatch.from_arrays([pa.array(np.array(used), pa.int32()), pa.array(total)], names=["feature", "lost"])
+
+    after = (
+        dealt.repartitionByRange(blocks, "block").sortWithinPartitions("block")
+        .select("block", "at", "slot", "_label", "codes")
+        .mapInArrow(lost, "feature int, lost long")
+        .groupBy("feature").agg(F.sum("lost").alias("lost"))
+    )
+    # One row per feature.
+    return [(r["feature"], r["lost"]) for r in after.collect()]
+
+
 def permutation_importance(
     df: DataFrame,
     names: Sequence[str],
@@ -216,9 +282,10 @@ def permutation_importance(
     when one feature is shuffled.
 
     Rows are coded by the thresholds that splits can have, and trees are grown in the tasks, see ``fit_forest``.
-    Each repeat gives every row a donor row by its position; one shuffle join brings the donors of all repeats. A row
-    takes over one feature of its donor at a time. Only trees whose path meets the feature are walked
-    again, see ``FlatForest``. A feature that no tree splits on cannot change a guess and scores 0.
+    Each repeat gives every row a donor row by its position; one shuffle brings rows and the donors of all repeats together in
+    blocks. A row takes over one feature of its donor at a time. The forest is sent in groups of trees, which go past each
+    block one tree at a time, see ``block_losses``; neither the driver nor a task holds it whole. A feature that no tree splits on cannot
+    change a guess and scores 0.
     """
     spark = df.sparkSession
     width = vector_width(df, features)
@@ -232,40 +299,23 @@ def permutation_importance(
     if good < rows or not rows:
         raise ValueError("a forest needs rows, each with a feature vector and a whole label from 0 on")
     thresholds = thresholds_of(table.select("_x"), "_x", width)
-    forest, used = fit_forest(table, "_x", "_label", thresholds, int(most) + 1, trees, depth, seed)
+    classes = int(most) + 1
+    forest = grow_forest(table, "_x", "_label", thresholds, classes, trees, depth, seed)
     drops = dict.fromkeys(range(width), 0.0)
-    if used:
-        placed = global_index(coded(table, "_x", thresholds, used), ["_id"], "at")
-        flat = spark.sparkContext.broadcast(forest)
-        rng = random.Random(seed)
-        wide = F.col("at").cast("decimal(38,0)")
-        targets = []
-        for _ in range(repeats if rows > 1 else 0):
-            step, shift = _affine_shuffle(rows, rng)
-            targets.append(((wide * F.lit(step) + F.lit(shift)) % F.lit(rows)).cast("bigint"))
-        if targets:
-            parts = 4 * spark.sparkContext.defaultParallelism
-            donors = placed.select(F.explode(F.array(*targets)).alias("at"), F.col("codes").alias("donor"))
-
-            def lost(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-                total = np.zeros(len(used), dtype=np.int64)
-                for batch in batches:
-                    x, donor = (codes_of(batch.column(c), len(used)).copy() for c in ("codes", "donor"))
-                    total += flat.value.losses(x, donor, batch.column("_label").to_numpy())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.array(used), pa.int32()), pa.array(total)], names=["feature", "lost"]
-                )
-
-            after = (
-                placed.repartition(parts, "at").join(donors.repartition(parts, "at"), "at")
-                .select("_label", "codes", "donor")
-                .mapInArrow(lost, "feature int, lost long")
-                .groupBy("feature").agg(F.sum("lost").alias("lost"))
-            )
-            # One row per feature.
-            for r in after.collect():
-                drops[r["feature"]] = r["lost"] / rows / repeats
-        flat.destroy()
+    if repeats and rows > 1:
+        sents, used = [], set()
+        for group in forest.groups():
+            for _, head, parts in group:
+                used |= {f for f, _ in head.splits.values()}
+                used.update(*[features_of(p, width).tolist() for p in parts.values()])
+            sents.append(spark.sparkContext.broadcast(group))
+        if used:
+            rng = random.Random(seed)
+            shuffles = [_affine_shuffle(rows, rng) for _ in range(repeats)]
+            for f, lost in _losses(table, thresholds, sorted(used), sents, shuffles, rows, classes):
+                drops[f] = lost / rows / repeats
+        for sent in sents:
+            sent.destroy()
     scores = spark.createDataFrame(
         [(i, names[i], float(drops[i])) for i in range(width)],
         T.StructType([
