@@ -13,9 +13,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from facetloom.session import small_batches
+
 #: Rows of a dense block, and stored entries of a sparse one, that are worked on at a time.
 DENSE_ROWS = 2048
 SPARSE_ENTRIES = 1 << 16
+#: Numbers that are written out at a time where sparse rows are worked on, and places per entry up to which it pays to write them out.
+WRITTEN = 1 << 21
+SPARSEST = 64
 
 
 @F.pandas_udf(
@@ -32,8 +37,11 @@ def _unpacked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def unpacked(df: DataFrame, features: str, *others: str) -> DataFrame:
-    """The other columns, and ``indices, values`` of a vector column; dense vectors have no indices."""
-    plain = df.where(F.col(features).isNotNull()).select(*others, _unpacked(features).alias("_v"))
+    """The other columns, and ``indices, values`` of a vector column or of a struct of them; dense vectors have no indices."""
+    ready = isinstance(df.schema[features].dataType, T.StructType)
+    plain = small_batches(df).where(F.col(features).isNotNull()).select(
+        *others, (F.col(features) if ready else _unpacked(features)).alias("_v")
+    )
     return plain.select(*others, "_v.indices", "_v.values")
 
 
@@ -63,22 +71,46 @@ class Block:
         """The row of each stored entry."""
         return np.repeat(np.arange(self.rows), np.diff([*self.starts, len(self.values)]))
 
+    def _written(self, width: int) -> Iterator[tuple[slice, np.ndarray]]:
+        """The rows with all their places, some at a time."""
+        step, row = max(1, WRITTEN // width), self.row_of()
+        for low in range(0, self.rows, step):
+            part = slice(low, min(self.rows, low + step))
+            own = slice(*np.searchsorted(row, [part.start, part.stop]))
+            out = np.zeros((part.stop - part.start, width))
+            out[row[own] - low, self.at[own]] = self.values[own]
+            yield part, out
+
     def times(self, matrix: np.ndarray) -> np.ndarray:
         """rows x matrix."""
         if self.at is None:
             return self.values @ matrix
-        return self._by_row(matrix[self.at] * self.values[:, None])
+        out = np.empty((self.rows, matrix.shape[1]))
+        if self.rows * len(matrix) <= SPARSEST * len(self.at):
+            for part, rows in self._written(len(matrix)):
+                out[part] = rows @ matrix
+            return out
+        # A few columns at a time: an entry takes part in each.
+        step = max(1, WRITTEN // max(1, len(self.at)))
+        for low in range(0, matrix.shape[1], step):
+            out[:, low : low + step] = self._by_row(matrix[self.at, low : low + step] * self.values[:, None])
+        return out
 
     def add_turned(self, weights: np.ndarray, total: np.ndarray) -> None:
         """Add (transposed rows) x weights to ``total``; weights has a line for each row."""
         if self.at is None:
             total += self.values.T @ weights
+        elif self.rows * len(total) <= SPARSEST * len(self.at):
+            for part, rows in self._written(len(total)):
+                total += rows.T @ weights[part]
         elif len(self.at):
             order = np.argsort(self.at, kind="stable")
-            at = self.at[order]
+            at, row = self.at[order], self.row_of()[order]
             starts = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
-            entries = weights[self.row_of()[order]] * self.values[order, None]
-            total[at[starts]] += np.add.reduceat(entries, starts, axis=0)
+            step = max(1, WRITTEN // len(at))
+            for low in range(0, weights.shape[1], step):
+                entries = weights[row, low : low + step] * self.values[order, None]
+                total[at[starts], low : low + step] += np.add.reduceat(entries, starts, axis=0)
 
     def add_by_label(self, label: np.ndarray, total: np.ndarray) -> None:
         """Add each row to the line of ``total`` that its label names."""
@@ -165,9 +197,11 @@ def projected(df: DataFrame, features: str, matrix: np.ndarray, shift: np.ndarra
 
     project.__annotations__ = {"batches": Iterator[pd.DataFrame], "return": Iterator[pd.Series]}
     coordinates = F.pandas_udf(project, T.ArrayType(T.DoubleType()))
-    placed = df.withColumn("_placed", coordinates(features))
+    placed = small_batches(df).withColumn("_placed", coordinates(features))
     vector = F.when(F.col("_placed").isNotNull(), array_to_vector("_placed"))
-    return placed.withColumn(out, vector).drop("_placed")
+    # With its width known, no row has to be made to find it.
+    sized = vector.alias(out, metadata={"ml_attr": {"num_attrs": matrix.shape[1]}})
+    return placed.select(*[F.col(f"`{c}`") for c in placed.columns if c not in (out, "_placed")], sized)
 
 
 def summed(parts: DataFrame) -> DataFrame:

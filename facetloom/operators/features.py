@@ -34,6 +34,9 @@ from facetloom.session import pin
 
 #: Rows with up to so many columns get their whole matrix of products, wider ones a basis of a few columns.
 EXACT_WIDTH = 512
+#: Passes over wide rows for singular vectors, and the seed of their first basis.
+SVD_PASSES = 5
+SVD_SEED = 42
 #: Terms whose sums travel together.
 TERM_GROUP = 64
 
@@ -268,7 +271,7 @@ def _leading(
 
 
 def singular_vectors(
-    df: DataFrame, dimensions: int, features: str, passes: int = 5, seed: int = 42
+    df: DataFrame, dimensions: int, features: str, passes: int = SVD_PASSES, seed: int = SVD_SEED
 ) -> np.ndarray:
     """The leading right singular vectors of the rows, as columns; ``passes`` + 1 passes over wide rows."""
     width = vector_width(df, features)
@@ -328,28 +331,31 @@ def persona_features(
     work = emotion_wide(df, labels).withColumn("sentiment_score", sentiment)
     tfidf = fit_tfidf(work, text, max_features, (1, 2), min_df)
     k = min(dimensions, len(tfidf.terms))
-    work = svd(tfidf.transform(work, "_tfidf"), k, "_tfidf", "_svd")
     names = [f"text_svd_{i}" for i in range(k)]
     present = [c for c in categorical if c in df.columns]
-    stages: list = []
-    parts = ["_svd"]
-    if present:
-        texts = [f"_cat{i}" for i in range(len(present))]
-        work = work.select(
-            "*", *[category_text(F.col(c)).alias(t) for c, t in zip(present, texts, strict=True)]
-        )
-        positions = category_positions(work, texts)
-        # A name for each position of the vectors is part of the result.
-        for r in positions.orderBy("position").toLocalIterator():
-            names.append(f"{present[r['column']]}_{r['value']}")
-        work = one_hot(work, texts, positions, "_hot")
-        parts.append("_hot")
+    texts = [f"_cat{i}" for i in range(len(present))]
     numbers = ["sentiment_score", *[f"emotion_{label}" for label in labels]]
-    names += numbers
-    stages += [
-        VectorAssembler(inputCols=[*parts, *numbers], outputCol="_all"),
-        StandardScaler(withMean=False, withStd=True, inputCol="_all", outputCol=out),
-    ]
-    ready = Pipeline(stages=stages).fit(work).transform(work)
+    work = tfidf.entries(work, "_tfidf").select(
+        "*", *[category_text(F.col(c)).alias(t) for c, t in zip(present, texts, strict=True)]
+    )
+    # All passes go over the entries; the text is read once more, for the result.
+    held = work.select("_tfidf", *texts, *numbers).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        factors = _leading(unpacked(held, "_tfidf"), len(tfidf.terms), k, SVD_PASSES, SVD_SEED, None)
+        positions = category_positions(held, texts) if present else None
+        if present:
+            # A name for each position of the vectors is part of the result.
+            for r in positions.orderBy("position").toLocalIterator():
+                names.append(f"{present[r['column']]}_{r['value']}")
+        parts = ["_svd", "_hot"] if present else ["_svd"]
+        assembler = VectorAssembler(inputCols=[*parts, *numbers], outputCol="_all")
+
+        def assembled(rows: DataFrame) -> DataFrame:
+            placed = projected(rows, "_tfidf", factors, np.zeros(k), "_svd")
+            return assembler.transform(one_hot(placed, texts, positions, "_hot") if present else placed)
+
+        scaler = StandardScaler(withMean=False, withStd=True, inputCol="_all", outputCol=out).fit(assembled(held).select("_all"))
+    finally:
+        held.unpersist()
     keep = [*df.columns, "sentiment_score", *[f"emotion_{label}" for label in labels]]
-    return ready.select(*keep, out), names
+    return scaler.transform(assembled(work)).select(*keep, out), names + numbers

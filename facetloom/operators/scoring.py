@@ -29,6 +29,7 @@ from facetloom.operators.columns import with_settled
 from facetloom.operators.lookups import lookup
 from facetloom.operators.ordering import row_range
 from facetloom.schemas import SCORES
+from facetloom.session import small_batches
 
 Model = Callable[[list[str]], Sequence[Any]]
 
@@ -88,7 +89,7 @@ class HashScorer:
             return pa.concat_arrays(parts)
 
         voted.__annotations__ = {"words": pa.Array, "return": pa.Array}
-        return df.withColumn(out, F.arrow_udf(voted, SCORES)(X.tokens(text)))
+        return small_batches(df).withColumn(out, F.arrow_udf(voted, SCORES)(X.tokens(text)))
 
 
 @dataclass(frozen=True)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,8 +20,8 @@ from pyspark.storagelevel import StorageLevel
 
 from facetloom import constants as C
 from facetloom.functions import text as X
-from facetloom.functions.text import sql_text
 from facetloom.operators.columns import with_settled
+from facetloom.session import small_batches
 
 
 #: Rows whose terms are counted at a time.
@@ -66,23 +66,32 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _count_terms(terms: DataFrame) -> DataFrame:
-    counted = terms.mapInArrow(_counted, "term string, tf long, df long")
+    return _summed(terms.mapInArrow(_counted, "term string, tf long, df long"))
+
+
+def _summed(counted: DataFrame) -> DataFrame:
     return counted.groupBy("term").agg(F.sum("tf").alias("tf"), F.sum("df").alias("df"))
 
 
 def _frequent_pairs(df: DataFrame, text: str, words: list[str]) -> DataFrame:
-    """``_terms``: the word pairs of each row of which both words are in ``words``."""
-    listed = ", ".join(sql_text(w) for w in words)
-    kept = F.expr(f"transform(_words, w -> CASE WHEN w IN ({listed}) THEN w END)")
+    """``term, tf, df`` of the word pairs of which both words are in ``words``, counted by the words' places in the list."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = pa.array(words, pa.string())
+        for batch in batches:
+            for low in range(0, batch.num_rows, COUNTED_ROWS):
+                at, row = _places(batch.column("_words").slice(low, COUNTED_ROWS), known)
+                both = np.flatnonzero((at[:-1] >= 0) & (at[1:] >= 0) & (row[:-1] == row[1:]))
+                pair, code, tf = np.unique(at[both] * len(words) + at[both + 1], return_inverse=True, return_counts=True)
+                once = np.unique(row[both] * max(1, len(pair)) + code) % max(1, len(pair))
+                left, right = (known.take(pa.array(x)) for x in np.divmod(pair, len(words)))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.compute.binary_join_element_wise(left, right, " "), pa.array(tf), pa.array(np.bincount(once, minlength=len(pair)))],
+                    names=["term", "tf", "df"],
+                )
+
     worded = df.select(X.tokens(F.coalesce(F.col(text), F.lit(""))).alias("_words"))
-    known = with_settled(worded, "_kept", kept)
-    count = F.greatest(F.size("_kept") - 1, F.lit(0))
-    pairs = F.zip_with(
-        F.slice("_kept", F.lit(1), count),
-        F.slice("_kept", F.lit(2), count),
-        lambda left, right: F.concat(left, F.lit(" "), right),
-    )
-    return with_settled(known.select(pairs.alias("_pairs")), "_terms", F.array_compact("_pairs"))
+    return _summed(worded.mapInArrow(counted, "term string, tf long, df long"))
 
 
 def _top(stats: DataFrame, size: int, min_df: int) -> list[Row]:
@@ -90,17 +99,55 @@ def _top(stats: DataFrame, size: int, min_df: int) -> list[Row]:
     return best.collect()
 
 
-def _entries(terms: pa.Array, known: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row, place in ``known`` and number of the known terms of some rows, in order of row and place."""
-    coded = terms.flatten().dictionary_encode()
+def _places(words: pa.Array, known: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Place in ``known`` (-1: none) and row of the words of some rows."""
+    coded = words.flatten().dictionary_encode()
     place = pa.compute.fill_null(pa.compute.index_in(coded.dictionary, known), -1)
     at = place.to_numpy(zero_copy_only=False).astype(np.int64)[coded.indices.to_numpy(zero_copy_only=False)]
-    lengths = pa.compute.fill_null(terms.value_lengths(), 0).to_numpy(zero_copy_only=False)
-    row = np.repeat(np.arange(len(terms)), lengths)
+    lengths = pa.compute.fill_null(words.value_lengths(), 0).to_numpy(zero_copy_only=False)
+    return at, np.repeat(np.arange(len(words)), lengths)
+
+
+def _entries(terms: pa.Array, known: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, place in ``known`` and number of the known terms of some rows, in order of row and place."""
+    at, row = _places(terms, known)
     key, count = np.unique((row * len(known) + at)[at >= 0], return_counts=True)
     return key // len(known), key % len(known), count
 
 
+class _Vocabulary:
+    """Counts the terms of a vocabulary in rows of words; a pair is found by the places of its words, not as text."""
+
+    def __init__(self, terms: Sequence[str], ngrams: tuple[int, int]) -> None:
+        self.size = len(terms)
+        parts = [t.split(" ") for t in terms]
+        words = sorted({w for p in parts for w in p})
+        place = {w: i for i, w in enumerate(words)}
+        self.words, self.known = len(words), pa.array(words, pa.string())
+        self.single = np.full(self.words + 1, -1, dtype=np.int64)
+        pairs = []
+        for i, p in enumerate(parts):
+            if len(p) == 1 and ngrams[0] == 1:
+                self.single[place[p[0]]] = i
+            elif len(p) == 2 and ngrams[1] == 2:
+                pairs.append((place[p[0]] * self.words + place[p[1]], i))
+        pairs.sort()
+        self.codes = np.array([c for c, _ in pairs] or [-1], dtype=np.int64)
+        self.pair = np.array([i for _, i in pairs] or [-1], dtype=np.int64)
+
+    def entries(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Row, place in the vocabulary and number of its terms, in order of row and place."""
+        at, row = _places(words, self.known)
+        both = np.flatnonzero((at[:-1] >= 0) & (at[1:] >= 0) & (row[:-1] == row[1:]))
+        code = at[both] * self.words + at[both + 1]
+        near = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
+        found = self.codes[near] == code
+        place = np.concatenate([self.single[at], self.pair[near[found]]])
+        owner = np.concatenate([row, row[both[found]]])
+        key, count = np.unique((owner * self.size + place)[place >= 0], return_counts=True)
+        return key // self.size, key % self.size, count
+
+
 @dataclass(frozen=True)
 class TfidfModel:
     """A vocabulary with its inverse document frequencies."""
@@ -123,6 +170,28 @@ class TfidfModel:
         counted = counter.transform(with_terms(df, self.text, self.ngrams)).drop("_terms")
         return unit.transform(scale.transform(counted)).drop("_counts", "_scaled")
 
+    def entries(self, df: DataFrame, out: str) -> DataFrame:
+        """Add the vector of ``transform`` as a struct ``indices, values``, made of whole columns of words.
+
+        Only words leave the row's expressions: pairs are never written as text.
+        """
+        idf, vocabulary = np.array(self.idf), _Vocabulary(self.terms, self.ngrams)
+
+        def some(words: pa.Array) -> pa.Array:
+            row, at, count = vocabulary.entries(words)
+            weight = count * idf[at]
+            norm = np.sqrt(np.bincount(row, weight * weight, len(words)))
+            ends = pa.array(np.searchsorted(row, np.arange(len(words) + 1)), pa.int32())
+            lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (at.astype(np.int32), weight / norm[row])]
+            return pa.StructArray.from_arrays(lists, names=["indices", "values"])
+
+        def vectors(words: pa.Array) -> pa.Array:
+            return pa.concat_arrays([some(words.slice(low, COUNTED_ROWS)) for low in range(0, max(1, len(words)), COUNTED_ROWS)])
+
+        vectors.__annotations__ = {"words": pa.Array, "return": pa.Array}
+        made = F.arrow_udf(vectors, "indices array<int>, values array<double>")(X.tokens(F.coalesce(F.col(self.text), F.lit(""))))
+        return small_batches(df).select("*", made.alias(out, metadata={"ml_attr": {"num_attrs": len(self.terms)}}))
+
     def terms_table(self, df: DataFrame) -> DataFrame:
         """``at, term``: the vocabulary, which the vocabulary size bounds."""
         return df.sparkSession.createDataFrame(
@@ -184,7 +253,7 @@ def fit_tfidf(
         )
         if full and len(ties) <= max_features:
             frequent = sorted({r["term"] for r in rows} | set(ties))
-            pairs = _count_terms(_frequent_pairs(df, text, frequent))
+            pairs = _frequent_pairs(df, text, frequent)
             found = _top(pairs.where(F.col("tf") >= least), max_features, min_df)
         else:
             found = _top(term_stats(df, text, (2, 2)), max_features, min_df)

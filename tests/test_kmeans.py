@@ -1,5 +1,7 @@
 """K-means of many models in shared passes, on dense and sparse rows."""
 
+import tracemalloc
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -109,3 +111,27 @@ def test_a_batch_of_wide_rows_is_projected_in_pieces(spark, monkeypatch):
         found = {r["row_id"]: r["out"] for r in blocks.projected(df, "features", matrix, shift, "out").collect()}
         assert found.pop(60) is None
         assert np.allclose([found[i].toArray() for i in range(60)], made @ matrix - 1)
+
+
+def test_sparse_products_stay_small():
+    """All entries of a block times a wide matrix would be hundreds of megabytes, several times over."""
+    made = np.random.default_rng(2)
+    for width, each in ((282, 64), (5000, 160), (5000, 3)):
+        rows = blocks.SPARSE_ENTRIES // each
+        at = np.sort(np.argsort(made.random((64, width)), axis=1)[:, :each], axis=1)[np.arange(rows) % 64].ravel()
+        block = blocks.Block(rows, made.normal(size=rows * each), at, np.arange(rows) * each)
+        columns = width if width < 500 else 60
+        matrix, turned = made.normal(size=(width, columns)), np.zeros((width, columns))
+        tracemalloc.start()
+        found = block.times(matrix)
+        block.add_turned(found, turned)
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert most < 100e6 + found.nbytes
+        dense = np.zeros((50, width))
+        dense[np.repeat(np.arange(50), each), at[: 50 * each]] = block.values[: 50 * each]
+        assert found[:50] == pytest.approx(dense @ matrix)
+        # The whole product, by its parts along one direction.
+        line = made.normal(size=columns)
+        back = np.bincount(at, block.values * np.repeat(found @ line, each), width)
+        assert turned @ line == pytest.approx(back)

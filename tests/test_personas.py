@@ -432,3 +432,29 @@ def test_terms_are_counted_as_columns(spark):
     assert {(r["term"], r["tf"], r["df"]) for r in stats.collect()} == {("ab", 4, 3), ("cd", 2, 2), ("é_1", 1, 1)}
     pairs = {(r["term"], r["tf"], r["df"]) for r in terms.term_stats(df, "text", (2, 2)).collect()}
     assert pairs == {("ab cd", 1, 1), ("cd ab", 2, 2), ("é_1 ab", 1, 1)}
+
+
+def test_the_text_is_read_once_for_each_use(spark):
+    """Words, pairs, entries and the result; passes, scales and widths go over the entries."""
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def read(text):
+        seen.add(1)
+        return text
+
+    rows = blog_rows(spark).withColumn("text", read.asNondeterministic()("text"))
+    df, names = features.persona_features(rows, dimensions=6)
+    assert {len(r["features"]) for r in df.select("features").collect()} == {len(names)}
+    assert seen.value <= 4 * 120
+
+
+@pytest.mark.parametrize(("size", "ngrams"), [(5000, (1, 2)), (3, (1, 2)), (9, (2, 2)), (4, (1, 1))])
+def test_entries_are_the_vectors_of_transform(spark, size, ngrams):
+    texts = ["love sun sun love sun", "rain", "", None, "zz yy love sun", "sun love", "a b rain rain rain"]
+    df = spark.createDataFrame(list(enumerate(texts)), "row_id int, text string")
+    model = terms.fit_tfidf(df, "text", size, ngrams)
+    both = model.entries(model.transform(df, "v"), "e").orderBy("row_id").collect()
+    for r in both:
+        assert r["e"]["indices"] == r["v"].indices.tolist()
+        assert r["e"]["values"] == pytest.approx(r["v"].values.tolist(), abs=1e-12)
