@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from itertools import product
 
-from pyspark.ml.clustering import KMeans
+from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,8 +26,14 @@ def kmeans(
     seed: int = 42,
 ) -> DataFrame:
     """Add the K-means cluster of each row."""
-    model = KMeans(k=k, seed=seed, featuresCol=features, predictionCol=out).fit(df)
-    return model.transform(df)
+    return fit_kmeans(df, k, features, out, seed).transform(df)
+
+
+def fit_kmeans(
+    df: DataFrame, k: int = C.MAP_CLUSTERS, features: str = "reduced", out: str = "cluster", seed: int = 42
+) -> KMeansModel:
+    """The K-means model of the rows."""
+    return KMeans(k=k, seed=seed, featuresCol=features, predictionCol=out).fit(df)
 
 
 def silhouette(df: DataFrame, features: str = "features", cluster: str = "cluster") -> float:

@@ -185,14 +185,14 @@ def reduce_pca(
     return _components(df, dimensions, features, out)
 
 
-def _components(df: DataFrame, k: int, features: str, out: str) -> DataFrame:
-    vectors, mean = principal_directions(df, k, features)
+def _components(df: DataFrame, k: int, features: str, out: str, of: DataFrame | None = None) -> DataFrame:
+    vectors, mean = principal_directions(df if of is None else of, k, features)
     return projected(df, features, vectors, mean @ vectors, out)
 
 
-def project_2d(df: DataFrame, features: str = "reduced") -> DataFrame:
-    """Add ``x2d, y2d``, the first two principal components."""
-    flat = _components(df, 2, features, "_flat").withColumn("_xy", vector_to_array("_flat"))
+def project_2d(df: DataFrame, features: str = "reduced", of: DataFrame | None = None) -> DataFrame:
+    """Add ``x2d, y2d``, the first two principal components, of these rows or of those of ``of``."""
+    flat = _components(df, 2, features, "_flat", of).withColumn("_xy", vector_to_array("_flat"))
     return flat.select(
         *df.columns, F.col("_xy")[0].alias("x2d"), F.col("_xy")[1].alias("y2d")
     )
@@ -275,7 +275,8 @@ def singular_vectors(
 ) -> np.ndarray:
     """The leading right singular vectors of the rows, as columns; ``passes`` + 1 passes over wide rows."""
     width = vector_width(df, features)
-    rows = unpacked(df, features).persist(StorageLevel.MEMORY_AND_DISK)
+    # On disk: of large tables most would go there anyway, and what is kept in memory is missing elsewhere.
+    rows = unpacked(df, features).persist(StorageLevel.DISK_ONLY)
     try:
         return _leading(rows, width, min(dimensions, width), passes, seed, None)
     finally:
@@ -287,7 +288,7 @@ def principal_directions(
 ) -> tuple[np.ndarray, np.ndarray]:
     """The leading principal directions of the rows, as columns, and the mean of the rows."""
     width = vector_width(df, features)
-    rows = unpacked(df, features).persist(StorageLevel.MEMORY_AND_DISK)
+    rows = unpacked(df, features).persist(StorageLevel.DISK_ONLY)
     try:
         centre = _mean(rows, width)
         return _leading(rows, width, min(dimensions, width), passes, seed, centre), centre[1]
@@ -339,7 +340,7 @@ def persona_features(
         "*", *[category_text(F.col(c)).alias(t) for c, t in zip(present, texts, strict=True)]
     )
     # All passes go over the entries; the text is read once more, for the result.
-    held = work.select("_tfidf", *texts, *numbers).persist(StorageLevel.MEMORY_AND_DISK)
+    held = work.select("_tfidf", *texts, *numbers).persist(StorageLevel.DISK_ONLY)
     try:
         factors = _leading(unpacked(held, "_tfidf"), len(tfidf.terms), k, SVD_PASSES, SVD_SEED, None)
         positions = category_positions(held, texts) if present else None

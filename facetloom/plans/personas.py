@@ -52,13 +52,17 @@ def map_clusters(
     vectors = pin(embed(first, "text", encoder, "_vector"))
     blocks = feature_blocks(vectors, "_vector").drop("_vector")
     reduced = reduce_pca(blocks, dimensions).drop("features")
-    reduced = reduced.persist(StorageLevel.MEMORY_AND_DISK)
     if density is None:
-        placed = project_2d(clustering.kmeans(reduced, k))
+        # Many passes go over the vectors alone; the rows with their texts are read once, for the result.
+        narrow = reduced.select("reduced").persist(StorageLevel.DISK_ONLY)
+        model = clustering.fit_kmeans(narrow, k)
+        placed = project_2d(model.transform(reduced), of=narrow)
+        legend = cluster_legend(model.transform(narrow))
     else:
+        reduced = reduced.persist(StorageLevel.DISK_ONLY)
         known = row_id if row_id in reduced.columns else None
         placed = project_2d(distance_clusters(reduced, density, row_id=known))
-    legend = cluster_legend(placed)
+        legend = cluster_legend(placed)
     colored = add_cluster_colors(placed, legend)
     table = ensure_columns(colored, CLUSTERED)
     if keep:

@@ -9,6 +9,8 @@ import pytest
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
+from pyspark.sql.classic.dataframe import DataFrame
+from pyspark.storagelevel import StorageLevel
 
 from facetloom.operators import cards as K
 from facetloom.operators import clustering, emotions, features, legend, ranking, scoring, terms
@@ -458,3 +460,20 @@ def test_entries_are_the_vectors_of_transform(spark, size, ngrams):
     for r in both:
         assert r["e"]["indices"] == r["v"].indices.tolist()
         assert r["e"]["values"] == pytest.approx(r["v"].values.tolist(), abs=1e-12)
+
+
+def test_the_map_keeps_vectors_alone_and_on_disk(spark, monkeypatch):
+    """A text is kilobytes; kept beside the vectors, every pass would read it, and executors' memory would hold it."""
+    kept = []
+    persist = DataFrame.persist
+
+    def noted(self, level=StorageLevel.MEMORY_AND_DISK_DESER):
+        kept.append((self.columns, level))
+        return persist(self, level)
+
+    monkeypatch.setattr(DataFrame, "persist", noted)
+    df = blog_rows(spark)
+    encoder = scoring.fit_text_encoder(df, "text", 32)
+    table, key = personas.map_clusters(df, encoder, k=2, dimensions=5, keep=["row_id"])
+    assert {r["cluster"]: r["count"] for r in key.collect()} == dict(Counter(r["cluster"] for r in table.collect()))
+    assert len(kept) >= 2 and all("text" not in columns and not level.useMemory for columns, level in kept)
